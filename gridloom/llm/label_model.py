@@ -13,6 +13,7 @@ import numpy as np
 
 SMOOTH = 0.5
 ROUNDS = 40
+GIVEN = 8.0
 
 
 def _joint(votes: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -56,24 +57,26 @@ def _log_likelihood(votes: np.ndarray, joint: np.ndarray, parents: list[int]) ->
 def fit(votes: np.ndarray, counts: np.ndarray, known: np.ndarray, prior: float) -> tuple[np.ndarray, dict]:
     """P(class 1) of each pattern row, and the model.
 
-    known: 0 or 1 where a row's class is given, -1 elsewhere; the start is the
-    share of voters that fire, so class 1 is what voters are for.
+    known: 0 or 1 where a row's class is given, -1 elsewhere. All given rows
+    together weigh GIVEN times the others, or their own number if that is more.
+    The start is the share of voters that fire, so class 1 is what voters are for.
     """
+    given, other = counts[known >= 0].sum(), counts[known < 0].sum()
+    counts = counts * np.where(known >= 0, max(1.0, GIVEN * other / max(given, 1.0)), 1.0)
     share = votes.mean(1)
     y = np.where(known >= 0, known, np.clip(share * 3, 0.02, 0.98))
     parents = [-1] * votes.shape[1]
     for step in range(ROUNDS):
         joint = [_joint(votes, counts * (1 - y)), _joint(votes, counts * y)]
-        prior_now = (counts @ y + 100 * prior) / (counts.sum() + 100)
         if step in (2, ROUNDS // 2):
-            parents = _tree(joint, prior_now)
-        odds = np.log(prior_now / (1 - prior_now)) + _log_likelihood(votes, joint[1], parents) - _log_likelihood(votes, joint[0], parents)
+            parents = _tree(joint, prior)
+        odds = np.log(prior / (1 - prior)) + _log_likelihood(votes, joint[1], parents) - _log_likelihood(votes, joint[0], parents)
         fresh = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         moved = np.abs(np.where(known >= 0, known, fresh) - y).max(initial=0)
         y = np.where(known >= 0, known, fresh)
         if moved < 1e-4 and step > ROUNDS // 2:
             break
-    return fresh, {"parents": parents, "joint": joint, "prior": float(prior_now)}
+    return fresh, {"parents": parents, "joint": joint, "prior": prior}
 
 
 def posterior(votes: np.ndarray, model: dict) -> np.ndarray:

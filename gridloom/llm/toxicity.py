@@ -33,21 +33,28 @@ from .features import STEMS, known, terms, text_of_words, word_terms
 FIXED = {
     "mind": ["idiot", "idiots", "moron", "morons", "stupid", "dumb", "imbecile", "fool", "clown", "retard"],
     "worth": ["worthless", "trash", "garbage", "scum", "vermin", "loser", "losers", "filth"],
-    "contempt": ["disgusting", "pathetic", "despicable", "hate", "hateful", "ugly", "repulsive", "vile"],
+    "contempt": ["disgusting", "pathetic", "despicable", "hateful", "ugly", "repulsive"],
 }
 #: Kinds of induced entries: whole words, then stems by length in bytes.
 KINDS = ("word", *(f"stem_{k}" for k in STEMS))
-LEVELS = (1, 2, 3)
+#: Least log odds of an induced entry, and least log odds times the root of its toxic texts.
+STRONG, SURE = 1.5, 8.0
+#: Weight of a labelled row against a row with a posterior label, in the linear classifier.
+GIVEN_WEIGHT = 4.0
 
 
 def held_out(id_col: str, divisor: int, rest: int):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(divisor)) == rest, F.lit(False))
 
 
+def usable(labels: DataFrame, label_col: str, divisor: int, rest: int, id_col: str = "doc_id") -> DataFrame:
+    """(label_id, label) of all rows that may be learnt from."""
+    return labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label")).where("label_id is not null and label in (0, 1)").where(~held_out("label_id", divisor, rest))
+
+
 def labelled(labels: DataFrame, label_col: str, divisor: int, rest: int, rows: int, id_col: str = "doc_id") -> DataFrame:
-    """(label_id, label): at most `rows` rows of each class that may be learnt from, by a hash of the id."""
-    usable = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label")).where("label_id is not null and label in (0, 1)").where(~held_out("label_id", divisor, rest))
-    once = usable.groupBy("label_id").agg(F.max("label").alias("label"))
+    """At most `rows` of the usable rows of each class, by a hash of the id."""
+    once = usable(labels, label_col, divisor, rest, id_col).groupBy("label_id").agg(F.max("label").alias("label"))
     pick = lambda y: once.where(F.col("label") == y).orderBy(F.xxhash64("label_id"), "label_id").limit(rows)
     return pick(1).union(pick(0))
 
@@ -65,7 +72,7 @@ def _texts(docs: DataFrame, text_col: str, *more: str) -> DataFrame:
 
 
 def _term_counts(rows: DataFrame, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Terms of labelled texts that stand out on either side: (hash, kind, log odds), by significance."""
+    """Terms that labelled toxic texts have more often: (hash, kind, log odds), by significance."""
 
     def count(batches):
         for part, texts in row_blocks(batches, "text"):
@@ -86,7 +93,7 @@ def _term_counts(rows: DataFrame, most: int, least: int) -> tuple[np.ndarray, np
         return np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0)
     counts = rows.mapInArrow(count, "h long, kind int, a long, n long").groupBy("h", "kind").agg(F.sum("a").alias("a"), F.sum("n").alias("n")).where(F.col("n") >= least)
     odds = F.log((F.col("a") + 0.5) / (pos + 1)) - F.log((F.col("n") - F.col("a") + 0.5) / (neg + 1))
-    scored = counts.select("h", "kind", odds.alias("odds"), (F.abs(odds) * F.sqrt(F.when(odds > 0, F.col("a")).otherwise(F.col("n") - F.col("a")))).alias("weight"))
+    scored = counts.select("h", "kind", odds.alias("odds"), (odds * F.sqrt("a")).alias("weight")).where((F.col("odds") >= STRONG) & (F.col("weight") >= SURE))
     found = scored.orderBy(F.desc("weight"), "h").limit(most).toPandas()
     return found["h"].to_numpy(np.int64).view(np.uint64), found["kind"].to_numpy(int), found["odds"].to_numpy(float)
 
@@ -94,10 +101,10 @@ def _term_counts(rows: DataFrame, most: int, least: int) -> tuple[np.ndarray, np
 class Lexicon:
     """Entries by kind, each with the lexicons it belongs to; votes of texts."""
 
-    def __init__(self, hashes: np.ndarray, kinds: np.ndarray, odds: np.ndarray, strong: float = 1.5):
+    def __init__(self, hashes: np.ndarray, kinds: np.ndarray, odds: np.ndarray):
         fixed = [(h, g) for g, tokens in enumerate(FIXED.values()) for h in word_terms(tokens)]
         self.hashes, self.places = [], []
-        seen, lists, total = [], [], 0
+        lists, total = [], 0
         for kind in range(len(KINDS)):
             own = {int(h): float(o) for h, k, o in zip(hashes, kinds, odds) if k == kind}
             if kind == 0:
@@ -107,12 +114,10 @@ class Lexicon:
             self.places.append(total)
             total += len(table)
             groups = {int(h): g for h, g in fixed} if kind == 0 else {}
-            seen += [own[int(h)] for h in table]
             lists += [(kind, groups.get(int(h), -1)) for h in table]
         self.size = total
-        odds_of = np.array(seen)
         kind_of, group_of = np.array([k for k, _ in lists], int), np.array([g for _, g in lists], int)
-        member = [group_of == g for g in range(len(FIXED))] + [(kind_of == k) & (odds_of >= strong) & (group_of < 0) for k in range(len(KINDS))]
+        member = [group_of == g for g in range(len(FIXED))] + [(kind_of == k) & (group_of < 0) for k in range(len(KINDS))]
         self.members = np.stack(member, 1).astype(np.float64)  # entry x lexicon
 
     def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,16 +136,19 @@ class Lexicon:
         np.add.at(out, text, self.members[entry] * counts[:, None])
         return out
 
+    def dense(self, totals: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Lexicon totals of texts of so many words, as logarithms and as rates."""
+        return np.concatenate([np.log1p(totals), 100 * totals / (words[:, None] + 100.0)], axis=1)
+
     def votes(self, totals: np.ndarray, words: Words) -> np.ndarray:
-        """Each fixed lexicon at one hit, each induced one at two and at three, and two patterns."""
+        """Each fixed lexicon at one hit, each induced one at two and at three, and a pattern of shouting."""
         groups = len(FIXED)
         raw = words.raw
         bang = np.concatenate([[0], np.cumsum(raw[: len(words.data)] == 33)])
         base = np.minimum(words.base, len(words.data))
         shouting = (bang[base[1:]] - bang[base[:-1]]) > 0.2 * np.maximum(1, np.diff(words.first))
-        several = (totals[:, :groups] > 0).sum(1) >= 2
         induced = totals[:, groups:]
-        return np.concatenate([totals[:, :groups] >= 1, induced >= 2, induced >= 3, shouting[:, None], several[:, None]], axis=1).astype(np.int64)
+        return np.concatenate([totals[:, :groups] >= 1, induced >= 2, induced >= 3, shouting[:, None]], axis=1).astype(np.int64)
 
 
 def _pattern_counts(rows: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,7 +162,7 @@ def _pattern_counts(rows: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.n
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(mask.astype(np.int64))], ["label", "mask"])
 
     found = rows.mapInArrow(work, "label int, mask long").groupBy("label", "mask").count().collect()
-    width = len(FIXED) + 2 * len(KINDS) + 2
+    width = len(FIXED) + 2 * len(KINDS) + 1
     masks = np.array([r["mask"] for r in found], np.int64)
     return (masks[:, None] >> np.arange(width)) & 1, np.array([r["count"] for r in found], float), np.array([-1 if r["label"] is None else r["label"] for r in found], int)
 
@@ -169,35 +177,35 @@ def _training_rows(rows: DataFrame, lexicon: Lexicon) -> tuple[list, np.ndarray,
             votes = lexicon.votes(lexicon.totals(text, entry, counts, len(texts)), words)
             cut = np.searchsorted(text, np.arange(len(texts) + 1))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array((votes @ (1 << np.arange(votes.shape[1]))).astype(np.int64)), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(entry, pa.int32())), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(counts, pa.int32()))],
-                ["label", "mask", "entries", "counts"],
+                [part.column(0), pa.array((votes @ (1 << np.arange(votes.shape[1]))).astype(np.int64)), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(entry, pa.int32())), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(counts, pa.int32())), pa.array(np.diff(words.first), pa.int64())],
+                ["label", "mask", "entries", "counts", "words"],
             )
 
-    found = rows.mapInArrow(work, "label int, mask long, entries array<int>, counts array<int>").toArrow()
+    found = rows.mapInArrow(work, "label int, mask long, entries array<int>, counts array<int>, words long").toArrow()
     masks = found.column("mask").to_numpy()
     labels = np.array([-1 if x is None else x for x in found.column("label").to_pylist()], int)
-    return list(zip(found.column("entries").to_pylist(), found.column("counts").to_pylist())), (masks[:, None] >> np.arange(len(FIXED) + 2 * len(KINDS) + 2)) & 1, labels
+    return list(zip(found.column("entries").to_pylist(), found.column("counts").to_pylist(), found.column("words").to_pylist())), (masks[:, None] >> np.arange(len(FIXED) + 2 * len(KINDS) + 1)) & 1, labels
 
 
-def _fit_linear(hits: list, lexicon: Lexicon, target: np.ndarray, rounds: int = 300, l2: float = 2e-3) -> np.ndarray:
-    """Logistic regression on entries (present or not) and lexicon totals (log), by Adam; weights end with the bias."""
-    n, k = len(hits), lexicon.members.shape[1]
-    row = np.repeat(np.arange(n), [len(e) for e, _ in hits])
-    entry = np.array([x for e, _ in hits for x in e], np.int64)
-    counts = np.array([x for _, c in hits for x in c], np.int64)
-    totals = np.log1p(lexicon.totals(row, entry, counts, n))
-    w, b, v = np.zeros(lexicon.size), np.zeros(k), 0.0
+def _fit_linear(hits: list, lexicon: Lexicon, target: np.ndarray, weight: np.ndarray, rounds: int = 300, l2: float = 2e-4) -> np.ndarray:
+    """Logistic regression on entries (present or not, weights of 0 or more) and lexicon totals, by Adam; the bias comes last."""
+    n = len(hits)
+    row = np.repeat(np.arange(n), [len(e) for e, *_ in hits])
+    entry = np.array([x for e, *_ in hits for x in e], np.int64)
+    counts = np.array([x for _, c, _ in hits for x in c], np.int64)
+    totals = lexicon.dense(lexicon.totals(row, entry, counts, n), np.array([x for *_, x in hits], float))
+    w, b, v = np.zeros(lexicon.size), np.zeros(totals.shape[1]), 0.0
     state = [[0.0, 0.0] for _ in range(3)]
     for step in range(1, rounds + 1):
         score = np.bincount(row, weights=w[entry], minlength=n) + totals @ b + v
-        error = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - target) / max(1, n)
+        error = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - target) * weight / max(1.0, weight.sum())
         grads = [np.bincount(entry, weights=error[row], minlength=lexicon.size) + l2 * w / 10, totals.T @ error + l2 * b / 10, error.sum()]
         moved = []
         for s, g in zip(state, grads):
             s[0] = 0.9 * s[0] + 0.1 * g
             s[1] = 0.99 * s[1] + 0.01 * g * g
             moved.append(0.1 * (s[0] / (1 - 0.9**step)) / (np.sqrt(s[1] / (1 - 0.99**step)) + 1e-9))
-        w, b, v = w - moved[0], b - moved[1], v - moved[2]
+        w, b, v = np.maximum(0, w - moved[0]), b - moved[1], v - moved[2]
     return np.concatenate([w, b, [v]])
 
 
@@ -210,16 +218,15 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", divisor:
     everything = texts.join(marks, "label_id", "left").select("label", "text")
     votes, counts, gold = _pattern_counts(everything, lexicon)
     if not len(counts):
-        return {"lexicon": lexicon, "weights": np.zeros(lexicon.size + lexicon.members.shape[1] + 1), "label_model": None}
-    shown = gold >= 0
-    prior = float(np.clip((counts[shown] @ gold[shown] + 1) / (counts[shown].sum() + 20), 0.005, 0.5))
-    if label_rows and shown.any():
-        prior = min(prior, 0.2)  # labelled rows are picked by class; the share of firing texts corrects the rest
+        return {"lexicon": lexicon, "weights": np.zeros(lexicon.size + 2 * lexicon.members.shape[1] + 1), "label_model": None}
+    share = usable(labels, label_col, divisor, rest).agg(F.avg("label")).first()[0]
+    prior = float(np.clip(0.05 if share is None else share, 0.005, 0.5))
     _, model = label_model.fit(votes, counts, gold, prior)
     rest_rows = sampled(texts, train_rows, "text").join(marks, "label_id", "left_anti").select(F.lit(None).cast("int").alias("label"), "text")
     hits, own_votes, own_gold = _training_rows(marked.union(rest_rows), lexicon)
     target = np.where(own_gold >= 0, own_gold, label_model.posterior(own_votes, model)) if len(hits) else np.zeros(0)
-    return {"lexicon": lexicon, "weights": _fit_linear(hits, lexicon, target), "label_model": model}
+    weight = np.where(own_gold >= 0, GIVEN_WEIGHT, 1.0)
+    return {"lexicon": lexicon, "weights": _fit_linear(hits, lexicon, target, weight), "label_model": model}
 
 
 def score(docs: DataFrame, model: dict, divisor: int = 3, rest: int = 1, cut: float = 0.7, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -233,7 +240,7 @@ def score(docs: DataFrame, model: dict, divisor: int = 3, rest: int = 1, cut: fl
         for part, texts in row_blocks(batches, "text"):
             words = Words(texts)
             text, entry, counts = lexicon.hits(words)
-            z = np.bincount(text, weights=w[entry], minlength=len(texts)) + np.log1p(lexicon.totals(text, entry, counts, len(texts))) @ b + v
+            z = np.bincount(text, weights=w[entry], minlength=len(texts)) + lexicon.dense(lexicon.totals(text, entry, counts, len(texts)), np.diff(words.first)) @ b + v
             columns = dict(zip(names, part.columns)) | {"score": pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))}
             if not keep:
                 columns["text"] = pa.nulls(len(texts), pa.string())
