@@ -34,6 +34,8 @@ from .components import components
 
 SEED = 42
 SHINGLE_BLOCK = 100_000
+#: Keys that a broadcast may hold: 16 bytes each.
+BROADCAST_KEYS = 1_000_000
 
 
 def fingerprint(text: bytes, words_per_shingle: int) -> int:
@@ -91,16 +93,19 @@ def links(fps: DataFrame, max_bits: int = 2, crowd: int = 256) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of distinct fps at max_bits or fewer differing bits."""
     if max_bits not in (1, 2):
         raise ValueError("the variants of crowded fingerprints are few enough for 1 or 2 deleted bits only")
-    keyed = _one_wildcard(fps)
+    # 64 rows come from each: dealt out first, as few bytes of them make few partitions
+    keyed = _one_wildcard(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     buckets = stash(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "buckets")
     found = buckets.where("n = 2").where(_near("a", "b", max_bits)).select("a", "b")
     sizes = {r["kind"]: r["count"] for r in buckets.groupBy(F.when(F.col("n") > crowd, "crowd").when(F.col("n") > 2, "few").otherwise("two").alias("kind")).count().collect()}
+    # the keys of shared variants go to the variants while they are few; beyond that both are shuffled
+    sized = F.broadcast if sizes.get("few", 0) + sizes.get("crowd", 0) <= BROADCAST_KEYS else lambda df: df
     if sizes.get("few"):
-        few = keyed.join(buckets.where(f"n > 2 and n <= {crowd}").select("key"), "key")
+        few = keyed.join(sized(buckets.where(f"n > 2 and n <= {crowd}").select("key")), "key")
         left, right = few.withColumnRenamed("fp", "a"), few.withColumnRenamed("fp", "b")
         found = found.union(left.join(right, "key").where("a < b").where(_near("a", "b", max_bits)).select("a", "b"))
     if sizes.get("crowd"):
-        crowded = keyed.join(buckets.where(f"n > {crowd}").select("key"), "key").select("fp").distinct()
+        crowded = keyed.join(sized(buckets.where(f"n > {crowd}").select("key")), "key").select("fp").distinct()
         found = found.union(_crowded_links(stash(crowded, "crowded"), max_bits))
     return found
 
