@@ -36,9 +36,9 @@ def test_statistics_of_small_texts():
 
 def test_non_negative_risk_separates_a_mixture():
     rnd = np.random.default_rng(4)
-    positive = rnd.normal(2, 1, (1000, 2))
-    unlabelled = np.concatenate([rnd.normal(2, 1, (1400, 2)), rnd.normal(-2, 1, (600, 2))])
+    positive = rnd.normal(2, 1, (8000, 2))
+    unlabelled = np.concatenate([rnd.normal(2, 1, (11_200, 2)), rnd.normal(-2, 1, (4800, 2))])
     edges = quality.bin_edges(unlabelled)
     w = quality.fit(quality.binned(positive, edges), quality.binned(unlabelled, edges), 0.7, sum(len(e) + 1 for e in edges))
     z = w[quality.binned(unlabelled, edges)].sum(1) + w[-1]
-    assert ((z > 0) == (np.arange(2000) < 1400)).mean() > 0.97
+    assert ((z > 0) == (np.arange(16_000) < 11_200)).mean() > 0.97
