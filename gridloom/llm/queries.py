@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, quality, simhash, toxicity
+from . import decontaminate, outliers, packing, quality, simhash, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -23,6 +23,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.digest(outliers.judged(table(spark, sf_dir, "documents")))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.digest(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))))
@@ -39,6 +43,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
+    "op4_outliers": op4_outliers,
     "op8_toxicity": op8_toxicity,
     "op9_fm_index": op9_fm_index,
     "op10_simhash": op10_simhash,
