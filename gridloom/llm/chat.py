@@ -117,6 +117,10 @@ def turns_of_table(df: DataFrame, id_col: str) -> DataFrame:
     return rows.select("id", "mapping", "place", _canonical_role(F.col("role")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.col("role").isNotNull().alias("real") if found.name != "rows by turn" else F.lit(True).alias("real"))
 
 
+def _role_and_text(m: Mapping):
+    return lambda x: F.struct(x[m.role].alias("role"), x[m.text].alias("text"))
+
+
 def turns_of_json(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """(id, mapping, place, role, text) of records that are JSON texts, each by its own fingerprint."""
     rows = df.select(F.col(id_col).alias("id"), F.try_parse_json(json_col).alias("v"))
@@ -129,7 +133,7 @@ def turns_of_json(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
             continue
         if m.each:
             listed = F.try_variant_get("v", f"$.{m.each}", f"array<struct<`{m.role}`:string,`{m.text}`:string>>")
-            made = F.transform(listed, lambda x, m=m: F.struct(x[m.role].alias("role"), x[m.text].alias("text")))
+            made = F.transform(listed, _role_and_text(m))
         else:
             given = F.array(*[F.struct(F.lit(role).alias("role"), F.try_variant_get("v", f"$.{path}", "string").alias("text")) for role, path in m.turns])
             made = F.filter(given, lambda x: x["text"].isNotNull())
