@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, outliers, packing, quality, simhash, toxicity
+from . import chat, decontaminate, outliers, packing, quality, secrets, simhash, token_counts, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_counts(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), TOKENIZER))
 
@@ -28,6 +32,11 @@ def op4_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.digest(outliers.judged(table(spark, sf_dir, "documents")))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.train(secrets.labelled_findings(spark))
+    return secrets.digest(secrets.findings(table(spark, sf_dir, "documents"), model))
+
+
 #: One more conversation, whose texts are control strings of the template.
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -52,9 +61,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
     "op4_outliers": op4_outliers,
+    "op5_secrets": op5_secrets,
     "op6_chat": op6_chat,
     "op8_toxicity": op8_toxicity,
     "op9_fm_index": op9_fm_index,
