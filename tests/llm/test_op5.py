@@ -1,0 +1,58 @@
+import re
+
+import pytest
+
+from gridloom.llm import secrets
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.train(secrets.labelled_findings(spark))
+
+
+def test_forest_on_held_out_findings(spark):
+    rows = secrets.labelled_findings(spark, 6000)
+    model = secrets.train(rows.where("id < 4000"))
+    test = rows.where("id >= 4000").selectExpr("id as doc_id", "concat(before, candidate, after, ' the end') as text", "path", "candidate", "label")
+    found = secrets.findings(test, model, path_col="path").groupBy("doc_id").agg({"secret": "max"}).withColumnRenamed("max(secret)", "secret")
+    got = test.join(found, "doc_id").collect()
+    right = sum(r.secret == bool(r.label) for r in got) / len(got)
+    assert len(got) > 1200 and right > 0.9
+
+
+def test_documents_give_every_candidate_in_its_place(spark, sf, forest):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = secrets.findings(docs, forest).collect()
+    text = {r.doc_id: r.text for r in docs.collect()}
+    pattern = re.compile(secrets.CANDIDATE)
+    assert {(r.doc_id, r.start, r.length) for r in found} == {(i, m.start(), len(m[0])) for i, t in text.items() for m in pattern.finditer(t or "")}
+    assert all(text[r.doc_id][r.start : r.start + r.length] == r.candidate for r in found)
+    assert all(r.secret for r in found if re.search(r"(?i)token = \"$", text[r.doc_id][max(0, r.start - 12) : r.start]))
+    assert not any(r.secret for r in found if r.candidate.isdigit())
+
+
+def test_redaction_changes_secrets_alone(spark, sf, forest):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    drop = {}
+    for r in sorted(secrets.findings(docs, forest).where("secret").collect(), key=lambda r: -r.start):
+        drop.setdefault(r.doc_id, []).append(r)
+    out = secrets.redacted(docs, forest)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    for r in out.collect():
+        want = text[r.doc_id]
+        for f in drop.get(r.doc_id, []):
+            want = want[: f.start] + secrets.MASK + want[f.start + f.length :]
+        assert r.text == want
+
+
+def test_nulls_repeats_long_texts_and_clashing_columns(spark, forest):
+    key = "dfd1944d2e84f15e89902e34b677eb5a8a7d42ab"
+    rows = [(1, None), (2, ""), (None, f'token = "{key}"'), (3, f'token = "{key}" and token = "{key}"'), (3, f'token = "{key}" and token = "{key}"'), (4, "a" * 300_000 + "1"), (5, f'x token = "{key}" ' * 2000), (6, "𝄞é " + f"secret={key}")]
+    df = spark.createDataFrame([(i, t, 1, "k", None) for i, t in rows], "doc_id long, text string, row int, kept string, score double")
+    found = secrets.findings(df, forest).collect()
+    assert sum(r.doc_id == 3 for r in found) == 4 and sum(r.doc_id == 5 for r in found) == 2000
+    assert [r.start for r in found if r.doc_id == 6] == [10]
+    out = secrets.redacted(df, forest).collect()
+    assert len(out) == len(rows) and not any(key in (r.text or "") for r in out) and {r.kept for r in out} == {"k"}
+    assert secrets.findings(df.limit(0), forest).count() == secrets.redacted(df.limit(0), forest).count() == 0
