@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, outliers, packing, quality, secrets, simhash, token_counts, toxicity
+from . import chat, decontaminate, licenses, outliers, packing, quality, secrets, simhash, token_counts, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -47,6 +47,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.formatted(chat.turns_of_table(rows.union(more), "conv_id")))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.digest(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))))
@@ -67,6 +71,7 @@ QUERIES = {
     "op4_outliers": op4_outliers,
     "op5_secrets": op5_secrets,
     "op6_chat": op6_chat,
+    "op7_licenses": op7_licenses,
     "op8_toxicity": op8_toxicity,
     "op9_fm_index": op9_fm_index,
     "op10_simhash": op10_simhash,
