@@ -122,12 +122,13 @@ def found_in(index: Index, hashes: np.ndarray, band: int, coverage: float) -> li
         order = np.lexsort((where, diagonal))
         where, diagonal = where[order], diagonal[order]
         size = len(index.words[t])
-        breaks = np.flatnonzero(np.diff(diagonal) > band) + 1
+        narrow = min(band, size // 4)  # repeats of a short template stay apart
+        breaks = np.flatnonzero(np.diff(diagonal) > narrow) + 1
         seen: list[tuple[int, int, int, int]] = []
         for group in np.split(np.arange(len(where)), breaks):
             middle = int(np.median(diagonal[group]))
-            start = max(0, middle - band)
-            matched, first, last = align(index.words[t], hashes[start : middle + size + band], middle - start, band)
+            start = max(0, middle - narrow)
+            matched, first, last = align(index.words[t], hashes[start : middle + size + narrow], middle - start, narrow)
             if matched >= coverage * size and matched >= 0.6 * (last - first):
                 seen.append((t, matched, first + start, last + start))
         taken = np.zeros(0, np.int64)
