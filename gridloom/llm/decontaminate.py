@@ -148,13 +148,15 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, part_bytes: int = 32 << 20, text_col: str = "text") -> DataFrame:
-    """docs with the merged removal spans cut out of the texts; a text that is hit nowhere stays as it is."""
+def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, part_bytes: int = 32 << 20, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """docs with the merged removal spans cut out of the texts, and characters counted anew; a text that is hit nowhere stays as it is."""
     names = docs.columns
-    found = _searched(docs, benchmark, window, part_bytes, text_col, tuple(names))
+    found = _searched(docs, benchmark, window, part_bytes, text_col, tuple(c for c in names if c != text_col))
     raw = F.col("whole_text").cast("binary")
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["to_byte"]))
     starts = F.concat(F.transform("spans", lambda s: s["from_byte"]), F.array(F.octet_length("whole_text").cast("long")))
     kept = F.transform(F.arrays_zip(starts.alias("b"), ends.alias("a")), lambda s: F.call_function("substring", raw, (s["a"] + 1).cast("int"), (s["b"] - s["a"]).cast("int")))
     cut = F.when(F.size("spans") > 0, F.array_join(F.transform(kept, lambda b: b.cast("string")), "")).otherwise(F.col("whole_text"))
-    return found.select(*[cut.alias(c) if c == text_col else F.col(f"kept_{c}").alias(c) for c in names])
+    kinds = dict(docs.dtypes)
+    count = lambda c: F.when(F.size("spans") > 0, F.length(cut).cast(kinds[c])).otherwise(F.col(f"kept_{c}"))
+    return found.select(*[cut.alias(c) if c == text_col else count(c).alias(c) if c == count_col else F.col(f"kept_{c}").alias(c) for c in names])

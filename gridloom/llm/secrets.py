@@ -145,12 +145,15 @@ def findings(docs: DataFrame, model: RandomForestClassificationModel, cut: float
     return _scored(pieces, model).select("kept.doc_id", "start", F.length("token").cast("long").alias("length"), F.col("token").alias("candidate"), "score", (F.col("score") >= cut).alias("secret"))
 
 
-def redacted(docs: DataFrame, model: RandomForestClassificationModel, cut: float = 0.5, text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """docs with each confirmed secret replaced by MASK; texts without one stay as they are."""
+def redacted(docs: DataFrame, model: RandomForestClassificationModel, cut: float = 0.5, text_col: str = "text", path_col: str | None = None, count_col: str | None = None) -> DataFrame:
+    """docs with each confirmed secret replaced by MASK, and characters counted anew; texts without one stay as they are."""
     text = F.when((F.col("place") > 0) & (F.col("score") >= cut), F.lit(MASK)).otherwise(F.col("token"))
-    pieces = _scored(_split(docs, text_col, path_col), model).select("row", "kept", "place", F.concat(text, F.col("rest")).alias("piece"))
-    whole = pieces.groupBy("row").agg(F.first("kept", ignorenulls=True).alias("kept"), F.array_join(F.sort_array(F.collect_list(F.struct("place", "piece")))["piece"], "").alias("whole"))
-    again = whole.select(*[F.col("whole").alias(c) if c == text_col else F.col(f"kept.`{c}`").alias(c) for c in docs.columns])
+    scored = _scored(_split(docs, text_col, path_col), model)
+    pieces = scored.select("row", "kept", "place", F.concat(text, F.col("rest")).alias("piece"), ((F.col("place") > 0) & (F.col("score") >= cut)).alias("secret"))
+    whole = pieces.groupBy("row").agg(F.first("kept", ignorenulls=True).alias("kept"), F.max("secret").alias("secret"), F.array_join(F.sort_array(F.collect_list(F.struct("place", "piece")))["piece"], "").alias("whole"))
+    kinds = dict(docs.dtypes)
+    count = lambda c: F.when(F.col("secret"), F.length("whole").cast(kinds[c])).otherwise(F.col(f"kept.`{c}`"))
+    again = whole.select(*[F.col("whole").alias(c) if c == text_col else count(c).alias(c) if c == count_col else F.col(f"kept.`{c}`").alias(c) for c in docs.columns])
     return docs.where(~F.coalesce(F.col(text_col).rlike(CANDIDATE), F.lit(False))).unionByName(again)
 
 

@@ -110,16 +110,87 @@ def links(fps: DataFrame, max_bits: int = 2, crowd: int = 256) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, max_bits: int = 2, crowd: int = 256, **columns: str) -> DataFrame:
-    """One row per input row: doc_id, fp, component_id (the smallest doc_id its links reach)."""
-    prints = stash(fingerprints(docs, words_per_shingle, **columns), "fingerprints")
+def _components(prints: DataFrame, max_bits: int, crowd: int) -> DataFrame:
+    """(fp, component_id) of all fingerprints in prints, a written table with doc_id and fp."""
     classes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     roots = stash(components(links(classes.select("fp"), max_bits, crowd)), "roots")
     linked = classes.join(roots, classes.fp == roots.node).select("fp", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = linked.join(least, "root").select("fp", "component_id")
-    final = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(final, "fp").select("doc_id", "fp", "component_id")
+    return classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, max_bits: int = 2, crowd: int = 256, **columns: str) -> DataFrame:
+    """One row per input row: doc_id, fp, component_id (the smallest doc_id its links reach)."""
+    prints = stash(fingerprints(docs, words_per_shingle, **columns), "fingerprints")
+    return prints.join(_components(prints, max_bits, crowd), "fp").select("doc_id", "fp", "component_id")
+
+
+def _shares(pairs: DataFrame, words_per_shingle: int) -> DataFrame:
+    """(member, share): Jaccard similarity of the shingle sets of `text` and `other`."""
+
+    def of(text):
+        words = (text or "").encode().lower().split()
+        if not words:
+            return set()
+        return set(zip(*(words[i:] for i in range(words_per_shingle)))) if len(words) >= words_per_shingle else {tuple(words)}
+
+    def work(batches):
+        for batch in batches:
+            found = []
+            for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                one, two = of(a), of(b)
+                found.append(len(one & two) / len(one | two) if one or two else 1.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["member", "share"])
+
+    return pairs.select("member", "text", "other").mapInArrow(work, "member long, share double")
+
+
+def deduplicated(docs: DataFrame, words_per_shingle: int = 5, max_bits: int = 2, similarity: float = 0.8, crowd: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of near duplicates, that of the smallest id; all columns stay.
+
+    A row goes if the kept row of its component has the same words, or at
+    least the given share of shingles; one that is linked to its component but
+    less like the kept row stays. Rows are told apart by a hash of id and text:
+    of rows equal in both, one stays.
+    """
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    words = F.xxhash64(F.trim(F.regexp_replace(F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[ \\t\\n\\x0B\\f\\r]+", " ")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("member"), words.alias("words"))
+
+    def work(batches):
+        for part, texts in row_blocks(batches, "text"):
+            fps = pa.array([fingerprint(t, words_per_shingle) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), fps, part.column(2), part.column(3)], ["doc_id", "fp", "member", "words"])
+
+    prints = stash(rows.mapInArrow(work, "doc_id long, fp long, member long, words long"), "prints")
+    placed = stash(prints.join(_components(prints, max_bits, crowd), "fp").select("member", "doc_id", "words", "component_id"), "placed")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "member", "words")
+    heads = placed.groupBy("component_id").agg(F.min(order).alias("head"), F.count("*").alias("n")).where("n > 1").select("component_id", "head.member", "head.words")
+    heads = stash(heads.select("component_id", F.col("member").alias("head"), F.col("words").alias("head_words")), "heads")
+    grouped = placed.join(heads, placed.component_id.eqNullSafe(heads.component_id)).select("member", "words", "doc_id", "head", "head_words")
+    # of the same words within a component, the first stands for the rest
+    first = grouped.groupBy("head", "words").agg(F.min(order).alias("first"), F.max("head_words").alias("head_words"))
+    first = stash(first.select("head", "words", "head_words", F.col("first.member").alias("member")), "firsts")
+    unlike = stash(first.where("words <> head_words").select("member", "head"), "unlike")
+    few = F.broadcast if unlike.count() <= BROADCAST_KEYS else lambda df: df
+    texts = docs.select(key.alias("key"), F.col(text_col).alias("text"))
+    members = texts.join(few(unlike), F.col("key") == F.col("member")).select("member", "head", "text").dropDuplicates(["member"])
+    wanted = unlike.select("head").distinct()
+    others = texts.join(few(wanted), F.col("key") == F.col("head")).select("head", F.col("text").alias("other")).dropDuplicates(["head"])
+    shares = _shares(members.join(others, "head"), words_per_shingle)
+    apart = stash(shares.where(F.col("share") < similarity).select("member"), "apart")
+    stay = first.where("words = head_words").select(F.col("head").alias("member")).union(apart).distinct()
+    going = stash(grouped.select("member").distinct().join(stay, "member", "left_anti"), "going")
+    twice = stash(prints.groupBy("member").count().where("count > 1").select("member"), "twice")
+    drop = F.broadcast if going.count() <= BROADCAST_KEYS else lambda df: df
+    again = F.broadcast if twice.count() <= BROADCAST_KEYS else lambda df: df
+    keyed = docs.withColumn("__member", key)
+    kept = keyed.join(drop(going.withColumnRenamed("member", "__member")), "__member", "left_anti")
+    repeated = twice.withColumnRenamed("member", "__member")
+    single = kept.join(again(repeated), "__member", "left_anti")
+    one = kept.join(again(repeated), "__member", "left_semi").dropDuplicates(["__member"])
+    return single.unionByName(one).select(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -229,24 +229,36 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", divisor:
     return {"lexicon": lexicon, "weights": _fit_linear(hits, lexicon, target, weight), "label_model": model}
 
 
-def score(docs: DataFrame, model: dict, divisor: int = 3, rest: int = 1, cut: float = 0.7, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The kept columns (as kept_<name>), doc_id, held_out, score and predicted of every row."""
+def _with_score(rows: DataFrame, model: dict, text_col: str, keep_text: bool) -> DataFrame:
+    """rows with a last column of scores; the text column is emptied where it isn't wanted behind."""
     lexicon, weights = model["lexicon"], model["weights"]
-    rows = docs.select(*[F.col(c).alias(f"kept_{c}") for c in keep], F.col(id_col).cast("long").alias("doc_id"), held_out(id_col, divisor, rest).alias("held_out"), F.col(text_col).alias("text"), F.lit(0.0).alias("score"))
+    rows = rows.withColumn("score", F.lit(0.0))
     names = rows.columns
 
     def work(batches):
         w, b, v = weights[: lexicon.size], weights[lexicon.size : -1], weights[-1]
-        for part, texts in row_blocks(batches, "text"):
+        for part, texts in row_blocks(batches, text_col):
             words = Words(texts)
             text, entry, counts = lexicon.hits(words)
             z = np.bincount(text, weights=w[entry], minlength=len(texts)) + lexicon.dense(lexicon.totals(text, entry, counts, len(texts)), np.diff(words.first)) @ b + v
             columns = dict(zip(names, part.columns)) | {"score": pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))}
-            if not keep:
-                columns["text"] = pa.nulls(len(texts), pa.string())
+            if not keep_text:
+                columns[text_col] = pa.nulls(len(texts), part.schema.field(text_col).type)
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
-    return rows.mapInArrow(work, rows.schema).drop("text").withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    return rows.mapInArrow(work, rows.schema)
+
+
+def score(docs: DataFrame, model: dict, divisor: int = 3, rest: int = 1, cut: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, score and predicted of every row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col, divisor, rest).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    return _with_score(rows, model, "text", False).drop("text").withColumn("predicted", (F.col("score") >= cut).cast("int"))
+
+
+def without_toxic(docs: DataFrame, model: dict, cut: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score under the cut, with all their columns."""
+    rows = docs.select(*[F.col(c).alias(f"kept_{c}") for c in docs.columns])
+    return _with_score(rows, model, f"kept_{text_col}", True).where(F.col("score") < cut).select(*[F.col(f"kept_{c}").alias(c) for c in docs.columns])
 
 
 def digest(scored: DataFrame) -> DataFrame:
