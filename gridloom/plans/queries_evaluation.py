@@ -35,7 +35,7 @@ def dense_relabel(t: Tables):
     return labels.relabelled(t.pred.where("label % 2 = 0"), KEYS)
 
 
-@query("relabel_in_order", "SELECT scene, r, c, CASE label WHEN 7 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS label FROM gt WHERE label IN (7, 2, 5)")
+@query("relabel_in_order", "SELECT scene, r, c, CAST(CASE label WHEN 7 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS BIGINT) AS label FROM gt WHERE label IN (7, 2, 5)")
 def relabel_in_order(t: Tables):
     return labels.relabelled_as(t.gt, KEYS, [7, 2, 5])
 
@@ -155,13 +155,13 @@ def last_snapshot_asof(t: Tables):
     return matching.last_snapshot(t.orders.selectExpr("o_custkey", "o_orderkey as step"), reported, ["o_custkey"])
 
 
-@query("link_join", "SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'")
+@query("link_join", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'")
 def link_join(t: Tables):
     method = t.lineitem.selectExpr("l_orderkey", "l_linenumber")
     return matching.linked(method, t.orders.where("o_orderstatus = 'F'").selectExpr("o_orderkey as l_orderkey", "o_custkey"), ["l_orderkey"])[0]
 
 
-@query("link_missing", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+@query("link_missing", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def link_missing(t: Tables):
     method = t.lineitem.selectExpr("l_orderkey", "l_linenumber")
     return matching.linked(method, t.orders.where("o_orderstatus = 'F'").selectExpr("o_orderkey as l_orderkey", "o_custkey"), ["l_orderkey"])[1]
@@ -197,9 +197,9 @@ def room_of_points(t: Tables):
     return matching.room_of_points(_points(t).withColumn("frame", F.lit(1)), polygons, ["frame"]).select("point_id", "polygon_id")
 
 
-@query("rooms_of_objects", "WITH o AS (SELECT vec_id % 7 AS scene, vec_id // 25 AS r, vec_id % 25 AS c, vec_id % 23 AS object_id FROM embeddings), v AS (SELECT o.scene, object_id, label, count(*) AS n FROM o JOIN gt USING (scene, r, c) GROUP BY ALL), k AS (SELECT *, row_number() OVER w AS rank, lead(n) OVER w AS nxt FROM v WINDOW w AS (PARTITION BY scene, object_id ORDER BY n DESC, label)), s AS (SELECT scene, object_id, count(*) AS cells FROM o GROUP BY ALL) SELECT s.scene, s.object_id, label, round(coalesce(n / cells, 0), 6) AS share, coalesce((n - coalesce(nxt, 0)) / cells < 0.1, false) AS ambiguous FROM s LEFT JOIN k ON k.scene = s.scene AND k.object_id = s.object_id AND rank = 1")
+@query("rooms_of_objects", "WITH o AS (SELECT vec_id // 250 AS scene, vec_id // 25 AS r, vec_id % 25 AS c, vec_id % 23 AS object_id FROM embeddings), v AS (SELECT o.scene, object_id, label, count(*) AS n FROM o JOIN gt USING (scene, r, c) GROUP BY ALL), k AS (SELECT *, row_number() OVER w AS rank, lead(n) OVER w AS nxt FROM v WINDOW w AS (PARTITION BY scene, object_id ORDER BY n DESC, label)), s AS (SELECT scene, object_id, count(*) AS cells FROM o GROUP BY ALL) SELECT s.scene, s.object_id, label, round(coalesce(n / cells, 0), 6) AS share, coalesce((n - coalesce(nxt, 0)) / cells < 0.1, false) AS ambiguous FROM s LEFT JOIN k ON k.scene = s.scene AND k.object_id = s.object_id AND rank = 1")
 def rooms_of_objects(t: Tables):
-    objects = t.embeddings.selectExpr("vec_id % 7 as scene", "vec_id div 25 as r", "vec_id % 25 as c", "vec_id % 23 as object_id")
+    objects = t.embeddings.selectExpr("vec_id div 250 as scene", "vec_id div 25 as r", "vec_id % 25 as c", "vec_id % 23 as object_id")
     return matching.rooms_of_objects(objects, t.gt, KEYS)
 
 
@@ -245,9 +245,9 @@ def sample_cells(t: Tables):
     return frontier.sampled_cells(t.cells, ["frame"], 100)
 
 
-@query("room_context", "WITH m AS (SELECT DISTINCT vec_id % 7 AS scene, vec_id % 19 AS frontier_id, vec_id // 25 AS r, vec_id % 25 AS c FROM embeddings WHERE vec_id % 4 = 0), d AS (SELECT DISTINCT scene, frontier_id, r + dr AS r, c + dc AS c FROM m, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) o(dr, dc)), v AS (SELECT scene, frontier_id, label, count(*) AS n FROM d JOIN gt USING (scene, r, c) GROUP BY ALL), k AS (SELECT *, n / sum(n) OVER (PARTITION BY scene, frontier_id) AS ratio, row_number() OVER (PARTITION BY scene, frontier_id ORDER BY n DESC, label) AS rank FROM v) SELECT scene, frontier_id, label, round(ratio, 6) AS ratio FROM k WHERE rank = 1 AND ratio >= 0.2")
+@query("room_context", "WITH m AS (SELECT DISTINCT vec_id // 250 AS scene, vec_id % 19 AS frontier_id, vec_id // 25 AS r, vec_id % 25 AS c FROM embeddings WHERE vec_id % 4 = 0), d AS (SELECT DISTINCT scene, frontier_id, r + dr AS r, c + dc AS c FROM m, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) o(dr, dc)), v AS (SELECT scene, frontier_id, label, count(*) AS n FROM d JOIN gt USING (scene, r, c) GROUP BY ALL), k AS (SELECT *, n / sum(n) OVER (PARTITION BY scene, frontier_id) AS ratio, row_number() OVER (PARTITION BY scene, frontier_id ORDER BY n DESC, label) AS rank FROM v) SELECT scene, frontier_id, label, round(ratio, 6) AS ratio FROM k WHERE rank = 1 AND ratio >= 0.2")
 def room_context(t: Tables):
-    members = t.embeddings.where("vec_id % 4 = 0").selectExpr("vec_id % 7 as scene", "vec_id % 19 as frontier_id", "vec_id div 25 as r", "vec_id % 25 as c").distinct()
+    members = t.embeddings.where("vec_id % 4 = 0").selectExpr("vec_id div 250 as scene", "vec_id % 19 as frontier_id", "vec_id div 25 as r", "vec_id % 25 as c").distinct()
     return frontier.room_context(members, t.gt, KEYS, 1)
 
 

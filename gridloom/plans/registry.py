@@ -37,11 +37,11 @@ class Tables:
     @property
     def gt(self) -> DataFrame:
         """Embeddings as a raster 25 wide with two label maps."""
-        return self.embeddings.selectExpr("vec_id % 7 as scene", "vec_id div 25 as r", "vec_id % 25 as c", "label + 1 as label")
+        return self.embeddings.selectExpr("vec_id div 250 as scene", "vec_id div 25 as r", "vec_id % 25 as c", "label + 1 as label")
 
     @property
     def pred(self) -> DataFrame:
-        return self.embeddings.selectExpr("vec_id % 7 as scene", "vec_id div 25 as r", "vec_id % 25 as c", "cast(vec_id * 31 % 10 + if(vec_id % 3 = 0, 0, 1) as int) as label").where("label > 0")
+        return self.embeddings.selectExpr("vec_id div 250 as scene", "vec_id div 25 as r", "vec_id % 25 as c", "cast(vec_id * 31 % 10 + if(vec_id % 3 = 0, 0, 1) as int) as label").where("label > 0")
 
     @property
     def lines(self) -> DataFrame:
@@ -54,8 +54,8 @@ VIEWS = """
 e AS (SELECT *, event_id // 1000 AS frame, event_id // 500 AS step, user_id % 40 AS r, (event_id * 7919) % 64 AS c, event_id % 8 AS z, event_type IN ('error', 'purchase') AS occ FROM events),
 occupied AS (SELECT DISTINCT frame, r, c FROM e WHERE occ),
 cells AS (SELECT DISTINCT frame, r, c FROM e),
-gt AS (SELECT vec_id % 7 AS scene, vec_id // 25 AS r, vec_id % 25 AS c, label + 1 AS label FROM embeddings),
-pred AS (SELECT * FROM (SELECT vec_id % 7 AS scene, vec_id // 25 AS r, vec_id % 25 AS c, vec_id * 31 % 10 + CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 END AS label FROM embeddings) WHERE label > 0),
+gt AS (SELECT vec_id // 250 AS scene, vec_id // 25 AS r, vec_id % 25 AS c, CAST(label + 1 AS BIGINT) AS label FROM embeddings),
+pred AS (SELECT * FROM (SELECT vec_id // 250 AS scene, vec_id // 25 AS r, vec_id % 25 AS c, vec_id * 31 % 10 + CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 END AS label FROM embeddings) WHERE label > 0),
 lines AS (SELECT DISTINCT l_suppkey % 5 AS frame, l_orderkey % 97 AS r, l_partkey % 211 AS c FROM lineitem)
 """
 
