@@ -2,46 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..plans.storage import cut, release  # noqa: F401
 
 #: Bytes of text that one vectorised step in a worker holds at a time (a longer single text is one step).
 BLOCK_BYTES = 4 << 20
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one on a local master where none is set."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    context = spark.sparkContext
-    if not context.master.startswith("local[") and context.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _LOCAL.setdefault(context.applicationId, tempfile.mkdtemp(prefix="gridloom-"))
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """df as a written table in the shared folder: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stash_path = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Deletes a stashed table that no later plan reads."""
-    spark, path = df.sparkSession, df._stash_path
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return cut(df, name)
+
+
+def sized_broadcast(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A written table marked for broadcast if it has at most so many rows; larger ones are joined by shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def row_blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

@@ -36,6 +36,7 @@ SEED = 42
 SHINGLE_BLOCK = 100_000
 #: Keys that a broadcast may hold: 16 bytes each.
 BROADCAST_KEYS = 1_000_000
+HEAVY = 2000
 
 
 def fingerprint(text: bytes, words_per_shingle: int) -> int:
@@ -111,19 +112,29 @@ def links(fps: DataFrame, max_bits: int = 2, crowd: int = 256) -> DataFrame:
 
 
 def _components(prints: DataFrame, max_bits: int, crowd: int) -> DataFrame:
-    """(fp, component_id) of all fingerprints in prints, a written table with doc_id and fp."""
-    classes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    """prints, a written table with doc_id and fp, with the component_id of each row.
+
+    A fingerprint that more than one row in HEAVY has, of which there are
+    under HEAVY, meets its rows by broadcast, the others by shuffle, so no
+    task gets all copies of a text.
+    """
+    classes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
     roots = stash(components(links(classes.select("fp"), max_bits, crowd)), "roots")
     linked = classes.join(roots, classes.fp == roots.node).select("fp", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = linked.join(least, "root").select("fp", "component_id")
-    return classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    final = classes.join(linked, "fp", "left").select("fp", "copies", F.coalesce("component_id", "first").alias("component_id"))
+    final = stash(final, "components")
+    heavy = F.col("copies") * HEAVY > prints.count()
+    hot = F.broadcast(final.where(heavy).drop("copies"))
+    rest = prints.join(F.broadcast(final.where(heavy).select("fp")), "fp", "left_anti").join(final.where(~heavy).drop("copies"), "fp")
+    return prints.join(hot, "fp").unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, max_bits: int = 2, crowd: int = 256, **columns: str) -> DataFrame:
     """One row per input row: doc_id, fp, component_id (the smallest doc_id its links reach)."""
     prints = stash(fingerprints(docs, words_per_shingle, **columns), "fingerprints")
-    return prints.join(_components(prints, max_bits, crowd), "fp").select("doc_id", "fp", "component_id")
+    return _components(prints, max_bits, crowd).select("doc_id", "fp", "component_id")
 
 
 def _shares(pairs: DataFrame, words_per_shingle: int) -> DataFrame:
@@ -164,7 +175,7 @@ def deduplicated(docs: DataFrame, words_per_shingle: int = 5, max_bits: int = 2,
             yield pa.RecordBatch.from_arrays([part.column(0), fps, part.column(2), part.column(3)], ["doc_id", "fp", "member", "words"])
 
     prints = stash(rows.mapInArrow(work, "doc_id long, fp long, member long, words long"), "prints")
-    placed = stash(prints.join(_components(prints, max_bits, crowd), "fp").select("member", "doc_id", "words", "component_id"), "placed")
+    placed = stash(_components(prints, max_bits, crowd).select("member", "doc_id", "words", "component_id"), "placed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "member", "words")
     heads = placed.groupBy("component_id").agg(F.min(order).alias("head"), F.count("*").alias("n")).where("n > 1").select("component_id", "head.member", "head.words")
     heads = stash(heads.select("component_id", F.col("member").alias("head"), F.col("words").alias("head_words")), "heads")
