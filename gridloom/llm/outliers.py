@@ -11,8 +11,8 @@ distance exceeds `cut`.
 
 Distribution: a step is one aggregate by group with partial sums, and a join
 of the group table back to the statistics; medians come from mergeable
-quantile sketches. Group tables are written, so that Spark knows their size
-and sends them to all tasks only while they are small. Groups under `least_group` texts share one estimate of all
+quantile sketches. Group tables are written and counted; they are sent to all
+tasks while they have at most 100,000 rows, and joined by shuffle beyond. Groups under `least_group` texts share one estimate of all
 such groups of their language, and languages without enough of them one of
 all. No group is gathered in one place.
 
@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import sized_broadcast, stash
 
 SPACE = " \\t\\n\\x0B\\f\\r"
 SYMBOLS = "#*$%&|<>"
@@ -137,13 +137,13 @@ def _distance() -> Column:
 
 def _measured(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """The statistics with `d2`, each by its group's estimate."""
-    return rows.select("row", "part", *DIMENSIONS).join(estimate, "part").select("row", "part", *DIMENSIONS, _distance().alias("d2"))
+    return rows.select("row", "part", *DIMENSIONS).join(sized_broadcast(estimate), "part").select("row", "part", *DIMENSIONS, _distance().alias("d2"))
 
 
 def _near_half(rows: DataFrame) -> DataFrame:
     """`inside`: the half of each group with the least d2, by a quantile sketch."""
     half = stash(rows.groupBy("part").agg(F.percentile_approx("d2", 0.5, 10_000).alias("limit")), "half")
-    return rows.join(half, "part").select("row", "part", *DIMENSIONS, (F.col("d2") <= F.col("limit")).alias("inside"), F.lit(1.0).alias("scale"))
+    return rows.join(sized_broadcast(half), "part").select("row", "part", *DIMENSIONS, (F.col("d2") <= F.col("limit")).alias("inside"), F.lit(1.0).alias("scale"))
 
 
 def judged(docs: DataFrame, cut: float = CHI_LAST, least_group: int = 200, **columns: str) -> DataFrame:
@@ -156,17 +156,17 @@ def judged(docs: DataFrame, cut: float = CHI_LAST, least_group: int = 200, **col
     langs = groups.where(F.col("count") < least_group).groupBy("l").agg(F.sum("count").alias("rest"))
     part = F.when(F.col("count") >= least_group, F.concat_ws("\t", "l", "s")).when(F.col("rest") >= least_group, F.concat(F.lit("lang "), F.col("l"))).otherwise(F.lit("all"))
     parts = stash(groups.join(langs, "l", "left").select("l", "s", part.alias("part")), "parts")
-    rows = stash(passed.join(parts, ["l", "s"]).select("row", "part", *DIMENSIONS), "vectors")
+    rows = stash(passed.join(sized_broadcast(parts), ["l", "s"]).select("row", "part", *DIMENSIONS), "vectors")
     centre = stash(rows.groupBy("part").agg(*[F.percentile_approx(a, 0.5, 10_000).alias(f"c_{a}") for a in DIMENSIONS]), "centre")
-    off = rows.join(centre, "part").select("row", "part", *DIMENSIONS, *[F.abs(F.col(a) - F.col(f"c_{a}")).alias(f"o_{a}") for a in DIMENSIONS])
+    off = rows.join(sized_broadcast(centre), "part").select("row", "part", *DIMENSIONS, *[F.abs(F.col(a) - F.col(f"c_{a}")).alias(f"o_{a}") for a in DIMENSIONS])
     spread = stash(off.groupBy("part").agg(*[F.greatest(1.4826 * F.percentile_approx(f"o_{a}", 0.5, 10_000), F.lit(FLOORS[a])).alias(f"r_{a}") for a in DIMENSIONS]), "spread")
     start = reduce(lambda x, y: x + y, [F.pow(F.col(f"o_{a}") / F.col(f"r_{a}"), 2) for a in DIMENSIONS])
-    now = off.join(spread, "part").select("row", "part", *DIMENSIONS, start.alias("d2"))
+    now = off.join(sized_broadcast(spread), "part").select("row", "part", *DIMENSIONS, start.alias("d2"))
     for step in range(STEPS):
         estimate = stash(_estimate(_near_half(now)), f"estimate_{step}")
         now = _measured(rows, estimate)
     medians = stash(now.groupBy("part").agg(F.greatest(F.percentile_approx("d2", 0.5, 10_000) / CHI_MEDIAN, F.lit(1.0)).alias("scale")), "medians")
-    near = now.join(medians, "part").withColumn("inside", F.col("d2") <= F.col("scale") * CHI_975)
+    near = now.join(sized_broadcast(medians), "part").withColumn("inside", F.col("d2") <= F.col("scale") * CHI_975)
     final = _measured(rows, stash(_estimate(near.withColumn("scale", F.lit(1.0))), "estimate")).select("row", "d2")
     kept = ~F.col("base_failed") & (F.col("d2") <= cut)
     return counts.join(final, "row", "left").withColumn("kept", F.coalesce(kept, F.lit(False))).drop("row")
