@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_blocks, stash
+from .common import mix, row_blocks, stash
 from .components import components
 
 SEED = 42
@@ -37,6 +37,9 @@ SHINGLE_BLOCK = 100_000
 #: Keys that a broadcast may hold: 16 bytes each.
 BROADCAST_KEYS = 1_000_000
 HEAVY = 2000
+#: 64-bit parts of a wide fingerprint.
+WORDS = 3
+PARTS = [f"f{i}" for i in range(WORDS)]
 
 
 def fingerprint(text: bytes, words_per_shingle: int) -> int:
@@ -137,8 +140,25 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, max_bits: int =
     return _components(prints, max_bits, crowd).select("doc_id", "fp", "component_id")
 
 
+def wide_fingerprint(text: bytes, words_per_shingle: int) -> tuple[int, ...]:
+    """WORDS signed 64-bit parts of a SimHash; each part after the first scrambles the hashes of the one before."""
+    words = text.lower().split()
+    if not words:
+        return (0,) * WORDS
+    k, total = words_per_shingle, max(1, len(words) - words_per_shingle + 1)
+    ones = np.zeros((WORDS, 64), np.int64)
+    for at in range(0, total, SHINGLE_BLOCK):
+        block = words[at : min(at + SHINGLE_BLOCK, total) + k - 1]
+        shingles = map(b" ".join, zip(*(block[i:] for i in range(k)))) if len(words) >= k else [b" ".join(words)]
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+        for part in range(WORDS):
+            ones[part] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+            hashes = mix(hashes)
+    return tuple(int(x) for x in np.packbits(2 * ones > total, axis=1, bitorder="little").view("<i8")[:, 0])
+
+
 def _shares(pairs: DataFrame, words_per_shingle: int) -> DataFrame:
-    """(member, share): Jaccard similarity of the shingle sets of `text` and `other`."""
+    """(a, b, share): Jaccard similarity of the shingle sets of `text` and `other`."""
 
     def of(text):
         words = (text or "").encode().lower().split()
@@ -147,52 +167,90 @@ def _shares(pairs: DataFrame, words_per_shingle: int) -> DataFrame:
         return set(zip(*(words[i:] for i in range(words_per_shingle)))) if len(words) >= words_per_shingle else {tuple(words)}
 
     def work(batches):
+        last, kept = None, set()
         for batch in batches:
             found = []
-            for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                one, two = of(a), of(b)
-                found.append(len(one & two) / len(one | two) if one or two else 1.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["member", "share"])
+            for one, text, other in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                if one != last:  # pairs come sorted by their first text
+                    last, kept = one, of(text)
+                two = of(other)
+                found.append(len(kept & two) / len(kept | two) if kept or two else 1.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "share"])
 
-    return pairs.select("member", "text", "other").mapInArrow(work, "member long, share double")
+    return pairs.select("a", "b", "text", "other").sortWithinPartitions("a").mapInArrow(work, "a long, b long, share double")
 
 
-def deduplicated(docs: DataFrame, words_per_shingle: int = 5, max_bits: int = 2, similarity: float = 0.8, crowd: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def candidates(classes: DataFrame, most_bits: int = 34, crowd: int = 64) -> DataFrame:
+    """Pairs (a, b) of rows (member, f0, f1, f2) whose 192-bit fingerprints differ in at most most_bits bits.
+
+    Six segments of 32 bits, 192 one-wildcard variants a row: all pairs of at
+    most 11 differing bits meet, of the others those with a segment of at most
+    one. A pair of equal segments is taken at the first deleted bit only. Of a
+    variant with more than `crowd` rows each row meets the smallest and the
+    largest row: rows that crowd under 31 equal bits are alike, and links to
+    these two join them.
+    """
+    keys = []
+    for segment in range(2 * WORDS):
+        part = F.shiftrightunsigned(f"f{segment // 2}", 32 * (segment % 2)).bitwiseAND(F.lit((1 << 32) - 1))
+        for bit in range(32):
+            key = part.bitwiseAND(F.lit(((1 << 32) - 1) ^ (1 << bit))) + F.lit((segment * 32 + bit) << 32)
+            keys.append(F.struct(key.alias("key"), F.shiftrightunsigned(part, bit).bitwiseAND(F.lit(1)).cast("boolean").alias("on")))
+    dealt = classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = dealt.select(F.explode(F.array(*keys)).alias("k"), "member").select("k.key", "k.on", "member")
+    ends = [f(F.struct("member", "on")).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    buckets = stash(keyed.groupBy("key").agg(F.count("*").alias("n"), *ends).where("n > 1"), "wide_buckets")
+    first = F.pmod(F.shiftright("key", 32), F.lit(32)) == 0
+    found = buckets.where("n = 2").where((F.col("lo.on") != F.col("hi.on")) | first).select(F.col("lo.member").alias("a"), F.col("hi.member").alias("b"))
+    many = buckets.where("n > 2").select("key", "n", F.col("lo.member").alias("lo"), F.col("hi.member").alias("hi"))
+    sized = F.broadcast if many.count() <= BROADCAST_KEYS else lambda df: df
+    rows = stash(keyed.join(sized(many), "key"), "wide_rows")
+    crowded = rows.where(F.col("n") > crowd)
+    star = crowded.where("member <> lo").select(F.col("lo").alias("a"), F.col("member").alias("b")).union(crowded.where("member <> hi").select(F.col("member").alias("a"), F.col("hi").alias("b")))
+    left = rows.where(F.col("n") <= crowd).select("key", F.col("member").alias("a"), F.col("on").alias("on_a"))
+    right = rows.where(F.col("n") <= crowd).select("key", F.col("member").alias("b"), F.col("on").alias("on_b"))
+    few = left.join(right, "key").where((F.col("a") < F.col("b")) & ((F.col("on_a") != F.col("on_b")) | first)).select("a", "b")
+    pairs = stash(found.union(star).union(few).distinct(), "wide_pairs")
+    one = lambda n: classes.select(F.col("member").alias(n), *[F.col(f"f{i}").alias(f"f{i}{n}") for i in range(WORDS)])
+    apart = sum((F.bit_count(F.col(f"f{i}a").bitwiseXOR(F.col(f"f{i}b"))) for i in range(WORDS)), F.lit(0))
+    return pairs.join(one("a"), "a").join(one("b"), "b").where(apart <= most_bits).select("a", "b")
+
+
+def deduplicated(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, fingerprint_words: int = 2, most_bits: int = 34, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of near duplicates, that of the smallest id; all columns stay.
 
-    A row goes if the kept row of its component has the same words, or at
-    least the given share of shingles; one that is linked to its component but
-    less like the kept row stays. Rows are told apart by a hash of id and text:
-    of rows equal in both, one stays.
+    Texts of the same words are one class. Classes link if their 192-bit
+    fingerprints are candidates and they share `similarity` of their shingles
+    of words_per_shingle words, which is worked out on the whole texts; the
+    components of these links are the groups. Null ids come after others; of
+    rows equal in id and text one stays.
     """
     key = F.xxhash64(F.col(id_col), F.col(text_col))
-    words = F.xxhash64(F.trim(F.regexp_replace(F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[ \\t\\n\\x0B\\f\\r]+", " ")))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("member"), words.alias("words"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("member"))
 
     def work(batches):
         for part, texts in row_blocks(batches, "text"):
-            fps = pa.array([fingerprint(t, words_per_shingle) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), fps, part.column(2), part.column(3)], ["doc_id", "fp", "member", "words"])
-
-    prints = stash(rows.mapInArrow(work, "doc_id long, fp long, member long, words long"), "prints")
-    placed = stash(_components(prints, max_bits, crowd).select("member", "doc_id", "words", "component_id"), "placed")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "member", "words")
-    heads = placed.groupBy("component_id").agg(F.min(order).alias("head"), F.count("*").alias("n")).where("n > 1").select("component_id", "head.member", "head.words")
-    heads = stash(heads.select("component_id", F.col("member").alias("head"), F.col("words").alias("head_words")), "heads")
-    grouped = placed.join(heads, placed.component_id.eqNullSafe(heads.component_id)).select("member", "words", "doc_id", "head", "head_words")
-    # of the same words within a component, the first stands for the rest
-    first = grouped.groupBy("head", "words").agg(F.min(order).alias("first"), F.max("head_words").alias("head_words"))
-    first = stash(first.select("head", "words", "head_words", F.col("first.member").alias("member")), "firsts")
-    unlike = stash(first.where("words <> head_words").select("member", "head"), "unlike")
-    few = F.broadcast if unlike.count() <= BROADCAST_KEYS else lambda df: df
-    texts = docs.select(key.alias("key"), F.col(text_col).alias("text"))
-    members = texts.join(few(unlike), F.col("key") == F.col("member")).select("member", "head", "text").dropDuplicates(["member"])
-    wanted = unlike.select("head").distinct()
-    others = texts.join(few(wanted), F.col("key") == F.col("head")).select("head", F.col("text").alias("other")).dropDuplicates(["head"])
-    shares = _shares(members.join(others, "head"), words_per_shingle)
-    apart = stash(shares.where(F.col("share") < similarity).select("member"), "apart")
-    stay = first.where("words = head_words").select(F.col("head").alias("member")).union(apart).distinct()
-    going = stash(grouped.select("member").distinct().join(stay, "member", "left_anti"), "going")
+            parts = [wide_fingerprint(t, fingerprint_words) for t in texts]
+            words = [xxhash.xxh3_64_intdigest(b" ".join(t.lower().split())) for t in texts]
+            columns = [pa.array(np.array(words, np.uint64).view(np.int64)), *(pa.array([h[i] for h in parts], pa.int64()) for i in range(WORDS))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *columns], ["doc_id", "member", "words", *PARTS])
+
+    prints = stash(rows.mapInArrow(work, "doc_id long, member long, words long, " + ", ".join(f"{p} long" for p in PARTS)), "prints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "member")
+    classes = prints.groupBy("words", *PARTS).agg(F.min(order).alias("first"))
+    classes = stash(classes.select("words", *PARTS, "first.doc_id", "first.member"), "classes")
+    near = stash(candidates(classes.select("member", *PARTS), most_bits), "near")
+    ends = stash(near.select(F.col("a").alias("end")).union(near.select("b")).distinct(), "ends")
+    few = F.broadcast if ends.count() <= BROADCAST_KEYS else lambda df: df
+    texts = stash(docs.select(key.alias("end"), F.col(text_col).cast("string").alias("text")).join(few(ends), "end", "left_semi").dropDuplicates(["end"]), "texts")
+    pairs = near.join(texts.withColumnsRenamed({"end": "a"}), "a").join(texts.withColumnsRenamed({"end": "b", "text": "other"}), "b")
+    edges = _shares(pairs, words_per_shingle).where(F.col("share") >= similarity).select("a", "b")
+    roots = stash(components(edges), "roots")
+    linked = classes.join(roots, classes.member == roots.node).select("member", "root", "doc_id")
+    heads = linked.groupBy("root").agg(F.min(order).alias("head")).select(F.col("head.member").alias("member"))
+    going = linked.select("member").join(heads, "member", "left_anti")
+    copies = prints.select("member").distinct().join(classes.select("member"), "member", "left_anti")
+    going = stash(going.union(copies).distinct(), "going")
     twice = stash(prints.groupBy("member").count().where("count > 1").select("member"), "twice")
     drop = F.broadcast if going.count() <= BROADCAST_KEYS else lambda df: df
     again = F.broadcast if twice.count() <= BROADCAST_KEYS else lambda df: df

@@ -1,4 +1,6 @@
+import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -8,7 +10,6 @@ from gridloom.llm import queries, secrets, simhash, toxicity
 
 from .test_op2 import check as check_packing
 from .test_op9 import WORD, words
-from .test_op10 import brute as brute_simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -42,33 +43,62 @@ def test_toxic_documents_go(spark, sf, stages):
     assert {r.doc_id for r in after.collect()} == {r.doc_id for r in scored.where("predicted = 0").collect()}
 
 
-def deduplicated_brute(rows):
-    """Ids that stay: of each component the smallest, and what is less like it, once for the same words."""
-    component = brute_simhash(rows, 5, 2)
-    text = dict(rows)
-    low = lambda i: tuple((text[i] or "").encode().lower().split())
-    grams = lambda w: {w[k : k + 5] for k in range(max(1, len(w) - 4))} if w else set()
-    stay = set()
-    for head in {c for _, c in component.values()}:
-        stay.add(head)
-        seen = {low(head)}
-        for i in sorted(i for i, (_, c) in component.items() if c == head):
-            w = low(i)
-            if w in seen:
-                continue
-            seen.add(w)
-            a, b = grams(w), grams(low(head))
-            if len(a & b) < 0.8 * len(a | b):
-                stay.add(i)
-    return stay
+def links_brute(rows, similarity=0.8):
+    """(words of each id, links of different texts by shared five-word shingles)."""
+    low = {i: tuple((t or "").encode().lower().split()) for i, t in rows}
+    grams = {i: {w[k : k + 5] for k in range(max(1, len(w) - 4))} if w else set() for i, w in low.items()}
+    met, links = {}, set()
+    for i in low:
+        for g in grams[i]:
+            met.setdefault(g, []).append(i)
+    for i in low:
+        shared = Counter(j for g in grams[i] for j in met[g] if j < i)
+        links |= {(j, i) for j, n in shared.items() if low[i] != low[j] and n >= similarity * len(grams[i] | grams[j])}
+    return low, links
+
+
+def smallest(ids, links):
+    root = {i: i for i in ids}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            if root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                changed = True
+    return {i for i in ids if root[i] == i}
 
 
 def test_one_of_each_group_stays(stages):
     before, after = stages["simhash"]
-    rows = [(r.doc_id, r.text) for r in before.collect()]
+    text = {r.doc_id: r.text for r in before.collect()}
+    low, links = links_brute(list(text.items()))
+    same = {}
+    for i in sorted(text):
+        same.setdefault(low[i], i)
+    copies = {(same[low[i]], i) for i in text}
     kept = {r.doc_id: r.text for r in after.collect()}
-    assert set(kept) == deduplicated_brute(rows) and len(kept) < len(rows)
-    assert all(dict(rows)[i] == t for i, t in kept.items())
+    assert all(text[i] == t for i, t in kept.items()) and len(kept) < len(text)
+    # never less than one of each group, never two of the same words
+    assert set(kept) >= smallest(text, copies | links)
+    assert set(kept) <= smallest(text, copies)
+
+
+def test_most_near_copies_go_and_others_stay(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghijklm") for _ in range(rnd.randrange(2, 7)))
+    rows, groups = [], {}
+    for g in range(60):
+        original = [word() for _ in range(300)]
+        for c in range(4):
+            w = list(original)
+            for _ in range(c):
+                w[rnd.randrange(300)] = word()
+            groups[10 * g + c] = g
+            rows.append((10 * g + c, " ".join(w)))
+    kept = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {groups[i] for i in kept} == set(range(60)) and len(kept) <= 66
+    assert {10 * g for g in range(60)} <= kept
 
 
 def test_copies_nulls_and_repeated_rows(spark):
