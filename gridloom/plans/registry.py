@@ -81,7 +81,7 @@ def query(name: str, sql: str | None = None, recursive: bool = False):
 
 
 def _load() -> None:
-    from . import queries_evaluation, queries_raster, queries_stateful, queries_voxels  # noqa: F401
+    from . import queries_evaluation, queries_navigation, queries_raster, queries_stateful, queries_voxels  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

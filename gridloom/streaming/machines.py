@@ -222,3 +222,79 @@ OUTPUTS = {
     "commitment": "frontier_id long, reason string",
     "room_ids": "label long, room_id long",
 }
+
+
+def box_iou(a: list[float], b: list[float]) -> float:
+    side = [max(0.0, min(a[i + 3], b[i + 3]) - max(a[i], b[i])) for i in range(3)]
+    volume = lambda v: (v[3] - v[0]) * (v[4] - v[1]) * (v[5] - v[2])
+    inter = side[0] * side[1] * side[2]
+    union = volume(a) + volume(b) - inter
+    return inter / union if union > 0 else 0.0
+
+
+def fused_instances(state: dict, step: int, rows: list[Row], radius: float = 0.6, least_iou: float = 0.1) -> tuple[dict, list[Row]]:
+    """Instances over frames: a detection of a category joins the instance with most box overlap, else the nearest within the radius; boxes grow to cover both."""
+    known = state.get("instances", [])
+    for row in sorted(rows, key=lambda r: r["detection_id"]):
+        box = [float(v) for v in row["box"]]
+        centre = [(box[i] + box[i + 3]) / 2 for i in range(3)]
+        best = None
+        for n in known:
+            if n["category"] != row["category"]:
+                continue
+            overlap, d = box_iou(n["box"], box), math.dist(n["centre"], centre)
+            if overlap >= least_iou or d < radius:
+                rank = (-overlap, d, n["id"])
+                best = min(best, (rank, n), key=lambda x: x[0]) if best else (rank, n)
+        if best:
+            n = best[1]
+            k = n["count"]
+            n["centre"] = [(k * a + b) / (k + 1) for a, b in zip(n["centre"], centre)]
+            n["box"] = [min(a, b) for a, b in zip(n["box"][:3], box[:3])] + [max(a, b) for a, b in zip(n["box"][3:], box[3:])]
+            n["count"], n["last"] = k + 1, step
+        else:
+            known = [*known, {"id": len(known) + 1, "category": row["category"], "box": box, "centre": centre, "count": 1, "last": step}]
+    return {"instances": known}, [{"instance_id": n["id"], "category": n["category"], "count": n["count"], "x": round(n["centre"][0], 6), "y": round(n["centre"][1], 6)} for n in known]
+
+
+def topology_map(state: dict, step: int, rows: list[Row], least_iou: float = 0.3) -> tuple[dict, list[Row]]:
+    """Rooms as nodes and doors as edges: the room around the robot joins the node it overlaps most, else opens one; its doors become edges to where they lead, or to nowhere yet."""
+    nodes, edges, last = state.get("nodes", []), state.get("edges", []), state.get("current")
+    row = min(rows, key=lambda r: r["room_id"])
+    cells = _cells(row)
+    best = max(nodes, key=lambda n: (iou(n["cells"], cells), -n["id"]), default=None)
+    if best and iou(best["cells"], cells) >= least_iou:
+        best["cells"] = sorted({tuple(p) for p in best["cells"]} | {tuple(p) for p in cells})
+        best["last"] = step
+    else:
+        best = {"id": len(nodes) + 1, "cells": cells, "last": step}
+        nodes = [*nodes, best]
+    for door in sorted(int(d) for d in (row["doors"] if row.get("doors") is not None else [])):
+        edge = next((e for e in edges if e["door"] == door), None)
+        if edge is None:
+            edges = [*edges, {"door": door, "a": best["id"], "b": None}]
+        elif edge["b"] is None and edge["a"] != best["id"]:
+            edge["b"] = best["id"]
+    unexplored = [e["door"] for e in edges if e["b"] is None]
+    out = {"node_id": best["id"], "nodes": len(nodes), "edges": sum(e["b"] is not None for e in edges), "next_door": min(unexplored, default=-1), "moved": last is not None and last != best["id"]}
+    return {"nodes": nodes, "edges": edges, "current": best["id"]}, [out]
+
+
+def execution(state: dict, step: int, rows: list[Row], arrive: float = 0.5, stall_steps: int = 10, progress: float = 0.05) -> tuple[dict, list[Row]]:
+    """Following a committed target: arrived within the distance, stalled without progress for so many steps, else moving."""
+    row = rows[0]
+    target, best, since = state.get("target"), state.get("best", math.inf), state.get("since", step)
+    if target != row["target_id"]:
+        target, best, since = int(row["target_id"]), math.inf, step
+    d = float(row["distance"])
+    if d < best - progress:
+        best, since = d, step
+    status = "arrived" if d <= arrive else "stalled" if step - since >= stall_steps else "moving"
+    return {"target": target, "best": best if math.isfinite(best) else 1e18, "since": since}, [{"target_id": target, "status": status, "best": round(best, 6)}]
+
+
+OUTPUTS |= {
+    "fused_instances": "instance_id long, category string, count long, x double, y double",
+    "topology_map": "node_id long, nodes long, edges long, next_door long, moved boolean",
+    "execution": "target_id long, status string, best double",
+}
