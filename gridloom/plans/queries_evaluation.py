@@ -191,10 +191,10 @@ def epsilon_groups(t: Tables):
     return matching.epsilon_groups(points, 6.0, ["room"]).select("room", "point_id", "group_id", "centre_x", "members")
 
 
-@query("room_of_points")
+@query("room_of_points", f"WITH p AS ({POINTS}) SELECT id AS point_id, CASE WHEN x < 100 AND y < 100 THEN CAST(floor(y / 20) * 5 + floor(x / 20) AS BIGINT) ELSE -1 END AS polygon_id FROM p")
 def room_of_points(t: Tables):
     polygons = t.nation.selectExpr("1 as frame", "n_nationkey as polygon_id", "cast(n_nationkey % 5 * 20 as double) as x", "cast(n_nationkey div 5 * 20 as double) as y").selectExpr("frame", "polygon_id", "array(named_struct('x', x, 'y', y), named_struct('x', x + 20, 'y', y), named_struct('x', x + 20, 'y', y + 20), named_struct('x', x, 'y', y + 20)) as points")
-    return matching.room_of_points(_points(t).withColumn("frame", F.lit(1)), polygons, ["frame"]).select("point_id", "polygon_id")
+    return matching.room_of_points(_points(t).withColumn("frame", F.lit(1)), polygons, ["frame"]).select("point_id", "polygon_id").fillna(-1, ["polygon_id"])
 
 
 @query("rooms_of_objects", "WITH o AS (SELECT vec_id // 250 AS scene, vec_id // 25 AS r, vec_id % 25 AS c, vec_id % 23 AS object_id FROM embeddings), v AS (SELECT o.scene, object_id, label, count(*) AS n FROM o JOIN gt USING (scene, r, c) GROUP BY ALL), k AS (SELECT *, row_number() OVER w AS rank, lead(n) OVER w AS nxt FROM v WINDOW w AS (PARTITION BY scene, object_id ORDER BY n DESC, label)), s AS (SELECT scene, object_id, count(*) AS cells FROM o GROUP BY ALL) SELECT s.scene, s.object_id, label, round(coalesce(n / cells, 0), 6) AS share, coalesce((n - coalesce(nxt, 0)) / cells < 0.1, false) AS ambiguous FROM s LEFT JOIN k ON k.scene = s.scene AND k.object_id = s.object_id AND rank = 1")
@@ -224,7 +224,10 @@ def frontier_top_terms(t: Tables):
     return matching.frontier_scores(f, s, ["frame"]).select("frame", "frontier_id", F.explode("contributors").alias("k")).select("frame", "frontier_id", "k.rank", "k.subgraph_id", "k.term")
 
 
-@query("door_pairs")
+LINE = "n AS (SELECT *, greatest(abs(r1 - r0), abs(c1 - c0)) AS n FROM p), k AS (SELECT *, CAST(round_even(r0 + (r1 - r0) * i / CAST(greatest(n, 1) AS DOUBLE), 0) AS BIGINT) AS r, CAST(round_even(c0 + (c1 - c0) * i / CAST(greatest(n, 1) AS DOUBLE), 0) AS BIGINT) AS c FROM (SELECT *, unnest(range(n + 1)) AS i FROM n))"
+
+
+@query("door_pairs", f"WITH p AS (SELECT x.frame, x.r * 64 + x.c AS a, y.r * 64 + y.c AS b, x.r AS r0, x.c AS c0, y.r AS r1, y.c AS c1, sqrt(pow(x.r - y.r, 2) + pow(x.c - y.c, 2)) AS d FROM occupied x JOIN occupied y ON x.frame = y.frame AND x.r * 64 + x.c < y.r * 64 + y.c WHERE sqrt(pow(x.r - y.r, 2) + pow(x.c - y.c, 2)) BETWEEN 2 AND 5), {LINE} SELECT k.frame, a, b, round(d, 6) AS width, round(count(cells.r) / count(*), 6) AS ratio FROM k LEFT JOIN cells ON cells.frame = k.frame AND cells.r = k.r AND cells.c = k.c GROUP BY k.frame, a, b, d HAVING count(cells.r) / count(*) >= 0.45")
 def door_pairs(t: Tables):
     points = t.occupied.selectExpr("frame", "r * 64 + c as point_id", "cast(c as double) as x", "cast(r as double) as y")
     return matching.door_pairs(points, t.cells, ["frame"], 2.0, 5.0)
@@ -288,7 +291,7 @@ def goal_credibility(t: Tables):
     return graph.credibility(k, s, ["frame"]).select("frame", "candidate_id", "credibility")
 
 
-@query("unobstructed_pairs")
+@query("unobstructed_pairs", f"WITH o AS (SELECT frame, event_id AS id, r, c FROM e WHERE event_id % 20 = 0), p AS (SELECT x.frame, x.id AS a, y.id AS b, x.r AS r0, x.c AS c0, y.r AS r1, y.c AS c1, sqrt(pow(x.r - y.r, 2) + pow(x.c - y.c, 2)) AS d FROM o x JOIN o y ON x.frame = y.frame AND x.id < y.id WHERE sqrt(pow(x.r - y.r, 2) + pow(x.c - y.c, 2)) <= 6), {LINE} SELECT frame, CAST(1 AS BIGINT) AS room_id, a, b, round(d, 6) AS distance FROM p WHERE NOT EXISTS (SELECT 1 FROM k JOIN occupied q ON q.frame = k.frame AND q.r = k.r AND q.c = k.c WHERE k.frame = p.frame AND k.a = p.a AND k.b = p.b)")
 def unobstructed_pairs(t: Tables):
     objects = t.e.where("event_id % 20 = 0").selectExpr("frame", "1 as room_id", "event_id as point_id", "cast(c as double) as x", "cast(r as double) as y")
     return graph.unobstructed_pairs(objects, t.occupied, ["frame"], 6.0)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import labels, navigation, raster
 from ..streaming import machines
+from .queries_evaluation import LINE
 from .registry import Tables, query
 
 H, W = 40, 64
@@ -68,7 +69,7 @@ def waypoint_command(t: Tables):
     return t.events.select("event_id", move["vx"].alias("vx"), move["wz"].alias("wz"))
 
 
-@query("swept_clearance")
+@query("swept_clearance", f"WITH p AS (SELECT frame, event_id AS move_id, r AS r0, c AS c0, (r + 5) % 40 AS r1, (c + 9) % 64 AS c1 FROM e WHERE event_id % 50 = 0), {LINE} SELECT frame, move_id, NOT EXISTS (SELECT 1 FROM k JOIN occupied q ON q.frame = k.frame AND abs(q.r - k.r) + abs(q.c - k.c) <= 1 WHERE k.frame = p.frame AND k.move_id = p.move_id) AS clear FROM p")
 def swept_clearance(t: Tables):
     moves = t.e.where("event_id % 50 = 0").selectExpr("frame", "event_id as move_id", "r as r0", "c as c0", "(r + 5) % 40 as r1", "(c + 9) % 64 as c1")
     return navigation.swept_clear(moves, t.occupied, ["frame"], 1)
@@ -120,7 +121,7 @@ def parallel_rejects(t: Tables):
     return navigation.without_parallel(lines, ["frame"], 2, 6, 0.2, 0.5)
 
 
-@query("compound_cuts")
+@query("compound_cuts", "WITH o AS (SELECT frame, event_id AS id, r, c, value FROM e WHERE event_id % 40 = 0), p AS (SELECT x.frame, x.id AS a, y.id AS b, round(x.value + y.value, 6) AS score, CASE WHEN x.r = y.r AND x.c = y.c THEN 1 ELSE 2 END AS n FROM o x JOIN o y ON x.frame = y.frame AND x.id < y.id WHERE sqrt(pow(x.r - y.r, 2) + pow(x.c - y.c, 2)) <= 6) SELECT frame, row_number() OVER (PARTITION BY frame ORDER BY a, b) AS candidate_id, a, b, score, CAST(n AS BIGINT) AS n FROM p")
 def compound_cuts(t: Tables):
     one = t.e.where("event_id % 40 = 0").selectExpr("frame", "event_id as candidate_id", "cast(c as double) as x", "cast(r as double) as y", "value as score", "array(named_struct('r', r, 'c', c)) as cells")
     return navigation.compound_cuts(one, ["frame"], 6.0).select("frame", "candidate_id", "a", "b", "score", F.size("cells").alias("n"))

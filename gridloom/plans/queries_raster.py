@@ -86,7 +86,7 @@ def fill_holes(t: Tables):
     return raster.filled_holes(t.cells, t.cells.select("frame").distinct(), ["frame"], H, W, 4)
 
 
-@query("flood_from_seeds")
+@query("flood_from_seeds", _components("abs(a.r - b.r) + abs(a.c - b.c) = 1").replace("SELECT frame, x // 64 AS r, x % 64 AS c, dense_rank() OVER (PARTITION BY frame ORDER BY root) AS label FROM root", "SELECT frame, x // 64 AS r, x % 64 AS c FROM root WHERE (frame, root) IN (SELECT q.frame, q.root FROM root q JOIN e ON e.frame = q.frame AND e.r * 64 + e.c = q.x WHERE event_id % 1000 = 0)"), recursive=True)
 def flood_from_seeds(t: Tables):
     return raster.flooded(t.cells, t.e.where("event_id % 1000 = 0").select("frame", "r", "c"), ["frame"], W)
 
@@ -122,7 +122,10 @@ def line_rasterise(t: Tables):
     return rows.select("event_id", F.posexplode(cells).alias("i", "p")).select("event_id", "i", "p.r", "p.c")
 
 
-@query("bresenham")
+@query("bresenham", """WITH p AS (SELECT event_id, r AS r0, c AS c0, (r * 7 + 3) % 40 AS r1, (c * 5 + 11) % 64 AS c1 FROM e WHERE event_id % 20 = 0),
+w(event_id, i, r, c, err, r1, c1, dr, dc, sr, sc) AS (SELECT event_id, CAST(0 AS BIGINT), r0, c0, abs(c1 - c0) - abs(r1 - r0), r1, c1, abs(r1 - r0), abs(c1 - c0), CASE WHEN r0 < r1 THEN 1 ELSE -1 END, CASE WHEN c0 < c1 THEN 1 ELSE -1 END FROM p
+UNION ALL SELECT event_id, i + 1, r + CASE WHEN 2 * err <= dc THEN sr ELSE 0 END, c + CASE WHEN 2 * err >= -dr THEN sc ELSE 0 END, err - CASE WHEN 2 * err >= -dr THEN dr ELSE 0 END + CASE WHEN 2 * err <= dc THEN dc ELSE 0 END, r1, c1, dr, dc, sr, sc FROM w WHERE i < greatest(dr, dc))
+SELECT event_id, i, r, c FROM w""", recursive=True)
 def bresenham(t: Tables):
     rows = t.e.where("event_id % 20 = 0").selectExpr("event_id", "r as r0", "c as c0", "(r * 7 + 3) % 40 as r1", "(c * 5 + 11) % 64 as c1")
     return rows.select("event_id", F.posexplode(raster.bresenham_cells(*[F.col(x) for x in ("r0", "c0", "r1", "c1")])).alias("i", "p")).select("event_id", "i", "p.r", "p.c")
@@ -213,7 +216,10 @@ def side_ratios(t: Tables):
     return doors.side_ratios(lines, ["frame"], t.cells, t.occupied, 1)
 
 
-@query("partition_cut")
+@query("partition_cut", """WITH l AS (SELECT k.frame, k.r AS candidate_id, k.c AS pos, k.r, k.c, o.r IS NOT NULL AS wall FROM cells k LEFT JOIN occupied o USING (frame, r, c)),
+m AS (SELECT *, min(pos) FILTER (wall) OVER p AS a, max(pos) FILTER (wall) OVER p AS b FROM l WINDOW p AS (PARTITION BY frame, candidate_id)),
+k AS (SELECT *, count(*) OVER (PARTITION BY frame, candidate_id) AS n FROM m WHERE pos > a AND pos < b AND NOT wall)
+SELECT frame, candidate_id, pos, r, c FROM k WHERE n >= 2""")
 def partition_cut(t: Tables):
     line = t.cells.selectExpr("frame", "r as candidate_id", "c as pos", "r", "c")
     return doors.partition_cut(line, ["frame"], t.occupied, t.cells, 2, 2)

@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from ..streaming import machines, windows
+from .queries_voxels import FOLD
 from .registry import Tables, query
 
 
@@ -47,7 +48,7 @@ def object_memory(t: Tables):
     return machines.in_batch(rows, ["scene"], "step", partial(machines.object_memory, radius=5.0), machines.OUTPUTS["object_memory"])
 
 
-@query("terminal_registry")
+@query("terminal_registry", "WITH q AS (SELECT user_id % 10 AS scene, step, event_id, r, c, event_id % 7 = 0 AS mark FROM e) SELECT scene, step, event_id AS query_id, EXISTS (SELECT 1 FROM q m WHERE m.mark AND m.scene = q.scene AND m.step < q.step AND m.step + 3 >= q.step AND sqrt(pow(m.r - q.r, 2) + pow(m.c - q.c, 2)) <= 1) AS suppressed FROM q WHERE NOT mark")
 def terminal_registry(t: Tables):
     rows = t.e.selectExpr("user_id % 10 as scene", "step", "event_id as query_id", "if(event_id % 7 = 0, 'mark', 'query') as kind", "cast(r as double) as r", "cast(c as double) as c", "cast(null as double) as target_r", "cast(null as double) as target_c", "3 as suppress_steps")
     return machines.in_batch(rows, ["scene"], "step", machines.terminal_registry, machines.OUTPUTS["terminal_registry"])
@@ -65,7 +66,7 @@ def room_ids(t: Tables):
     return machines.in_batch(rows, ["scene"], "step", machines.room_ids, machines.OUTPUTS["room_ids"])
 
 
-@query("incremental_fold", None)
+@query("incremental_fold", FOLD.replace("r % 10 AS r, c % 10 AS c", "r, c") + " SELECT * FROM state", recursive=True)
 def incremental_fold(t: Tables):
     events = t.e.groupBy("step", "z", "r", "c").agg(F.count(F.when(~F.col("occ"), 1)).alias("free"), F.count(F.when(F.col("occ"), 1)).alias("occupied"))
     first = windows.folded_on(None, events.where("step < 10"), ["z", "r", "c"])
