@@ -46,7 +46,7 @@ def encoder(path: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    full = Tokenizer.from_file(path)
+    full = lru_cache(maxsize=1)(lambda: Tokenizer.from_file(path))  # few texts need it
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
     special = [t["content"] for t in model.get("added_tokens", [])]
@@ -59,7 +59,7 @@ def encoder(path: str):
 
     def encode(text: str) -> np.ndarray:
         if any(s in text for s in special):
-            return np.array(full.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            return np.array(full().encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return np.array(fast.encode_ordinary(text), dtype=np.uint32)
 
     return encode

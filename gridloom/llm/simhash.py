@@ -37,6 +37,8 @@ SHINGLE_BLOCK = 100_000
 #: Keys that a broadcast may hold: 16 bytes each.
 BROADCAST_KEYS = 1_000_000
 HEAVY = 2000
+#: Pairs of texts that a worker turns into Python objects at a time.
+PAIR_ROWS = 100
 #: 64-bit parts of a wide fingerprint.
 WORDS = 3
 PARTS = [f"f{i}" for i in range(WORDS)]
@@ -164,17 +166,20 @@ def _shares(pairs: DataFrame, words_per_shingle: int) -> DataFrame:
         words = (text or "").encode().lower().split()
         if not words:
             return set()
-        return set(zip(*(words[i:] for i in range(words_per_shingle)))) if len(words) >= words_per_shingle else {tuple(words)}
+        grams = zip(*(words[i:] for i in range(words_per_shingle))) if len(words) >= words_per_shingle else [tuple(words)]
+        return {xxhash.xxh3_64_intdigest(b" ".join(g)) for g in grams}
 
     def work(batches):
         last, kept = None, set()
         for batch in batches:
             found = []
-            for one, text, other in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
-                if one != last:  # pairs come sorted by their first text
-                    last, kept = one, of(text)
-                two = of(other)
-                found.append(len(kept & two) / len(kept | two) if kept or two else 1.0)
+            for at in range(0, batch.num_rows, PAIR_ROWS):
+                part = batch.slice(at, PAIR_ROWS)
+                for one, text, other in zip(*(part.column(i).to_pylist() for i in (0, 2, 3))):
+                    if one != last:  # pairs come sorted by their first text
+                        last, kept = one, of(text)
+                    two = of(other)
+                    found.append(len(kept & two) / len(kept | two) if kept or two else 1.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "share"])
 
     return pairs.select("a", "b", "text", "other").sortWithinPartitions("a").mapInArrow(work, "a long, b long, share double")
@@ -190,14 +195,16 @@ def candidates(classes: DataFrame, most_bits: int = 34, crowd: int = 64) -> Data
     largest row: rows that crowd under 31 equal bits are alike, and links to
     these two join them.
     """
-    keys = []
-    for segment in range(2 * WORDS):
-        part = F.shiftrightunsigned(f"f{segment // 2}", 32 * (segment % 2)).bitwiseAND(F.lit((1 << 32) - 1))
-        for bit in range(32):
-            key = part.bitwiseAND(F.lit(((1 << 32) - 1) ^ (1 << bit))) + F.lit((segment * 32 + bit) << 32)
-            keys.append(F.struct(key.alias("key"), F.shiftrightunsigned(part, bit).bitwiseAND(F.lit(1)).cast("boolean").alias("on")))
+    low = F.lit((1 << 32) - 1)
+
+    def variants(segment: int):
+        part = F.shiftrightunsigned(f"f{segment // 2}", 32 * (segment % 2)).bitwiseAND(low)
+        bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+        name = lambda i: F.shiftleft(i.cast("long") + segment * 32, 32)
+        return F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.struct((part.bitwiseAND(F.bitwise_not(bit(i))) + name(i)).alias("key"), (part.bitwiseAND(bit(i)) != 0).alias("on")))
+
     dealt = classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keyed = dealt.select(F.explode(F.array(*keys)).alias("k"), "member").select("k.key", "k.on", "member")
+    keyed = dealt.select(F.explode(F.flatten(F.array(*[variants(s) for s in range(2 * WORDS)]))).alias("k"), "member").select("k.key", "k.on", "member")
     ends = [f(F.struct("member", "on")).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))]
     buckets = stash(keyed.groupBy("key").agg(F.count("*").alias("n"), *ends).where("n > 1"), "wide_buckets")
     first = F.pmod(F.shiftright("key", 32), F.lit(32)) == 0
