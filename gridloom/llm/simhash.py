@@ -185,7 +185,7 @@ def _shares(pairs: DataFrame, words_per_shingle: int) -> DataFrame:
     return pairs.select("a", "b", "text", "other").sortWithinPartitions("a").mapInArrow(work, "a long, b long, share double")
 
 
-def candidates(classes: DataFrame, most_bits: int = 34, crowd: int = 64) -> DataFrame:
+def candidates(classes: DataFrame, most_bits: int = 34, crowd: int = 32) -> DataFrame:
     """Pairs (a, b) of rows (member, f0, f1, f2) whose 192-bit fingerprints differ in at most most_bits bits.
 
     Six segments of 32 bits, 192 one-wildcard variants a row: all pairs of at
@@ -206,8 +206,11 @@ def candidates(classes: DataFrame, most_bits: int = 34, crowd: int = 64) -> Data
     dealt = classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = dealt.select(F.explode(F.flatten(F.array(*[variants(s) for s in range(2 * WORDS)]))).alias("k"), "member").select("k.key", "k.on", "member")
     ends = [f(F.struct("member", "on")).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))]
-    buckets = stash(keyed.groupBy("key").agg(F.count("*").alias("n"), *ends).where("n > 1"), "wide_buckets")
     first = F.pmod(F.shiftright("key", 32), F.lit(32)) == 0
+    # rows that agree at the deleted bit, too, are taken where the first bit is deleted
+    new = first | (F.col("on0") != F.col("on1"))
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("on").alias("on0"), F.max("on").alias("on1"), *ends).where("n > 1").where(new)
+    buckets = stash(buckets.drop("on0", "on1"), "wide_buckets")
     found = buckets.where("n = 2").where((F.col("lo.on") != F.col("hi.on")) | first).select(F.col("lo.member").alias("a"), F.col("hi.member").alias("b"))
     many = buckets.where("n > 2").select("key", "n", F.col("lo.member").alias("lo"), F.col("hi.member").alias("hi"))
     sized = F.broadcast if many.count() <= BROADCAST_KEYS else lambda df: df
