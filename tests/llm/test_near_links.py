@@ -40,3 +40,17 @@ def test_large_groups_of_copies_unlike_each_other(spark):
     got, want, links = compared(spark, rows)
     assert sum(a < 1000 and b == 999 for a, b in links) == 300 and sum(b < 999 for _, b in links) < 300 * 299 / 4
     assert got == want and sum(i < 1000 for i in got) == 1
+
+
+def test_pairs_at_the_similarity_are_all_found(spark):
+    rnd = random.Random(8)
+    rows = []
+    for g in range(150):
+        base = [word(rnd) for _ in range(rnd.choice((12, 60, 300, 1000)))]
+        n = len(base)
+        rows.append((10 * g, " ".join(base)))
+        for c, share in enumerate((0.015, 0.02, 0.024), 1):
+            rows.append((10 * g + c, " ".join(edited(rnd, base, rnd.sample(range(n), max(1, int(share * n)))))))
+        rows.append((10 * g + 4, " ".join(base + [word(rnd) for _ in range(n // 4 - 1)])))
+    got, want, links = compared(spark, rows)
+    assert len(links) > 300 and got == want
