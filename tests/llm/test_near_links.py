@@ -54,3 +54,13 @@ def test_pairs_at_the_similarity_are_all_found(spark):
         rows.append((10 * g + 4, " ".join(base + [word(rnd) for _ in range(n // 4 - 1)])))
     got, want, links = compared(spark, rows)
     assert len(links) > 300 and got == want
+
+
+def test_a_line_repeated_more_often_is_a_near_copy(spark):
+    rnd = random.Random(9)
+    rows = []
+    for g in range(30):
+        lines = [" ".join(word(rnd) for _ in range(12)) for _ in range(25)]
+        rows += [(10 * g + c, "\n".join(lines + lines[3:4] * times)) for c, times in enumerate((1, 3, 4, 9, 40))]
+    got, want, _ = compared(spark, rows)
+    assert got == want == [10 * g for g in range(30)]
