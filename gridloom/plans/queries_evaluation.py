@@ -299,7 +299,7 @@ def unobstructed_pairs(t: Tables):
 
 @query("door_conflicts")
 def door_conflicts(t: Tables):
-    lines = t.lines.groupBy("frame", "r").agg(F.collect_list(F.struct(F.col("c").alias("r"), F.lit(0).alias("c"))).alias("cells")).selectExpr("frame", "cast(r as long) as candidate_id", "cast(size(cells) as double) as score", "slice(cells, 1, 3) as cells")
+    lines = t.lines.groupBy("frame", "r").agg(F.collect_list(F.struct(F.col("c").alias("r"), F.lit(0).alias("c"))).alias("cells")).selectExpr("frame", "cast(r as long) as candidate_id", "cast(size(cells) as double) as score", "cells")
     return doors.without_conflicts(lines, ["frame"])
 
 

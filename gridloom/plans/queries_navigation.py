@@ -94,7 +94,7 @@ def longest_instance(t: Tables):
 
 @query("ray_evidence_2d")
 def ray_evidence_2d(t: Tables):
-    rays = t.e.where("event_id % 10 = 0").selectExpr("frame", "20 as r0", "32 as c0", "cast(r as int) as r1", "cast(c as int) as c1", "occ as is_hit")
+    rays = t.e.selectExpr("frame", "20 as r0", "32 as c0", "cast(r as int) as r1", "cast(c as int) as c1", "occ as is_hit")
     return navigation.ray_evidence(rays, ["frame"], H, W)
 
 
@@ -136,13 +136,13 @@ def invalid_snapshots(t: Tables):
 
 @query("fused_instances")
 def fused_instances(t: Tables):
-    rows = t.e.where("event_id % 5 = 0").selectExpr("user_id % 10 as scene", "step", "event_id as detection_id", "event_type as category", "array(r * 1.0D, c * 1.0D, 0.0D, r + 3.0D, c + 3.0D, 2.0D) as box")
+    rows = t.e.selectExpr("user_id % 10 as scene", "step", "event_id as detection_id", "event_type as category", "array(r * 1.0D, c * 1.0D, 0.0D, r + 3.0D, c + 3.0D, 2.0D) as box")
     return machines.in_batch(rows, ["scene"], "step", machines.fused_instances, machines.OUTPUTS["fused_instances"])
 
 
 @query("topology_map")
 def topology_map(t: Tables):
-    rows = t.e.selectExpr("user_id % 5 as scene", "step", "r", "c").groupBy("scene", "step").agg(F.min("c").alias("room_id"), F.slice(F.sort_array(F.collect_set(F.struct((F.col("r") % 4).alias("r"), (F.col("c") % 12).alias("c")))), 1, 20).alias("cells"), F.slice(F.sort_array(F.collect_set(F.col("c") % 9)), 1, 2).alias("doors"))
+    rows = t.e.selectExpr("user_id % 5 as scene", "step", "r", "c").groupBy("scene", "step").agg(F.min("c").alias("room_id"), F.sort_array(F.collect_set(F.struct((F.col("r") % 4).alias("r"), (F.col("c") % 12).alias("c")))).alias("cells"), F.sort_array(F.collect_set(F.col("c") % 9)).alias("doors"))
     return machines.in_batch(rows, ["scene"], "step", machines.topology_map, machines.OUTPUTS["topology_map"])
 
 

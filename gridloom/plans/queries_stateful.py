@@ -29,7 +29,7 @@ def session(t: Tables):
 def _candidates(t: Tables):
     """Lines of cells that come back step after step, by scene."""
     cells = "transform(sequence(c % 8, c % 8 + 5), x -> named_struct('r', cast(r % 4 * 5 as int), 'c', cast(x as int))) as cells"
-    return t.e.where("event_id % 10 = 0").selectExpr("user_id % 5 as scene", "step", "event_id as candidate_id", cells, "occ or z > 2 as accepted", "z > 1 as verified", "2.7D + if(step > 10, 0.1D, 0.0D) as ceiling_m", "transform(sequence(0, 7), x -> named_struct('r', cast(r % 4 * 5 as int), 'c', cast(x as int))) as observed")
+    return t.e.selectExpr("user_id % 5 as scene", "step", "event_id as candidate_id", cells, "occ or z > 2 as accepted", "z > 1 as verified", "2.7D + if(step > 10, 0.1D, 0.0D) as ceiling_m", "transform(sequence(0, 7), x -> named_struct('r', cast(r % 4 * 5 as int), 'c', cast(x as int))) as observed")
 
 
 @query("separator_memory")
@@ -44,7 +44,7 @@ def door_memory(t: Tables):
 
 @query("object_memory")
 def object_memory(t: Tables):
-    rows = t.e.where("event_id % 5 = 0").selectExpr("user_id % 10 as scene", "step", "event_id as detection_id", "cast(r as double) as x", "cast(c as double) as y", "value / 500 as confidence", "event_type as category")
+    rows = t.e.selectExpr("user_id % 10 as scene", "step", "event_id as detection_id", "cast(r as double) as x", "cast(c as double) as y", "value / 500 as confidence", "event_type as category")
     return machines.in_batch(rows, ["scene"], "step", partial(machines.object_memory, radius=5.0), machines.OUTPUTS["object_memory"])
 
 
