@@ -107,20 +107,23 @@ def pack(
 
     targets: proportion by source; by default the sources' own shares, with
     which all queues run dry together. Sources it doesn't name share the rest
-    by their totals. Beyond max_queues sources, sources share queues by a
-    hash, so the vector of totals that each task holds stays bounded.
+    by their totals. Beyond max_queues sources, those that targets doesn't
+    name share queues by a hash, so the vector of totals that each task holds
+    stays bounded.
     """
     coded = stash(tokenized(docs, tokenizer_path, end_id, **columns), "ids")
     by_shard = stash(coded.groupBy("shard", "queue").agg(F.sum("n_ids").alias("n")), "shards")
     sources = by_shard.groupBy("queue").agg(F.sum("n").alias("n"))
-    merged = sources.count() > max_queues
-    lane = F.concat(F.lit("#"), F.pmod(F.xxhash64("queue"), F.lit(max_queues)).cast("string")) if merged else F.col("queue")
+    wanted = {"" if k is None else f"={k}": v for k, v in (targets or {}).items()}
+    lane = F.col("queue")
+    if sources.count() > max_queues:
+        shared = F.concat(F.lit("#"), F.pmod(F.xxhash64("queue"), F.lit(max_queues)).cast("string"))
+        lane = F.when(lane.isin(list(wanted)), lane).otherwise(shared) if wanted else shared
     totals = dict(by_shard.groupBy(lane.alias("lane")).agg(F.sum("n")).collect())
     lanes = sorted(totals)
     n = np.array([totals[x] for x in lanes], dtype=np.int64)
     share = n / max(1, n.sum())
-    if targets and not merged:
-        wanted = {"" if k is None else f"={k}": v for k, v in targets.items()}
+    if wanted:
         named = np.array([x in wanted for x in lanes], dtype=bool)
         left = max(0.0, 1 - sum(wanted.values())) * share / max(share[~named].sum(), 1e-12)
         share = np.where(named, [wanted.get(x, 0) for x in lanes], left)
