@@ -64,3 +64,9 @@ def test_a_line_repeated_more_often_is_a_near_copy(spark):
         rows += [(10 * g + c, "\n".join(lines + lines[3:4] * times)) for c, times in enumerate((1, 3, 4, 9, 40))]
     got, want, _ = compared(spark, rows)
     assert got == want == [10 * g for g in range(30)]
+
+
+def test_documents_against_links_of_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got, want, links = compared(spark, [(r.doc_id, r.text) for r in docs.collect()])
+    assert links and got == want
