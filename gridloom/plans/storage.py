@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: Tables written inside each open scratch block.
+_OPEN: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local[") and context.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _LOCAL.setdefault(context.applicationId, tempfile.mkdtemp(prefix="gridloom-"))
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="gridloom-")
+    return _LOCAL[context.applicationId]
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -26,6 +32,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 
@@ -34,3 +42,28 @@ def release(df: DataFrame) -> None:
     spark = df.sparkSession
     target = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside are deleted at the end, but for those given to the function that it yields.
+
+    Kept tables belong to the block around this one, if there is any.
+    """
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _OPEN.append(made)
+    try:
+        yield keep
+    finally:
+        _OPEN.pop()
+        for df in made:
+            if not any(df is k for k in kept):
+                release(df)
+        if _OPEN:
+            _OPEN[-1].extend(kept)
