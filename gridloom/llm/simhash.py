@@ -21,7 +21,6 @@ with equal ids each appear. An empty table gives no rows.
 
 from __future__ import annotations
 
-import math
 from itertools import combinations, repeat
 
 import numpy as np
@@ -38,13 +37,6 @@ SHINGLE_BLOCK = 100_000
 #: Keys that a broadcast may hold: 16 bytes each.
 BROADCAST_KEYS = 1_000_000
 HEAVY = 2000
-#: Pairs of texts that a worker turns into Python objects at a time.
-PAIR_ROWS = 100
-#: Shingles among which a worker counts those of several texts; from so many texts on a shingle is often; so many of these order the rest.
-COUNT_BLOCK = 1_000_000
-OFTEN = 16
-MOST_OFTEN = 200_000
-NAMES = ["doc_id", "member", "w0", "w1", "often", "times"]
 
 
 def fingerprint(text: bytes, words_per_shingle: int) -> int:
@@ -145,194 +137,5 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, max_bits: int =
     return _components(prints, max_bits, crowd).select("doc_id", "fp", "component_id")
 
 
-def shingles(text: bytes, words_per_shingle: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles; a text of fewer words is one shingle, one of none has none."""
-    words, k, found = text.lower().split(), words_per_shingle, []
-    total = max(1, len(words) - k + 1) if words else 0
-    for at in range(0, total, SHINGLE_BLOCK):
-        block = words[at : min(at + SHINGLE_BLOCK, total) + k - 1]
-        grams = map(b" ".join, zip(*(block[i:] for i in range(k)))) if len(words) >= k else [b" ".join(words)]
-        found.append(np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64))
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-
-
-def _shares(pairs: DataFrame, words_per_shingle: int) -> DataFrame:
-    """(a, b, share): Jaccard similarity of the shingle sets of `text` and `other`."""
-
-    def of(text):
-        return shingles((text or "").encode(), words_per_shingle)
-
-    def work(batches):
-        last, kept = None, of("")
-        for batch in batches:
-            found = []
-            for at in range(0, batch.num_rows, PAIR_ROWS):
-                part = batch.slice(at, PAIR_ROWS)
-                for one, text, other in zip(*(part.column(i).to_pylist() for i in (0, 2, 3))):
-                    if one != last:  # pairs come sorted by their first text
-                        last, kept = one, of(text)
-                    two = of(other)
-                    both = len(np.intersect1d(kept, two, assume_unique=True))
-                    found.append(both / (len(kept) + len(two) - both) if len(kept) or len(two) else 1.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "share"])
-
-    return pairs.select("a", "b", "text", "other").sortWithinPartitions("a").mapInArrow(work, "a long, b long, share double")
-
-
-def _longs(values: np.ndarray) -> pa.Array:
-    return pa.array(values.astype(np.uint64).view(np.int64), pa.int64())
-
-
-def _prints(rows: DataFrame, words_per_shingle: int) -> DataFrame:
-    """(doc_id, member, w0, w1) per row, w0 and w1 a hash of the words; beside them rows without w0, of shingles in several texts of a block."""
-
-    def often(block):
-        found, times = np.unique(np.concatenate(block), return_counts=True)
-        found, times = found[times > 1], times[times > 1]
-        one = [pa.nulls(1, pa.int64())] * 4
-        return pa.RecordBatch.from_arrays([*one, pa.array([_longs(found)], pa.list_(pa.int64())), pa.array([times.tolist()], pa.list_(pa.int64()))], NAMES)
-
-    def work(batches):
-        block, held = [], 0
-        for part, texts in row_blocks(batches, "text"):
-            words = [xxhash.xxh3_128_intdigest(b" ".join(t.lower().split())) for t in texts]
-            none = pa.nulls(len(texts), pa.list_(pa.int64()))
-            halves = [_longs(np.array([w >> by & (1 << 64) - 1 for w in words], np.uint64)) for by in (0, 64)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *halves, none, none], NAMES)
-            for t in texts:
-                block.append(shingles(t, words_per_shingle))
-                held += len(block[-1])
-                if held > COUNT_BLOCK:
-                    yield often(block)
-                    block, held = [], 0
-        if block:
-            yield often(block)
-
-    return rows.mapInArrow(work, "doc_id long, member long, w0 long, w1 long, often array<long>, times array<long>")
-
-
-def _prefixes(rows: DataFrame, words_per_shingle: int, similarity: float, often: np.ndarray, times: np.ndarray) -> DataFrame:
-    """(member, size, usual, keys) per row of (text, member).
-
-    keys are the first of a text's `size` shingles in one order of all
-    shingles, those of `often` last, and so many that two texts of the given
-    similarity have a key in common. usual is high where shingles are in many
-    texts.
-    """
-
-    def work(batches):
-        for part, texts in row_blocks(batches, "text"):
-            sizes, usual, keys = [], [], []
-            for t in texts:
-                found = shingles(t, words_per_shingle)
-                load = np.zeros(len(found), np.int64)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, found), len(often) - 1)
-                    load = np.where(often[at] == found, times[at], 0)
-                least = math.ceil(similarity * len(found) - 1e-6)
-                keys.append(found[np.lexsort((found, load))[: len(found) - least + 1]])
-                sizes.append(len(found))
-                usual.append(float(np.log2(1.0 + load).mean()) if len(found) else 0.0)
-            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), _longs(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(sizes, pa.int64()), pa.array(usual, pa.float64()), lists], ["member", "size", "usual", "keys"])
-
-    return rows.select("text", "member").mapInArrow(work, "member long, size long, usual double, keys array<long>")
-
-
-def _paired(rows: DataFrame, similarity: float, apart: bool = False) -> DataFrame:
-    """(a, b), a < b, once per key of rows, of members whose sizes allow the similarity; of different groups only if `apart`."""
-    one = lambda n: rows.select("key", F.col("member").alias(n), F.col("size").alias(f"size_{n}"), *([F.col("group").alias(f"group_{n}")] if apart else []))
-    met = one("a").join(one("b"), "key").where("a < b").where(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-6)
-    return (met.where("group_a <> group_b") if apart else met).select("a", "b", "size_a", "size_b")
-
-
-def near_links(prefixes: DataFrame, linked, similarity: float, crowd: int = 8) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs that `linked` confirms.
-
-    prefixes is a written table of _prefixes, with each member once; linked
-    gives those of pairs (a, b) that link. Members of a key are paired. Of a
-    key with more than `crowd`, each is paired with the one of the most usual
-    shingles first, as an original is more like its copies than they are like
-    each other; then all pairs that are not in one component by then. So no
-    link between components is lost, and no group whose copies link to one
-    text gives pairs by the square.
-    """
-    keyed = prefixes.select("member", "size", "usual", F.explode("keys").alias("key"))
-    shared = stash(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("member").alias("a"), F.max("member").alias("b")).where("n > 1"), "shared")
-    many = shared.where("n > 2").select("key", "n")
-    sized = F.broadcast if many.count() <= BROADCAST_KEYS else lambda df: df
-    rows = stash(keyed.join(sized(many), "key"), "shared_rows")
-    crowded = rows.where(F.col("n") > crowd)
-    hubs = crowded.groupBy("key").agg(F.max_by("member", F.struct("usual", "member")).alias("hub"))
-    star = crowded.join(hubs, "key").where("member <> hub").select(F.least("member", "hub").alias("a"), F.greatest("member", "hub").alias("b"))
-    first = stash(shared.where("n = 2").select("a", "b").union(_paired(rows.where(F.col("n") <= crowd), similarity).select("a", "b")).union(star).distinct(), "pairs")
-    edges = stash(linked(first), "links")
-    if crowded.isEmpty():
-        return edges
-    roots = stash(components(edges), "crowd_roots")
-    grouped = stash(crowded.join(roots, crowded.member == roots.node, "left").select("key", "member", "size", F.coalesce("root", "member").alias("group")), "crowd_groups")
-    split = grouped.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most").select("key")
-    met = _paired(grouped.join(split, "key", "left_semi"), similarity, True).groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("keys"))
-    # pairs that are left share no key of fewer members, so `keys` are all they share; of their other shingles
-    # those that are no key of the one or of the other can be shared at most
-    needed = (F.col("size_a") + F.col("size_b")) * (similarity / (1 + similarity)) - 1e-6
-    met = met.where(F.col("keys") + F.ceil(F.greatest("size_a", "size_b") * similarity - 1e-6) - 1 >= needed).select("a", "b")
-    rest = stash(met.join(first, ["a", "b"], "left_anti"), "rest_pairs")
-    return edges.union(stash(linked(rest), "rest_links"))
-
-
-def _less(keyed: DataFrame, going: DataFrame, twice: DataFrame) -> DataFrame:
-    """keyed, rows with a column __member, without the members of going and with one row of each member of twice."""
-    drop = F.broadcast if going.count() <= BROADCAST_KEYS else lambda df: df
-    again = F.broadcast if twice.count() <= BROADCAST_KEYS else lambda df: df
-    kept = keyed.join(drop(going.withColumnRenamed("member", "__member")), "__member", "left_anti")
-    repeated = twice.withColumnRenamed("member", "__member")
-    one = kept.join(again(repeated), "__member", "left_semi").dropDuplicates(["__member"])
-    return kept.join(again(repeated), "__member", "left_anti").unionByName(one)
-
-
-def deduplicated(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of near duplicates, that of the smallest id; all columns stay.
-
-    Texts of the same words are one class. Classes link if they share
-    `similarity` of their shingles of words_per_shingle words, which is worked
-    out on the whole texts of all pairs that have one of their rarest shingles
-    in common, as all pairs so alike do; the components of these links are the
-    groups. Which shingles are rare is estimated; that orders the search and
-    loses no pair. Null ids come after others; of rows equal in id and text
-    one stays.
-    """
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    keyed = docs.withColumn("__member", key)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("member"))
-    found = stash(_prints(rows, words_per_shingle), "prints")
-    prints = found.where("w0 is not null").select("doc_id", "member", "w0", "w1")
-    counted = found.where("w0 is null").select(F.explode(F.arrays_zip("often", "times")).alias("s")).groupBy("s.often").agg(F.sum("s.times").alias("times"))
-    counted = counted.where(F.col("times") >= OFTEN).orderBy(F.desc("times"), "often").limit(MOST_OFTEN).toPandas()
-    often, times = counted["often"].to_numpy(np.int64).view(np.uint64), counted["times"].to_numpy(np.int64)
-    often, times = often[np.argsort(often)], times[np.argsort(often)]
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "member")
-    classes = prints.groupBy("w0", "w1").agg(F.min(order).alias("first"))
-    classes = stash(classes.select("first.doc_id", "first.member"), "classes")
-    copies = stash(prints.select("member").distinct().join(classes.select("member"), "member", "left_anti"), "copies")
-    twice = stash(prints.groupBy("member").count().where("count > 1").select("member"), "twice")
-    texts = _less(keyed.select("__member", F.col(text_col).cast("string").alias("text")), copies, twice).withColumnRenamed("__member", "member")
-    prefixes = stash(_prefixes(texts, words_per_shingle, similarity, often, times), "prefixes")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        ends = stash(pairs.select(F.col("a").alias("member")).union(pairs.select("b")).distinct(), "ends")
-        few = F.broadcast if ends.count() <= BROADCAST_KEYS else lambda df: df
-        of = stash(texts.join(few(ends), "member", "left_semi"), "texts")
-        met = pairs.join(of.withColumnsRenamed({"member": "a"}), "a").join(of.withColumnsRenamed({"member": "b", "text": "other"}), "b")
-        return _shares(met, words_per_shingle).where(F.col("share") >= similarity).select("a", "b")
-
-    roots = stash(components(near_links(prefixes, linked, similarity)), "roots")
-    joined = classes.join(roots, classes.member == roots.node).select("member", "root", "doc_id")
-    heads = joined.groupBy("root").agg(F.min(order).alias("head")).select(F.col("head.member").alias("member"))
-    going = stash(joined.select("member").join(heads, "member", "left_anti").union(copies).distinct(), "going")
-    return _less(keyed, going, twice).select(*docs.columns)
-
-
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -2,7 +2,7 @@
 
 import random
 
-from gridloom.llm import simhash
+from gridloom.llm import near
 
 from .test_pipeline import links_brute, smallest
 
@@ -20,7 +20,7 @@ def edited(rnd, words, places):
 
 def compared(spark, rows):
     low, links = links_brute(rows)
-    got = sorted(r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    got = sorted(r.doc_id for r in near.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     same = {}
     for i, _ in sorted(rows):
         same.setdefault(low[i], i)

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from gridloom.llm import queries, secrets, simhash, toxicity
+from gridloom.llm import near, queries, secrets, toxicity
 
 from .test_op2 import check as check_packing
 from .test_op9 import WORD, words
@@ -96,7 +96,7 @@ def test_most_near_copies_go_and_others_stay(spark):
                 w[rnd.randrange(300)] = word()
             groups[10 * g + c] = g
             rows.append((10 * g + c, " ".join(w)))
-    kept = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {r.doc_id for r in near.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {groups[i] for i in kept} == set(range(60)) and len(kept) <= 66
     assert {10 * g for g in range(60)} <= kept
 
@@ -105,10 +105,10 @@ def test_copies_nulls_and_repeated_rows(spark):
     long = "word%d other%d thing%d " * 40 % tuple(range(120))
     rows = [(1, long), (2, long.upper()), (3, long + "more"), (4, long), (4, long), (5, None), (6, ""), (7, " "), (8, "short text"), (9, "quite another short text"), (None, long), (None, None)]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, member string")
-    out = simhash.deduplicated(df)
+    out = near.deduplicated(df)
     got = sorted((r.doc_id, r.text) for r in out.collect())
     assert got == [(1, long), (5, None), (8, "short text"), (9, "quite another short text")] and out.columns == df.columns
-    assert simhash.deduplicated(df.limit(0)).count() == 0
+    assert near.deduplicated(df.limit(0)).count() == 0
 
 
 def test_benchmark_passages_are_cut_out(spark, sf, stages):
