@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import common, decontaminate, packing, queries, secrets, simhash, toxicity
+from gridloom.llm import common, decontaminate, near, packing, queries, secrets, toxicity
 
 
 #: Rows that go to a Python worker at a time: whole texts, of which a few may be very long.
@@ -34,7 +34,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @bounded
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicated(docs)
+    return near.deduplicated(docs)
 
 
 @bounded
