@@ -32,6 +32,8 @@ from .common import row_blocks, stash
 
 FIXED_BITS = 16
 PIECE_ROWS = 20_000
+#: Characters of white space in a row that the faster encoder is not given: its pattern remembers each of a run's, a million at most.
+LONG_RUN = 100_000
 
 
 @lru_cache(maxsize=4)
@@ -39,9 +41,11 @@ def encoder(path: str):
     """A function from a text to its ids as a numpy array, equal to the tokenizer's own.
 
     The vocabulary of the file drives a faster byte-pair encoder; texts with
-    a special token in them go to the tokenizer itself.
+    a special token or a very long run of white space in them go to the
+    tokenizer itself.
     """
     import json
+    import re
 
     import tiktoken
     from tokenizers import Tokenizer
@@ -55,10 +59,11 @@ def encoder(path: str):
     byte_of = {chr(i) if chr(i) in plain else chr(next(spare)): i for i in range(256)}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    long_run = re.compile(rf"\s{{{LONG_RUN}}}")
     fast = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
-        if any(s in text for s in special):
+        if any(s in text for s in special) or len(text) >= LONG_RUN and long_run.search(text):
             return np.array(full().encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return np.array(fast.encode_ordinary(text), dtype=np.uint32)
 
