@@ -27,6 +27,21 @@ def sized_broadcast(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def sampled(docs: DataFrame, rows: int, total: int | None = None) -> DataFrame:
+    """At most `rows` rows, any as likely as another, whatever the number of rows or of equal ones.
+
+    A row's number takes part in its hash, so equal rows are drawn apart; a
+    share of the hashes a little over what is asked for is cut to the least.
+    """
+    total = docs.count() if total is None else total
+    if total <= rows:
+        return docs
+    names = docs.columns
+    draw = F.xxhash64(*docs.columns, F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    drawn = docs.select(*names, draw.alias("__draw")).where(F.col("__draw") < (1.2 * rows + 100) / total)
+    return drawn.orderBy("__draw").limit(rows).select(*names)
+
+
 def row_blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about `limit` bytes of text, and those texts as UTF-8 (null: empty)."""
     for batch in batches:

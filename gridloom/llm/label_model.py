@@ -3,7 +3,8 @@
 Given the hidden class, voters form a tree: each depends on its parent, and
 the tree is the one with the largest conditional mutual information between
 voters, so the strongest correlations are part of the model rather than
-counted twice. Expectation maximisation runs over counts of vote patterns, of
+counted twice. A voter that stays silent abstains: it tells nothing of a text
+that others fire on, only silence of all does. Expectation maximisation runs over counts of vote patterns, of
 which there are at most 2^voters whatever the number of texts.
 """
 
@@ -13,7 +14,6 @@ import numpy as np
 
 SMOOTH = 0.5
 ROUNDS = 40
-GIVEN = 8.0
 
 
 def _joint(votes: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -41,40 +41,42 @@ def _tree(joint: list[np.ndarray], prior: float) -> list[int]:
 
 
 def _log_likelihood(votes: np.ndarray, joint: np.ndarray, parents: list[int]) -> np.ndarray:
-    out = np.zeros(len(votes))
+    """Of the votes that are cast; where none is, of all the silence."""
+    cast, silent = np.zeros(len(votes)), np.zeros(len(votes))
     v = votes.astype(int)
     for i, p in enumerate(parents):
         alone = joint[i, i].diagonal()
-        alone = alone / alone.sum()
-        if p < 0:
-            out += np.log(alone[v[:, i]])
-        else:
-            table = joint[p, i] / joint[p, i].sum(1, keepdims=True)
-            out += np.log(table[v[:, p], v[:, i]])
-    return out
+        table = np.stack([alone, alone]) if p < 0 else joint[p, i]
+        table = np.log(table / table.sum(1, keepdims=True))
+        before = np.zeros(len(votes), int) if p < 0 else v[:, p]
+        cast += np.where(v[:, i] == 1, table[before, 1], 0.0)
+        silent += table[0, 0]
+    return np.where(v.any(1), cast, silent)
 
 
-def fit(votes: np.ndarray, counts: np.ndarray, known: np.ndarray, prior: float) -> tuple[np.ndarray, dict]:
+def fit(votes: np.ndarray, counts: np.ndarray, prior: float, known: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
     """P(class 1) of each pattern row, and the model.
 
-    known: 0 or 1 where a row's class is given, -1 elsewhere. All given rows
-    together weigh GIVEN times the others, or their own number if that is more.
+    known: 0 or 1 where a row's class is given, -1 elsewhere. Such rows anchor
+    the classes, as nothing else tells how often a voter errs that fires alone;
+    all of them together weigh at least as much as the others, whatever the
+    numbers. The posterior of a pattern never looks at a given class.
     The start is the share of voters that fire, so class 1 is what voters are for.
     """
+    known = np.full(len(votes), -1) if known is None else known
     given, other = counts[known >= 0].sum(), counts[known < 0].sum()
-    counts = counts * np.where(known >= 0, max(1.0, GIVEN * other / max(given, 1.0)), 1.0)
-    share = votes.mean(1)
-    y = np.where(known >= 0, known, np.clip(share * 3, 0.02, 0.98))
+    counts = counts * np.where(known >= 0, max(1.0, other / max(given, 1.0)), 1.0)
+    fresh = np.clip(votes.mean(1) * 3, 0.02, 0.98)
     parents = [-1] * votes.shape[1]
     for step in range(ROUNDS):
+        y = np.where(known >= 0, known, fresh)
         joint = [_joint(votes, counts * (1 - y)), _joint(votes, counts * y)]
         if step in (2, ROUNDS // 2):
             parents = _tree(joint, prior)
+        before = fresh
         odds = np.log(prior / (1 - prior)) + _log_likelihood(votes, joint[1], parents) - _log_likelihood(votes, joint[0], parents)
         fresh = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        moved = np.abs(np.where(known >= 0, known, fresh) - y).max(initial=0)
-        y = np.where(known >= 0, known, fresh)
-        if moved < 1e-4 and step > ROUNDS // 2:
+        if np.abs(fresh - before).max(initial=0) < 1e-4 and step > ROUNDS // 2:
             break
     return fresh, {"parents": parents, "joint": joint, "prior": prior}
 

@@ -4,18 +4,21 @@ Trusted positives are labelled good texts; the unlabelled are texts of the
 corpus as they come. The risk of a linear classifier over binned surface
 statistics of whole texts is pi * R_p+ + max(0, R_u- - pi * R_p-) (Kiryo et
 al., 2017): the part that stands for the negatives is kept from falling below
-zero, as it would by overfitting. The class prior pi is estimated from the
-labelled rows that may be learnt from, or, where they are all of one class,
-taken as `default_prior`.
+zero, as it would by overfitting. The class prior pi is estimated from
+positives and unlabelled texts alone, by best bin estimation (Garg et al.,
+2021): a contrast of the two is fitted on one half of each; on the other
+half, the least ratio of their shares over a threshold, with room for chance,
+is the share of positives among the unlabelled, as some top bin holds nearly
+no negative. No row labelled 0 is learnt from.
 
-Bounds: `label_rows` positives, by a hash of the id, and about `train_rows`
-unlabelled texts, by a hash of the text, are fetched for training; the score
-covers every whole text.
+Bounds: `label_rows` positives, by a hash of the id, and at most `train_rows`
+drawn unlabelled texts are fetched for training; the score covers every whole
+text.
 
 Nulls: a null text is empty and scores as an empty one; a null id is not held
 out; labels of null ids or of null class are not used, of several labels of an
-id the highest counts. Without positives every text scores the prior. An empty
-table gives no rows.
+id the highest counts. Without positives every text scores `default_prior`. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_blocks
+from .common import row_blocks, sampled
 from .features import STATISTICS, statistics
-from .toxicity import held_out, sampled, usable
+from .toxicity import held_out, usable
 
 BINS = 24
 
@@ -81,12 +84,34 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, size: int, r
     return w
 
 
+def contrast(positive: np.ndarray, unlabelled: np.ndarray, size: int, rounds: int = 250, l2: float = 3e-3) -> np.ndarray:
+    """Weights of bins that tell positives from unlabelled rows: logistic regression, both sides alike in weight."""
+    w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
+    mean = lambda rows, error: np.bincount(rows.ravel(), weights=np.repeat(error, rows.shape[1]), minlength=size) / len(rows)
+    for step in range(1, rounds + 1):
+        p, u = (1 / (1 + np.exp(-np.clip(w[x].sum(1), -30, 30))) for x in (positive, unlabelled))
+        g = mean(positive, p - 1) + mean(unlabelled, u) + l2 * w
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w = w - 0.03 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return w
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, size: int, doubt: float = 0.1) -> float:
+    """The share of positives among unlabelled rows of bins; close to 1 where rows are too few to tell."""
+    w = contrast(positive[::2], unlabelled[::2], size)
+    p, u = (np.sort(w[x[1::2]].sum(1)) for x in (positive, unlabelled))
+    if not len(p) or not len(u):
+        return 1.0
+    share_p = 1 - np.searchsorted(p, p, side="left") / len(p)
+    share_u = 1 - np.searchsorted(u, p, side="left") / len(u)
+    room = np.sqrt(np.log(4 / doubt) / 2) * (len(p) ** -0.5 + len(u) ** -0.5)
+    best = np.argmin((share_u + room) / share_p)
+    return float(min(1.0, share_u[best] / share_p[best]))
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", divisor: int = 4, rest: int = 2, id_col: str = "doc_id", text_col: str = "text", label_rows: int = 8000, train_rows: int = 20_000, default_prior: float = 0.8) -> dict:
     """The bins, their weights and the class prior."""
-    learnable = usable(labels, label_col, divisor, rest, id_col)
-    share, least = learnable.agg(F.avg("label"), F.min("label")).first()
-    prior = float(np.clip(default_prior if share is None or least == 1 else share, 0.02, 0.98))
-    once = learnable.groupBy("label_id").agg(F.max("label").alias("label"))
+    once = usable(labels, label_col, divisor, rest, id_col).groupBy("label_id").agg(F.max("label").alias("label"))
     trusted = F.broadcast(once.where("label = 1").orderBy(F.xxhash64("label_id"), "label_id").limit(label_rows).select("label_id"))  # label_rows rows at most
     texts = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).cast("string").alias("text"))
     positive = _vectors(texts.join(trusted, "label_id", "left_semi"))
@@ -94,8 +119,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", diviso
     edges = bin_edges(np.concatenate([positive, unlabelled]))
     size = sum(len(e) + 1 for e in edges)
     if not len(positive) or not len(unlabelled):
-        return {"edges": edges, "weights": np.append(np.zeros(size), np.log(prior / (1 - prior))), "prior": prior}
-    return {"edges": edges, "weights": fit(binned(positive, edges), binned(unlabelled, edges), prior, size), "prior": prior}
+        return {"edges": edges, "weights": np.append(np.zeros(size), np.log(default_prior / (1 - default_prior))), "prior": default_prior}
+    good, mixed = binned(positive, edges), binned(unlabelled, edges)
+    prior = float(np.clip(estimated_prior(good, mixed, size), 0.02, 0.98))
+    return {"edges": edges, "weights": fit(good, mixed, prior, size), "prior": prior}
 
 
 def score(docs: DataFrame, model: dict, divisor: int = 4, rest: int = 2, cut: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,15 +2,19 @@
 
 Voters are lexicons and patterns. The lexicons are a short fixed one and one
 induced from labelled rows: words and word stems that labelled toxic texts
-have far more often, dealt to voters by kind. A voter fires on a text that
-has enough of its entries. The label model (label_model.py) is fitted on the
-counts of vote patterns of all texts, with the labelled rows as known classes,
-and gives a posterior to each pattern. A linear classifier over the entries
-is trained on posterior labels and scores every whole text.
-
-Bounds: `label_rows` labelled rows of each class and `train_rows` others, by a
-hash of the id and of the text, serve the induction and the classifier; at most
-`entries` lexicon entries are kept. Vote patterns are counted over all texts.
+have far more often, dealt to voters by kind; a voter fires on a text that
+has enough of its entries. The patterns are exclamation marks, capitals,
+letters masked by asterisks, fixed entries that come again, that follow an
+address, and phrases. The label model (label_model.py) is fitted on the counts
+of vote patterns of all texts, in which the labelled ones anchor the classes,
+and gives a posterior to each pattern. A linear classifier over the entries is
+trained on the posteriors alone, those of labelled rows too, and scores every
+whole text.
+
+Bounds: `label_rows` labelled rows of each class, by a hash of the id, serve
+the induction; those and at most `train_rows` drawn rows are fetched for the
+classifier; at most `entries` lexicon entries are kept. Vote patterns, of
+which there are at most 2^voters, are counted over all texts.
 
 Nulls: a null text is empty and scores by the classifier's bias; a null id is
 not held out; labels of null ids or of null class are not used, of several
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import label_model
-from .common import Words, row_blocks
+from .common import Words, mix, row_blocks, sampled
 from .features import STEMS, known, terms, text_of_words, word_terms
 
 #: Insults of plain English, by what they attack; fixed values.
@@ -38,9 +42,12 @@ FIXED = {
 #: Kinds of induced entries: whole words, then stems by length in bytes.
 KINDS = ("word", *(f"stem_{k}" for k in STEMS))
 #: Least log odds of an induced entry, and least log odds times the root of its toxic texts.
-STRONG, SURE = 1.5, 8.0
-#: Weight of a labelled row against a row with a posterior label, in the linear classifier.
-GIVEN_WEIGHT = 4.0
+STRONG, SURE = 3.5, 8.0
+#: Words that address a reader, and phrases of two words; fixed values.
+ADDRESS = ["you", "your", "youre", "u", "ur", "yourself", "yourselves"]
+PHRASES = ["shut up", "go die", "kill you", "kill yourself", "hate you", "hate them", "drop dead", "get lost"]
+#: Patterns, each a voter.
+PATTERNS = ("marks", "capitals", "masked", "again", "address", "phrase")
 
 
 def held_out(id_col: str, divisor: int, rest: int):
@@ -59,14 +66,6 @@ def labelled(labels: DataFrame, label_col: str, divisor: int, rest: int, rows: i
     return pick(1).union(pick(0))
 
 
-def sampled(docs: DataFrame, rows: int, text_col: str = "text") -> DataFrame:
-    """About `rows` rows, by a hash of the text: a bounded sample whatever the number of rows."""
-    total = docs.count()
-    if total <= rows:
-        return docs
-    return docs.where(F.abs(F.xxhash64(F.col(text_col)) % 1_000_003) < int(1_000_003 * rows / total))
-
-
 def _texts(docs: DataFrame, text_col: str, *more: str) -> DataFrame:
     return docs.select(*more, F.col(text_col).cast("string").alias("text"))
 
@@ -119,6 +118,10 @@ class Lexicon:
         kind_of, group_of = np.array([k for k, _ in lists], int), np.array([g for _, g in lists], int)
         member = [group_of == g for g in range(len(FIXED))] + [(kind_of == k) & (group_of < 0) for k in range(len(KINDS))]
         self.members = np.stack(member, 1).astype(np.float64)  # entry x lexicon
+        self.insults = np.unique(np.array([h for h, _ in fixed], np.uint64))
+        self.address = np.unique(word_terms(ADDRESS))
+        pairs = word_terms([w for phrase in PHRASES for w in phrase.split()]).reshape(-1, 2)
+        self.phrases = np.unique(mix(pairs[:, 0]) ^ pairs[:, 1])
 
     def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, entry, how often), each pair once."""
@@ -140,54 +143,92 @@ class Lexicon:
         """Lexicon totals of texts of so many words, as logarithms and as rates."""
         return np.concatenate([np.log1p(totals), 100 * totals / (words[:, None] + 100.0)], axis=1)
 
+    def patterns(self, totals: np.ndarray, words: Words) -> np.ndarray:
+        """A column for each of PATTERNS."""
+        raw, size = words.raw, len(words.data)
+        base, count = np.minimum(words.base, size), np.maximum(1, np.diff(words.first))
+
+        def by_text(flags: np.ndarray) -> np.ndarray:
+            held = np.concatenate([[0], np.cumsum(flags)])
+            return held[base[1:]] - held[base[:-1]]
+
+        letter = (raw >= 97) & (raw <= 122)
+        capital = (np.frombuffer(words.data, np.uint8) >= 65) & (np.frombuffer(words.data, np.uint8) <= 90)
+        star = raw == 42
+        inside = np.zeros(size, bool)  # a letter, one to three stars, a letter
+        for k in (1, 2, 3):
+            if size > k + 1:
+                run = np.logical_and.reduce([star[1 + i : size - k + i] for i in range(k)])
+                inside[: size - k - 1] |= letter[: size - k - 1] & run & letter[k + 1 : size]
+        h, text = words.hashes(), text_of_words(words)
+        insult = known(h, self.insults) >= 0
+        near = np.zeros(len(h), bool)
+        spoken = known(h, self.address) >= 0
+        pair = np.zeros(len(h), bool)
+        for k in (1, 2, 3):
+            if len(h) > k:
+                near[k:] |= insult[k:] & spoken[:-k] & (text[k:] == text[:-k])
+        if len(h) > 1:
+            pair[1:] = (known(mix(h[:-1]) ^ h[1:], self.phrases) >= 0) & (text[1:] == text[:-1])
+        texts = len(words.first) - 1
+        each = lambda flags: np.bincount(text[flags], minlength=texts)
+        return np.stack([
+            by_text(raw[:size] == 33) > 0.2 * count,
+            (by_text(capital) > 0.5 * np.maximum(1, by_text(letter[:size]))) & (count >= 5),
+            by_text(inside) > 0,
+            each(insult) >= 2,
+            each(near) > 0,
+            each(pair) > 0,
+        ], axis=1)
+
     def votes(self, totals: np.ndarray, words: Words) -> np.ndarray:
-        """Each fixed lexicon at one hit, each induced one at two and at three, and a pattern of shouting."""
+        """Each fixed lexicon at one hit, each induced one at two and at three, and the patterns."""
         groups = len(FIXED)
-        raw = words.raw
-        bang = np.concatenate([[0], np.cumsum(raw[: len(words.data)] == 33)])
-        base = np.minimum(words.base, len(words.data))
-        shouting = (bang[base[1:]] - bang[base[:-1]]) > 0.2 * np.maximum(1, np.diff(words.first))
         induced = totals[:, groups:]
-        return np.concatenate([totals[:, :groups] >= 1, induced >= 2, induced >= 3, shouting[:, None]], axis=1).astype(np.int64)
+        return np.concatenate([totals[:, :groups] >= 1, induced >= 2, induced >= 3, self.patterns(totals, words)], axis=1).astype(np.int64)
+
+
+#: Fixed lexicons at one threshold, induced ones at two, patterns.
+VOTERS = len(FIXED) + 2 * len(KINDS) + len(PATTERNS)
+
+
+def _bits(masks: np.ndarray) -> np.ndarray:
+    return (masks[:, None] >> np.arange(VOTERS)) & 1
 
 
 def _pattern_counts(rows: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(votes, counts, known class or -1) over all rows of (label, text)."""
+    """(votes, counts, known class or -1) of the patterns of all rows of (label, text)."""
 
     def work(batches):
         for part, texts in row_blocks(batches, "text"):
             words = Words(texts)
             votes = lexicon.votes(lexicon.totals(*lexicon.hits(words), len(texts)), words)
-            mask = votes @ (1 << np.arange(votes.shape[1]))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(mask.astype(np.int64))], ["label", "mask"])
+            label = part.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            both, counts = np.unique(2 + label + 4 * (votes @ (1 << np.arange(VOTERS))), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(counts.astype(np.int64))], ["both", "n"])
 
-    found = rows.mapInArrow(work, "label int, mask long").groupBy("label", "mask").count().collect()
-    width = len(FIXED) + 2 * len(KINDS) + 1
-    masks = np.array([r["mask"] for r in found], np.int64)
-    return (masks[:, None] >> np.arange(width)) & 1, np.array([r["count"] for r in found], float), np.array([-1 if r["label"] is None else r["label"] for r in found], int)
+    found = rows.mapInArrow(work, "both long, n long").groupBy("both").agg(F.sum("n").alias("n")).orderBy("both").collect()
+    both = np.array([r["both"] for r in found], np.int64)
+    return _bits(both // 4), np.array([r["n"] for r in found], float), both % 4 - 2
 
 
-def _training_rows(rows: DataFrame, lexicon: Lexicon) -> tuple[list, np.ndarray, np.ndarray]:
-    """Hits, votes and known classes of the rows of (label, text): a bounded number."""
+def _training_rows(rows: DataFrame, lexicon: Lexicon) -> tuple[list, np.ndarray]:
+    """Hits and votes of the rows of (text): a bounded number."""
 
     def work(batches):
         for part, texts in row_blocks(batches, "text"):
             words = Words(texts)
             text, entry, counts = lexicon.hits(words)
             votes = lexicon.votes(lexicon.totals(text, entry, counts, len(texts)), words)
-            cut = np.searchsorted(text, np.arange(len(texts) + 1))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array((votes @ (1 << np.arange(votes.shape[1]))).astype(np.int64)), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(entry, pa.int32())), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(counts, pa.int32())), pa.array(np.diff(words.first), pa.int64())],
-                ["label", "mask", "entries", "counts", "words"],
-            )
+            cut = pa.array(np.searchsorted(text, np.arange(len(texts) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(cut, pa.array(v, pa.int32())) for v in (entry, counts)]
+            yield pa.RecordBatch.from_arrays([pa.array((votes @ (1 << np.arange(VOTERS))).astype(np.int64)), *lists, pa.array(np.diff(words.first), pa.int64())], ["mask", "entries", "counts", "words"])
 
-    found = rows.mapInArrow(work, "label int, mask long, entries array<int>, counts array<int>, words long").toArrow()
-    masks = found.column("mask").to_numpy()
-    labels = np.array([-1 if x is None else x for x in found.column("label").to_pylist()], int)
-    return list(zip(found.column("entries").to_pylist(), found.column("counts").to_pylist(), found.column("words").to_pylist())), (masks[:, None] >> np.arange(len(FIXED) + 2 * len(KINDS) + 1)) & 1, labels
+    found = rows.mapInArrow(work, "mask long, entries array<int>, counts array<int>, words long").toArrow()
+    return list(zip(found.column("entries").to_pylist(), found.column("counts").to_pylist(), found.column("words").to_pylist())), _bits(found.column("mask").to_numpy())
 
 
-def _fit_linear(hits: list, lexicon: Lexicon, target: np.ndarray, weight: np.ndarray, rounds: int = 300, l2: float = 2e-4) -> np.ndarray:
+def _fit_linear(hits: list, lexicon: Lexicon, target: np.ndarray, rounds: int = 300, l2: float = 2e-4) -> np.ndarray:
     """Logistic regression on entries (present or not, weights of 0 or more) and lexicon totals, by Adam; the bias comes last."""
     n = len(hits)
     row = np.repeat(np.arange(n), [len(e) for e, *_ in hits])
@@ -198,7 +239,7 @@ def _fit_linear(hits: list, lexicon: Lexicon, target: np.ndarray, weight: np.nda
     state = [[0.0, 0.0] for _ in range(3)]
     for step in range(1, rounds + 1):
         score = np.bincount(row, weights=w[entry], minlength=n) + totals @ b + v
-        error = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - target) * weight / max(1.0, weight.sum())
+        error = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - target) / max(1, n)
         grads = [np.bincount(entry, weights=error[row], minlength=lexicon.size) + l2 * w / 10, totals.T @ error + l2 * b / 10, error.sum()]
         moved = []
         for s, g in zip(state, grads):
@@ -215,18 +256,15 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", divisor:
     texts = _texts(docs, text_col, F.col(id_col).alias("label_id"))
     marked = texts.join(marks, "label_id").select("label", "text")
     lexicon = Lexicon(*_term_counts(marked, entries, 4))
-    everything = texts.join(marks, "label_id", "left").select("label", "text")
-    votes, counts, gold = _pattern_counts(everything, lexicon)
+    votes, counts, gold = _pattern_counts(texts.join(marks, "label_id", "left").select("label", "text"), lexicon)
     if not len(counts):
         return {"lexicon": lexicon, "weights": np.zeros(lexicon.size + 2 * lexicon.members.shape[1] + 1), "label_model": None}
     share = usable(labels, label_col, divisor, rest).agg(F.avg("label")).first()[0]
     prior = float(np.clip(0.05 if share is None else share, 0.005, 0.5))
-    _, model = label_model.fit(votes, counts, gold, prior)
-    rest_rows = sampled(texts, train_rows, "text").join(marks, "label_id", "left_anti").select(F.lit(None).cast("int").alias("label"), "text")
-    hits, own_votes, own_gold = _training_rows(marked.union(rest_rows), lexicon)
-    target = np.where(own_gold >= 0, own_gold, label_model.posterior(own_votes, model)) if len(hits) else np.zeros(0)
-    weight = np.where(own_gold >= 0, GIVEN_WEIGHT, 1.0)
-    return {"lexicon": lexicon, "weights": _fit_linear(hits, lexicon, target, weight), "label_model": model}
+    _, model = label_model.fit(votes, counts, prior, gold)
+    hits, own_votes = _training_rows(marked.select("text").union(sampled(texts, train_rows).select("text")), lexicon)
+    target = label_model.posterior(own_votes, model) if len(hits) else np.zeros(0)
+    return {"lexicon": lexicon, "weights": _fit_linear(hits, lexicon, target), "label_model": model}
 
 
 def _with_score(rows: DataFrame, model: dict, text_col: str, keep_text: bool) -> DataFrame:
@@ -256,9 +294,11 @@ def score(docs: DataFrame, model: dict, divisor: int = 3, rest: int = 1, cut: fl
 
 
 def without_toxic(docs: DataFrame, model: dict, cut: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of docs that score under the cut, with all their columns."""
-    rows = docs.select(*[F.col(c).alias(f"kept_{c}") for c in docs.columns])
-    return _with_score(rows, model, f"kept_{text_col}", True).where(F.col("score") < cut).select(*[F.col(f"kept_{c}").alias(c) for c in docs.columns])
+    """The rows of docs that score under the cut, with all their columns, whatever their names."""
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    kept = _with_score(rows, model, f"c{names.index(text_col)}", True).where(F.col("score") < cut)
+    return kept.select(*rows.columns).toDF(*names)
 
 
 def digest(scored: DataFrame) -> DataFrame:

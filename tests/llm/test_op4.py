@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from gridloom.llm import outliers
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -62,3 +64,61 @@ def test_planted_outliers_do_not_hide_each_other(spark):
     df = spark.createDataFrame([(i, t, "en", "s") for i, t in good + bad], "doc_id long, text string, lang string, source string")
     kept = {r.doc_id for r in outliers.judged(df).where("kept").collect()}
     assert kept == {i for i, _ in good}
+
+
+def mcd(x, floors, cut):
+    """The same estimate in plain numpy, with exact medians: squared distances of all rows."""
+    floor = np.diag(np.array(floors) ** 2)
+
+    def estimate(part, factor):
+        return part.mean(0), np.cov(part.T, bias=True) * factor + floor
+
+    def distance(mean, cover):
+        off = x - mean
+        return np.einsum("ij,jk,ik->i", off, np.linalg.inv(cover), off)
+
+    half = lambda d: d <= np.sort(d)[(len(d) - 1) // 2]
+    low = lambda v: np.sort(v, axis=0)[(len(v) - 1) // 2]
+    off = np.abs(x - low(x))
+    scaled = (off / np.maximum(1.4826 * low(off), floors)) ** 2
+    found = []
+    for d in (scaled.sum(1), scaled.max(1), np.zeros(len(x))):
+        for _ in range(2):
+            mean, cover = estimate(x[half(d)], outliers.HALF)
+            d = distance(mean, cover)
+        found.append((np.linalg.slogdet(cover)[1], d))
+    spread, d = min(found, key=lambda f: f[0])
+    while True:
+        mean, cover = estimate(x[half(d)], outliers.HALF)
+        d, now = distance(mean, cover), np.linalg.slogdet(cover)[1]
+        if spread - now <= outliers.STILL:
+            break
+        spread = now
+    return distance(*estimate(x[d <= outliers.CHI_975], outliers.NEARLY_ALL))
+
+
+def test_verdicts_against_plain_numpy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = outliers.judged(docs, least_group=14).toPandas()
+    judged = found[~found.base_failed]
+    assert set(judged.judged_by) == {"group", "language"} and found[found.base_failed].judged_by.isna().all()
+    n = np.maximum(judged.n_words, 1)
+    x = np.stack([np.log1p(judged.n_words), np.log1p(judged.word_chars / n), np.sqrt(judged.n_symbols / np.maximum(judged.word_chars, 1)), np.sqrt(judged.n_dup_lines / np.maximum(judged.n_lines, 1)), np.sqrt(judged.n_repeat_words / n)], 1)
+    groups = judged.groupby(["lang", "source"]).lang.transform("size") >= 14
+    part = np.where(groups, judged.lang + " " + judged.source, judged.lang)
+    assert (groups == (judged.judged_by == "group")).all()
+    floors, worst = list(outliers.FLOORS.values()), 0
+    for p in np.unique(part):
+        own = part == p
+        d = mcd(x[own], floors, outliers.CHI_LAST)
+        worst = max(worst, np.abs(d / np.maximum(judged.d2[own], 1e-9) - 1).max())
+        assert ((d <= outliers.CHI_LAST) == judged.kept[own]).all()
+    assert worst < 0.05
+
+
+def test_factors_of_a_normal_sample():
+    assert abs(outliers.chi_square(outliers.CHI_MEDIAN, 5) - 0.5) < 1e-4 and abs(outliers.chi_square(outliers.CHI_975, 5) - 0.975) < 1e-4
+    x = np.random.default_rng(1).normal(size=(200_000, 5))
+    d = (x**2).sum(1)
+    for factor, cut in ((outliers.HALF, outliers.CHI_MEDIAN), (outliers.NEARLY_ALL, outliers.CHI_975)):
+        assert abs(x[d <= cut].var(0).mean() * factor - 1) < 0.02

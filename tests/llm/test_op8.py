@@ -42,7 +42,7 @@ def test_label_model_finds_accuracies_and_a_correlation():
     votes = np.stack([vote(0.9, 0.05), vote(0.7, 0.1), vote(0.8, 0.02), vote(0.6, 0.05)], 1)
     votes = np.concatenate([votes, votes[:, 3:] ^ (rnd.random((len(y), 1)) < 0.02)], 1)
     patterns, inverse, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
-    found, model = label_model.fit(patterns, counts.astype(float), np.full(len(patterns), -1), 0.2)
+    found, model = label_model.fit(patterns, counts.astype(float), 0.2)
     assert {3, 4} in [{i, p} for i, p in enumerate(model["parents"])]
     for (alarm, hit), (h, a) in zip(label_model.accuracies(model), [(0.9, 0.05), (0.7, 0.1), (0.8, 0.02), (0.6, 0.05)]):
         assert abs(hit - h) < 0.08 and abs(alarm - a) < 0.05
