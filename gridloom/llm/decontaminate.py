@@ -8,9 +8,10 @@ words of an item (an item of fewer words is one window) is searched backwards
 through the wavelet ranks, all windows at a time; occurrences are located from
 the sampled suffix places and merged into removal spans.
 
-Benchmark items go to the tasks in parts of at most `part_bytes` bytes of
-text, one pass over the shards for each part; passes hand on the spans that
-they found, so the benchmark may be of any size.
+Benchmark items go to the tasks in parts of about `part_bytes` bytes of text,
+as arrays of some ten times that size, made once; one pass over the shards for
+each part, which hands on the spans that it found, so the benchmark may be of
+any size.
 
 Nulls: a null text has no words; an item without words, or with a null text,
 has no window. A null item_id is left out of the items, but its windows count.
@@ -34,23 +35,36 @@ SPANS = "array<struct<first:long,last:long,from_byte:long,to_byte:long>>"
 
 
 class Phrases:
-    """Distinct windows of items as rows of symbols, and which items have each."""
+    """Distinct windows of items as rows of symbols, and the items that have each, all in arrays.
+
+    items[first[k]:first[k + 1]] are the known ids of the items with window k.
+    """
 
     def __init__(self, rows: list, window: int):
         words = Words([(r[1] or "").encode() for r in rows])
         hashes = words.hashes()
         self.vocabulary = np.unique(hashes)
-        symbols = np.searchsorted(self.vocabulary, hashes) + 1
-        owners: dict[tuple, set] = {}
-        for i, (item, _) in enumerate(rows):
-            own = symbols[words.first[i] : words.first[i + 1]].tolist()
-            for at in range(max(1, len(own) - window + 1) if own else 0):
-                owners.setdefault(tuple(own[at : at + window]), set()).add(item)
-        self.patterns = np.zeros((len(owners), window), np.int64)
-        self.lengths = np.array([len(w) for w in owners], np.int64)
-        for k, w in enumerate(owners):
-            self.patterns[k, window - len(w) :] = w
-        self.items = [sorted(x for x in found if x is not None) for found in owners.values()]
+        symbols = (np.searchsorted(self.vocabulary, hashes) + 1).astype(np.int32)
+        count = np.diff(words.first)
+        owner = np.repeat(np.arange(len(rows)), count)
+        at = np.arange(len(symbols))
+        whole = np.flatnonzero(at + window <= words.first[1:][owner]) if len(symbols) else at
+        patterns = np.stack([symbols[whole + k] for k in range(window)], axis=1) if len(whole) else np.zeros((0, window), np.int32)
+        short = np.flatnonzero((count > 0) & (count < window))
+        padded = np.zeros((len(short), window), np.int32)
+        for i, item in enumerate(short.tolist()):
+            padded[i, window - count[item] :] = symbols[words.first[item] : words.first[item + 1]]
+        patterns, owner = np.concatenate([patterns, padded]), np.concatenate([owner[whole], short])
+        rows_as_one = np.ascontiguousarray(patterns).view(np.dtype((np.void, 4 * window)))[:, 0]
+        _, first, which = np.unique(rows_as_one, return_index=True, return_inverse=True)
+        self.patterns = patterns[first]
+        self.lengths = (self.patterns > 0).sum(1)
+        ids = np.array([r[0] if r[0] is not None else 0 for r in rows], np.int64)
+        named = np.array([r[0] is not None for r in rows], bool)
+        kept = named[owner]
+        pairs = np.unique(np.stack([which[kept], ids[owner[kept]]], axis=1), axis=0) if kept.any() else np.zeros((0, 2), np.int64)
+        self.items = pairs[:, 1]
+        self.first = np.searchsorted(pairs[:, 0], np.arange(len(self.patterns) + 1))
 
 
 def _hits(words: Words, phrases: Phrases) -> tuple[np.ndarray, dict[int, set]]:
@@ -87,17 +101,18 @@ def _hits(words: Words, phrases: Phrases) -> tuple[np.ndarray, dict[int, set]]:
     pairs = np.unique(text_of[first] * len(phrases.patterns) + which)
     by_text: dict[int, set] = {}
     for p in pairs.tolist():
-        by_text.setdefault(p // len(phrases.patterns), set()).update(phrases.items[p % len(phrases.patterns)])
+        k = p % len(phrases.patterns)
+        by_text.setdefault(p // len(phrases.patterns), set()).update(phrases.items[phrases.first[k] : phrases.first[k + 1]].tolist())
     return np.cumsum(covered)[:total] > 0, by_text
 
 
 def _pass(docs: DataFrame, rows: list, window: int, text_col: str) -> DataFrame:
     """docs with n_words, spans and items brought up to date by the items of one part."""
-    shipped = docs.sparkSession.sparkContext.broadcast(rows)
+    shipped = docs.sparkSession.sparkContext.broadcast(Phrases(rows, window))
     names = docs.columns
 
     def work(batches):
-        phrases = Phrases(shipped.value, window)
+        phrases = shipped.value
         for part, texts in row_blocks(batches, text_col):
             words = Words(texts)
             hit, items = _hits(words, phrases)
@@ -122,7 +137,7 @@ def _pass(docs: DataFrame, rows: list, window: int, text_col: str) -> DataFrame:
     return docs.mapInArrow(work, docs.schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, part_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, part_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, spans (words [first, last) and bytes of merged hits) and items of each row."""
     return _searched(docs, benchmark, window, part_bytes, text_col, (id_col,)).select(F.col(f"kept_{id_col}").alias("doc_id"), "n_words", "spans", "items")
 
@@ -148,15 +163,16 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, part_bytes: int = 32 << 20, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, part_bytes: int = 8 << 20, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """docs with the merged removal spans cut out of the texts, and characters counted anew; a text that is hit nowhere stays as it is."""
-    names = docs.columns
-    found = _searched(docs, benchmark, window, part_bytes, text_col, tuple(c for c in names if c != text_col))
+    names, kinds = docs.columns, [f.dataType for f in docs.schema.fields]
+    own = [f"c{i}" for i in range(len(names))]
+    text, counted = own[names.index(text_col)], own[names.index(count_col)] if count_col else None
+    found = _searched(docs.toDF(*own), benchmark, window, part_bytes, text, tuple(c for c in own if c != text))
     raw = F.col("whole_text").cast("binary")
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["to_byte"]))
     starts = F.concat(F.transform("spans", lambda s: s["from_byte"]), F.array(F.octet_length("whole_text").cast("long")))
     kept = F.transform(F.arrays_zip(starts.alias("b"), ends.alias("a")), lambda s: F.call_function("substring", raw, (s["a"] + 1).cast("int"), (s["b"] - s["a"]).cast("int")))
     cut = F.when(F.size("spans") > 0, F.array_join(F.transform(kept, lambda b: b.cast("string")), "")).otherwise(F.col("whole_text"))
-    kinds = dict(docs.dtypes)
-    count = lambda c: F.when(F.size("spans") > 0, F.length(cut).cast(kinds[c])).otherwise(F.col(f"kept_{c}"))
-    return found.select(*[cut.alias(c) if c == text_col else count(c).alias(c) if c == count_col else F.col(f"kept_{c}").alias(c) for c in names])
+    count = lambda c, kind: F.when(F.size("spans") > 0, F.length(cut).cast(kind)).otherwise(F.col(f"kept_{c}"))
+    return found.select(*[cut.alias(c) if c == text else count(c, k).alias(c) if c == counted else F.col(f"kept_{c}").alias(c) for c, k in zip(own, kinds)]).toDF(*names)

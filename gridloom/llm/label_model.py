@@ -3,8 +3,10 @@
 Given the hidden class, voters form a tree: each depends on its parent, and
 the tree is the one with the largest conditional mutual information between
 voters, so the strongest correlations are part of the model rather than
-counted twice. A voter that stays silent abstains: it tells nothing of a text
-that others fire on, only silence of all does. Expectation maximisation runs over counts of vote patterns, of
+counted twice. With anchors, a voter that stays silent abstains: it tells
+nothing of a text that others fire on, only silence of all does. Without them
+nothing but silence tells how often a lone vote errs, so it counts.
+Expectation maximisation runs over counts of vote patterns, of
 which there are at most 2^voters whatever the number of texts.
 """
 
@@ -40,8 +42,8 @@ def _tree(joint: list[np.ndarray], prior: float) -> list[int]:
     return parents
 
 
-def _log_likelihood(votes: np.ndarray, joint: np.ndarray, parents: list[int]) -> np.ndarray:
-    """Of the votes that are cast; where none is, of all the silence."""
+def _log_likelihood(votes: np.ndarray, joint: np.ndarray, parents: list[int], abstain: bool) -> np.ndarray:
+    """Of all votes; or, where silence abstains, of the votes that are cast, and of all the silence where none is."""
     cast, silent = np.zeros(len(votes)), np.zeros(len(votes))
     v = votes.astype(int)
     for i, p in enumerate(parents):
@@ -49,7 +51,7 @@ def _log_likelihood(votes: np.ndarray, joint: np.ndarray, parents: list[int]) ->
         table = np.stack([alone, alone]) if p < 0 else joint[p, i]
         table = np.log(table / table.sum(1, keepdims=True))
         before = np.zeros(len(votes), int) if p < 0 else v[:, p]
-        cast += np.where(v[:, i] == 1, table[before, 1], 0.0)
+        cast += np.where(v[:, i] == 1, table[before, 1], 0.0 if abstain else table[before, 0])
         silent += table[0, 0]
     return np.where(v.any(1), cast, silent)
 
@@ -66,6 +68,7 @@ def fit(votes: np.ndarray, counts: np.ndarray, prior: float, known: np.ndarray |
     known = np.full(len(votes), -1) if known is None else known
     given, other = counts[known >= 0].sum(), counts[known < 0].sum()
     counts = counts * np.where(known >= 0, max(1.0, other / max(given, 1.0)), 1.0)
+    abstain = bool((known >= 0).any())
     fresh = np.clip(votes.mean(1) * 3, 0.02, 0.98)
     parents = [-1] * votes.shape[1]
     for step in range(ROUNDS):
@@ -74,16 +77,16 @@ def fit(votes: np.ndarray, counts: np.ndarray, prior: float, known: np.ndarray |
         if step in (2, ROUNDS // 2):
             parents = _tree(joint, prior)
         before = fresh
-        odds = np.log(prior / (1 - prior)) + _log_likelihood(votes, joint[1], parents) - _log_likelihood(votes, joint[0], parents)
+        odds = np.log(prior / (1 - prior)) + _log_likelihood(votes, joint[1], parents, abstain) - _log_likelihood(votes, joint[0], parents, abstain)
         fresh = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         if np.abs(fresh - before).max(initial=0) < 1e-4 and step > ROUNDS // 2:
             break
-    return fresh, {"parents": parents, "joint": joint, "prior": prior}
+    return fresh, {"parents": parents, "joint": joint, "prior": prior, "abstain": abstain}
 
 
 def posterior(votes: np.ndarray, model: dict) -> np.ndarray:
-    joint, parents, prior = model["joint"], model["parents"], model["prior"]
-    odds = np.log(prior / (1 - prior)) + _log_likelihood(votes, joint[1], parents) - _log_likelihood(votes, joint[0], parents)
+    joint, parents, prior, abstain = (model[k] for k in ("joint", "parents", "prior", "abstain"))
+    odds = np.log(prior / (1 - prior)) + _log_likelihood(votes, joint[1], parents, abstain) - _log_likelihood(votes, joint[0], parents, abstain)
     return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 

@@ -9,7 +9,11 @@ candidate; words are then aligned inside the band around its middle diagonal
 (longest common subsequence), which gives the matched words, the coverage of
 the template and the span in the text.
 
-The index is a parameter of bounded size (`MOST_TEMPLATE_WORDS`); texts are
+A candidate for a long template must have one hit for every HIT_WORDS of its
+words, and a text under the coverage in words is none.
+
+The templates are the whole texts of public licences (`licence_texts`) and
+short notices. The index is a parameter of bounded size (`MOST_TEMPLATE_WORDS`); texts are
 worked in blocks, each candidate by itself.
 
 Nulls: a null text has no words. Texts without a match give no row; each
@@ -19,6 +23,8 @@ templates give no rows. Only the named columns are read.
 
 from __future__ import annotations
 
+from importlib import resources
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +33,9 @@ from pyspark.sql import functions as F
 from .common import Words, mix, row_blocks
 
 MOST_TEMPLATE_WORDS = 2_000_000
+HIT_WORDS = 64
 #: Short notices and the openings of public licences, as their texts have them; fixed values.
-TEMPLATES = {
+NOTICES = {
     "MIT notice": "Released under the MIT License.",
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
@@ -38,6 +45,8 @@ TEMPLATES = {
     "BSD redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "GPL header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
 }
+#: Notices, and the whole licences by name.
+TEMPLATES = NOTICES | {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in sorted(resources.files(__package__).joinpath("licence_texts").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
 
 
 def shingles(hashes: np.ndarray, gram: int) -> np.ndarray:
@@ -122,10 +131,14 @@ def found_in(index: Index, hashes: np.ndarray, band: int, coverage: float) -> li
         order = np.lexsort((where, diagonal))
         where, diagonal = where[order], diagonal[order]
         size = len(index.words[t])
+        if len(hashes) < coverage * size:
+            continue
         narrow = min(band, size // 4)  # repeats of a short template stay apart
         breaks = np.flatnonzero(np.diff(diagonal) > narrow) + 1
         seen: list[tuple[int, int, int, int]] = []
         for group in np.split(np.arange(len(where)), breaks):
+            if len(group) < size // HIT_WORDS:
+                continue
             middle = int(np.median(diagonal[group]))
             start = max(0, middle - narrow)
             matched, first, last = align(index.words[t], hashes[start : middle + size + narrow], middle - start, narrow)

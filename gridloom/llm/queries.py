@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from . import chat, decontaminate, licenses, outliers, packing, quality, secrets, simhash, token_counts, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: Target proportions of tokens in every window: the largest source is held to a fifth while others last, two small ones are doubled; the rest share what is left by their totals.
+MIXTURE = {"src0": 0.2, "src1": 0.1, "src2": 0.1}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +22,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), TOKENIZER))
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, targets=MIXTURE))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,9 +34,12 @@ def op4_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.digest(outliers.judged(table(spark, sf_dir, "documents")))
 
 
+def secret_forest(spark: SparkSession) -> secrets.Forest:
+    return secrets.train(secrets.labelled_findings(spark), secrets.vocabulary_words(TOKENIZER))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = secrets.train(secrets.labelled_findings(spark))
-    return secrets.digest(secrets.findings(table(spark, sf_dir, "documents"), model))
+    return secrets.digest(secrets.findings(table(spark, sf_dir, "documents"), secret_forest(spark)))
 
 
 #: One more conversation, whose texts are control strings of the template.

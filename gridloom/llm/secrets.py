@@ -5,10 +5,13 @@ head to foot, tokens with a known prefix, and, behind a word that names a
 secret and an assignment or behind `Bearer`, every token of four characters or
 more. A passphrase with spaces is a candidate up to its first space, and a
 shorter or digitless token that nothing names is none. The forest
-decides by the candidate's length, its character classes and transitions
-between them, its distinct characters, how much of it dictionary words cover,
-its path (slashes, dots, and the file path if there is one) and the words next
-to it. It is trained from labelled findings: rows of before, candidate, after,
+decides by the candidate's length, its character classes, its transitions (from
+class to class, and how usual its letter pairs are in words), its distinct
+characters, how much of it dictionary words cover, its path (slashes, dots, and
+the file path if there is one) and the words next to it. The dictionary is a
+list of words that the caller gives, such as the words of a public tokenizer's
+vocabulary (`vocabulary_words`); words are held as bits of a hash set, letter
+pairs as a table of logarithms, both made from the list. The forest is trained from labelled findings: rows of before, candidate, after,
 path and label. `labelled_findings` makes a fixed set of such rows, as no table
 here has any; pass your own for real use.
 
@@ -26,6 +29,12 @@ handed on by `redacted`, whatever their names.
 
 from __future__ import annotations
 
+import json
+import re
+from dataclasses import dataclass
+
+import numpy as np
+import xxhash
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -47,7 +56,7 @@ PREFIX = "(?:A[KS]IA|AIza|gh[opsur]_|github_pat_|xox[abprs]-|[srp]k_live_|sk-|gl
 PREFIXED = rf"(?<![A-Za-z0-9+/_-]){PREFIX}[A-Za-z0-9+/_-]{{12,}}={{0,2}}"
 CANDIDATE = rf"{PEM}|(?:{_NEAR})(?i:{_NAMED}){_VALUE}|(?<=[Bb]earer ){_VALUE}|{PREFIXED}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{{16,}}={{0,2}}"
 MASK = "[REDACTED]"
-#: Words for coverage: parts of identifiers, paths and prose that tokens are made of; fixed values.
+#: Parts of identifiers, paths and prose: a feature of their own, what the labelled findings are made of, and the dictionary where no other is given; fixed values.
 DICTIONARY = (
     "the and for not with from this that test main index file image page user name data list item node type view model table value key token order "
     "build release version config service server client local host path home lib src bin temp cache public static assets example sample default "
@@ -62,7 +71,62 @@ BEFORE_SECRET = r"(?i)(secret|token|passw|pwd|api.?key|access.?key|private|crede
 BEFORE_OTHER = r"(?i)(commit|revision|sha-?\d*|md5|checksum|digest|etag|uuid|guid|build|version|isbn|order|phone|card|invoice|hash)\W{0,6}$"
 
 
-def features(before: Column, token: Column, after: Column, path: Column) -> dict[str, Column]:
+def vocabulary_words(path: str, least: int = 3) -> list[str]:
+    """The words of a tokenizer's file: its tokens that begin a word and hold small letters alone."""
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    return sorted({t[1:] for t in vocabulary if re.fullmatch(f"\u0120[a-z]{{{least},}}", t)})
+
+
+def _let(value: Column, use) -> Column:
+    """use(value) with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+class Lexis:
+    """A dictionary as SQL literals: a hash set of BITS bits with two bits a word, and how usual each pair of letters is."""
+
+    BITS = 1 << 20
+
+    def __init__(self, words: list[str]):
+        bits = np.zeros(self.BITS // 64, np.uint64)
+        pairs = np.ones((27, 27))
+        for w in words:
+            h = xxhash.xxh64_intdigest(w.encode(), 42)
+            for at in (h % self.BITS, (h >> 20) % self.BITS):
+                bits[at // 64] |= np.uint64(1 << (at % 64))
+            place = [ord(c) - 96 if "a" <= c <= "z" else 0 for c in w]
+            for x, y in zip(place, place[1:]):
+                pairs[x, y] += 1
+        self.bits, self.pairs = bits.view(np.int64), np.log(pairs / pairs.sum(1, keepdims=True)).ravel()
+
+    def _known(self, word: Column) -> Column:
+        bit = lambda at: F.expr("1L").bitwiseAND(F.call_function("shiftrightunsigned", F.get(F.lit(self.bits), F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int"))) == 1
+        place = lambda by: F.shiftrightunsigned(F.xxhash64(word), by).bitwiseAND(F.lit(self.BITS - 1))
+        return bit(place(0)) & bit(place(20))
+
+    def covered(self, token: Column) -> Column:
+        """Characters in words of the dictionary, of three letters or more; words end where capitals begin."""
+        words = F.filter(F.transform(F.regexp_extract_all(token, F.lit("[A-Z]?[a-z]+|[A-Z]+"), F.lit(0)), F.lower), lambda w: F.length(w) >= 3)
+        return F.aggregate(F.filter(words, self._known), F.lit(0), lambda s, w: s + F.length(w)).cast("double")
+
+    def usual(self, token: Column) -> Column:
+        """The mean logarithm of its letter pairs' shares in words; that of the rarest where it has none."""
+        place = F.transform(F.split(F.lower(token), ""), lambda c: F.when(F.ascii(c).between(97, 122), F.ascii(c) - 96).otherwise(0))
+        pair = lambda x, y: F.when((x > 0) & (y > 0), F.get(F.lit(self.pairs), x * 27 + y))
+        found = _let(place, lambda p: F.array_compact(F.zip_with(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), pair)))
+        return _let(found, lambda f: F.when(F.size(f) > 0, F.aggregate(f, F.lit(0.0), lambda s, x: s + x) / F.size(f)).otherwise(float(self.pairs.min())))
+
+
+@dataclass
+class Forest:
+    """A trained forest and the dictionary that its features look into."""
+
+    model: RandomForestClassificationModel
+    lexis: Lexis
+
+
+def features(before: Column, token: Column, after: Column, path: Column, lexis: Lexis) -> dict[str, Column]:
     n = F.greatest(F.length(token), F.lit(1)).cast("double")
     part = lambda pattern: 1 - F.length(F.regexp_replace(token, pattern, "")) / n
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0"), "[^a-zA-Z0-9]+", "-")
@@ -80,7 +144,9 @@ def features(before: Column, token: Column, after: Column, path: Column) -> dict
         "pem": flag(token, "^-----BEGIN"),
         "prefix": flag(token, "^" + PREFIX),
         "same": flag(token, r"(.)\1{5}"),
-        "words": part("(?i)(" + "|".join(DICTIONARY) + ")"),
+        "parts": part("(?i)(" + "|".join(DICTIONARY) + ")"),
+        "words": lexis.covered(token) / n,
+        "usual": lexis.usual(token),
         "slashes": F.least(F.length(token) - F.length(F.translate(token, "/", "")), F.lit(9)).cast("double"),
         "path_before": flag(before, r"[/.\\]$"),
         "path_after": flag(after, r"^[./\\][A-Za-z]"),
@@ -93,8 +159,6 @@ def features(before: Column, token: Column, after: Column, path: Column) -> dict
     }
 
 
-
-
 def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     """A fixed set of labelled findings: keys of usual shapes in usual places, and what is mistaken for them."""
     row = spark.range(rows).withColumn("seed", F.sha2(F.concat(F.lit("finding "), F.col("id").cast("string")), 512))
@@ -137,14 +201,15 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     return row.select("id", before.alias("before"), token.alias("candidate"), F.when(positive, F.translate(after, ".", " ")).otherwise(after).alias("after"), path.alias("path"), F.when(positive, 1).otherwise(0).alias("label"))
 
 
-def train(findings: DataFrame, trees: int = 30, depth: int = 7, fit_rows: int = 50_000, seed: int = 11) -> RandomForestClassificationModel:
-    """The forest; at most fit_rows labelled findings, by a hash."""
-    columns = features(F.col("before"), F.col("candidate"), F.col("after"), F.coalesce("path", F.lit("")))
+def train(findings: DataFrame, words: list[str] | None = None, trees: int = 30, depth: int = 7, fit_rows: int = 50_000, seed: int = 11) -> Forest:
+    """The forest; at most fit_rows labelled findings, by a hash. words: the dictionary."""
+    lexis = Lexis(DICTIONARY if words is None else words)
+    columns = features(F.col("before"), F.col("candidate"), F.col("after"), F.coalesce("path", F.lit("")), lexis)
     usable = findings.where("candidate is not null and label in (0, 1)").select(F.coalesce("before", F.lit("")).alias("before"), "candidate", F.coalesce("after", F.lit("")).alias("after"), F.coalesce("path", F.lit("")).alias("path"), F.col("label").cast("double").alias("label"))
     chosen = usable.orderBy(F.xxhash64("candidate", "before"), "candidate", "before", "after").limit(fit_rows)
     rows = chosen.select("label", *[c.alias(k) for k, c in columns.items()])
     vectors = VectorAssembler(inputCols=list(columns), outputCol="features").transform(rows).select("label", "features")
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(vectors)
+    return Forest(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(vectors), lexis)
 
 
 def _split(docs: DataFrame, text_col: str, path_col: str | None) -> DataFrame:
@@ -160,33 +225,36 @@ def _split(docs: DataFrame, text_col: str, path_col: str | None) -> DataFrame:
     return rows.withColumn("start", start.cast("long"))
 
 
-def _scored(pieces: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
-    columns = features(F.col("before"), F.col("token"), F.left("rest", F.lit(30)), F.col("path"))
+def _scored(pieces: DataFrame, forest: Forest) -> DataFrame:
+    columns = features(F.col("before"), F.col("token"), F.left("rest", F.lit(30)), F.col("path"), forest.lexis)
     rows = pieces.withColumns({f"x_{k}": c for k, c in columns.items()})
     vectors = VectorAssembler(inputCols=[f"x_{k}" for k in columns], outputCol="features").transform(rows)
-    out = model.transform(vectors).withColumn("score", vector_to_array("probability")[1])
+    out = forest.model.transform(vectors).withColumn("score", vector_to_array("probability")[1])
     return out.select("row", "kept", "place", "rest", "token", "start", "score")
 
 
-def findings(docs: DataFrame, model: RandomForestClassificationModel, cut: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
+def findings(docs: DataFrame, forest: Forest, cut: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """One row per candidate: doc_id, start, length (characters), candidate, score and secret (whether the forest keeps it)."""
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(path_col).cast("string") if path_col else F.lit("")).alias("path"))
     pieces = _split(named, "text", "path")
     first = Window.partitionBy("row").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     pieces = pieces.withColumn("kept", F.first("kept", ignorenulls=True).over(first)).withColumn("kept", F.struct(F.col("kept.doc_id").alias("doc_id"))).where("place > 0")
-    return _scored(pieces, model).select("kept.doc_id", "start", F.length("token").cast("long").alias("length"), F.col("token").alias("candidate"), "score", (F.col("score") >= cut).alias("secret"))
+    return _scored(pieces, forest).select("kept.doc_id", "start", F.length("token").cast("long").alias("length"), F.col("token").alias("candidate"), "score", (F.col("score") >= cut).alias("secret"))
 
 
-def redacted(docs: DataFrame, model: RandomForestClassificationModel, cut: float = 0.5, text_col: str = "text", path_col: str | None = None, count_col: str | None = None) -> DataFrame:
+def redacted(docs: DataFrame, forest: Forest, cut: float = 0.5, text_col: str = "text", path_col: str | None = None, count_col: str | None = None) -> DataFrame:
     """docs with each confirmed secret replaced by MASK, and characters counted anew; texts without one stay as they are."""
+    names, kinds = docs.columns, [f.dataType for f in docs.schema.fields]
+    own = [f"c{i}" for i in range(len(names))]
+    place = lambda c: None if c is None else own[names.index(c)]
+    rows, text_at, counted = docs.toDF(*own), place(text_col), place(count_col)
     text = F.when((F.col("place") > 0) & (F.col("score") >= cut), F.lit(MASK)).otherwise(F.col("token"))
-    scored = _scored(_split(docs, text_col, path_col), model)
+    scored = _scored(_split(rows, text_at, place(path_col)), forest)
     pieces = scored.select("row", "kept", "place", F.concat(text, F.col("rest")).alias("piece"), ((F.col("place") > 0) & (F.col("score") >= cut)).alias("secret"))
     whole = pieces.groupBy("row").agg(F.first("kept", ignorenulls=True).alias("kept"), F.max("secret").alias("secret"), F.array_join(F.sort_array(F.collect_list(F.struct("place", "piece")))["piece"], "").alias("whole"))
-    kinds = dict(docs.dtypes)
-    count = lambda c: F.when(F.col("secret"), F.length("whole").cast(kinds[c])).otherwise(F.col(f"kept.`{c}`"))
-    again = whole.select(*[F.col("whole").alias(c) if c == text_col else count(c).alias(c) if c == count_col else F.col(f"kept.`{c}`").alias(c) for c in docs.columns])
-    return docs.where(~F.coalesce(F.col(text_col).rlike(CANDIDATE), F.lit(False))).unionByName(again)
+    count = lambda c, kind: F.when(F.col("secret"), F.length("whole").cast(kind)).otherwise(F.col(f"kept.{c}"))
+    again = whole.select(*[F.col("whole").alias(c) if c == text_at else count(c, k).alias(c) if c == counted else F.col(f"kept.{c}").alias(c) for c, k in zip(own, kinds)])
+    return rows.where(~F.coalesce(F.col(text_at).rlike(CANDIDATE), F.lit(False))).unionByName(again).toDF(*names)
 
 
 def digest(found: DataFrame) -> DataFrame:

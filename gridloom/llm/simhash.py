@@ -4,7 +4,11 @@ A fingerprint has 64 bits; two link at `max_bits` (1 or 2) or fewer differing
 bits. Cut in two halves, one half of a linked pair differs by at most one
 bit. So each distinct fingerprint is indexed under its 64 one-wildcard
 variants (half, deleted bit, the other 31 bits); linked pairs meet under an
-equal variant and are verified on all 64 bits.
+equal variant and are verified on all 64 bits. Of very many fingerprints too
+many would meet under 38 bits by chance; from WIDE_FROM on, variants are 54 bits
+wide and there are 128: a whole half and a quarter of the other without one
+bit, or a half without one bit and a whole quarter of the other. At two
+differing bits one of them is equal, too.
 
 Documents are first reduced to distinct fingerprints, so exact copies, however
 many, are one entry. A variant of two fingerprints gives its pair from an
@@ -37,6 +41,8 @@ SHINGLE_BLOCK = 100_000
 #: Keys that a broadcast may hold: 16 bytes each.
 BROADCAST_KEYS = 1_000_000
 HEAVY = 2000
+#: Distinct fingerprints from which on variants are wide.
+WIDE_FROM = 1 << 26
 
 
 def fingerprint(text: bytes, words_per_shingle: int) -> int:
@@ -82,6 +88,20 @@ def _one_wildcard(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
+def _wide_wildcard(fps: DataFrame) -> DataFrame:
+    """(key, fp): key holds which variant it is, and 47 or 48 bits of the fingerprint."""
+    low, high = F.col("fp").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned("fp", 32)
+    quarter = lambda half, q: F.shiftright(half, 16 * q).bitwiseAND(F.lit(0xFFFF))
+    joined = lambda kind, half, rest: F.lit(kind << 48) + F.shiftleft(half, 16) + rest
+    keys = []
+    for h, (whole, other) in enumerate(((low, high), (high, low))):
+        for q in (0, 1):
+            keys += [joined((2 * h + q) * 16 + bit, whole, quarter(other, q).bitwiseAND(F.lit(0xFFFF ^ (1 << bit)))) for bit in range(16)]
+    for bit in range(32):
+        keys += [joined(64 + 2 * bit + q, high.bitwiseAND(F.lit(((1 << 32) - 1) ^ (1 << bit))), quarter(low, q)) for q in (0, 1)]
+    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
+
+
 def _crowded_links(fps: DataFrame, max_bits: int) -> DataFrame:
     """Links to the smallest of the at most 2^max_bits fingerprints that agree outside max_bits deleted bits."""
     wild = fps.withColumn("mask", F.explode(F.array(*[F.lit(_signed(sum(1 << b for b in c))) for c in combinations(range(64), max_bits)])))
@@ -90,12 +110,16 @@ def _crowded_links(fps: DataFrame, max_bits: int) -> DataFrame:
     return met.select(F.array_min("fps").alias("b"), F.explode("fps").alias("a")).where("a <> b").select("a", "b").distinct()
 
 
-def links(fps: DataFrame, max_bits: int = 2, crowd: int = 256) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of distinct fps at max_bits or fewer differing bits."""
+def links(fps: DataFrame, max_bits: int = 2, crowd: int = 256, wide: bool | None = None) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of distinct fps at max_bits or fewer differing bits.
+
+    wide: which variants; by default by the number of fps.
+    """
     if max_bits not in (1, 2):
         raise ValueError("the variants of crowded fingerprints are few enough for 1 or 2 deleted bits only")
-    # 64 rows come from each: dealt out first, as few bytes of them make few partitions
-    keyed = _one_wildcard(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    # 64 rows or more come from each: dealt out first, as few bytes of them make few partitions
+    variants = _wide_wildcard if (fps.count() >= WIDE_FROM if wide is None else wide) else _one_wildcard
+    keyed = variants(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     buckets = stash(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "buckets")
     found = buckets.where("n = 2").where(_near("a", "b", max_bits)).select("a", "b")
     sizes = {r["kind"]: r["count"] for r in buckets.groupBy(F.when(F.col("n") > crowd, "crowd").when(F.col("n") > 2, "few").otherwise("two").alias("kind")).count().collect()}

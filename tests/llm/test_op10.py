@@ -51,7 +51,21 @@ def test_links_keep_components_in_all_three_ways(spark):
 
     expected = roots([(a, b) for a in values for b in values if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2])
     for crowd in (1, 3, 256):
-        assert roots([tuple(r) for r in simhash.links(fps, 2, crowd).select("a", "b").collect()]) == expected
+        for wide in (False, True):
+            assert roots([tuple(r) for r in simhash.links(fps, 2, crowd, wide).select("a", "b").collect()]) == expected
+
+
+def test_wide_variants_meet_at_any_two_bits(spark):
+    rnd = random.Random(6)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    pairs = []
+    for a in range(64):
+        for b in range(a, 64):
+            v = rnd.getrandbits(64)
+            pairs.append((signed(v), signed(v ^ (1 << a) ^ (1 << b if b != a else 0))))
+    fps = spark.createDataFrame([(v,) for p in pairs for v in p], "fp long")
+    found = {frozenset((r.a, r.b)) for r in simhash.links(fps, 2, 256, True).collect()}
+    assert found >= {frozenset(p) for p in pairs}
 
 
 def test_nulls_empty_ties_and_clashing_columns(spark):

@@ -66,3 +66,35 @@ def test_nested_table_layout_and_unknown_columns(spark):
     check(chat.turns_of_table(df, "conv_id"), {1: [("user", "q"), ("assistant", "a")], 2: [], 3: []})
     with pytest.raises(ValueError):
         chat.turns_of_table(spark.range(3), "id")
+
+
+def test_roles_come_back_as_they_were(spark):
+    rows = [(1, 0, "gpt", "a"), (1, 1, "a\x00b", "b"), (1, 2, "\\\\n\\", "c"), (1, 3, "<|im_end|>\\\n", "d"), (1, 4, "assistant", "e")]
+    check(chat.turns_of_table(spark.createDataFrame(rows, ID_ROWS), "conv_id"), {1: [(r, t) for _, _, r, t in rows]})
+
+
+def test_records_of_one_id_stay_apart_and_nulls_take_nothing_away(spark):
+    records = [
+        (1, {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}),
+        (1, {"messages": [{"role": "user", "content": "other"}]}),
+        (2, {"messages": [{"role": "system", "content": None}, {"role": "user", "content": "q"}]}),
+        (3, {"prompt": "kept out", "messages": [{"role": "user", "content": "q", "name": None}]}),
+        (4, {"prompt": "q", "completion": None, "question": None}),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in records], "id long, record string")
+    got = sorted((r.id, r.mapping, [tuple(t) for t in r.turns]) for r in chat.read_back(chat.formatted(chat.turns_of_json(df, "id", "record"))).collect())
+    assert got == [
+        (1, "messages", [("user", "other")]),
+        (1, "messages", [("user", "q"), ("assistant", "a")]),
+        (2, "messages", [("system", ""), ("user", "q")]),
+        (3, "messages", [("user", "q")]),
+        (4, "prompt and completion", [("user", "q")]),
+    ]
+
+
+def test_fingerprints_are_those_of_sql(spark):
+    paths = ["messages[].content", "messages[].role"]
+    assert spark.sql("select xxhash64(array_join(array('messages[].content', 'messages[].role'), '\n')) as h").first().h == chat.fingerprint(paths)
+    assert chat.selected(set(paths) | {"extra"}).name == "messages" and chat.selected({"role", "text"}) is None
+    df = spark.createDataFrame([(1, 0, "user", "q")], ID_ROWS)
+    assert chat.formatted(chat.turns_of_table(df, "conv_id")).first().fingerprint == chat.fingerprint(["role", "text", "turn"])

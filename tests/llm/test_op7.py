@@ -69,3 +69,15 @@ def test_nulls_repeats_long_texts_and_clashing_columns(spark):
     got = licenses.scan(df).collect()
     assert sorted((r.doc_id or 0) for r in got) == [0, 3, 3, 3, 3, 4] and all(r.coverage == 1 for r in got)
     assert licenses.scan(df.limit(0)).count() == 0 and licenses.scan(df, {}).count() == 0
+
+
+def test_whole_licences_are_found_and_notices_are_not_them(spark):
+    apache, gpl = licenses.TEMPLATES["Apache-2.0"], licenses.TEMPLATES["GPL-3"]
+    rnd = random.Random(2)
+    w = gpl.split()
+    for _ in range(120):
+        w[rnd.randrange(len(w))] = "changed"
+    rows = [(1, "Intro text.\n" + apache), (2, " ".join(w) + " end"), (3, apache[:2000]), (4, "This work is licensed under the GNU General Public License, version 3. " * 30)]
+    got = {(r.doc_id, r.template): r.coverage for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1, "Apache-2.0"] == 1 and 0.9 < got[2, "GPL-3"] < 1
+    assert not [k for k in got if k[0] in (3, 4) and k[1] in ("Apache-2.0", "GPL-3", "GPL-2", "LGPL-3")]

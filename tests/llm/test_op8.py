@@ -47,3 +47,15 @@ def test_label_model_finds_accuracies_and_a_correlation():
     for (alarm, hit), (h, a) in zip(label_model.accuracies(model), [(0.9, 0.05), (0.7, 0.1), (0.8, 0.02), (0.6, 0.05)]):
         assert abs(hit - h) < 0.08 and abs(alarm - a) < 0.05
     assert ((found[inverse] > 0.5) == y).mean() > 0.95
+
+
+def test_anchors_tell_which_lone_voter_errs():
+    rnd = np.random.default_rng(4)
+    y = rnd.random(40_000) < 0.1
+    vote = lambda hit, alarm: (rnd.random(len(y)) < np.where(y, hit, alarm)).astype(int)
+    votes = np.stack([vote(0.5, 0.001), vote(0.5, 0.001), vote(0.01, 0.05)], 1)
+    known = np.where(rnd.random(len(y)) < 0.2, y.astype(int), -1)
+    both, inverse, counts = np.unique(np.concatenate([votes, known[:, None]], 1), axis=0, return_inverse=True, return_counts=True)
+    found, _ = label_model.fit(both[:, :3], counts.astype(float), 0.1, both[:, 3])
+    sure = found[inverse] >= 0.7
+    assert sure[votes[:, :2].any(1) & y].all() and not sure[(votes[:, 2] == 1) & ~votes[:, :2].any(1)].any()

@@ -92,3 +92,25 @@ def test_index_orders_counts_and_locates():
         lo, hi = index.search(table, np.array([len(p) for p in patterns]))
         for k, p in enumerate(patterns):
             assert sorted(index.locate(np.arange(lo[k], hi[k]))) == [i for i in range(n - len(p) + 1) if tuple(text[i : i + len(p)]) == p]
+
+
+def test_phrases_of_a_part_are_small_arrays():
+    import tracemalloc
+
+    rnd = np.random.default_rng(3)
+    vocabulary = np.array([f"w{i}" for i in range(60_000)])
+    rows = [(i, " ".join(vocabulary[rnd.integers(0, len(vocabulary), 400)])) for i in range(3400)]
+    assert sum(len(t) for _, t in rows) > 8_000_000
+    tracemalloc.start()
+    phrases = decontaminate.Phrases(rows, 10)
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(phrases.patterns) == 3400 * 391 and held < 150e6 and most < 800e6
+
+
+def test_windows_of_several_items_and_short_ones():
+    phrases = decontaminate.Phrases([(7, "a b c d"), (3, "x b c d"), (None, "b c d"), (5, "a b"), (9, "a b"), (4, None)], 3)
+    text = {tuple(p[p > 0].tolist()): phrases.items[a:b].tolist() for p, a, b in zip(phrases.patterns, phrases.first, phrases.first[1:])}
+    symbol = {w: int(np.searchsorted(phrases.vocabulary, decontaminate.Words([w.encode()]).hashes()[0])) + 1 for w in "abcdx"}
+    of = lambda s: tuple(symbol[w] for w in s.split())
+    assert text == {of("a b c"): [7], of("b c d"): [3, 7], of("x b c"): [3], of("a b"): [5, 9]}
