@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..plans.storage import cut, release  # noqa: F401
 
 #: Bytes of text that one vectorised step in a worker holds at a time (a longer single text is one step).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:

@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import Words, row_blocks
 from .fm_index import FMIndex
 
+#: Bytes of text of a shard, which has an index of its own; a longer document is a shard.
+SHARD_BYTES = 4 << 20
 SPANS = "array<struct<first:long,last:long,from_byte:long,to_byte:long>>"
 
 
@@ -113,7 +115,7 @@ def _pass(docs: DataFrame, rows: list, window: int, text_col: str) -> DataFrame:
 
     def work(batches):
         phrases = shipped.value
-        for part, texts in row_blocks(batches, text_col):
+        for part, texts in row_blocks(batches, text_col, SHARD_BYTES):
             words = Words(texts)
             hit, items = _hits(words, phrases)
             for spans, i in ((s, i) for i, s in enumerate(part.column(names.index("spans")).to_pylist()) if s):

@@ -38,14 +38,14 @@ from pyspark.sql import functions as F
 from ..plans.storage import release, scratch
 from .common import SOLID, Words, mix, row_blocks, sized_broadcast, stash
 from .components import components
-from .simhash import links
+from .simhash import SHINGLE_BLOCK, links
 
 #: Pairs of texts that a worker turns into Python objects at a time.
 PAIR_ROWS = 100
 #: Pairs of one text that one copy of it serves.
 PAIRS_A_COPY = 256
 #: Shingles among which a worker counts those of several texts; from so many texts on a shingle is often; so many of these order the rest.
-COUNT_BLOCK = 4_000_000
+COUNT_BLOCK = 2_000_000
 OFTEN = 8
 MOST_OFTEN = 200_000
 #: Bits of a text's parity bitmap.
@@ -78,22 +78,19 @@ def shingle_sets(texts: list[bytes], words_per_shingle: int) -> tuple[np.ndarray
     return text[new], grams[new]
 
 
-def fingerprints_of(text: np.ndarray, grams: np.ndarray, texts: int) -> np.ndarray:
-    """Signed 64-bit SimHash of each text's shingle set; zero without any."""
-    size = np.bincount(text, minlength=texts)
-    out = np.zeros((texts, 64), np.int64)
-    some = np.flatnonzero(size)
-    if len(some):
-        bits = np.unpackbits(grams.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        out[some] = np.add.reduceat(bits, (np.cumsum(size) - size)[some], axis=0, dtype=np.int64)
-    return np.packbits(2 * out > size[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
+def fingerprint_of(grams: np.ndarray) -> int:
+    """Signed 64-bit SimHash of a text's shingle set, in blocks; zero without any."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(grams), SHINGLE_BLOCK):
+        part = grams[at : at + SHINGLE_BLOCK]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(2 * ones > len(grams), bitorder="little").view("<i8")[0])
 
 
-def bitmaps(text: np.ndarray, grams: np.ndarray, texts: int) -> np.ndarray:
-    """Per text, for each of BITMAP buckets whether an odd number of its shingles falls in it, as signed 64-bit words."""
-    bucket = (grams % np.uint64(BITMAP)).astype(np.int64)
-    odd = (np.bincount(text * BITMAP + bucket, minlength=texts * BITMAP) & 1).astype(np.uint8).reshape(texts, BITMAP)
-    return np.packbits(odd, axis=1, bitorder="little").view("<i8")
+def bitmap_of(grams: np.ndarray) -> np.ndarray:
+    """For each of BITMAP buckets whether an odd number of a text's shingles falls in it, as signed 64-bit words."""
+    odd = np.bincount((grams % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def _longs(values: np.ndarray) -> pa.Array:
@@ -147,9 +144,11 @@ def _prefixes(rows: DataFrame, words_per_shingle: int, similarity: float, often:
             place = np.arange(len(grams)) - (np.cumsum(size) - size)[text]
             most = np.where(size > 0, size - np.ceil(similarity * size - SLACK).astype(np.int64) + 1, 0)
             keys = grams[order][place < most[text]]
-            maps = bitmaps(text, grams, n)
+            cut = np.searchsorted(text, np.arange(n + 1))
+            own = [grams[i:j] for i, j in zip(cut, cut[1:])]
+            maps = np.concatenate([bitmap_of(g) for g in own])
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), part.column(3), pa.array(fingerprints_of(text, grams, n)), pa.array(size.astype(np.int64)), lists(maps.ravel(), np.full(n, maps.shape[1])), lists(keys.view(np.int64), np.minimum(most, size))], names
+                [part.column(0), part.column(2), part.column(3), pa.array([fingerprint_of(g) for g in own], pa.int64()), pa.array(size.astype(np.int64)), lists(maps, np.full(n, BITMAP // 64)), lists(keys.view(np.int64), np.minimum(most, size))], names
             )
 
     return rows.select("doc_id", "text", *MEMBER).mapInArrow(work, "doc_id long, m0 long, m1 long, fp long, size long, bitmap array<long>, keys array<long>")
