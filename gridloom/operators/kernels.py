@@ -135,8 +135,52 @@ def path(free: np.ndarray, start: tuple[int, int], goals: list[tuple[int, int]],
     return float(out[best]), cells[::-1]
 
 
-def watershed(mask: np.ndarray, spacing: float = 4.0, least_peak: float = 1.0) -> np.ndarray:
-    """Rooms by flooding from spaced peaks of the distance to the outside, highest first."""
+def flood(labels: np.ndarray, domain: np.ndarray, steps=STEPS8, height: np.ndarray | None = None) -> np.ndarray:
+    """Labels spread through the domain from the highest cells down, cells of one height first come first; without heights, breadth first."""
+    out = np.where(domain, labels, 0).astype(np.int32)
+    level = np.zeros(out.shape) if height is None else -height
+    heap = [(level[r, c], k, r, c) for k, (r, c) in enumerate(np.argwhere(out > 0).tolist())]
+    heapq.heapify(heap)
+    count, (h, w) = len(heap), out.shape
+    while heap:
+        _, _, r, c = heapq.heappop(heap)
+        for dr, dc in steps:
+            nr, nc = r + dr, c + dc
+            if 0 <= nr < h and 0 <= nc < w and domain[nr, nc] and not out[nr, nc]:
+                out[nr, nc] = out[r, c]
+                heapq.heappush(heap, (level[nr, nc], count, nr, nc))
+                count += 1
+    return out
+
+
+def in_order(labels: np.ndarray) -> np.ndarray:
+    """Labels as 1..n in ascending order."""
+    return np.where(labels > 0, np.searchsorted(np.unique(labels[labels > 0]), labels) + 1, 0).astype(np.int32)
+
+
+def bottleneck(mask: np.ndarray, least_side: int) -> np.ndarray | None:
+    """A component in two at its narrowest column or row, of at most 0.45 of the widest: sides large enough, the better balanced of the two ways."""
+    found = []
+    for axis in (0, 1):
+        width = mask.sum(axis)
+        used = np.flatnonzero(width)
+        if not len(used) or used[-1] - used[0] + 1 < 8:
+            continue
+        span = np.arange(used[0], used[-1] + 1)
+        low = np.cumsum(width)[span]
+        high = mask.sum() - low
+        ok = (width[span] > 0) & (width[span] <= 0.45 * width.max()) & (low >= least_side) & (high >= least_side)
+        if ok.any():
+            score = np.where(ok, width[span] + 1e-4 * np.abs(low - high), np.inf)
+            at = span[int(np.argmin(score))]
+            side = np.arange(mask.shape[1 - axis]) > at
+            side = side[None, :] if axis == 0 else side[:, None]
+            found.append((abs(int(2 * np.cumsum(width)[at] - mask.sum())), axis, np.where(mask, 1 + side, 0).astype(np.int32)))
+    return min(found, key=lambda f: f[:2])[2] if found else None
+
+
+def watershed(mask: np.ndarray, spacing: float = 4.0, least_peak: float = 1.0, least_side: int = 4) -> np.ndarray:
+    """Rooms by flooding from spaced peaks of the distance to the outside, highest first; a component of one room is split at a bottleneck."""
     d2 = squared_distance(np.pad(~mask, 1, constant_values=True))[1:-1, 1:-1]
     d2 = np.where(mask, d2, 0)
     peak = mask & (d2 >= np.maximum.reduce([shifted(d2, r, c, 0) for r, c in STEPS8])) & (d2 >= least_peak)
@@ -144,112 +188,213 @@ def watershed(mask: np.ndarray, spacing: float = 4.0, least_peak: float = 1.0) -
     for r, c in sorted(map(tuple, np.argwhere(peak).tolist()), key=lambda p: (-d2[p], p)):
         if all((r - a) ** 2 + (c - b) ** 2 >= spacing * spacing for a, b in seeds):
             seeds.append((r, c))
-    labels, heap = np.zeros(mask.shape, np.int32), []
+    labels = np.zeros(mask.shape, np.int32)
     for k, (r, c) in enumerate(sorted(seeds), 1):
         labels[r, c] = k
-        heapq.heappush(heap, (-d2[r, c], r, c))
-    while heap:
-        _, r, c = heapq.heappop(heap)
-        for nr, nc, _ in _steps_from(mask, r, c, False):
-            if not labels[nr, nc]:
-                labels[nr, nc] = labels[r, c]
-                heapq.heappush(heap, (-d2[nr, nc], nr, nc))
-    left, n = label(mask & (labels == 0))
-    return np.where(left > 0, left + labels.max(), labels)
-
-
-def erosion_rooms(mask: np.ndarray, least_cells: int, least_ratio: float = 0.0, rounds: int = 100) -> np.ndarray:
-    """Components that fall apart into two or more large enough parts under erosion are split, part by part; seeds then grow back."""
-    seeds, k = np.zeros(mask.shape, np.int32), 0
-    stack = [lab == i for lab, n in [label(mask)] for i in range(n, 0, -1)]
+    labels = flood(labels, mask, STEPS4, d2)
+    left, _ = label(mask & (labels == 0))
+    labels = np.where(left > 0, left + labels.max(), labels)
+    parts, n = label(mask)
+    for i in range(1, n + 1):
+        own = parts == i
+        if len(np.unique(labels[own])) == 1 and (halves := bottleneck(own, least_side)) is not None:
+            labels = np.where(halves == 2, labels.max() + 1, labels)
+    return labels
+
+
+#: Order in which a room's cells claim their neighbours under erosion: sides first.
+SIDES_FIRST = ((-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (-1, 1), (1, -1), (1, 1))
+
+
+def erosion_rooms(mask: np.ndarray, least_cells: int = 500, least_ratio: float = 0.02, rounds: int = 256, least_part: int = 40) -> np.ndarray:
+    """Rooms by cores that outlive erosion, on the mask opened by a cross and closed by a square.
+
+    A component (8 neighbours, least_part cells or more) is eroded by a cross;
+    where two or more pieces of least_cells and of least_ratio of it are left,
+    each is taken on its own, else its last cells before it vanishes are one
+    core. Cores grow back breadth first over the cleaned mask.
+    """
+    cross, square = ((0, 0), *STEPS4), ((0, 0), *STEPS8)
+    clean = shrunk(grown(grown(shrunk(mask, cross), cross), square), square)
+    cores, k = np.zeros(mask.shape, np.int32), 0
+
+    def pieces(cells: np.ndarray) -> list[np.ndarray]:
+        found, n = label(cells, STEPS8)
+        return [found == i for i in range(1, n + 1)]
+
+    stack = [p for p in pieces(clean) if p.sum() >= least_part][::-1]
     while stack:
         part = stack.pop()
-        area, now, children = int(part.sum()), part, []
+        area, core, children = int(part.sum()), part, []
         for _ in range(rounds):
-            now = shrunk(now, ((0, 0), *STEPS4))
-            pieces, n = label(now)
-            large = [i for i in range(1, n + 1) if (pieces == i).sum() >= max(least_cells, least_ratio * area)]
-            if len(large) >= 2:
-                children = [pieces == i for i in large]
+            less = shrunk(core, cross)
+            if not less.any():
                 break
-            if not large:
+            children = [p for p in pieces(less) if p.sum() >= least_cells and p.sum() / max(1, area) >= least_ratio]
+            if len(children) >= 2:
                 break
-        if children:
+            core = less
+        if len(children) >= 2:
             stack += children[::-1]
-        elif area >= least_cells:
+        else:
             k += 1
-            seeds[part] = k
-    return wavefront(seeds, mask, STEPS4)
+            cores[core] = k
+    return flood(cores, clean, SIDES_FIRST)
 
 
 def morphological_rooms(free: np.ndarray, low: int, high: int, rounds: int = 200) -> np.ndarray:
-    """Erode again and again; a component in the band of areas becomes a seed and leaves; seeds then spread."""
+    """Erode again and again; a component in the band of areas becomes a seed and leaves; seeds then spread. Ground without a seed has no room."""
     work, seeds, k = free.copy(), np.zeros(free.shape, np.int32), 0
     for _ in range(rounds):
-        if not work.any():
-            break
+        work = shrunk(work, ((0, 0), *STEPS8))
         parts, n = label(work, STEPS8)
-        for i in range(1, n + 1):
-            own = parts == i
-            if low <= own.sum() <= high:
+        sizes = np.bincount(parts.ravel(), minlength=n + 1)
+        for i in np.flatnonzero((sizes >= low) & (sizes <= high)):
+            if i:
                 k += 1
-                seeds[own] = k
-                work &= ~own
+                seeds[parts == i] = k
+                work = work & (parts != i)
+        if not work.any():
+            break
+    return in_order(flood(seeds, free))
+
+
+def distance_rooms(free: np.ndarray, low: int, high: int, erosions: int = 1) -> np.ndarray:
+    """Seeds are the components of cells at a rounded distance or more from the edge of the eroded ground, at the distance that gives most of them in the band of areas, the smallest at a tie.
+
+    A component of the ground without a seed gets one cell, the farthest from
+    the edge; seeds flood the ground from the farthest cells down.
+    """
+    work = free
+    for _ in range(erosions):
         work = shrunk(work, ((0, 0), *STEPS8))
-    return wavefront(seeds, free)
-
-
-def distance_rooms(free: np.ndarray, low: int, high: int) -> np.ndarray:
-    """Seeds at the distance threshold that gives most components in the band of areas; components without a seed are one; seeds spread."""
-    d2 = np.where(free, squared_distance(np.pad(~free, 1, constant_values=True))[1:-1, 1:-1], 0)
-    best = (0, None)
-    for t in np.unique(np.floor(np.sqrt(d2[free]))) if free.any() else []:
-        parts, n = label(d2 > t * t, STEPS8)
-        sizes = np.bincount(parts.ravel(), minlength=n + 1)[1:]
-        good = np.flatnonzero((sizes >= low) & (sizes <= high)) + 1
-        if len(good) > best[0]:
-            best = (len(good), np.where(np.isin(parts, good), np.searchsorted(good, parts) + 1, 0))
-    seeds = (best[1] if best[1] is not None else np.zeros(free.shape)).astype(np.int32)
+    far = np.where(work, np.sqrt(squared_distance(~work)), 0).astype(np.float32)
+    steps = np.clip(np.rint(far), 0, 255)
+    most, seeds = -1, np.zeros(free.shape, np.int32)
+    for t in np.unique(steps[work & (steps > 0)])[::-1]:
+        parts, n = label(work & (steps >= t), STEPS8)
+        sizes = np.bincount(parts.ravel(), minlength=n + 1)
+        sizes[0] = 0
+        good = (sizes >= low) & (sizes <= high) & (np.arange(n + 1) > 0)
+        if good.sum() >= most:
+            most, seeds = int(good.sum()), np.where(good[parts], np.cumsum(good)[parts], 0).astype(np.int32)
     parts, n = label(free, STEPS8)
     for i in range(1, n + 1):
-        if not seeds[parts == i].any():
-            seeds[parts == i] = seeds.max() + 1
-    return wavefront(seeds, free)
-
-
-def voronoi_rooms(free: np.ndarray, neighbourhood: int, least_cells: int) -> np.ndarray:
-    """Cut at narrow points of the ridge of the distance field, label, and merge small parts into the neighbour with most border."""
-    d2 = np.where(free, squared_distance(np.pad(~free, 1, constant_values=True))[1:-1, 1:-1], 0)
-    ridge = free & (sum((d2 >= shifted(d2, r, c, 0)).astype(int) for r, c in STEPS8) >= 6)
-    cut = np.zeros(free.shape, bool)
-    for r, c in np.argwhere(ridge).tolist():
-        r0, c0 = max(0, r - neighbourhood), max(0, c - neighbourhood)
-        window = np.where(ridge, d2, np.inf)[r0 : r + neighbourhood + 1, c0 : c + neighbourhood + 1]
-        wide = np.where(ridge, d2, 0)[r0 : r + neighbourhood + 1, c0 : c + neighbourhood + 1]
-        if d2[r, c] <= window.min() and wide.max() > 2.25 * max(d2[r, c], 1):
-            reach = int(math.ceil(math.sqrt(d2[r, c]))) + 1
-            near = [(a, b) for a in range(max(0, r - reach), min(free.shape[0], r + reach + 1)) for b in range(max(0, c - reach), min(free.shape[1], c + reach + 1)) if not free[a, b]]
-            if near:
-                a = min(near, key=lambda p: ((p[0] - r) ** 2 + (p[1] - c) ** 2, p))
-                b = max(near, key=lambda p: (-(p[0] - 2 * r + a[0]) ** 2 - (p[1] - 2 * c + a[1]) ** 2, p))
-                for (x, y) in (a, b):
-                    n = max(abs(x - r), abs(y - c), 1)
-                    for i in range(n + 1):
-                        cut[round(r + (x - r) * i / n), round(c + (y - c) * i / n)] = True
-    labels, _ = label(free & ~cut)
-    labels = nearest_fill(labels, free)
-    while True:
-        ids, sizes = np.unique(labels[labels > 0], return_counts=True)
-        small = [(n, i) for i, n in zip(ids.tolist(), sizes.tolist()) if n < least_cells]
-        for _, i in sorted(small):
-            own = labels == i
-            border = labels[grown(own, STEPS4) & ~own & (labels > 0)]
-            if len(border):
-                values, counts = np.unique(border, return_counts=True)
-                labels[own] = values[np.argmax(counts)]
+        own = parts == i
+        if not seeds[own].any():
+            seeds.flat[np.argmax(np.where(own, far, -1))] = seeds.max() + 1
+    return in_order(flood(seeds, free, STEPS8, far))
+
+
+def _borders(labels: np.ndarray) -> dict[int, dict[int, int]]:
+    """By label, the sides that it shares with each neighbour (0: none), neighbours in the order in which they are met."""
+    padded = np.pad(labels, 1)
+    near = np.stack([padded[1 + r : 1 + r + labels.shape[0], 1 + c : 1 + c + labels.shape[1]] for r, c in STEPS4], axis=-1)
+    own = np.broadcast_to(labels[..., None], near.shape)
+    out: dict[int, dict[int, int]] = {}
+    differ = (own > 0) & (near != own)
+    for x, y in zip(own[differ].tolist(), near[differ].tolist()):
+        sides = out.setdefault(x, {})
+        sides[y] = sides.get(y, 0) + 1
+    return out
+
+
+def merged_small(labels: np.ndarray, merge_below: float, force_below: float, cell_area: float = 1.0, rounds: int = 1000) -> np.ndarray:
+    """Small rooms given to the neighbour with most border, the smallest first, one at a time.
+
+    Under force_below always; under merge_below where more than a fifth of its
+    sides is shared, or it has one neighbour and at most three quarters wall.
+    """
+    now = in_order(labels)
+    for _ in range(rounds):
+        borders, sizes = _borders(now), np.bincount(now.ravel())
+        for i in sorted(range(1, len(sizes)), key=lambda k: sizes[k]):
+            sides = borders.get(i, {})
+            rooms = {k: n for k, n in sides.items() if k > 0}
+            if not rooms:
+                continue
+            total, target, area = max(1, sum(sides.values())), max(rooms, key=rooms.get), sizes[i] * cell_area
+            loose = rooms[target] / total > 0.2 or (len(rooms) <= 1 and sides.get(0, 0) / total <= 0.75)
+            if area < force_below or (area < merge_below and loose):
+                now = in_order(np.where(now == i, target, now))
                 break
         else:
-            return np.where(labels > 0, np.searchsorted(np.unique(labels[labels > 0]), labels) + 1, 0).astype(np.int32)
+            break
+    return now
+
+
+def _wall_pair(walls: np.ndarray, at: np.ndarray, apart: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """The nearest wall cell, and the nearest at least `apart` from it: in a window about the point, which doubles while none is found."""
+    off = np.abs(walls - at).max(axis=1)
+    base = max(3, math.ceil(apart) + 3)
+    for reach in (base, 2 * base, 4 * base, np.inf):
+        near = walls[off <= reach]
+        if len(near) >= 2:
+            near = near[np.argsort(((near - at) ** 2).sum(1), kind="stable")]
+            far = np.flatnonzero(np.hypot(*(near[1:] - near[0]).T) >= max(1.0, apart))
+            if len(far):
+                return near[0], near[1 + far[0]]
+    return None
+
+
+def voronoi_rooms(free: np.ndarray, resolution: float = 0.05, merge_below: float = 12.5, force_below: float = 2.0, low: float = 0.1, high: float = 1e6, neighbourhood: int = 280, rounds: int = 150, spread: float = 0.5, least_angle: float = 95.0, least_distance: float = 1.0, prunings: int = 30) -> np.ndarray:
+    """Rooms between lines across narrow points of the ridge of the distance field; small ones are merged. Areas are in square metres.
+
+    The ridge's free ends are pruned; of each of its components the narrowest
+    points are taken, apart by a stride that falls with its width; a point
+    whose two nearest walls lie at least_angle about it is cut from wall to
+    wall, the straightest first, none close to a cut made before.
+    """
+    if not free.any():
+        return np.zeros(free.shape, np.int32)
+    d = np.where(free, np.sqrt(squared_distance(~free)), 0)
+    top = np.maximum.reduce([d, *(shifted(d, r, c, 0) for r, c in STEPS8)])
+    ridge = free & (d >= top - 1e-6) & (d > least_distance)
+    ridge = ridge if ridge.any() else free & (d > least_distance)
+    for _ in range(min(prunings, rounds)):
+        ends = ridge & (sum(shifted(ridge, r, c).astype(int) for r, c in STEPS8) <= 1)
+        if not ends.any():
+            break
+        ridge = ridge & ~ends
+    parts, n = label(ridge, STEPS8)
+    walls, cuts = np.argwhere(~free), []
+    for i in range(1, n + 1):
+        cells = np.argwhere(parts == i)
+        width = d[tuple(cells.T)]
+        reach = max(3, int(min(rounds, max(1, neighbourhood) / max(float(np.median(width)), 1.0))))
+        taken: list[np.ndarray] = []
+        for p in cells[np.argsort(width, kind="stable")]:
+            if len(taken) >= len(cells) // reach + 1:
+                break
+            if all(((p - q) ** 2).sum() > max(1, reach // 2) ** 2 for q in taken):
+                taken.append(p)
+        cuts += taken
+    lines = []
+    for p in sorted(cuts, key=tuple):
+        pair = _wall_pair(walls, p, float(d[tuple(p)])) if len(walls) > 1 else None
+        if pair is not None:
+            u, v = (x - p for x in pair)
+            cosine = u @ v / max(np.hypot(*u) * np.hypot(*v), 1e-12)
+            angle = math.degrees(math.acos(max(-1.0, min(1.0, cosine))))
+            if angle >= least_angle:
+                lines.append((-angle, np.hypot(*u) + np.hypot(*v), p, pair))
+    separator, kept = np.zeros(free.shape, bool), []
+    for _, _, p, pair in sorted(lines, key=lambda x: x[:2]):
+        if all(np.hypot(*(p - q)) >= max(1.0, d[tuple(p)] * spread) for q in kept):
+            kept.append(p)
+            for x in pair:
+                n = max(1, int(np.abs(x - p).max()))
+                for t in range(n + 1):
+                    separator[tuple(np.rint(p + (x - p) * t / n).astype(int))] = True
+    area = resolution * resolution
+    found, n = label(free & ~separator)
+    found = nearest_fill(found, free) if n else found
+    sizes = np.bincount(found.ravel()) * area
+    good = (sizes >= low) & (sizes <= high)
+    good[0] = False
+    found = np.where(good[found], found, 0)
+    found = nearest_fill(found, free) if found.any() else label(free)[0]
+    return merged_small(found, merge_below, force_below, area)
 
 
 def accepted_cuts(free: np.ndarray, candidates: list[np.ndarray], least_side: int, most_cells: int) -> list[bool]:

@@ -72,23 +72,48 @@ def assignment(gain: np.ndarray) -> list[tuple[int, int]]:
     return sorted((b, a) for a, b in pairs) if flip else sorted(pairs)
 
 
-def matched(table: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n_gt, n_pred, miou, pairs) by frame: the mean over truth labels of the matched IoU, unmatched ones 0."""
-    areas = table.groupBy(*keys).agg(F.sort_array(F.collect_set(F.when(F.col("gt") > 0, F.col("gt")))).alias("gts"), F.sort_array(F.collect_set(F.when(F.col("pred") > 0, F.col("pred")))).alias("preds"))
-    shared = ious(table, keys).groupBy(*keys).agg(F.collect_list(F.struct("gt", "pred", "iou")).alias("pairs"))
-    rows = areas.join(shared, keys, "left")
+def kept_labels(cells: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which truth rows and found columns of a frame's contingency stay (row and column 0 are background).
+
+    Found labels are clipped to the truth, small labels of both go, the found
+    ones are clipped to the truth that is left, and small ones go again.
+    """
+    gt, pred = np.ones(len(cells), bool), np.ones(cells.shape[1], bool)
+    gt[0] = pred[0] = False
+    if least > 1:
+        pred &= cells[1:].sum(0) >= least
+        gt &= cells.sum(1) >= least
+        pred &= cells[gt].sum(0) >= least
+    return gt, pred
+
+
+def matched(table: DataFrame, keys: list[str], least: int = 0) -> DataFrame:
+    """(keys, n_gt, n_pred, miou, pairs) by frame: the mean over truth labels of the matched IoU, unmatched ones 0.
+
+    A frame's contingency goes to one row; filters, IoU and assignment run on
+    it. Labels of `pairs` are numbered anew where small ones went.
+    """
+    rows = table.groupBy(*keys).agg(F.collect_list(F.struct(F.col("gt").cast("long").alias("gt"), F.col("pred").cast("long").alias("pred"), "cells")).alias("pairs"))
 
     def solve(batches):
         for pdf in batches:
             out = []
-            for row in pdf.itertuples(index=False):
-                gts, preds = list(row.gts), list(row.preds)
-                iou = np.zeros((len(gts), len(preds)))
-                for p in row.pairs if row.pairs is not None else []:
-                    iou[gts.index(p["gt"]), preds.index(p["pred"])] = p["iou"]
-                pairs = assignment(iou) if gts and preds else []
-                out.append((sum(iou[i, j] for i, j in pairs) / max(len(gts), 1), [{"gt": gts[i], "pred": preds[j], "iou": iou[i, j]} for i, j in pairs]))
-            yield pdf[keys].assign(n_gt=[len(x) for x in pdf["gts"]], n_pred=[len(x) for x in pdf["preds"]], miou=[o[0] for o in out], pairs=[o[1] for o in out])
+            for row in pdf["pairs"]:
+                gts, g = np.unique([0, *(p["gt"] for p in row)], return_inverse=True)
+                preds, f = np.unique([0, *(p["pred"] for p in row)], return_inverse=True)
+                cells = np.zeros((len(gts), len(preds)), np.int64)
+                cells[g[1:], f[1:]] = [p["cells"] for p in row]
+                gt, pred = kept_labels(cells, least)
+                if least > 1:  # outside the truth that is left nothing is found
+                    cells = np.where(gt[:, None], cells, 0)
+                both = cells[gt][:, pred]
+                union = (cells[gt].sum(1)[:, None] + cells[:, pred].sum(0) - both) if both.size else both
+                iou = both / np.maximum(union, 1)
+                pairs = assignment(iou) if iou.size else []
+                name = (lambda ids, keep: np.arange(1, keep.sum() + 1) if least > 1 else ids[keep])
+                a, b = name(gts, gt), name(preds, pred)
+                out.append((int(gt.sum()), int(pred.sum()), float(sum(iou[i, j] for i, j in pairs)) / max(int(gt.sum()), 1), [{"gt": int(a[i]), "pred": int(b[j]), "iou": float(iou[i, j])} for i, j in pairs]))
+            yield pdf[keys].assign(**{n: [o[k] for o in out] for k, n in enumerate(("n_gt", "n_pred", "miou", "pairs"))})
 
     kinds = dict(table.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "n_gt long", "n_pred long", "miou double", "pairs array<struct<gt:long,pred:long,iou:double>>"])
@@ -117,9 +142,7 @@ def prepared(truth: DataFrame, found: DataFrame, keys: list[str], least: int) ->
 
 def snapshot_metrics(truth: DataFrame, found: DataFrame, keys: list[str], least: int = 0, reviews: DataFrame | None = None) -> DataFrame:
     """(keys, n_gt, n_pred, usr, osr, miou, pairs[, csr]) by frame."""
-    if least > 1:
-        truth, found = prepared(truth, found, keys, least)
-    rows = matched(contingency(truth, found, keys), keys)
+    rows = matched(contingency(truth, found, keys), keys, least)
     rows = rows.withColumn("usr", scalar.under_segmentation(F.col("n_gt"), F.col("n_pred"))).withColumn("osr", scalar.over_segmentation(F.col("n_gt"), F.col("n_pred")))
     return rows if reviews is None else rows.join(reviews.select(*keys, "csr"), keys, "left")
 

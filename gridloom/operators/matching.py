@@ -119,7 +119,8 @@ def suppressed(frontiers: DataFrame, records: DataFrame, keys: list[str], radius
 def frontier_scores(frontiers: DataFrame, subgraphs: DataFrame, keys: list[str], top: int = 3, eps: float = 1e-6) -> DataFrame:
     """(keys, frontier_id, score, contributors): the sum of p / distance over a frame's subgraphs, and its largest terms.
 
-    A frame has few subgraphs; the join is by frame.
+    The score is a sum over all of a frame's subgraphs, so every frontier meets
+    every subgraph of its own frame; a frame has as many as its map has objects.
     """
     d = F.greatest(F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")), F.lit(eps))
     rows = frontiers.join(subgraphs.select(*keys, "subgraph_id", F.col("x").alias("sx"), F.col("y").alias("sy"), "p"), keys).withColumn("term", F.col("p") / d)

@@ -66,12 +66,34 @@ def label_perimeters(t: Tables):
     return labels.perimeters(t.gt, KEYS)
 
 
-@query("matched_miou")
+#: Labels of both maps run from 1 to 10.
+MOST_LABELS = 10
+
+
+def _assigned(rows: str) -> str:
+    """The largest total IoU of one-to-one pairs: truth label by truth label, the best total by the set of found labels used."""
+    first = "d0 AS (SELECT DISTINCT scene, CAST(0 AS BIGINT) AS used, CAST(0 AS DOUBLE) AS total FROM ct)"
+    more = [
+        f"d{k} AS (SELECT scene, used, max(total) AS total FROM (SELECT scene, used, total FROM d{k - 1} UNION ALL SELECT d.scene, d.used | (CAST(1 AS BIGINT) << pred), d.total + iou FROM d{k - 1} d JOIN iou USING (scene) WHERE gt = {k} AND (d.used >> pred) & 1 = 0) GROUP BY ALL)"
+        for k in range(1, MOST_LABELS + 1)
+    ]
+    return ", ".join([rows, first, *more, f"best AS (SELECT scene, max(total) AS total FROM d{MOST_LABELS} GROUP BY scene)"])
+
+
+PLAIN = f"{IOU}, iou AS (SELECT scene, gt, pred, cells / (a + b - cells) AS iou FROM ct JOIN ag USING (scene, gt) JOIN ap USING (scene, pred)), n AS (SELECT scene, count(DISTINCT CASE WHEN gt > 0 THEN gt END) AS n_gt, count(DISTINCT CASE WHEN pred > 0 THEN pred END) AS n_pred FROM ct GROUP BY ALL)"
+FILTERED = f"""{TABLE}, g1 AS (SELECT scene, gt FROM ct WHERE gt > 0 GROUP BY ALL HAVING sum(cells) >= 2), p1 AS (SELECT scene, pred FROM ct WHERE gt > 0 AND pred > 0 GROUP BY ALL HAVING sum(cells) >= 2),
+c2 AS (SELECT ct.* FROM ct JOIN g1 USING (scene, gt)), p2 AS (SELECT scene, pred FROM c2 JOIN p1 USING (scene, pred) GROUP BY ALL HAVING sum(cells) >= 2),
+ag AS (SELECT scene, gt, sum(cells) AS a FROM c2 GROUP BY ALL), ap AS (SELECT scene, pred, sum(cells) AS b FROM c2 JOIN p2 USING (scene, pred) GROUP BY ALL),
+iou AS (SELECT scene, gt, pred, cells / (a + b - cells) AS iou FROM c2 JOIN ag USING (scene, gt) JOIN ap USING (scene, pred)),
+n AS (SELECT s.scene, (SELECT count(*) FROM g1 WHERE g1.scene = s.scene) AS n_gt, (SELECT count(*) FROM p2 WHERE p2.scene = s.scene) AS n_pred FROM (SELECT DISTINCT scene FROM ct) s)"""
+
+
+@query("matched_miou", f"WITH {_assigned(PLAIN)} SELECT scene, n_gt, n_pred, round(total / greatest(n_gt, 1), 6) AS miou FROM n JOIN best USING (scene)")
 def matched_miou(t: Tables):
     return labels.matched(labels.contingency(t.gt, t.pred, KEYS), KEYS).drop("pairs")
 
 
-@query("snapshot_metrics")
+@query("snapshot_metrics", f"WITH {_assigned(FILTERED)} SELECT scene, n_gt, n_pred, round(total / greatest(n_gt, 1), 6) AS miou, round(greatest(n_gt - n_pred, 0) / greatest(n_gt, 1), 6) AS usr, round(greatest(n_pred - n_gt, 0) / greatest(n_gt, 1), 6) AS osr FROM n JOIN best USING (scene)")
 def snapshot_metrics(t: Tables):
     return labels.snapshot_metrics(t.gt, t.pred, KEYS, 2).drop("pairs")
 
@@ -144,9 +166,9 @@ def weighted_median(t: Tables):
     return labels.weighted_median(t.lineitem, ["l_suppkey"], "l_extendedprice", "l_quantity")
 
 
-@query("method_gaps", "WITH x AS (SELECT DISTINCT user_id % 3 AS method, event_id // 100 AS step FROM events WHERE value > 400) SELECT m.method, s.step FROM (SELECT DISTINCT method FROM x) m, (SELECT DISTINCT step FROM x) s EXCEPT SELECT method, step FROM x")
+@query("method_gaps", "WITH x AS (SELECT DISTINCT user_id % 3 AS method, event_id // 5 AS step FROM events WHERE value > 20) SELECT m.method, s.step FROM (SELECT DISTINCT method FROM x) m, (SELECT DISTINCT step FROM x) s EXCEPT SELECT method, step FROM x")
 def method_gaps(t: Tables):
-    return labels.same_snapshots(t.events.where("value > 400").selectExpr("user_id % 3 as method", "event_id div 100 as step"), "method", ["step"])
+    return labels.same_snapshots(t.events.where("value > 20").selectExpr("user_id % 3 as method", "event_id div 5 as step"), "method", ["step"])
 
 
 @query("last_snapshot_asof", "WITH s AS (SELECT o_custkey, o_orderkey AS step FROM orders), f AS (SELECT c_custkey AS o_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_custkey * 9 END AS final FROM customer), j AS (SELECT s.*, final, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN final IS NULL OR step <= final THEN 0 ELSE 1 END, CASE WHEN final IS NULL OR step <= final THEN -step ELSE step END) AS n FROM s LEFT JOIN f USING (o_custkey)) SELECT o_custkey, step, CASE WHEN final IS NULL THEN 'snapshot_only' WHEN step = final THEN 'exact' WHEN step < final THEN 'within_final' ELSE 'nearest_after_final' END AS status FROM j WHERE n = 1")
@@ -210,17 +232,17 @@ def ttl_suppress(t: Tables):
     return matching.suppressed(rows, records, ["one"], 2.0).select("frontier_id", "step")
 
 
-@query("frontier_score", "WITH f AS (SELECT frame, event_id AS frontier_id, r AS y, c AS x FROM e WHERE event_id % 10 = 1), s AS (SELECT frame, event_id AS sid, r AS y, c AS x, value / 500 AS p FROM e WHERE event_id % 100 = 0) SELECT f.frame, frontier_id, round(sum(p / greatest(sqrt(pow(f.x - s.x, 2) + pow(f.y - s.y, 2)), 0.000001)), 6) AS score FROM f JOIN s USING (frame) GROUP BY ALL")
+@query("frontier_score", "WITH f AS (SELECT frame, event_id AS frontier_id, r AS y, c AS x FROM e WHERE event_type = 'view'), s AS (SELECT frame, event_id AS sid, r AS y, c AS x, value / 500 AS p FROM e WHERE event_type = 'purchase') SELECT f.frame, frontier_id, round(sum(p / greatest(sqrt(pow(f.x - s.x, 2) + pow(f.y - s.y, 2)), 0.000001)), 6) AS score FROM f JOIN s USING (frame) GROUP BY ALL")
 def frontier_score(t: Tables):
-    f = t.e.where("event_id % 10 = 1").selectExpr("frame", "event_id as frontier_id", "r as y", "c as x")
-    s = t.e.where("event_id % 100 = 0").selectExpr("frame", "event_id as subgraph_id", "r as y", "c as x", "value / 500 as p")
+    f = t.e.where("event_type = 'view'").selectExpr("frame", "event_id as frontier_id", "r as y", "c as x")
+    s = t.e.where("event_type = 'purchase'").selectExpr("frame", "event_id as subgraph_id", "r as y", "c as x", "value / 500 as p")
     return matching.frontier_scores(f, s, ["frame"]).select("frame", "frontier_id", "score")
 
 
-@query("frontier_top_terms", "WITH f AS (SELECT frame, event_id AS frontier_id, r AS y, c AS x FROM e WHERE event_id % 10 = 1), s AS (SELECT frame, event_id AS sid, r AS y, c AS x, value / 500 AS p FROM e WHERE event_id % 100 = 0), m AS (SELECT f.frame, frontier_id, sid, p / greatest(sqrt(pow(f.x - s.x, 2) + pow(f.y - s.y, 2)), 0.000001) AS term FROM f JOIN s USING (frame)) SELECT frame, frontier_id, rank, sid AS subgraph_id, round(term, 6) AS term FROM (SELECT *, row_number() OVER (PARTITION BY frame, frontier_id ORDER BY term DESC, sid) AS rank FROM m) WHERE rank <= 3")
+@query("frontier_top_terms", "WITH f AS (SELECT frame, event_id AS frontier_id, r AS y, c AS x FROM e WHERE event_type = 'view'), s AS (SELECT frame, event_id AS sid, r AS y, c AS x, value / 500 AS p FROM e WHERE event_type = 'purchase'), m AS (SELECT f.frame, frontier_id, sid, p / greatest(sqrt(pow(f.x - s.x, 2) + pow(f.y - s.y, 2)), 0.000001) AS term FROM f JOIN s USING (frame)) SELECT frame, frontier_id, rank, sid AS subgraph_id, round(term, 6) AS term FROM (SELECT *, row_number() OVER (PARTITION BY frame, frontier_id ORDER BY term DESC, sid) AS rank FROM m) WHERE rank <= 3")
 def frontier_top_terms(t: Tables):
-    f = t.e.where("event_id % 10 = 1").selectExpr("frame", "event_id as frontier_id", "r as y", "c as x")
-    s = t.e.where("event_id % 100 = 0").selectExpr("frame", "event_id as subgraph_id", "r as y", "c as x", "value / 500 as p")
+    f = t.e.where("event_type = 'view'").selectExpr("frame", "event_id as frontier_id", "r as y", "c as x")
+    s = t.e.where("event_type = 'purchase'").selectExpr("frame", "event_id as subgraph_id", "r as y", "c as x", "value / 500 as p")
     return matching.frontier_scores(f, s, ["frame"]).select("frame", "frontier_id", F.explode("contributors").alias("k")).select("frame", "frontier_id", "k.rank", "k.subgraph_id", "k.term")
 
 
@@ -233,7 +255,11 @@ def door_pairs(t: Tables):
     return matching.door_pairs(points, t.cells, ["frame"], 2.0, 5.0)
 
 
-@query("spaced_points")
+@query("spaced_points", """WITH o AS (SELECT frame, event_id AS point_id, CAST(c AS DOUBLE) AS x, CAST(r AS DOUBLE) AS y, value AS score, row_number() OVER (PARTITION BY frame ORDER BY value DESC, event_id) AS n FROM e),
+f(frame, n, kept) AS (SELECT DISTINCT frame, CAST(0 AS BIGINT), CAST([] AS STRUCT(i BIGINT, x DOUBLE, y DOUBLE)[]) FROM o UNION ALL
+SELECT f.frame, o.n, CASE WHEN len(list_filter(f.kept, lambda k: (k.x - o.x) * (k.x - o.x) + (k.y - o.y) * (k.y - o.y) <= 16)) > 0 THEN f.kept ELSE list_append(f.kept, {'i': o.point_id, 'x': o.x, 'y': o.y}) END FROM f JOIN o ON o.frame = f.frame AND o.n = f.n + 1),
+ids AS (SELECT frame, unnest(list_transform(arg_max(kept, n), lambda k: k.i)) AS point_id FROM f GROUP BY frame)
+SELECT frame, point_id, x, y, round(score, 6) AS score FROM o JOIN ids USING (frame, point_id)""", recursive=True)
 def spaced_points(t: Tables):
     return matching.spaced(t.e.selectExpr("frame", "event_id as point_id", "cast(c as double) as x", "cast(r as double) as y", "value as score"), ["frame"], 4.0)
 
@@ -248,9 +274,9 @@ def sample_cells(t: Tables):
     return frontier.sampled_cells(t.cells, ["frame"], 100)
 
 
-@query("room_context", "WITH m AS (SELECT DISTINCT vec_id // 250 AS scene, vec_id % 19 AS frontier_id, vec_id // 25 AS r, vec_id % 25 AS c FROM embeddings WHERE vec_id % 4 = 0), d AS (SELECT DISTINCT scene, frontier_id, r + dr AS r, c + dc AS c FROM m, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) o(dr, dc)), v AS (SELECT scene, frontier_id, label, count(*) AS n FROM d JOIN gt USING (scene, r, c) GROUP BY ALL), k AS (SELECT *, n / sum(n) OVER (PARTITION BY scene, frontier_id) AS ratio, row_number() OVER (PARTITION BY scene, frontier_id ORDER BY n DESC, label) AS rank FROM v) SELECT scene, frontier_id, label, round(ratio, 6) AS ratio FROM k WHERE rank = 1 AND ratio >= 0.2")
+@query("room_context", "WITH m AS (SELECT DISTINCT vec_id // 250 AS scene, vec_id % 19 AS frontier_id, vec_id // 25 AS r, vec_id % 25 AS c FROM embeddings), d AS (SELECT DISTINCT scene, frontier_id, r + dr AS r, c + dc AS c FROM m, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) o(dr, dc)), v AS (SELECT scene, frontier_id, label, count(*) AS n FROM d JOIN gt USING (scene, r, c) GROUP BY ALL), k AS (SELECT *, n / sum(n) OVER (PARTITION BY scene, frontier_id) AS ratio, row_number() OVER (PARTITION BY scene, frontier_id ORDER BY n DESC, label) AS rank FROM v) SELECT scene, frontier_id, label, round(ratio, 6) AS ratio FROM k WHERE rank = 1 AND ratio >= 0.2")
 def room_context(t: Tables):
-    members = t.embeddings.where("vec_id % 4 = 0").selectExpr("vec_id div 250 as scene", "vec_id % 19 as frontier_id", "vec_id div 25 as r", "vec_id % 25 as c").distinct()
+    members = t.embeddings.selectExpr("vec_id div 250 as scene", "vec_id % 19 as frontier_id", "vec_id div 25 as r", "vec_id % 25 as c").distinct()
     return frontier.room_context(members, t.gt, KEYS, 1)
 
 
@@ -270,11 +296,10 @@ def affiliation_edges(t: Tables):
     return graph.affiliation(_objects(t), groups, ["frame"])
 
 
-@query("object_subgraphs", "WITH o AS (SELECT p_partkey % 4 AS frame, p_partkey AS id FROM part WHERE p_partkey <= 400), x AS (SELECT frame, id AS a, id + 4 AS b FROM o WHERE id % 3 = 0), m AS (SELECT frame, id AS center, id AS member FROM o UNION SELECT frame, a, b FROM x UNION SELECT x.frame, b, a FROM x JOIN o ON o.id = x.b) SELECT frame, center, count(*) AS members FROM m JOIN o USING (frame) WHERE o.id = center GROUP BY ALL")
+@query("object_subgraphs", "WITH o AS (SELECT p_partkey % 4 AS frame, p_partkey AS id FROM part), x AS (SELECT frame, id AS a, id + 4 AS b FROM o WHERE id % 3 = 0), m AS (SELECT frame, id AS center, id AS member FROM o UNION SELECT frame, a, b FROM x UNION SELECT x.frame, b, a FROM x JOIN o ON o.id = x.b) SELECT frame, center, count(*) AS members FROM m JOIN o USING (frame) WHERE o.id = center GROUP BY ALL")
 def object_subgraphs(t: Tables):
-    few = t.part.where("p_partkey <= 400")
-    nodes = few.selectExpr("p_partkey % 4 as frame", "p_partkey as node_id", "'object' as kind", "cast(null as long) as room_id", "cast(null as long) as group_id")
-    edges = few.where("p_partkey % 3 = 0").selectExpr("p_partkey % 4 as frame", "p_partkey as a", "p_partkey + 4 as b")
+    nodes = t.part.selectExpr("p_partkey % 4 as frame", "p_partkey as node_id", "'object' as kind", "cast(null as long) as room_id", "cast(null as long) as group_id")
+    edges = t.part.where("p_partkey % 3 = 0").selectExpr("p_partkey % 4 as frame", "p_partkey as a", "p_partkey + 4 as b")
     return graph.subgraphs(nodes, edges, ["frame"]).select("frame", "center", F.size("members").alias("members"))
 
 
@@ -284,20 +309,23 @@ def label_distribution(t: Tables):
     return graph.label_distribution(rows, ["user_id"]).select("user_id", "entropy", "category")
 
 
-@query("goal_credibility", "WITH k AS (SELECT frame, event_id AS candidate_id, value / 500 AS confidence, c AS x, r AS y FROM e WHERE event_id % 50 = 3), s AS (SELECT frame, c AS x, r AS y, value / 500 AS p FROM e WHERE event_id % 100 = 0) SELECT k.frame, candidate_id, round(confidence * sum(p / greatest(sqrt(pow(k.x - s.x, 2) + pow(k.y - s.y, 2)), 0.000001)), 6) AS credibility FROM k JOIN s USING (frame) GROUP BY k.frame, candidate_id, confidence")
+@query("goal_credibility", "WITH k AS (SELECT frame, event_id AS candidate_id, value / 500 AS confidence, c AS x, r AS y FROM e WHERE event_type = 'click'), s AS (SELECT frame, c AS x, r AS y, value / 500 AS p FROM e WHERE event_type = 'purchase') SELECT k.frame, candidate_id, round(confidence * sum(p / greatest(sqrt(pow(k.x - s.x, 2) + pow(k.y - s.y, 2)), 0.000001)), 6) AS credibility FROM k JOIN s USING (frame) GROUP BY k.frame, candidate_id, confidence")
 def goal_credibility(t: Tables):
-    k = t.e.where("event_id % 50 = 3").selectExpr("frame", "event_id as candidate_id", "value / 500 as confidence", "c as x", "r as y")
-    s = t.e.where("event_id % 100 = 0").selectExpr("frame", "c as x", "r as y", "value / 500 as p")
+    k = t.e.where("event_type = 'click'").selectExpr("frame", "event_id as candidate_id", "value / 500 as confidence", "c as x", "r as y")
+    s = t.e.where("event_type = 'purchase'").selectExpr("frame", "c as x", "r as y", "value / 500 as p")
     return graph.credibility(k, s, ["frame"]).select("frame", "candidate_id", "credibility")
 
 
-@query("unobstructed_pairs", f"WITH o AS (SELECT frame, event_id AS id, r, c FROM e WHERE event_id % 20 = 0), p AS (SELECT x.frame, x.id AS a, y.id AS b, x.r AS r0, x.c AS c0, y.r AS r1, y.c AS c1, sqrt(pow(x.r - y.r, 2) + pow(x.c - y.c, 2)) AS d FROM o x JOIN o y ON x.frame = y.frame AND x.id < y.id WHERE sqrt(pow(x.r - y.r, 2) + pow(x.c - y.c, 2)) <= 6), {LINE} SELECT frame, CAST(1 AS BIGINT) AS room_id, a, b, round(d, 6) AS distance FROM p WHERE NOT EXISTS (SELECT 1 FROM k JOIN occupied q ON q.frame = k.frame AND q.r = k.r AND q.c = k.c WHERE k.frame = p.frame AND k.a = p.a AND k.b = p.b)")
+@query("unobstructed_pairs", f"WITH o AS (SELECT frame, event_id AS id, r, c FROM e), p AS (SELECT x.frame, x.id AS a, y.id AS b, x.r AS r0, x.c AS c0, y.r AS r1, y.c AS c1, sqrt(pow(x.r - y.r, 2) + pow(x.c - y.c, 2)) AS d FROM o x JOIN o y ON x.frame = y.frame AND x.id < y.id WHERE sqrt(pow(x.r - y.r, 2) + pow(x.c - y.c, 2)) <= 6), {LINE}, hit AS (SELECT DISTINCT frame, a, b FROM k JOIN occupied USING (frame, r, c)) SELECT p.frame, CAST(1 AS BIGINT) AS room_id, p.a, p.b, round(d, 6) AS distance FROM p LEFT JOIN hit ON hit.frame = p.frame AND hit.a = p.a AND hit.b = p.b WHERE hit.a IS NULL")
 def unobstructed_pairs(t: Tables):
-    objects = t.e.where("event_id % 20 = 0").selectExpr("frame", "1 as room_id", "event_id as point_id", "cast(c as double) as x", "cast(r as double) as y")
+    objects = t.e.selectExpr("frame", "1 as room_id", "event_id as point_id", "cast(c as double) as x", "cast(r as double) as y")
     return graph.unobstructed_pairs(objects, t.occupied, ["frame"], 6.0)
 
 
-@query("door_conflicts")
+@query("door_conflicts", """WITH l AS (SELECT frame, r AS candidate_id, list(c) AS cs FROM lines GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY len(cs) DESC, candidate_id) AS n FROM l),
+f(frame, n, candidate_id, taken, kept) AS (SELECT DISTINCT frame, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST([] AS BIGINT[]), false FROM o UNION ALL
+SELECT f.frame, o.n, o.candidate_id, CASE WHEN list_has_any(f.taken, o.cs) THEN f.taken ELSE list_concat(f.taken, o.cs) END, NOT list_has_any(f.taken, o.cs) FROM f JOIN o ON o.frame = f.frame AND o.n = f.n + 1)
+SELECT frame, candidate_id, kept FROM f WHERE n > 0""", recursive=True)
 def door_conflicts(t: Tables):
     lines = t.lines.groupBy("frame", "r").agg(F.collect_list(F.struct(F.col("c").alias("r"), F.lit(0).alias("c"))).alias("cells")).selectExpr("frame", "cast(r as long) as candidate_id", "cast(size(cells) as double) as score", "cells")
     return doors.without_conflicts(lines, ["frame"])

@@ -18,14 +18,24 @@ def reperception(t: Tables):
     return navigation.reperceived(rows, ["user_id"], "event_id", 0.8, 5).select("user_id", "event_id", "accumulated", "steps", "decision")
 
 
-@query("current_room")
+@query("current_room", """WITH open AS (SELECT frame, r, c FROM cells EXCEPT SELECT frame, r, c FROM occupied WHERE r % 3 = 0 EXCEPT SELECT frame, r, c FROM cells WHERE c % 16 = 0),
+reached(frame, r, c) AS (SELECT o.frame, o.r, o.c FROM open o JOIN e USING (frame, r, c) WHERE event_id % 1000 = 0 UNION SELECT o.frame, o.r, o.c FROM reached q JOIN open o ON o.frame = q.frame AND abs(o.r - q.r) + abs(o.c - q.c) = 1)
+SELECT * FROM reached""", recursive=True)
 def current_room(t: Tables):
     start = t.e.where("event_id % 1000 = 0").select("frame", "r", "c")
     doors = t.cells.where("c % 16 = 0")
     return navigation.current_room(t.cells, t.occupied.where("r % 3 = 0"), doors, start, ["frame"], W)
 
 
-@query("room_frontiers")
+@query("room_frontiers", """WITH unknown AS (SELECT f.frame, y.r, x.c FROM (SELECT DISTINCT frame FROM cells) f, range(40) y(r), range(64) x(c) EXCEPT SELECT frame, r, c FROM cells),
+near AS (SELECT DISTINCT k.frame, k.r, k.c FROM cells k JOIN unknown u ON u.frame = k.frame AND abs(u.r - k.r) + abs(u.c - k.c) = 1),
+link AS (SELECT a.frame, a.r * 64 + a.c AS x, b.r * 64 + b.c AS y FROM near a JOIN near b ON a.frame = b.frame AND abs(a.r - b.r) + abs(a.c - b.c) = 1),
+reached(frame, x, y) AS (SELECT frame, r * 64 + c, r * 64 + c FROM near UNION SELECT q.frame, q.x, l.y FROM reached q JOIN link l ON q.frame = l.frame AND q.y = l.x),
+root AS (SELECT frame, x, min(y) AS root FROM reached GROUP BY ALL), lab AS (SELECT frame, x // 64 AS r, x % 64 AS c, dense_rank() OVER (PARTITION BY frame ORDER BY root) AS label FROM root),
+mean AS (SELECT *, avg(r) OVER w AS mr, avg(c) OVER w AS mc, count(*) OVER w AS size FROM lab WINDOW w AS (PARTITION BY frame, label)),
+best AS (SELECT frame, label, size, r, c FROM (SELECT *, row_number() OVER (PARTITION BY frame, label ORDER BY round(pow(r - mr, 2) + pow(c - mc, 2), 9), r, c) AS k FROM mean) WHERE k = 1),
+far AS (SELECT b.*, sqrt(pow(b.r - s.r, 2) + pow(b.c - s.c, 2)) AS distance FROM best b JOIN (SELECT frame, r, c FROM e WHERE event_id % 1000 = 0) s ON s.frame = b.frame)
+SELECT frame, label, size, r, c, round(distance, 6) AS distance, row_number() OVER (PARTITION BY frame ORDER BY size DESC, distance, label) AS rank FROM far""", recursive=True)
 def room_frontiers(t: Tables):
     start = t.e.where("event_id % 1000 = 0").select("frame", "r", "c")
     unknown = raster.complement(t.cells, t.cells, ["frame"], H, W)
@@ -35,12 +45,16 @@ def room_frontiers(t: Tables):
 BORDER = "side AS (SELECT DISTINCT a.scene, a.label AS a, b.label AS b, a.r, a.c FROM gt a JOIN gt b ON a.scene = b.scene AND abs(a.r - b.r) + abs(a.c - b.c) = 1 WHERE a.label < b.label)"
 
 
-@query("adjacency_evidence", f"WITH {BORDER}, wall AS (SELECT DISTINCT scene, r + i AS r, c + j AS c FROM pred, range(-1, 2) x(i), range(-1, 2) y(j) WHERE label = 3), door AS (SELECT DISTINCT scene, r, c FROM pred WHERE label = 9) SELECT s.scene, a, b, count(*) AS border, greatest(max(s.r) - min(s.r), max(s.c) - min(s.c)) + 1 AS neck, round(count(w.r) / count(*), 6) AS wall_support, count(d.r) > 0 AS doorway, CASE WHEN count(d.r) > 0 THEN 'doorway' WHEN count(w.r) / count(*) >= 0.5 THEN 'walled' WHEN greatest(max(s.r) - min(s.r), max(s.c) - min(s.c)) + 1 >= count(*) * 2 THEN 'sparse' ELSE 'open' END AS reason FROM side s LEFT JOIN wall w ON w.scene = s.scene AND w.r = s.r AND w.c = s.c LEFT JOIN door d ON d.scene = s.scene AND d.r = s.r AND d.c = s.c GROUP BY s.scene, a, b")
+EVIDENCE = f"{BORDER}, wall AS (SELECT DISTINCT scene, r + i AS r, c + j AS c FROM pred, range(-1, 2) x(i), range(-1, 2) y(j) WHERE label = 3), door AS (SELECT DISTINCT scene, r, c FROM pred WHERE label = 9)"
+EVIDENCE_ROWS = "SELECT s.scene, a, b, count(*) AS border, greatest(max(s.r) - min(s.r), max(s.c) - min(s.c)) + 1 AS neck, round(count(w.r) / count(*), 6) AS wall_support, count(d.r) > 0 AS doorway, CASE WHEN count(d.r) > 0 THEN 'doorway' WHEN count(w.r) / count(*) >= 0.5 THEN 'walled' WHEN greatest(max(s.r) - min(s.r), max(s.c) - min(s.c)) + 1 >= count(*) * 2 THEN 'sparse' ELSE 'open' END AS reason FROM side s LEFT JOIN wall w ON w.scene = s.scene AND w.r = s.r AND w.c = s.c LEFT JOIN door d ON d.scene = s.scene AND d.r = s.r AND d.c = s.c GROUP BY s.scene, a, b"
+
+
+@query("adjacency_evidence", f"WITH {EVIDENCE} {EVIDENCE_ROWS}")
 def adjacency_evidence(t: Tables):
     return navigation.adjacency_evidence(t.gt, t.pred.where("label = 3"), t.pred.where("label = 9"), ["scene"], 0)
 
 
-@query("merge_open_rooms")
+@query("merge_open_rooms", f"WITH {EVIDENCE}, ev AS ({EVIDENCE_ROWS}), link AS (SELECT scene, a AS x, b AS y FROM ev WHERE reason = 'open' AND border >= 6 UNION ALL SELECT scene, b, a FROM ev WHERE reason = 'open' AND border >= 6), reached(scene, x, y) AS (SELECT DISTINCT scene, label, label FROM gt UNION SELECT q.scene, q.x, l.y FROM reached q JOIN link l ON q.scene = l.scene AND q.y = l.x), root AS (SELECT scene, x AS label, min(y) AS root FROM reached GROUP BY ALL) SELECT scene, r, c, root AS label FROM gt JOIN root USING (scene, label)", recursive=True)
 def merge_open_rooms(t: Tables):
     evidence = navigation.adjacency_evidence(t.gt, t.pred.where("label = 3"), t.pred.where("label = 9"), ["scene"], 0)
     return navigation.merged_open_rooms(t.gt, evidence, ["scene"], 6)
@@ -52,9 +66,10 @@ def absorb_cells(t: Tables):
     return navigation.absorbed(marked, t.cells, ["frame"], 3)
 
 
-@query("structural_obstacles", "SELECT frame, r, c FROM occupied EXCEPT SELECT frame, r + dr, c + dc FROM (SELECT frame, r, c FROM e WHERE event_id % 40 = 0), (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) o(dr, dc)")
+@query("structural_obstacles", "SELECT frame, r, c FROM occupied EXCEPT SELECT frame, r + dr, c + dc FROM (SELECT frame, r, c FROM e WHERE event_type = 'purchase'), (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) o(dr, dc)")
 def structural_obstacles(t: Tables):
-    return navigation.without_clutter(t.occupied, t.e.where("event_id % 40 = 0").select("frame", "r", "c"), ["frame"], 1)
+    """Purchases stand for objects, errors and purchases for what is occupied."""
+    return navigation.without_clutter(t.occupied, t.e.where("event_type = 'purchase'").select("frame", "r", "c"), ["frame"], 1)
 
 
 @query("range_doors", "WITH s AS (SELECT event_id // 360 AS scan, event_id % 360 AS ray, value / 100 AS d FROM events), n AS (SELECT *, coalesce(lead(d) OVER (PARTITION BY scan ORDER BY ray), first_value(d) OVER (PARTITION BY scan ORDER BY ray)) AS nx FROM s) SELECT scan, ray, round(least(d, nx), 6) AS distance, round(abs(nx - d), 6) AS jump FROM n WHERE abs(nx - d) >= 1.2 AND least(d, nx) BETWEEN 0.2 AND 3")
@@ -69,9 +84,9 @@ def waypoint_command(t: Tables):
     return t.events.select("event_id", move["vx"].alias("vx"), move["wz"].alias("wz"))
 
 
-@query("swept_clearance", f"WITH p AS (SELECT frame, event_id AS move_id, r AS r0, c AS c0, (r + 5) % 40 AS r1, (c + 9) % 64 AS c1 FROM e WHERE event_id % 50 = 0), {LINE} SELECT frame, move_id, NOT EXISTS (SELECT 1 FROM k JOIN occupied q ON q.frame = k.frame AND abs(q.r - k.r) + abs(q.c - k.c) <= 1 WHERE k.frame = p.frame AND k.move_id = p.move_id) AS clear FROM p")
+@query("swept_clearance", f"WITH p AS (SELECT frame, event_id AS move_id, r AS r0, c AS c0, (r + 5) % 40 AS r1, (c + 9) % 64 AS c1 FROM e), {LINE}, near AS (SELECT DISTINCT frame, r + dr AS r, c + dc AS c FROM occupied, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) o(dr, dc)), hit AS (SELECT DISTINCT frame, move_id FROM k JOIN near USING (frame, r, c)) SELECT p.frame, p.move_id, hit.move_id IS NULL AS clear FROM p LEFT JOIN hit ON hit.frame = p.frame AND hit.move_id = p.move_id")
 def swept_clearance(t: Tables):
-    moves = t.e.where("event_id % 50 = 0").selectExpr("frame", "event_id as move_id", "r as r0", "c as c0", "(r + 5) % 40 as r1", "(c + 9) % 64 as c1")
+    moves = t.e.selectExpr("frame", "event_id as move_id", "r as r0", "c as c0", "(r + 5) % 40 as r1", "(c + 9) % 64 as c1")
     return navigation.swept_clear(moves, t.occupied, ["frame"], 1)
 
 
@@ -92,7 +107,10 @@ def longest_instance(t: Tables):
     return navigation.longest_instances(t.events.selectExpr("user_id % 20 as scene", "event_id as task_id", "value as length"), ["scene"])
 
 
-@query("ray_evidence_2d")
+@query("ray_evidence_2d", """WITH p AS (SELECT event_id, frame, occ, CAST(20 AS BIGINT) AS r0, CAST(32 AS BIGINT) AS c0, r AS r1, c AS c1 FROM e),
+w(event_id, frame, occ, i, r, c, err, dr, dc, sr, sc) AS (SELECT event_id, frame, occ, CAST(0 AS BIGINT), r0, c0, abs(c1 - c0) - abs(r1 - r0), abs(r1 - r0), abs(c1 - c0), CASE WHEN r0 < r1 THEN 1 ELSE -1 END, CASE WHEN c0 < c1 THEN 1 ELSE -1 END FROM p
+UNION ALL SELECT event_id, frame, occ, i + 1, r + CASE WHEN 2 * err <= dc THEN sr ELSE 0 END, c + CASE WHEN 2 * err >= -dr THEN sc ELSE 0 END, err - CASE WHEN 2 * err >= -dr THEN dr ELSE 0 END + CASE WHEN 2 * err <= dc THEN dc ELSE 0 END, dr, dc, sr, sc FROM w WHERE i < greatest(dr, dc))
+SELECT frame, r, c, count(*) FILTER (NOT (occ AND i = greatest(dr, dc))) AS crossed, count(*) FILTER (occ AND i = greatest(dr, dc)) AS hit FROM w WHERE r BETWEEN 0 AND 39 AND c BETWEEN 0 AND 63 GROUP BY ALL""", recursive=True)
 def ray_evidence_2d(t: Tables):
     rays = t.e.selectExpr("frame", "20 as r0", "32 as c0", "cast(r as int) as r1", "cast(c as int) as c1", "occ as is_hit")
     return navigation.ray_evidence(rays, ["frame"], H, W)
@@ -121,9 +139,9 @@ def parallel_rejects(t: Tables):
     return navigation.without_parallel(lines, ["frame"], 2, 6, 0.2, 0.5)
 
 
-@query("compound_cuts", "WITH o AS (SELECT frame, event_id AS id, r, c, value FROM e WHERE event_id % 40 = 0), p AS (SELECT x.frame, x.id AS a, y.id AS b, round(x.value + y.value, 6) AS score, CASE WHEN x.r = y.r AND x.c = y.c THEN 1 ELSE 2 END AS n FROM o x JOIN o y ON x.frame = y.frame AND x.id < y.id WHERE sqrt(pow(x.r - y.r, 2) + pow(x.c - y.c, 2)) <= 6) SELECT frame, row_number() OVER (PARTITION BY frame ORDER BY a, b) AS candidate_id, a, b, score, CAST(n AS BIGINT) AS n FROM p")
+@query("compound_cuts", "WITH o AS (SELECT frame, event_id AS id, r, c, value FROM e), p AS (SELECT x.frame, x.id AS a, y.id AS b, round(x.value + y.value, 6) AS score, CASE WHEN x.r = y.r AND x.c = y.c THEN 1 ELSE 2 END AS n FROM o x JOIN o y ON x.frame = y.frame AND x.id < y.id WHERE sqrt(pow(x.r - y.r, 2) + pow(x.c - y.c, 2)) <= 6) SELECT frame, row_number() OVER (PARTITION BY frame ORDER BY a, b) AS candidate_id, a, b, score, CAST(n AS BIGINT) AS n FROM p")
 def compound_cuts(t: Tables):
-    one = t.e.where("event_id % 40 = 0").selectExpr("frame", "event_id as candidate_id", "cast(c as double) as x", "cast(r as double) as y", "value as score", "array(named_struct('r', r, 'c', c)) as cells")
+    one = t.e.selectExpr("frame", "event_id as candidate_id", "cast(c as double) as x", "cast(r as double) as y", "value as score", "array(named_struct('r', r, 'c', c)) as cells")
     return navigation.compound_cuts(one, ["frame"], 6.0).select("frame", "candidate_id", "a", "b", "score", F.size("cells").alias("n"))
 
 
@@ -146,7 +164,10 @@ def topology_map(t: Tables):
     return machines.in_batch(rows, ["scene"], "step", machines.topology_map, machines.OUTPUTS["topology_map"])
 
 
-@query("execution_state")
+@query("execution_state", """WITH s AS (SELECT user_id % 10 AS scene, step, min(step // 7) AS target_id, min(value) / 10 AS d FROM e GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY step) AS n FROM s),
+f(scene, n, step, target_id, d, best, since) AS (SELECT scene, n, step, target_id, d, d, step FROM o WHERE n = 1 UNION ALL
+SELECT f.scene, o.n, o.step, o.target_id, o.d, CASE WHEN o.target_id <> f.target_id OR o.d < f.best - 0.05 THEN o.d ELSE f.best END, CASE WHEN o.target_id <> f.target_id OR o.d < f.best - 0.05 THEN o.step ELSE f.since END FROM f JOIN o ON o.scene = f.scene AND o.n = f.n + 1)
+SELECT scene, step, target_id, CASE WHEN d <= 0.5 THEN 'arrived' WHEN step - since >= 10 THEN 'stalled' ELSE 'moving' END AS status, round(best, 6) AS best FROM f""", recursive=True)
 def execution_state(t: Tables):
     rows = t.e.groupBy((F.col("user_id") % 10).alias("scene"), "step").agg(F.min((F.col("step") / 7).cast("long")).alias("target_id"), (F.min("value") / 10).alias("distance"))
     return machines.in_batch(rows, ["scene"], "step", machines.execution, machines.OUTPUTS["execution"])

@@ -81,7 +81,10 @@ def component_filter(t: Tables):
     return raster.without_small(t.cells, ["frame"], W, 4, 4)
 
 
-@query("fill_holes")
+@query("fill_holes", """WITH u AS (SELECT f.frame, y.r, x.c FROM (SELECT DISTINCT frame FROM cells) f, range(40) y(r), range(64) x(c) EXCEPT SELECT frame, r, c FROM cells),
+walk(frame, r0, c0, r, c, d) AS (SELECT frame, r, c, r, c, 0 FROM u UNION SELECT w.frame, w.r0, w.c0, u.r, u.c, w.d + 1 FROM walk w JOIN u ON u.frame = w.frame AND abs(u.r - w.r) + abs(u.c - w.c) = 1 WHERE w.d < 4),
+hole AS (SELECT frame, r0 AS r, c0 AS c FROM walk GROUP BY ALL HAVING count(DISTINCT walk.r * 64 + walk.c) <= 4 AND min(walk.r) > 0 AND min(walk.c) > 0 AND max(walk.r) < 39 AND max(walk.c) < 63)
+SELECT frame, r, c FROM cells UNION SELECT frame, r, c FROM hole""", recursive=True)
 def fill_holes(t: Tables):
     return raster.filled_holes(t.cells, t.cells.select("frame").distinct(), ["frame"], H, W, 4)
 
@@ -115,19 +118,19 @@ def frontier_clusters(t: Tables):
     return ranked.select("frame", "label", "size", "r", "c", "distance", "rank")
 
 
-@query("line_rasterise", "WITH p AS (SELECT event_id, r AS r0, c AS c0, (r * 7 + 3) % 40 AS r1, (c * 5 + 11) % 64 AS c1 FROM e WHERE event_id % 20 = 0), n AS (SELECT *, greatest(abs(r1 - r0), abs(c1 - c0)) AS n FROM p) SELECT event_id, i, CAST(round_even(r0 + (r1 - r0) * i / CAST(greatest(n, 1) AS DOUBLE), 0) AS BIGINT) AS r, CAST(round_even(c0 + (c1 - c0) * i / CAST(greatest(n, 1) AS DOUBLE), 0) AS BIGINT) AS c FROM (SELECT *, unnest(range(n + 1)) AS i FROM n)")
+@query("line_rasterise", "WITH p AS (SELECT event_id, r AS r0, c AS c0, (r * 7 + 3) % 40 AS r1, (c * 5 + 11) % 64 AS c1 FROM e), n AS (SELECT *, greatest(abs(r1 - r0), abs(c1 - c0)) AS n FROM p) SELECT event_id, i, CAST(round_even(r0 + (r1 - r0) * i / CAST(greatest(n, 1) AS DOUBLE), 0) AS BIGINT) AS r, CAST(round_even(c0 + (c1 - c0) * i / CAST(greatest(n, 1) AS DOUBLE), 0) AS BIGINT) AS c FROM (SELECT *, unnest(range(n + 1)) AS i FROM n)")
 def line_rasterise(t: Tables):
-    rows = t.e.where("event_id % 20 = 0").selectExpr("event_id", "r as r0", "c as c0", "(r * 7 + 3) % 40 as r1", "(c * 5 + 11) % 64 as c1")
+    rows = t.e.selectExpr("event_id", "r as r0", "c as c0", "(r * 7 + 3) % 40 as r1", "(c * 5 + 11) % 64 as c1")
     cells = raster.line_cells(*[F.col(x) for x in ("r0", "c0", "r1", "c1")])
     return rows.select("event_id", F.posexplode(cells).alias("i", "p")).select("event_id", "i", "p.r", "p.c")
 
 
-@query("bresenham", """WITH p AS (SELECT event_id, r AS r0, c AS c0, (r * 7 + 3) % 40 AS r1, (c * 5 + 11) % 64 AS c1 FROM e WHERE event_id % 20 = 0),
+@query("bresenham", """WITH p AS (SELECT event_id, r AS r0, c AS c0, (r * 7 + 3) % 40 AS r1, (c * 5 + 11) % 64 AS c1 FROM e),
 w(event_id, i, r, c, err, r1, c1, dr, dc, sr, sc) AS (SELECT event_id, CAST(0 AS BIGINT), r0, c0, abs(c1 - c0) - abs(r1 - r0), r1, c1, abs(r1 - r0), abs(c1 - c0), CASE WHEN r0 < r1 THEN 1 ELSE -1 END, CASE WHEN c0 < c1 THEN 1 ELSE -1 END FROM p
 UNION ALL SELECT event_id, i + 1, r + CASE WHEN 2 * err <= dc THEN sr ELSE 0 END, c + CASE WHEN 2 * err >= -dr THEN sc ELSE 0 END, err - CASE WHEN 2 * err >= -dr THEN dr ELSE 0 END + CASE WHEN 2 * err <= dc THEN dc ELSE 0 END, r1, c1, dr, dc, sr, sc FROM w WHERE i < greatest(dr, dc))
 SELECT event_id, i, r, c FROM w""", recursive=True)
 def bresenham(t: Tables):
-    rows = t.e.where("event_id % 20 = 0").selectExpr("event_id", "r as r0", "c as c0", "(r * 7 + 3) % 40 as r1", "(c * 5 + 11) % 64 as c1")
+    rows = t.e.selectExpr("event_id", "r as r0", "c as c0", "(r * 7 + 3) % 40 as r1", "(c * 5 + 11) % 64 as c1")
     return rows.select("event_id", F.posexplode(raster.bresenham_cells(*[F.col(x) for x in ("r0", "c0", "r1", "c1")])).alias("i", "p")).select("event_id", "i", "p.r", "p.c")
 
 
@@ -188,14 +191,17 @@ def axis_votes(t: Tables):
     return runs.axis_votes(t.occupied.withColumn("w", F.lit(2)), ["frame"], "w", 1)
 
 
-@query("wall_segments")
+@query("wall_segments", """WITH near AS (SELECT frame, r + d AS line, c AS along, r AS own FROM lines, range(-1, 2) t(d)), p AS (SELECT DISTINCT frame, line, along FROM near), i AS (SELECT *, along - row_number() OVER (PARTITION BY frame, line ORDER BY along) AS k FROM p),
+span AS (SELECT frame, line, min(along) AS first, max(along) AS last FROM i GROUP BY frame, line, k HAVING count(*) >= 4),
+held AS (SELECT s.frame, s.line, first, last, floor(quantile_cont(own, 0.5)) AS middle, count(*) FILTER (own = s.line) / (last - first + 1) AS support FROM near n JOIN span s ON s.frame = n.frame AND s.line = n.line AND n.along BETWEEN first AND last GROUP BY s.frame, s.line, first, last)
+SELECT frame, 'horizontal' AS axis, line, first, last, round(support, 6) AS support FROM held WHERE middle = line AND support >= 0.3""")
 def wall_segments(t: Tables):
     return runs.wall_segments(t.lines, ["frame"], 1, 4, 0.3)
 
 
-@query("first_hits", "WITH m AS (SELECT frame, event_id AS march_id, r, c FROM e WHERE event_id % 25 = 0), s AS (SELECT m.frame, march_id, i AS step, m.r, m.c + i AS c FROM m, range(1, 21) t(i)), h AS (SELECT s.*, row_number() OVER (PARTITION BY s.frame, march_id ORDER BY step) AS n FROM s JOIN occupied o ON o.frame = s.frame AND o.r = s.r AND o.c = s.c) SELECT m.frame, m.march_id, CASE WHEN h.step IS NULL THEN 'none' ELSE 'hit' END AS reason, coalesce(h.step, -1) AS steps, coalesce(h.r, -1) AS r, coalesce(h.c, -1) AS c FROM m LEFT JOIN h ON h.frame = m.frame AND h.march_id = m.march_id AND h.n = 1")
+@query("first_hits", "WITH m AS (SELECT frame, event_id AS march_id, r, c FROM e), s AS (SELECT m.frame, march_id, i AS step, m.r, m.c + i AS c FROM m, range(1, 21) t(i)), h AS (SELECT s.*, row_number() OVER (PARTITION BY s.frame, march_id ORDER BY step) AS n FROM s JOIN occupied o ON o.frame = s.frame AND o.r = s.r AND o.c = s.c) SELECT m.frame, m.march_id, CASE WHEN h.step IS NULL THEN 'none' ELSE 'hit' END AS reason, coalesce(h.step, -1) AS steps, coalesce(h.r, -1) AS r, coalesce(h.c, -1) AS c FROM m LEFT JOIN h ON h.frame = m.frame AND h.march_id = m.march_id AND h.n = 1")
 def first_hits(t: Tables):
-    marches = t.e.where("event_id % 25 = 0").selectExpr("frame", "event_id as march_id", "r", "c", "0 as dr", "1 as dc")
+    marches = t.e.selectExpr("frame", "event_id as march_id", "r", "c", "0 as dr", "1 as dc")
     return runs.first_hits(marches, ["frame"], t.occupied, t.occupied.limit(0), 20).fillna(-1, ["steps", "r", "c"])
 
 
@@ -237,11 +243,12 @@ def door_clusters(t: Tables):
     return doors.clusters(shapes, ["frame"], 2, 1.5)
 
 
-@query("distance_relax", """WITH k AS (SELECT frame, r, c FROM cells WHERE frame = 0), s AS (SELECT r, c FROM e WHERE event_id = 0),
-walk(r, c, d) AS (SELECT r, c, 0 FROM s UNION SELECT k.r, k.c, w.d + 1 FROM walk w JOIN k ON abs(k.r - w.r) + abs(k.c - w.c) = 1 WHERE w.d < 60)
-SELECT CAST(0 AS BIGINT) AS frame, r, c, CAST(min(d) AS DOUBLE) AS distance FROM walk GROUP BY r, c""", recursive=True)
+@query("distance_relax", """WITH s AS (SELECT frame, r, c FROM e WHERE event_id % 1000 = 0),
+walk(frame, r, c, d) AS (SELECT frame, r, c, 0 FROM s UNION SELECT k.frame, k.r, k.c, w.d + 1 FROM walk w JOIN cells k ON k.frame = w.frame AND abs(k.r - w.r) + abs(k.c - w.c) = 1 WHERE w.d < 60)
+SELECT frame, r, c, CAST(min(d) AS DOUBLE) AS distance FROM walk GROUP BY frame, r, c""", recursive=True)
 def distance_relax(t: Tables):
-    return grids.distance_field(t.cells.where("frame = 0"), t.e.where("event_id = 0").select("frame", "r", "c"), ["frame"], H, W, diagonal=False)
+    """From the first event's cell of every frame."""
+    return grids.distance_field(t.cells, t.e.where("event_id % 1000 = 0").select("frame", "r", "c"), ["frame"], H, W, diagonal=False)
 
 
 @query("shortest_paths")
@@ -254,7 +261,7 @@ def _rooms(t: Tables):
     return raster.dilate(t.cells, ["frame"], raster.disk(1), H, W)
 
 
-for _method, _parameters in {"components": {"least": 3}, "watershed": {}, "erosion": {"least_cells": 6}, "morphological": {"low": 4, "high": 60}, "distance": {"low": 4, "high": 200}, "voronoi": {"neighbourhood": 3, "least_cells": 6}}.items():
+for _method, _parameters in {"components": {"least": 3}, "watershed": {}, "erosion": {"least_cells": 6, "least_part": 12}, "morphological": {"low": 2, "high": 60}, "distance": {"low": 2, "high": 200}, "voronoi": {"resolution": 1.0, "merge_below": 30.0, "force_below": 6.0, "low": 2.0, "neighbourhood": 20}}.items():
     query(f"segment_{_method}")(lambda t, m=_method, p=_parameters: grids.segmented(_rooms(t), ["frame"], H, W, m, **p))
 
 
@@ -288,10 +295,10 @@ def polygon_cells(t: Tables):
     return matching.polygon_cells(points, ["frame"], 1.0, 0.0, 0.0).drop("frame")
 
 
-@query("box_cells", "WITH b AS (SELECT r, c FROM e WHERE z < 4 AND event_id % 10 = 0), o AS (SELECT r, c FROM e WHERE event_id % 97 = 0), s AS (SELECT DISTINCT r + i AS r, c + j AS c FROM b, range(3) t(i), range(2) u(j) WHERE r + i < 40 AND c + j < 64) SELECT r, c FROM s EXCEPT SELECT r, c FROM o")
+@query("box_cells", "WITH b AS (SELECT r, c FROM e WHERE z < 4 AND event_type = 'error'), o AS (SELECT r, c FROM e WHERE event_type = 'purchase'), s AS (SELECT DISTINCT r + i AS r, c + j AS c FROM b, range(3) t(i), range(2) u(j) WHERE r + i < 40 AND c + j < 64) SELECT r, c FROM s EXCEPT SELECT r, c FROM o")
 def box_cells(t: Tables):
     box = lambda where, h, w: t.e.where(where).selectExpr("1 as frame", "r as r0", f"r + {h} as r1", "c as c0", f"c + {w} as c1", "cast(z as double) as z0", "z + 1.0D as z1")
-    return matching.box_cells(box("event_id % 10 = 0", 2, 1), ["frame"], 0.0, 4.0, H, W, box("event_id % 97 = 0", 0, 0)).drop("frame")
+    return matching.box_cells(box("event_type = 'error'", 2, 1), ["frame"], 0.0, 4.0, H, W, box("event_type = 'purchase'", 0, 0)).drop("frame")
 
 
 @query("slug", "SELECT page_id, regexp_replace(trim(url), '[^A-Za-z0-9_.-]+', '_', 'g') AS slug FROM pages")

@@ -54,7 +54,12 @@ def terminal_registry(t: Tables):
     return machines.in_batch(rows, ["scene"], "step", machines.terminal_registry, machines.OUTPUTS["terminal_registry"])
 
 
-@query("frontier_commitment")
+@query("frontier_commitment", """WITH a AS (SELECT user_id % 10 AS scene, step, c % 6 AS id, max(value) AS s FROM e GROUP BY ALL),
+g AS (SELECT scene, step, list(id ORDER BY id) AS ids, list(s ORDER BY id) AS ss, list(id ORDER BY s DESC, id)[1] AS best, max(s) AS top FROM a GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY step) AS n FROM g),
+f(scene, n, step, choice, since, reason) AS (SELECT scene, n, step, best, step, 'initial' FROM o WHERE n = 1 UNION ALL
+SELECT scene, n, step, CASE WHEN reason = 'kept' THEN choice ELSE best END, CASE WHEN reason = 'kept' THEN since ELSE step END, reason FROM (
+SELECT o.scene, o.n, o.step, f.choice, f.since, o.best, CASE WHEN NOT list_contains(o.ids, f.choice) THEN 'gone' WHEN o.step - f.since >= 50 THEN 'timeout' WHEN o.top > o.ss[list_position(o.ids, f.choice)] * 1.2::DOUBLE THEN 'better' ELSE 'kept' END AS reason FROM f JOIN o ON o.scene = f.scene AND o.n = f.n + 1))
+SELECT scene, step, choice AS frontier_id, reason FROM f""", recursive=True)
 def frontier_commitment(t: Tables):
     rows = t.e.selectExpr("user_id % 10 as scene", "step", "c % 6 as frontier_id", "value").groupBy("scene", "step", "frontier_id").agg(F.max("value").alias("score"))
     return machines.in_batch(rows, ["scene"], "step", machines.commitment, machines.OUTPUTS["commitment"])

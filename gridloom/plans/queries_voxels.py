@@ -11,12 +11,12 @@ from .registry import Tables, query
 RAY = "event_id, (user_id % 8) + 0.37 AS z0, (event_id % 40) + 0.41 AS r0, (event_id * 7 % 64) + 0.29 AS c0, (event_id % 8) + 0.61 AS z1, (event_id * 3 % 40) + 0.83 AS r1, (event_id * 11 % 64) + 0.53 AS c1"
 
 
-def _rays(t: Tables, every: int):
+def _rays(t: Tables):
     d = lambda x: f"cast({x} as double)"
-    return t.e.where(f"event_id % {every} = 0").selectExpr("event_id", "step", "occ as is_hit", f"{d('user_id % 8')} + 0.37D as oz", f"{d('event_id % 40')} + 0.41D as or_", f"{d('event_id * 7 % 64')} + 0.29D as oc", f"{d('event_id % 8')} + 0.61D as ez", f"{d('event_id * 3 % 40')} + 0.83D as er", f"{d('event_id * 11 % 64')} + 0.53D as ec")
+    return t.e.selectExpr("event_id", "step", "occ as is_hit", f"{d('user_id % 8')} + 0.37D as oz", f"{d('event_id % 40')} + 0.41D as or_", f"{d('event_id * 7 % 64')} + 0.29D as oc", f"{d('event_id % 8')} + 0.61D as ez", f"{d('event_id * 3 % 40')} + 0.83D as er", f"{d('event_id * 11 % 64')} + 0.53D as ec")
 
 
-DDA = """WITH p AS (SELECT event_id, CAST(user_id % 8 AS DOUBLE) + 0.37 AS z0, CAST(event_id % 40 AS DOUBLE) + 0.41 AS r0, CAST(event_id * 7 % 64 AS DOUBLE) + 0.29 AS c0, CAST(event_id % 8 AS DOUBLE) + 0.61 AS z1, CAST(event_id * 3 % 40 AS DOUBLE) + 0.83 AS r1, CAST(event_id * 11 % 64 AS DOUBLE) + 0.53 AS c1 FROM e WHERE event_id % 50 = 0),
+DDA = """WITH p AS (SELECT event_id, CAST(user_id % 8 AS DOUBLE) + 0.37 AS z0, CAST(event_id % 40 AS DOUBLE) + 0.41 AS r0, CAST(event_id * 7 % 64 AS DOUBLE) + 0.29 AS c0, CAST(event_id % 8 AS DOUBLE) + 0.61 AS z1, CAST(event_id * 3 % 40 AS DOUBLE) + 0.83 AS r1, CAST(event_id * 11 % 64 AS DOUBLE) + 0.53 AS c1 FROM e),
 x AS (SELECT event_id, (k - z0) / (z1 - z0) AS t FROM p, range(0, 9) g(k) WHERE k > least(z0, z1) AND k <= greatest(z0, z1)
 UNION ALL SELECT event_id, (k - r0) / (r1 - r0) FROM p, range(0, 41) g(k) WHERE k > least(r0, r1) AND k <= greatest(r0, r1)
 UNION ALL SELECT event_id, (k - c0) / (c1 - c0) FROM p, range(0, 65) g(k) WHERE k > least(c0, c1) AND k <= greatest(c0, c1)),
@@ -28,17 +28,17 @@ m AS (SELECT event_id, row_number() OVER w - 1 AS pos, (t + lead(t) OVER w) / 2
 
 @query("dda_cells", DDA + """SELECT event_id, pos, CAST(floor(z0 + (z1 - z0) * m) AS BIGINT) AS z, CAST(floor(r0 + (r1 - r0) * m) AS BIGINT) AS r, CAST(floor(c0 + (c1 - c0) * m) AS BIGINT) AS c FROM m JOIN p USING (event_id) WHERE m IS NOT NULL""")
 def dda_cells(t: Tables):
-    rays = _rays(t, 50)
+    rays = _rays(t)
     cells = voxels.traversed([F.col(x) for x in ("oz", "or_", "oc")], [F.col(x) for x in ("ez", "er", "ec")])
     return rays.select("event_id", F.posexplode(cells).alias("pos", "v")).select("event_id", "pos", "v.z", "v.r", "v.c")
 
 
-@query("ray_events", DDA.replace("WHERE event_id % 50 = 0", "WHERE event_id % 10 = 0") + """, k AS (SELECT event_id, pos, count(*) OVER (PARTITION BY event_id) AS n, CAST(floor(z0 + (z1 - z0) * m) AS BIGINT) AS z, CAST(floor(r0 + (r1 - r0) * m) AS BIGINT) AS r, CAST(floor(c0 + (c1 - c0) * m) AS BIGINT) AS c FROM m JOIN p USING (event_id) WHERE m IS NOT NULL),
+@query("ray_events", DDA + """, k AS (SELECT event_id, pos, count(*) OVER (PARTITION BY event_id) AS n, CAST(floor(z0 + (z1 - z0) * m) AS BIGINT) AS z, CAST(floor(r0 + (r1 - r0) * m) AS BIGINT) AS r, CAST(floor(c0 + (c1 - c0) * m) AS BIGINT) AS c FROM m JOIN p USING (event_id) WHERE m IS NOT NULL),
 f AS (SELECT k.*, e.step, e.occ FROM k JOIN e USING (event_id)),
 ev AS (SELECT step, z, r, c, 1 AS free, 0 AS occupied FROM f WHERE NOT occ OR pos < n - 1 UNION ALL SELECT e.step, CAST(floor(z1) AS BIGINT), CAST(floor(r1) AS BIGINT), CAST(floor(c1) AS BIGINT), 0, 1 FROM p JOIN e USING (event_id) WHERE e.occ)
 SELECT step, z, r, c, CAST(sum(free) AS BIGINT) AS free, CAST(sum(occupied) AS BIGINT) AS occupied FROM ev GROUP BY ALL""")
 def ray_events(t: Tables):
-    return voxels.ray_events(_rays(t, 10), ["step"], (8, 40, 64))
+    return voxels.ray_events(_rays(t), ["step"], (8, 40, 64))
 
 
 @query("clip_segments", "SELECT event_id, round(greatest(0.0, CASE WHEN dx = 0 THEN 0 ELSE least(-x / dx, (50 - x) / dx) END), 6) AS t0, round(least(1.0, CASE WHEN dx = 0 THEN 1 ELSE greatest(-x / dx, (50 - x) / dx) END), 6) AS t1 FROM (SELECT event_id, CAST(user_id - 40 AS DOUBLE) AS x, CAST(event_id % 90 - (user_id - 40) AS DOUBLE) AS dx FROM events) WHERE NOT (dx = 0 AND (x < 0 OR x >= 50)) AND greatest(0.0, CASE WHEN dx = 0 THEN 0 ELSE least(-x / dx, (50 - x) / dx) END) <= least(1.0, CASE WHEN dx = 0 THEN 1 ELSE greatest(-x / dx, (50 - x) / dx) END)")

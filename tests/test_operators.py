@@ -122,14 +122,110 @@ def test_kernels_against_plain_search():
     assert np.allclose(np.nan_to_num(want, posinf=-1), np.nan_to_num(d, posinf=-1))
 
 
-@pytest.mark.parametrize("method, parameters", [("watershed", {}), ("erosion", {"least_cells": 6}), ("morphological", {"low": 4, "high": 60}), ("distance", {"low": 4, "high": 60}), ("voronoi", {"neighbourhood": 3, "least_cells": 6})])
-def test_two_rooms_and_a_door_are_two_rooms(spark, method, parameters):
-    mask = np.zeros((12, 25), bool)
-    mask[1:11, 1:12] = mask[1:11, 13:24] = mask[5, 12] = True
-    got = grids.segmented(cells_of(spark, mask), ["frame"], 12, 25, method, **parameters).collect()
+ROOMS = {"watershed": {}, "erosion": {"least_cells": 6}, "morphological": {"low": 4, "high": 120}, "distance": {"low": 4, "high": 120}}
+
+
+@pytest.mark.parametrize("method, parameters", ROOMS.items())
+def test_two_rooms_and_a_corridor_are_two_rooms(spark, method, parameters):
+    mask = np.zeros((14, 40), bool)
+    mask[1:13, 1:15] = mask[1:13, 24:38] = mask[5:8, 15:24] = True
+    got = grids.segmented(cells_of(spark, mask), ["frame"], 14, 40, method, **parameters).collect()
     by = {(r.r, r.c): r.label for r in got}
-    assert set(by) >= {(int(r), int(c)) for r, c in np.argwhere(mask) if c != 12}
-    assert by[(5, 4)] != by[(5, 20)] and len(set(by.values())) <= 4
+    assert by[(6, 4)] != by[(6, 34)] and {by[(r, c)] for r in range(3, 11) for c in range(3, 13)} == {by[(6, 4)]}
+    assert method in ("watershed", "erosion") or set(by) == {(int(r), int(c)) for r, c in np.argwhere(mask)}
+
+
+def drawn(*rows):
+    return np.array([[".123456789".index(x) for x in row] for row in rows])
+
+
+def test_erosion_opens_closes_and_keeps_cores():
+    mask = np.zeros((9, 19), bool)
+    mask[1:8, 1:8] = mask[1:8, 11:18] = mask[4, 8:11] = True
+    # opening takes the corners and the middle of the corridor; closing gives back the corridor alone, whose ends still meet
+    got = kernels.erosion_rooms(mask, least_cells=4, least_part=10)
+    assert (got == drawn(
+        "...................",
+        "..11111.....22222..",
+        ".1111111...2222222.",
+        ".1111111...2222222.",
+        ".11111111122222222.",
+        ".1111111...2222222.",
+        ".1111111...2222222.",
+        "..11111.....22222..",
+        "...................")).all()
+    assert not kernels.erosion_rooms(mask, least_cells=4, least_part=100).any()
+
+
+def test_erosion_splits_a_component_only_into_large_children():
+    mask = np.zeros((9, 27), bool)
+    mask[1:8, 1:10] = mask[1:8, 17:26] = mask[3:6, 10:17] = True
+    two = kernels.erosion_rooms(mask, least_cells=5, least_part=10)
+    assert two[4, 4] == 1 and two[4, 22] == 2 and set(np.unique(two)) == {0, 1, 2}
+    one = kernels.erosion_rooms(mask, least_cells=200, least_part=10)
+    assert set(np.unique(one)) == {0, 1} and set(np.unique(kernels.erosion_rooms(mask, least_cells=5, least_ratio=0.6, least_part=10))) == {0, 1}
+
+
+def test_distance_takes_the_smallest_threshold_of_most_rooms_and_floods_from_the_middle():
+    mask = np.zeros((9, 21), bool)
+    mask[1:8, 1:9] = mask[1:8, 12:20] = mask[4, 9:12] = True
+    got = kernels.distance_rooms(mask, 4, 60)
+    assert (got[1:8, 1:9] == 1).all() and (got[1:8, 12:20] == 2).all() and got[4, 9] == 1 and got[4, 11] == 2 and got[4, 10] == 1
+    # a part too thin to erode has no seed of its own threshold: its first cell is one
+    mask[0, 20] = True
+    thin = kernels.distance_rooms(mask, 4, 60)
+    assert thin[0, 20] == 3 or thin[0, 20] == thin[1, 19]
+    alone = np.zeros((3, 7), bool)
+    alone[1, 1:6] = True
+    assert kernels.distance_rooms(alone, 4, 60)[1].tolist() == [0, 1, 1, 1, 1, 1, 0]
+
+
+def test_morphology_erodes_first_and_leaves_ground_without_seed():
+    mask = np.zeros((9, 12), bool)
+    mask[1:8, 1:8] = True
+    mask[1, 10] = True
+    got = kernels.morphological_rooms(mask, 20, 30)
+    assert (got[1:8, 1:8] == 1).all() and got[1, 10] == 0
+    assert not kernels.morphological_rooms(mask, 26, 48).any()  # 49 cells are never tested, 25 come next
+
+
+def test_a_component_of_one_room_is_split_at_its_bottleneck():
+    mask = np.zeros((8, 20), bool)
+    mask[1:7, 1:8] = mask[1:7, 12:19] = mask[3:5, 8:12] = True
+    halves = kernels.bottleneck(mask, 4)
+    assert set(halves[mask]) == {1, 2} and (halves[1:7, 1:8] == 1).all() and (halves[1:7, 12:19] == 2).all()
+    assert kernels.bottleneck(mask, 60) is None and kernels.bottleneck(np.ones((3, 30), bool), 4) is None
+
+
+def test_small_rooms_go_to_the_neighbour_with_most_border():
+    labels = drawn("111122222", "111322222", "111122222", "444......")
+    assert (kernels.merged_small(labels, 0, 2) == drawn("111122222", "111122222", "111122222", "333......")).sum() >= 35
+    got = kernels.merged_small(labels, 0, 4)
+    assert got[3, 0] == got[0, 0] and len(np.unique(got[got > 0])) == 2
+    kept = kernels.merged_small(labels, 0, 0)
+    assert (kept == labels).all()
+
+
+def test_voronoi_cuts_between_walls_and_fills_the_ground():
+    mask = np.zeros((14, 40), bool)
+    mask[1:13, 1:15] = mask[1:13, 24:38] = mask[5:8, 15:24] = True
+    got = kernels.voronoi_rooms(mask, 1.0, 30, 6, 3, neighbourhood=20)
+    assert ((got > 0) == mask).all() and got[6, 4] != got[6, 34]
+    assert len(np.unique(kernels.voronoi_rooms(mask, 1.0, 1e6, 1e6, 3)[mask])) == 1
+    assert not kernels.voronoi_rooms(np.zeros((4, 5), bool)).any()
+
+
+def test_metrics_in_one_pass_are_those_of_prepared_maps(spark):
+    rnd = np.random.default_rng(5)
+    for least in (0, 2, 5):
+        maps = [rnd.integers(0, 9, (6, 11)) for _ in range(2)]
+        truth, found = (spark.createDataFrame([(0, r, c, int(m[r, c])) for r in range(6) for c in range(11) if m[r, c]], "scene int, r int, c int, label int") for m in maps)
+        got = labels.snapshot_metrics(truth, found, ["scene"], least).first()
+        if least > 1:
+            truth, found = labels.prepared(truth, found, ["scene"], least)
+        want = labels.matched(labels.contingency(truth, found, ["scene"]), ["scene"]).first()
+        assert (got.n_gt, got.n_pred) == (want.n_gt, want.n_pred) and math.isclose(got.miou, want.miou)
+        assert sorted((p.gt, round(p.iou, 9)) for p in got.pairs) == sorted((p.gt, round(p.iou, 9)) for p in want.pairs)
 
 
 def test_runs_and_gaps(spark):
