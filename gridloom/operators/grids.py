@@ -11,6 +11,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import kernels
 
@@ -133,6 +134,22 @@ def truth_from_annotation(domain: DataFrame, lines: DataFrame, keys: list[str],
     return domain.groupBy(*keys).cogroup(lines.groupBy(*keys)).applyInPandas(work, _schema(domain, keys, "r int", "c int", "label int"))
 
 
+def rooms_of_nodes(masks: DataFrame, domain: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
+    """(keys, r, c, label): a topology as rooms. A cell of the domain goes to the smallest node whose mask holds it, the rest to the node that reaches it first in 4-steps; nodes are numbered anew.
+
+    masks: (keys, node_id, r, c), node_id from 1. Cells that no node reaches have no row.
+    """
+    claimed = masks.where("node_id > 0").groupBy(*keys, "r", "c").agg(F.min("node_id").cast("int").alias("node"))
+    rows = domain.select(*keys, "r", "c").distinct().join(claimed, [*keys, "r", "c"], "left").fillna(0, ["node"])
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        labels = kernels.in_order(kernels.flood(grid_of(pdf, height, width, "node").astype(np.int32), grid_of(pdf, height, width), kernels.STEPS4))
+        r, c = np.nonzero(labels)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(r) for k in keys}, "r": r, "c": c, "label": labels[r, c].astype(int)})
+
+    return rows.groupBy(*keys).applyInPandas(work, _schema(domain, keys, "r int", "c int", "label int"))
+
+
 def seed_lines(seeds: DataFrame, keys: list[str], group: str, tolerance: float = 1.0) -> DataFrame:
     """(keys, group, score, r, c, on_line): the cells of each seed group and whether its best line takes them."""
     def work(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -148,6 +148,60 @@ def longest_instances(tasks: DataFrame, keys: list[str], length: str = "length")
     return usable.groupBy(*keys).agg(F.max(F.struct(F.col(length).alias("length"), (-F.col("task_id")).alias("n"))).alias("b")).select(*keys, (-F.col("b.n")).alias("task_id"), "b.length")
 
 
+def evaluated(steps: DataFrame, runs: DataFrame, keys: list[str], order: str = "step", jump_m: float = 0.5) -> DataFrame:
+    """Runs with what their steps come to: steps, collisions, path_length, distance_to_goal, success, spl, softspl.
+
+    steps: (keys, order, x, y, collided, distance), distance being the way left
+    to the goal; runs: (keys, shortest, success_distance, stop_called,
+    failure_reason). The last step's distance counts, infinite without a step;
+    moves of jump_m or more add no length. Success is a stop near enough and no
+    failure.
+    """
+    from ..functions import scalar
+    from .labels import path_length
+
+    rows = path_length(steps, keys, order, jump_m)
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("steps"), F.sum(F.when(F.col("collided"), 1).otherwise(0)).alias("collisions"), F.max("path_m").alias("path_length"), F.max_by("distance", order).alias("distance_to_goal"))
+    out = runs.join(sums, keys, "left").fillna(0, ["steps", "collisions", "path_length"]).withColumn("distance_to_goal", F.coalesce("distance_to_goal", F.lit(scalar.INF)))
+    out = out.withColumn("success", F.coalesce(F.col("stop_called") & (F.col("distance_to_goal") <= F.col("success_distance")) & F.col("failure_reason").isNull(), F.lit(False)))
+    own, length = F.coalesce("shortest", F.lit(scalar.INF)), F.col("path_length")
+    return out.withColumn("spl", scalar.spl(F.col("success"), own, length)).withColumn("softspl", scalar.soft_spl(own, F.col("distance_to_goal"), own, length))
+
+
+def merged_goals(nodes: DataFrame, keys: list[str], radius: float) -> DataFrame:
+    """(keys, node_id, x, y, observed, members): by id, each goal joins the nearest one kept so far strictly within the radius, which moves to the mean weighted by sightings.
+
+    nodes: (keys, node_id, x, y, observed); keys hold the scene and the
+    category. Kept goals lie in a hash of tiles of the radius, so a node meets
+    those of nine tiles alone.
+    """
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept: list[list] = []
+        tiles: dict[tuple[int, int], list[int]] = {}
+        tile = lambda x, y: (int(x // radius), int(y // radius))
+        for n in pdf.sort_values("node_id").itertuples():
+            r, c = tile(n.x, n.y)
+            near = sorted(i for a in (-1, 0, 1) for b in (-1, 0, 1) for i in tiles.get((r + a, c + b), ()))
+            apart = [((kept[i][1] - n.x) ** 2 + (kept[i][2] - n.y) ** 2, i) for i in near]
+            best = min(apart, default=(radius * radius, -1))
+            count = max(1, n.observed)
+            if best[0] >= radius * radius:
+                tiles.setdefault((r, c), []).append(len(kept))
+                kept.append([n.node_id, n.x, n.y, count, 1])
+                continue
+            goal = kept[best[1]]
+            tiles[tile(goal[1], goal[2])].remove(best[1])
+            total = goal[3] + count
+            goal[1:] = [(goal[1] * goal[3] + n.x * count) / total, (goal[2] * goal[3] + n.y * count) / total, total, goal[4] + 1]
+            tiles.setdefault(tile(goal[1], goal[2]), []).append(best[1])
+        found = pd.DataFrame(kept, columns=["node_id", "x", "y", "observed", "members"])
+        return found.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, *found.columns]]
+
+    kinds = dict(nodes.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "node_id long", "x double", "y double", "observed long", "members long"])
+    return nodes.groupBy(*keys).applyInPandas(work, schema)
+
+
 def ray_evidence(rays: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
     """(keys, r, c, crossed, hit): cells of flat rays; the last is a hit where the ray has one, all before are crossed. rays: (keys, r0, c0, r1, c1, is_hit)."""
     cells = rays.select(*keys, "is_hit", raster.bresenham_cells(*[F.col(x) for x in ("r0", "c0", "r1", "c1")]).alias("cells"))

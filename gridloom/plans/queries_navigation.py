@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import labels, navigation, raster
+from ..operators import grids, labels, navigation, raster
 from ..streaming import machines
 from .queries_evaluation import LINE
 from .registry import Tables, query
@@ -171,3 +171,26 @@ SELECT scene, step, target_id, CASE WHEN d <= 0.5 THEN 'arrived' WHEN step - sin
 def execution_state(t: Tables):
     rows = t.e.groupBy((F.col("user_id") % 10).alias("scene"), "step").agg(F.min((F.col("step") / 7).cast("long")).alias("target_id"), (F.min("value") / 10).alias("distance"))
     return machines.in_batch(rows, ["scene"], "step", machines.execution, machines.OUTPUTS["execution"])
+
+
+@query("episode_results", """WITH p AS (SELECT user_id, event_id, value / 1000 AS x, (event_id % 10) / 20.0 AS y, event_type = 'error' AS collided, value / 100 AS distance FROM events),
+d AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS d FROM p WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+s AS (SELECT user_id, count(*) AS steps, count(*) FILTER (collided) AS collisions, sum(CASE WHEN d < 0.5 THEN d ELSE 0 END) AS path_length, arg_max(distance, event_id) AS left_m, CAST(user_id % 7 AS DOUBLE) + 0.5 AS shortest FROM d GROUP BY user_id),
+o AS (SELECT *, user_id % 3 <> 0 AND left_m <= 1.0 AND user_id % 11 <> 0 AS success FROM s)
+SELECT user_id, steps, collisions, round(path_length, 6) AS path_length, round(left_m, 6) AS distance_to_goal, success, round(CASE WHEN success THEN shortest / greatest(path_length, shortest, 1e-6) ELSE 0 END, 6) AS spl, round(greatest(0.0, 1 - left_m / shortest) * shortest / greatest(path_length, shortest, 1e-6), 6) AS softspl FROM o""")
+def episode_results(t: Tables):
+    steps = t.events.selectExpr("user_id", "event_id", "value / 1000 as x", "(event_id % 10) / 20.0D as y", "event_type = 'error' as collided", "value / 100 as distance")
+    runs = t.events.select("user_id").distinct().selectExpr("user_id", "user_id % 7 + 0.5D as shortest", "1.0D as success_distance", "user_id % 3 <> 0 as stop_called", "if(user_id % 11 = 0, 'stuck', null) as failure_reason")
+    return navigation.evaluated(steps, runs, ["user_id"], "event_id").select("user_id", "steps", "collisions", "path_length", "distance_to_goal", "success", "spl", "softspl")
+
+
+@query("merged_goals")
+def merged_goals(t: Tables):
+    nodes = t.e.selectExpr("frame", "event_type as category", "event_id as node_id", "cast(c as double) as x", "cast(r as double) as y", "user_id % 4 + 1 as observed")
+    return navigation.merged_goals(nodes, ["frame", "category"], 4.0)
+
+
+@query("topology_rooms")
+def topology_rooms(t: Tables):
+    masks = t.e.where("occ").selectExpr("frame", "user_id % 6 + 1 as node_id", "r", "c")
+    return grids.rooms_of_nodes(masks, t.cells, ["frame"], H, W)

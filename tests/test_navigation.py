@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import doors, frontier, graph, labels, matching, navigation
+from gridloom.operators import doors, frontier, graph, grids, labels, matching, navigation
 from gridloom.streaming import machines
 
 
@@ -96,3 +96,41 @@ def test_two_level_means_differ_from_pooled_ones(spark):
     rows = spark.createDataFrame([("a", 1.0, True), ("a", 1.0, True), ("b", 0.0, True), ("b", 5.0, False)], "episode string, miou double, valid boolean")
     row = labels.episode_first(rows, ["episode"], ["miou"])[1].first()
     assert row.miou == 0.5 and abs(row.pooled_miou - 2 / 3) < 1e-9
+
+
+def test_runs_are_evaluated_at_their_last_step(spark):
+    steps = spark.createDataFrame([(1, i, 0.25 * i, 0.0, i == 2, 2.0 - 0.25 * i) for i in range(6)] + [(2, 0, 0.0, 0.0, False, 3.0), (2, 1, 9.0, 0.0, False, 0.5)], "ep int, step int, x double, y double, collided boolean, distance double")
+    runs = spark.createDataFrame([(1, 1.0, 1.0, True, None), (2, 3.0, 1.0, True, "stuck"), (3, 2.0, 1.0, True, None)], "ep int, shortest double, success_distance double, stop_called boolean, failure_reason string")
+    got = {r.ep: r for r in navigation.evaluated(steps, runs, ["ep"]).collect()}
+    assert (got[1].steps, got[1].collisions, got[1].path_length, got[1].distance_to_goal, got[1].success, got[1].spl) == (6, 1, 1.25, 0.75, True, 0.8)
+    assert (got[2].path_length, got[2].success, got[2].spl) == (0.0, False, 0.0) and abs(got[2].softspl - 2.5 / 3) < 1e-9
+    assert (got[3].steps, got[3].distance_to_goal, got[3].success, got[3].softspl) == (0, float("inf"), False, 0.0)
+
+
+def test_goals_merge_in_the_order_of_ids(spark):
+    import random
+
+    draw = random.Random(3)
+    rows = [(0, i, draw.uniform(-9, 9), draw.uniform(-9, 9), draw.randint(0, 3)) for i in range(200)]
+    kept: list = []
+    for _, i, x, y, n in rows:
+        near = [(((g[1] - x) ** 2 + (g[2] - y) ** 2) ** 0.5, j) for j, g in enumerate(kept)]
+        d, j = min(near, default=(9.0, 0))
+        n = max(1, n)
+        if d >= 2.0:
+            kept.append((i, x, y, n, 1))
+        else:
+            g = kept[j]
+            kept[j] = (g[0], (g[1] * g[3] + x * n) / (g[3] + n), (g[2] * g[3] + y * n) / (g[3] + n), g[3] + n, g[4] + 1)
+    df = spark.createDataFrame(rows, "scene int, node_id long, x double, y double, observed int")
+    got = sorted(tuple(r)[1:] for r in navigation.merged_goals(df, ["scene"], 2.0).collect())
+    assert [(g[0], g[3], g[4]) for g in got] == [(g[0], g[3], g[4]) for g in kept]
+    assert all(abs(a[1] - b[1]) + abs(a[2] - b[2]) < 1e-9 for a, b in zip(got, kept))
+    assert navigation.merged_goals(df.limit(0), ["scene"], 2.0).count() == 0
+
+
+def test_nodes_become_rooms(spark):
+    domain = spark.createDataFrame([(0, 0, c) for c in range(7)] + [(0, 2, 0)], "scene int, r int, c int")
+    masks = spark.createDataFrame([(0, 5, 0, 1), (0, 3, 0, 1), (0, 9, 0, 5), (0, 9, 1, 5)], "scene int, node_id int, r int, c int")
+    got = {(r.r, r.c): r.label for r in grids.rooms_of_nodes(masks, domain, ["scene"], 3, 7).collect()}
+    assert got == {(0, 0): 1, (0, 1): 1, (0, 2): 1, (0, 3): 1, (0, 4): 2, (0, 5): 2, (0, 6): 2}
