@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, outliers, packing, quality, secrets, simhash, token_counts, toxicity
+from . import centroids, chat, decontaminate, licenses, multi_index, outliers, packing, quality, secrets, simhash, token_counts, toxicity, vector_sql
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Target proportions of tokens in every window: the largest source is held to a fifth while others last, two small ones are doubled; the rest share what is left by their totals.
@@ -69,6 +69,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
@@ -80,6 +88,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_fm_index": op9_fm_index,
     "op10_simhash": op10_simhash,
+    "op11_centroids": op11_centroids,
+    "op12_multi_index": op12_multi_index,
 }
 #: Words, windows of 10 (or a whole shorter item), and the document words inside any occurrence.
 OP9_SQL = r"""
@@ -111,4 +121,6 @@ FROM c GROUP BY conv_id
 ORACLE_SQL: dict[str, str] = {
     "op6_chat": OP6_SQL,
     "op9_fm_index": OP9_SQL,
+    "op11_centroids": vector_sql.clustering_sql(),
+    "op12_multi_index": vector_sql.NEAR_SQL,
 }
