@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import kernels
+from . import kernels, partition
 
 Segmenter = Callable[[np.ndarray], np.ndarray]
 
@@ -30,8 +30,9 @@ SEGMENTERS: dict[str, Callable[..., np.ndarray]] = {
     "erosion": kernels.erosion_rooms,
     "morphological": kernels.morphological_rooms,
     "distance": kernels.distance_rooms,
-    "voronoi": kernels.voronoi_rooms,
 }
+#: Segmenters of whole tables.
+TABLE_SEGMENTERS: dict[str, Callable[..., DataFrame]] = {"voronoi": partition.voronoi_rooms}
 
 
 def _large(labels: np.ndarray, least: int) -> np.ndarray:
@@ -54,15 +55,21 @@ def _schema(df: DataFrame, keys: list[str], *more: str) -> str:
 
 
 def segmented(free: DataFrame, keys: list[str], height: int, width: int, method: str, **parameters) -> DataFrame:
-    """(keys, r, c, label) by a registered segmenter, frame by frame."""
-    segment = SEGMENTERS[method]
+    """(keys, r, c, label) by a registered segmenter, of the whole table or frame by frame.
+
+    watershed: a component of one room is split at a bottleneck with least_side (4) cells on both sides.
+    """
+    if method in TABLE_SEGMENTERS:
+        return TABLE_SEGMENTERS[method](free, keys, height, width, **parameters)
+    segment, least_side = SEGMENTERS[method], parameters.pop("least_side", 4) if method == "watershed" else None
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         labels = segment(grid_of(pdf, height, width), **parameters)
         r, c = np.nonzero(labels)
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(r) for k in keys}, "r": r, "c": c, "label": labels[r, c].astype(int)})
 
-    return free.groupBy(*keys).applyInPandas(work, _schema(free, keys, "r int", "c int", "label int"))
+    found = free.groupBy(*keys).applyInPandas(work, _schema(free, keys, "r int", "c int", "label int"))
+    return found if least_side is None else partition.with_single_rooms_halved(found, keys, width, least_side)
 
 
 def distance_field(free: DataFrame, sources: DataFrame, keys: list[str], height: int, width: int, diagonal: bool = True, penalty: str | None = None) -> DataFrame:

@@ -261,7 +261,7 @@ def _rooms(t: Tables):
     return raster.dilate(t.cells, ["frame"], raster.disk(1), H, W)
 
 
-for _method, _parameters in {"components": {"least": 3}, "watershed": {}, "erosion": {"least_cells": 6, "least_part": 12}, "morphological": {"low": 2, "high": 60}, "distance": {"low": 2, "high": 200}, "voronoi": {"resolution": 1.0, "merge_below": 30.0, "force_below": 6.0, "low": 2.0, "neighbourhood": 20}}.items():
+for _method, _parameters in {"components": {"least": 3}, "watershed": {}, "erosion": {"least_cells": 6, "least_part": 12}, "morphological": {"low": 2, "high": 60}, "distance": {"low": 2, "high": 200}, "voronoi": {"resolution": 1.0, "merge_below": 30.0, "force_below": 6.0, "low": 2.0, "stride": 6}}.items():
     query(f"segment_{_method}")(lambda t, m=_method, p=_parameters: grids.segmented(_rooms(t), ["frame"], H, W, m, **p))
 
 

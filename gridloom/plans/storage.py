@@ -6,12 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
-#: Tables written inside each open scratch block.
-_OPEN: list[list[DataFrame]] = []
+#: Tables written inside each open scratch block of this thread, the innermost last.
+_OPEN: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("open", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,8 +33,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
-    if _OPEN:
-        _OPEN[-1].append(out)
+    if blocks := _OPEN.get():
+        blocks[-1].append(out)
     return out
 
 
@@ -57,13 +58,13 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.append(df)
         return df
 
-    _OPEN.append(made)
+    token = _OPEN.set((*_OPEN.get(), made))
     try:
         yield keep
     finally:
-        _OPEN.pop()
+        _OPEN.reset(token)
         for df in made:
             if not any(df is k for k in kept):
                 release(df)
-        if _OPEN:
-            _OPEN[-1].extend(kept)
+        if blocks := _OPEN.get():
+            blocks[-1].extend(kept)

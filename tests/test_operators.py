@@ -189,32 +189,6 @@ def test_morphology_erodes_first_and_leaves_ground_without_seed():
     assert not kernels.morphological_rooms(mask, 26, 48).any()  # 49 cells are never tested, 25 come next
 
 
-def test_a_component_of_one_room_is_split_at_its_bottleneck():
-    mask = np.zeros((8, 20), bool)
-    mask[1:7, 1:8] = mask[1:7, 12:19] = mask[3:5, 8:12] = True
-    halves = kernels.bottleneck(mask, 4)
-    assert set(halves[mask]) == {1, 2} and (halves[1:7, 1:8] == 1).all() and (halves[1:7, 12:19] == 2).all()
-    assert kernels.bottleneck(mask, 60) is None and kernels.bottleneck(np.ones((3, 30), bool), 4) is None
-
-
-def test_small_rooms_go_to_the_neighbour_with_most_border():
-    labels = drawn("111122222", "111322222", "111122222", "444......")
-    assert (kernels.merged_small(labels, 0, 2) == drawn("111122222", "111122222", "111122222", "333......")).sum() >= 35
-    got = kernels.merged_small(labels, 0, 4)
-    assert got[3, 0] == got[0, 0] and len(np.unique(got[got > 0])) == 2
-    kept = kernels.merged_small(labels, 0, 0)
-    assert (kept == labels).all()
-
-
-def test_voronoi_cuts_between_walls_and_fills_the_ground():
-    mask = np.zeros((14, 40), bool)
-    mask[1:13, 1:15] = mask[1:13, 24:38] = mask[5:8, 15:24] = True
-    got = kernels.voronoi_rooms(mask, 1.0, 30, 6, 3, neighbourhood=20)
-    assert ((got > 0) == mask).all() and got[6, 4] != got[6, 34]
-    assert len(np.unique(kernels.voronoi_rooms(mask, 1.0, 1e6, 1e6, 3)[mask])) == 1
-    assert not kernels.voronoi_rooms(np.zeros((4, 5), bool)).any()
-
-
 def test_metrics_in_one_pass_are_those_of_prepared_maps(spark):
     rnd = np.random.default_rng(5)
     for least in (0, 2, 5):
