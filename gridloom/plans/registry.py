@@ -67,6 +67,11 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.select(*[out[kinds[c]](c).alias(c) if kinds[c] in out else F.col(c) for c in df.columns])
 
 
+def rounded(df: DataFrame, places: int = 4) -> DataFrame:
+    """Doubles to so many places, as the SQL beside it does."""
+    return df.select(*[F.round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
 def query(name: str, sql: str | None = None, recursive: bool = False):
     """Registers a function of Tables under a name, with SQL that may use the views."""
     def keep(f):
@@ -81,7 +86,7 @@ def query(name: str, sql: str | None = None, recursive: bool = False):
 
 
 def _load() -> None:
-    from . import queries_evaluation, queries_navigation, queries_raster, queries_stateful, queries_voxels  # noqa: F401
+    from . import queries_doors, queries_evaluation, queries_navigation, queries_raster, queries_stateful, queries_voxels  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
