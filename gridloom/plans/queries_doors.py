@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import raster, seed_lines, wall_lines
+from ..operators import raster, routes, runs, seed_lines, separators, wall_lines
 from .registry import Tables, query, rounded
 
 
@@ -204,3 +204,91 @@ SELECT frame, label, r0, c0, r1, c1, count(*) AS cells, round(n / count(*), 4) A
 def projected_components(t: Tables):
     free = t.lineitem.selectExpr("l_orderkey div 64 as frame", "l_partkey % 40 as r", "l_suppkey % 128 as c").distinct()
     return rounded(wall_lines.projected_components(_walls(t), free, ["frame"], 40, 128))
+
+
+#: Order lines as walls in six rows, with free and unknown cells between them.
+GAP_SQL = """gw AS (SELECT DISTINCT l_orderkey // 64 AS frame, l_suppkey % 6 * 3 AS r, l_partkey % 480 AS c FROM lineitem),
+gi AS (SELECT *, c - row_number() OVER (PARTITION BY frame, r ORDER BY c) AS i FROM gw),
+gr AS (SELECT frame, r AS line, min(c) AS first, max(c) AS last, r * 1000 + min(c) AS run_id, least(1.0, count(*) / 3) AS confidence FROM gi GROUP BY frame, r, i),
+gf AS (SELECT DISTINCT l_orderkey // 64 AS frame, l_linenumber * 3 - 3 AS r, l_suppkey * 11 % 480 AS c FROM lineitem UNION SELECT DISTINCT l_orderkey // 64, l_linenumber % 6 * 3, l_partkey * 3 % 480 FROM lineitem),
+gu AS (SELECT DISTINCT l_orderkey // 64 AS frame, CAST(l_quantity AS BIGINT) % 6 * 3 AS r, l_partkey * 7 % 480 AS c FROM lineitem)"""
+
+
+@query("facing_gaps", f"""WITH {GAP_SQL}, pr AS (SELECT a.frame, CAST(round_even((a.line + b.line) / 2, 0) AS BIGINT) AS line, a.last + 1 AS first, b.first - 1 AS last, least(a.confidence, b.confidence) AS wall_support, least(a.run_id, b.run_id) AS low, greatest(a.run_id, b.run_id) AS high
+  FROM gr a JOIN gr b ON a.frame = b.frame AND b.first - a.last - 1 BETWEEN 1 AND 32 AND abs(a.line - b.line) <= 4),
+sp AS (SELECT DISTINCT frame, line, first, last FROM pr), gc AS (SELECT *, unnest(range(first, last + 1)) AS c FROM sp),
+ra AS (SELECT gc.frame, line, first, last, count(gf.r) / count(*) AS free_ratio, count(gu.r) / count(*) AS unknown_ratio FROM gc LEFT JOIN gf ON gf.frame = gc.frame AND gf.r = line AND gf.c = gc.c LEFT JOIN gu ON gu.frame = gc.frame AND gu.r = line AND gu.c = gc.c GROUP BY ALL)
+, x AS (SELECT pr.*, free_ratio AS f, unknown_ratio AS u, wall_support AS w, (last - first + 1) * 0.05::DOUBLE AS n FROM pr JOIN ra USING (frame, line, first, last)),
+k AS (SELECT *, 'physical_wall_completion' AS kind, 0.75 + 0.2::DOUBLE * w + 0.05::DOUBLE * u AS s FROM x WHERE n <= 0.45 + 0.051 AND w >= 0.35 AND (n < 0.45 OR f <= 0.8 OR u >= 0.15)
+  UNION ALL SELECT *, 'missed_scan_gap_closure', 0.65 + 0.25::DOUBLE * w + 0.1::DOUBLE * (1 - f) FROM x WHERE n <= 0.45 + 0.051 AND (n < 0.45 OR f <= 0.65) AND u <= 0.7
+  UNION ALL SELECT *, 'short_unknown_gap_closure', 0.55 + 0.35::DOUBLE * u + 0.1::DOUBLE * w FROM x WHERE n <= 0.6 AND u >= 0.45
+  UNION ALL SELECT *, 'doorway_virtual_cut', 0.6 + 0.3::DOUBLE * f + 0.1::DOUBLE * (1 - least(1, abs(n - 1.025) / 1.025)) FROM x WHERE n BETWEEN 0.45 AND 1.6 AND w >= 0.3 AND f >= 0.55)
+SELECT frame, kind, 'horizontal' AS axis, line, first, last, round(n, 4) AS length_m, CAST(floor(greatest(0, least(1, s)) * 10000 + 0.3) AS BIGINT) AS confidence_bp, round(w, 4) AS wall_support, round(f, 4) AS free_ratio, round(u, 4) AS unknown_ratio, low AS low_run, high AS high_run FROM k QUALIFY row_number() OVER (PARTITION BY frame, kind, line, first, last ORDER BY low, high) = 1""")
+def facing_gaps(t: Tables):
+    frame = "l_orderkey div 64 as frame"
+    walls = t.lineitem.selectExpr(frame, "l_suppkey % 6 * 3 as r", "l_partkey % 480 as c").distinct()
+    rows = runs.row_runs(walls, ["frame"]).selectExpr("frame", "r * 1000 + first as run_id", "'horizontal' as axis", "r as line", "first", "last", "least(1D, (last - first + 1) / 3) as confidence")
+    free = t.lineitem.selectExpr(frame, "l_linenumber * 3 - 3 as r", "l_suppkey * 11 % 480 as c").union(t.lineitem.selectExpr(frame, "l_linenumber % 6 * 3", "l_partkey * 3 % 480"))
+    unknown = t.lineitem.selectExpr(frame, "cast(l_quantity as long) % 6 * 3 as r", "l_partkey * 7 % 480 as c")
+    got = separators.facing_gaps(rows, free, unknown, ["frame"], 40, 480)
+    basis_points = F.floor(F.col("confidence") * 10000 + 0.3)  # no share of a gap lies on a border of this
+    return rounded(got.withColumns({"low_run": F.col("runs.low"), "high_run": F.col("runs.high"), "confidence_bp": basis_points}).drop("runs", "confidence"))
+
+
+#: Order lines as four columns of twelve cells above the bottom row 11: free, then occupied, then none; the last column is occupied to the top; some cells are free or unknown instead.
+PATTERN = "case when l_linenumber = 7 and l_quantity > 49 then 'u' when l_linenumber = 6 and l_quantity > 49 then 'b' when l_suppkey % 4 = 3 then if(l_partkey % 12 < 5, 'f', 'o') when l_partkey % 12 < 3 then 'f' when l_partkey % 12 < 6 then 'o' else 'n' end"
+
+
+@query("pattern_doors", """WITH pc AS (SELECT l_orderkey // 256 AS frame, l_suppkey % 4 AS c, l_partkey % 12 AS pos, CASE WHEN l_linenumber = 7 AND l_quantity > 49 THEN 'u' WHEN l_linenumber = 6 AND l_quantity > 49 THEN 'b' WHEN l_suppkey % 4 = 3 THEN CASE WHEN l_partkey % 12 < 5 THEN 'f' ELSE 'o' END WHEN l_partkey % 12 < 3 THEN 'f' WHEN l_partkey % 12 < 6 THEN 'o' ELSE 'n' END AS k FROM lineitem),
+ps AS (SELECT frame, c, pos, CASE WHEN min(k) = 'b' THEN 'X' WHEN min(k) = 'f' THEN 'F' WHEN min(k) = 'o' THEN 'O' ELSE 'U' END AS s FROM pc GROUP BY ALL),
+fr AS (SELECT DISTINCT frame FROM ps), grid AS (SELECT frame, c, pos, coalesce(s, 'U') AS s FROM fr CROSS JOIN range(0, 4) x(c) CROSS JOIN range(0, 12) y(pos) LEFT JOIN ps USING (frame, c, pos)),
+up AS (SELECT frame, c, string_agg(s, '' ORDER BY pos) AS w FROM grid GROUP BY ALL), acr AS (SELECT frame, pos, string_agg(s, '' ORDER BY c) AS w FROM grid GROUP BY ALL),
+n1 AS (SELECT *, len(regexp_extract(w, '^F*')) AS nf FROM up WHERE w LIKE 'F%'), n2 AS (SELECT *, len(regexp_extract(substr(w, nf + 1), '^O*')) AS no FROM n1), n3 AS (SELECT *, len(regexp_extract(substr(w, nf + no + 1), '^U*')) AS nu, substr(w, nf + 1, 1) AS nxt FROM n2),
+tu AS (SELECT n3.*, CASE WHEN n3.c >= 3 AND len(regexp_extract(acr.w, '^O*')) >= n3.c THEN 'left' WHEN 3 - n3.c >= 3 AND len(regexp_extract(reverse(acr.w), '^O*')) >= 3 - n3.c THEN 'right' END AS turn FROM n3 JOIN acr ON acr.frame = n3.frame AND acr.pos = n3.nf - 1),
+re AS (SELECT *, CASE WHEN nf < 3 THEN 'free_run_too_short' WHEN nxt = 'U' THEN 'unknown_below_occupied' WHEN no < 3 THEN 'occupied_run_too_short' WHEN nu < 1 THEN 'unknown_tail_missing' WHEN nf + no + nu < 12 THEN 'non_unknown_after_unknown_tail' END AS reason_b,
+  CASE WHEN nxt = 'U' THEN 'unknown_in_lower_free_run' WHEN nf < 3 THEN 'free_run_too_short' WHEN turn IS NULL THEN 'no_valid_turn_with_all_occupied_after' END AS ra FROM tu)
+SELECT frame, c, CASE WHEN reason_b IS NULL THEN 'free_occupied_unknown' WHEN ra IS NULL THEN 'free_turn_occupied' END AS rule, CASE WHEN reason_b IS NULL OR ra IS NULL THEN nf ELSE 0 END AS free_cells, CASE WHEN reason_b IS NULL THEN no WHEN ra IS NULL THEN CASE WHEN turn = 'left' THEN c ELSE 3 - c END ELSE 0 END AS occupied_cells,
+  CASE WHEN reason_b IS NULL THEN nu ELSE 0 END AS unknown_cells, CASE WHEN reason_b IS NOT NULL AND ra IS NULL THEN turn END AS turn, reason_b, CASE WHEN reason_b IS NOT NULL THEN ra END AS reason_a FROM re""")
+def pattern_doors(t: Tables):
+    rows = t.lineitem.selectExpr("l_orderkey div 256 as frame", "11 - l_partkey % 12 as r", "l_suppkey % 4 as c", f"{PATTERN} as k").groupBy("frame", "r", "c").agg(F.min("k").alias("k"))
+    cells = rows.selectExpr("frame", "r", "c", "k in ('f', 'b') as free", "k in ('o', 'b') as occupied", "k = 'u' as unknown")
+    return separators.pattern_doors(cells, ["frame"], (0, 0, 11, 3))
+
+
+#: Parts and suppliers of 64 order keys as a graph of twelve nodes.
+EDGES_SQL = "g AS (SELECT l_orderkey // 64 AS frame, l_partkey % 12 AS a, l_suppkey % 12 AS b, min(l_quantity + l_linenumber) AS w FROM lineitem WHERE l_partkey % 12 <> l_suppkey % 12 AND l_quantity > 15 GROUP BY ALL)"
+
+
+def _relaxed(rounds: int) -> str:
+    """Distances after so many rounds over all edges: enough for as many nodes."""
+    parts = ["d0 AS (SELECT DISTINCT frame, 0 AS node, 0.0::DOUBLE AS d FROM g)"]
+    for k in range(rounds):
+        parts.append(f"d{k + 1} AS MATERIALIZED (SELECT frame, node, min(d) AS d FROM (SELECT * FROM d{k} UNION ALL SELECT g.frame, g.b, d + w FROM d{k} JOIN g ON g.frame = d{k}.frame AND g.a = node) GROUP BY frame, node)")
+    return ",\n".join(parts)
+
+
+@query("shortest_ways", f"""WITH {EDGES_SQL}, {_relaxed(11)}, p AS (SELECT g.frame, g.b AS node, min(g.a) AS before FROM g JOIN d11 s ON s.frame = g.frame AND s.node = g.a JOIN d11 t ON t.frame = g.frame AND t.node = g.b WHERE s.d + w = t.d GROUP BY ALL)
+SELECT frame, node, d AS distance, coalesce(before, -1) AS before FROM d11 LEFT JOIN p USING (frame, node)""")
+def shortest_ways(t: Tables):
+    edges = t.lineitem.where("l_partkey % 12 <> l_suppkey % 12 and l_quantity > 15").selectExpr("l_orderkey div 64 as frame", "l_partkey % 12 as a", "l_suppkey % 12 as b", "l_quantity + l_linenumber as weight")
+    sources = edges.selectExpr("frame", "0L as node").distinct()
+    return routes.shortest_ways(edges, sources, ["frame"]).withColumn("before", F.coalesce("before", F.lit(-1)))
+
+
+#: Events as what an agent knows at a step of 20 events: it stands at the first one; views are frontier cells, clicks entries of rooms, others waypoints of doors.
+@query("next_targets", """WITH m AS (SELECT event_id // 20 AS step, event_id, user_id % 40 AS r, (event_id * 7919) % 64 AS c, event_type, value FROM events),
+a AS (SELECT step, r AS ar, c AS ac, event_type = 'purchase' AS esc FROM m WHERE event_id % 20 = 0),
+fc AS (SELECT m.step, r // 20 AS k, count(*) AS size, min(sqrt((r - ar) ^ 2 + (c - ac) ^ 2)) AS d, min(r * 64 + c) AS rc FROM m JOIN a USING (step) WHERE event_type = 'view' AND event_id % 20 < 4 GROUP BY ALL),
+f AS (SELECT step, rc // 64 AS fr, rc % 64 AS fcol FROM fc QUALIFY row_number() OVER (PARTITION BY step ORDER BY size DESC, round(d, 6), rc // 64, rc % 64) = 1),
+n AS (SELECT m.step, r AS nr, c AS nc FROM m JOIN a USING (step) WHERE event_type = 'click' AND value > 10 QUALIFY row_number() OVER (PARTITION BY m.step ORDER BY round(sqrt((r - ar) ^ 2 + (c - ac) ^ 2), 6), event_id, r, c) = 1),
+w AS (SELECT m.step, r AS wr, c AS wc FROM m JOIN a USING (step) WHERE event_type NOT IN ('view', 'click') AND esc QUALIFY row_number() OVER (PARTITION BY m.step ORDER BY round(sqrt((r - ar) ^ 2 + (c - ac) ^ 2), 6), r, c) = 1)
+SELECT step, coalesce(CASE WHEN esc THEN wr ELSE coalesce(fr, nr) END, -1) AS target_r, coalesce(CASE WHEN esc THEN wc ELSE coalesce(fcol, nc) END, -1) AS target_c, CASE WHEN esc THEN 'escape' WHEN fr IS NOT NULL THEN 'current_room_frontier' WHEN nr IS NOT NULL THEN 'nearest_unexplored' ELSE 'done' END AS reason,
+  CASE WHEN esc THEN wr ELSE coalesce(fr, nr) END IS NULL AS done FROM a LEFT JOIN f USING (step) LEFT JOIN n USING (step) LEFT JOIN w USING (step)""")
+def next_targets(t: Tables):
+    m = t.events.selectExpr("event_id div 20 as step", "event_id", "user_id % 40 as r", "(event_id * 7919) % 64 as c", "event_type", "value")
+    agents = m.where("event_id % 20 = 0").selectExpr("step", "r", "c", "event_type = 'purchase' as escaped")
+    seen = m.where("event_type = 'view' and event_id % 20 < 4").join(agents.selectExpr("step", "r as ar", "c as ac"), "step")
+    frontiers = seen.groupBy("step", F.expr("r div 20")).agg(F.count("*").alias("size"), F.round(F.min(F.hypot(F.col("r") - F.col("ar"), F.col("c") - F.col("ac"))), 6).alias("distance"), F.min(F.struct("r", "c")).alias("x")).select("step", "size", "distance", "x.r", "x.c")
+    nodes = m.where("event_type = 'click'").selectExpr("step", "event_id as node_id", "if(value > 10, 'Unexplored', 'Explored') as status", "r", "c")
+    got = routes.next_targets(agents, frontiers, nodes, m.where("event_type not in ('view', 'click')").select("step", "r", "c"), ["step"])
+    return got.withColumns({x: F.coalesce(x, F.lit(-1)) for x in ("target_r", "target_c")})
