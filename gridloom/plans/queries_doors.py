@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import raster, routes, runs, seed_lines, separators, wall_lines
+from ..operators import cuts, raster, routes, runs, seed_lines, separators, wall_lines
 from .registry import Tables, query, rounded
 
 
@@ -292,3 +292,21 @@ def next_targets(t: Tables):
     nodes = m.where("event_type = 'click'").selectExpr("step", "event_id as node_id", "if(value > 10, 'Unexplored', 'Explored') as status", "r", "c")
     got = routes.next_targets(agents, frontiers, nodes, m.where("event_type not in ('view', 'click')").select("step", "r", "c"), ["step"])
     return got.withColumns({x: F.coalesce(x, F.lit(-1)) for x in ("target_r", "target_c")})
+
+
+def _ground(t: Tables):
+    """Events but errors and purchases, 500 a map, widened to ground."""
+    cells = t.events.where("event_type not in ('error', 'purchase')").selectExpr("event_id div 500 as frame", "cast(user_id % 40 as int) as r", "cast((event_id * 7919) % 64 as int) as c")
+    return raster.dilate(cells, ["frame"], raster.disk(1), H, W)
+
+
+@query("thinned_ground")
+def thinned_ground(t: Tables):
+    return cuts.thinned(_ground(t), ["frame"])
+
+
+@query("cut_verdicts")
+def cut_verdicts(t: Tables):
+    lines = t.events.where("event_type in ('error', 'purchase')").selectExpr("event_id div 500 as frame", "event_id as cut_id", "explode(sequence(cast(user_id % 40 as int) - 3, cast(user_id % 40 as int) + 3)) as r", "cast((event_id * 7919) % 64 as int) as c")
+    unknown = raster.complement(_ground(t), t.events.selectExpr("event_id div 500 as frame"), ["frame"], H, W).where("(r + c) % 3 = 0")
+    return cuts.cut_verdicts(cuts.sides_of_cuts(_ground(t), unknown, lines, ["frame"], H, W), ["frame"])
