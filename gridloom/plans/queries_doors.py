@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cuts, raster, routes, runs, seed_lines, separators, wall_lines
+from ..operators import cuts, raster, rooms, routes, runs, seed_lines, separators, voxels, wall_lines
 from .registry import Tables, query, rounded
 
 
@@ -310,3 +310,16 @@ def cut_verdicts(t: Tables):
     lines = t.events.where("event_type in ('error', 'purchase')").selectExpr("event_id div 500 as frame", "event_id as cut_id", "explode(sequence(cast(user_id % 40 as int) - 3, cast(user_id % 40 as int) + 3)) as r", "cast((event_id * 7919) % 64 as int) as c")
     unknown = raster.complement(_ground(t), t.events.selectExpr("event_id div 500 as frame"), ["frame"], H, W).where("(r + c) % 3 = 0")
     return cuts.cut_verdicts(cuts.sides_of_cuts(_ground(t), unknown, lines, ["frame"], H, W), ["frame"])
+
+
+@query("voxel_rooms")
+def voxel_rooms(t: Tables):
+    """Orders as the columns of flats of 20 by 64 cells: two rooms behind a wall of three columns with a door of nine rows, a hatch or an open passage by turns; a row a voxel."""
+    at = t.orders.selectExpr("o_orderkey div 1280 as frame", "cast(o_orderkey % 1280 div 64 as int) as r", "cast(o_orderkey % 64 as int) as c")
+    kind = """case when r in (0, 19) or c in (0, 63) then 'wall' when c not between 30 and 32 then 'ground'
+              when r between 3 + frame % 4 and 11 + frame % 4 then case frame % 3 when 0 then 'door' when 1 then 'low' else 'ground' end else 'wall' end"""
+    spans = """case kind when 'wall' then array(named_struct('a', 1, 'b', 49, 's', 2)) when 'ground' then array(named_struct('a', 1, 'b', 45, 's', 1))
+               when 'door' then array(named_struct('a', 1, 'b', 35, 's', 1), named_struct('a', 36, 'b', 49, 's', 2)) else array(named_struct('a', 1, 'b', 12, 's', 1), named_struct('a', 13, 'b', 49, 's', 2)) end"""
+    known = at.selectExpr("*", f"{kind} as kind").selectExpr("frame", "r", "c", f"explode({spans}) as x").selectExpr("frame", "explode(sequence(x.a, x.b)) as z", "r", "c", "x.s as state", "1 as seen")
+    rules = rooms.RoomRules(layers=50, seeds=voxels.DoorSeedRules(turn_min_m=1.0), least_room=20)
+    return rooms.voxel_rooms(known, ["frame"], 20, 64, rules)["rooms"]
