@@ -7,7 +7,11 @@ gram + winnow - 1 template words has a hit. Hits of one template that lie
 on diagonals within the band of each other are one
 candidate; words are then aligned inside the band around its middle diagonal
 (longest common subsequence), which gives the matched words, the coverage of
-the template and the span in the text.
+the template and the span in the text. Words put in or left out move the rest
+to other diagonals: hits outside full matches are joined to anchors,
+chained by rising places in text and template, and what lies between two
+anchors is aligned in its own band, so edits anywhere are measured alike. The
+better measure of one place stays.
 
 A candidate for a long template must have one hit for every HIT_WORDS of its
 words, and a text under the coverage in words is none.
@@ -34,6 +38,8 @@ from .common import Words, mix, row_blocks
 
 MOST_TEMPLATE_WORDS = 2_000_000
 HIT_WORDS = 64
+#: Cells of the largest alignment between two anchors.
+MOST_TABLE = 4_000_000
 #: Short notices and the openings of public licences, as their texts have them; fixed values.
 NOTICES = {
     "MIT notice": "Released under the MIT License.",
@@ -121,35 +127,141 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> t
     return total, first, last
 
 
+def anchors(where: np.ndarray, place: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word in the text, first word in the template, words) of runs of hits on one diagonal that leave no word between."""
+    diagonal = where - place
+    order = np.lexsort((where, diagonal))
+    where, place, diagonal = where[order], place[order], diagonal[order]
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(diagonal) != 0) | (np.diff(where) > gram)]))
+    ends = np.append(starts[1:], len(where)) - 1
+    return where[starts], place[starts], where[ends] + gram - where[starts]
+
+
+def best_chain(x: np.ndarray, y: np.ndarray, n: np.ndarray, gram: int) -> list[int]:
+    """Of anchors sorted by x, the ones that rise in text and template and hold most words; little is taken off for words between.
+
+    An anchor may share gram - 1 words with the one before. What is taken off
+    is a difference of places, so the best one before is a maximum over lower places in
+    the template: a tree of maxima gives it, whatever the number of anchors.
+    """
+    xs, ys, ns = x.tolist(), y.tolist(), n.tolist()
+    size = max(b + k for b, k in zip(ys, ns)) + 1
+    tree: list[tuple[float, int]] = [(-np.inf, -1)] * (size + 1)
+    score, back = [0.0] * len(xs), [-1] * len(xs)
+    ready = sorted(range(len(xs)), key=lambda i: xs[i] + ns[i])
+    done = 0
+    for j in range(len(xs)):
+        while done < len(ready) and xs[ready[done]] + ns[ready[done]] - gram + 1 <= xs[j]:
+            i = ready[done]
+            entry, at = (score[i] + 0.01 * (xs[i] + ys[i] + 2 * ns[i]), i), ys[i] + ns[i] - gram + 2
+            while at <= size:
+                if entry > tree[at]:
+                    tree[at] = entry
+                at += at & -at
+            done += 1
+        best, at = (-np.inf, -1), ys[j] + 1
+        while at > 0:
+            best = max(best, tree[at])
+            at -= at & -at
+        gain = best[0] - 0.01 * (xs[j] + ys[j])
+        score[j], back[j] = (ns[j] + gain, best[1]) if gain > 0 else (float(ns[j]), -1)
+    at, out = int(np.argmax(score)), []
+    while at >= 0:
+        out.append(at)
+        at = back[at]
+    return out[::-1]
+
+
+def _between(template: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
+    """The best common subsequence of what lies between two anchors; only anchors count where that is MOST_TABLE cells or more."""
+    if not len(template) or not len(text) or len(template) * max(len(template), len(text)) > MOST_TABLE:
+        return 0, 0, 0
+    return align(template, text, 0, max(len(template), len(text)))
+
+
+def measured(template: np.ndarray, text: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[int, int, int]:
+    """(matched words, first, behind the last) of a chain of anchors: their words, and the alignment of each gap, head and tail by itself."""
+    slack = len(template) // 8 + 8
+    head_from = max(0, int(x[0] - y[0]) - slack)
+    total, first, _ = _between(template[: y[0]], text[head_from : x[0]])
+    first = head_from + first if total else int(x[0])
+    at_x, at_y = int(x[0]), int(y[0])
+    for a, b, k in zip(x.tolist(), y.tolist(), n.tolist()):
+        cut = max(0, at_x - a, at_y - b)  # words that the anchor before has, too
+        a, b, k = a + cut, b + cut, k - cut
+        total += _between(template[at_y:b], text[at_x:a])[0] + k
+        at_x, at_y = a + k, b + k
+    more, _, last = _between(template[at_y:], text[at_x : at_x + len(template) - at_y + slack])
+    return total + more, first, at_x + (last if more else 0)
+
+
+def chained(template: np.ndarray, text: np.ndarray, where: np.ndarray, place: np.ndarray, gram: int, coverage: float) -> list[tuple[int, int, int]]:
+    """(matched words, first, behind the last) of occurrences with words put in or left out anywhere.
+
+    An occurrence is at most `span` words long, as three fifths of it match; so
+    each lies in one of the windows of two spans that start a span apart. In a
+    window the best chain is taken, then the best one of the rest, while enough words are left.
+    """
+    size, out = len(template), []
+    span = int(size / 0.6) + 1
+    x, y, n = anchors(where, place, gram)
+    order = np.lexsort((y, x))
+    x, y, n = x[order], y[order], n[order]
+    for start in np.unique(np.concatenate([x // span, np.maximum(0, x // span - 1)])).tolist():
+        left = np.flatnonzero((x >= start * span) & (x + n <= (start + 2) * span))
+        while len(left) and len(np.unique(y[left])) * HIT_WORDS >= size:
+            chain = left[best_chain(x[left], y[left], n[left], gram)]
+            matched, first, last = measured(template, text, x[chain], y[chain], n[chain])
+            if matched < coverage * size:
+                break  # the others hold fewer words
+            if matched >= 0.6 * (last - first):
+                out.append((matched, first, last))
+            left = left[(x[left] >= last) | (x[left] + n[left] <= first)] if matched >= 0.6 * (last - first) else np.setdiff1d(left, chain)
+    return out
+
+
 def found_in(index: Index, hashes: np.ndarray, band: int, coverage: float) -> list[tuple[int, int, int, int]]:
-    """(template, matched words, first word, behind the last) of the occurrences in one text's words."""
+    """(template, matched words, first word, behind the last) of the occurrences in one text's words.
+
+    First by diagonals: groups of hits within the band are aligned around their
+    middle. What hits are left outside those occurrences are chained.
+    """
     at, template, place = index.hits(shingles(hashes, index.gram))
     out = []
     for t in np.unique(template).tolist():
         own = template == t
-        where, diagonal = at[own], (at - place)[own]
-        order = np.lexsort((where, diagonal))
-        where, diagonal = where[order], diagonal[order]
+        where, places = at[own], place[own]
         size = len(index.words[t])
         if len(hashes) < coverage * size:
             continue
+        diagonal = where - places
+        order = np.lexsort((where, diagonal))
+        groups, sorted_diagonal, sorted_where = np.arange(len(where)), diagonal[order], where[order]
         narrow = min(band, size // 4)  # repeats of a short template stay apart
-        breaks = np.flatnonzero(np.diff(diagonal) > narrow) + 1
-        seen: list[tuple[int, int, int, int]] = []
-        for group in np.split(np.arange(len(where)), breaks):
+        breaks = np.flatnonzero(np.diff(sorted_diagonal) > narrow) + 1
+        seen: list[tuple[int, int, int]] = []
+        for group in np.split(groups, breaks):
             if len(group) < size // HIT_WORDS:
                 continue
-            middle = int(np.median(diagonal[group]))
+            middle = int(np.median(sorted_diagonal[group]))
             start = max(0, middle - narrow)
             matched, first, last = align(index.words[t], hashes[start : middle + size + narrow], middle - start, narrow)
             if matched >= coverage * size and matched >= 0.6 * (last - first):
-                seen.append((t, matched, first + start, last + start))
-        taken = np.zeros(0, np.int64)
-        for occurrence in sorted(seen, key=lambda o: (-o[1], o[2])):
-            most = (occurrence[3] - occurrence[2]) / 2
-            if all(min(occurrence[3], b) - max(occurrence[2], a) <= most for a, b in taken.reshape(-1, 2)):
-                out.append(occurrence)
-                taken = np.append(taken, occurrence[2:])
+                seen.append((matched, first + start, last + start))
+        # an occurrence that matches in full needs no other look; the rest may have drifted off its diagonal
+        covered = np.zeros(len(where), bool)
+        for matched, first, last in seen:
+            if matched == size:
+                covered |= (where >= first) & (where < last)
+        rest = ~covered
+        if rest.sum() >= max(1, size // HIT_WORDS):
+            seen += chained(index.words[t], hashes, where[rest], places[rest], index.gram, coverage)
+        taken: list[tuple[int, int]] = []
+        for matched, first, last in sorted(seen, key=lambda o: (-o[0], o[2] - o[1], o[1])):
+            most = (last - first) / 2
+            if all(min(last, b) - max(first, a) <= most for a, b in taken):
+                out.append((t, matched, first, last))
+                taken.append((first, last))
     return out
 
 

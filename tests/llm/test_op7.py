@@ -81,3 +81,64 @@ def test_whole_licences_are_found_and_notices_are_not_them(spark):
     got = {(r.doc_id, r.template): r.coverage for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1, "Apache-2.0"] == 1 and 0.9 < got[2, "GPL-3"] < 1
     assert not [k for k in got if k[0] in (3, 4) and k[1] in ("Apache-2.0", "GPL-3", "GPL-2", "LGPL-3")]
+
+
+def full_table(a, b):
+    """Longest common subsequence by the whole table."""
+    row = np.zeros(len(b) + 1, int)
+    for x in a:
+        new = np.maximum(row, np.concatenate([[0], np.where(b == x, row[:-1] + 1, 0)]))
+        row = np.maximum.accumulate(new)
+    return int(row[-1])
+
+
+def test_words_put_in_left_out_and_lost_paragraphs(spark):
+    """Coverage is that of a full table over the occurrence, and the span holds the licence alone."""
+    rnd = random.Random(9)
+    low = lambda t: WORD.findall(t.lower())
+    cases, rows = {}, []
+
+    def add(name, words, least):
+        text = "Intro of another kind. " * 5 + " ".join(words) + " and an outro that is none." * 5
+        cases[len(rows)] = (name, text, least)
+        rows.append((len(rows), text))
+
+    for name, many in (("Apache-2.0", 80), ("MIT", 12), ("Apache-2.0", 15), ("GPL-3", 200)):
+        if name not in licenses.TEMPLATES:
+            name = next(n for n in licenses.TEMPLATES if n.startswith(name))
+        words = licenses.TEMPLATES[name].split()
+        put = list(words)
+        for _ in range(many):
+            put.insert(rnd.randrange(1, len(put)), "zzinserted")
+        add(name, put, 1.0)
+        gone = list(words)
+        for _ in range(many // 2):
+            del gone[rnd.randrange(1, len(gone) - 1)]
+        add(name, gone, 0.8)
+        k = len(words) // 3
+        add(name, words[:k] + words[k + len(words) // 7 :], 0.8)  # a paragraph lost
+        add(name, words[:k] + ["own"] * 12 + words[k:], 1.0)  # words in one place
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault((r.doc_id, r.template), []).append(r)
+    for i, (name, text, least) in cases.items():
+        (r,) = got[i, name]
+        template, words = np.array(low(licenses.TEMPLATES[name])), np.array(low(text))
+        assert r.coverage >= least and abs(r.matched_words - full_table(template, words)) <= 0.01 * len(template), (i, name, r.coverage)
+        assert "Intro of" not in text[r.from_char : r.to_char] and "outro that is" not in text[r.from_char : r.to_char]
+
+
+def test_edited_copies_in_a_row_stay_apart(spark):
+    name = next(n for n in licenses.TEMPLATES if n.startswith("MIT") and len(licenses.TEMPLATES[n].split()) > 100)
+    words = licenses.TEMPLATES[name].split()
+    edited = words[:50] + ["own"] * 15 + words[50:]
+    text = " ".join((edited + ["between"] * 3) * 40)
+    got = [r for r in licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect() if r.template == name]
+    assert len(got) == 40 and all(r.coverage == 1 for r in got) and len({r.from_char for r in got}) == 40
+
+
+def test_a_phrase_of_a_licence_very_often_is_no_licence(spark):
+    """Each of its words meets many places of the template; the time must not grow with the square."""
+    text = "under the terms of the GNU General Public License as published by the Free Software Foundation " * 4000
+    got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert not [r for r in got if len(licenses.TEMPLATES[r.template].split()) > 200]
