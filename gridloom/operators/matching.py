@@ -105,14 +105,16 @@ def rooms_of_objects(objects: DataFrame, rooms: DataFrame, keys: list[str], marg
     return out.select(*keys, "object_id", "label", F.coalesce(share, F.lit(0.0)).alias("share"), F.coalesce((F.col("count") - F.coalesce("next", F.lit(0))) / F.col("cells") < margin, F.lit(False)).alias("ambiguous"))
 
 
-def suppressed(frontiers: DataFrame, records: DataFrame, keys: list[str], radius: float) -> DataFrame:
+def suppressed(frontiers: DataFrame, records: DataFrame, keys: list[str], radius: float, bucket: int = 16) -> DataFrame:
     """Frontiers without an unexpired terminal record near: records hold while step <= until_step.
 
-    frontiers: (keys, frontier_id, step, x, y); records: (keys, record_id, x, y, until_step). Tiles of the radius, then a range of steps.
+    frontiers: (keys, frontier_id, step, x, y); records: (keys, record_id, x, y, step, until_step). They meet by
+    tiles of the radius and buckets of steps, a record in each bucket of its life, so pairs do not grow with the length of the run.
     """
-    left = _tiled(frontiers.select(*keys, "frontier_id", F.col("step").alias("at"), F.col("x").alias("fx"), F.col("y").alias("fy")), radius, "fx", "fy", True)
-    right = _tiled(records.select(*keys, "x", "y", "until_step", F.col("step").alias("since")), radius, "x", "y", False)
-    hit = left.join(right, [*keys, "tile_x", "tile_y"]).where((F.col("since") <= F.col("at")) & (F.col("at") <= F.col("until_step")) & (F.hypot(F.col("x") - F.col("fx"), F.col("y") - F.col("fy")) <= radius))
+    part = lambda c: F.floor(F.col(c) / bucket)
+    left = _tiled(frontiers.select(*keys, "frontier_id", F.col("step").alias("at"), part("step").alias("bucket"), F.col("x").alias("fx"), F.col("y").alias("fy")), radius, "fx", "fy", True)
+    lives = records.where("step <= until_step").select(*keys, "x", "y", "until_step", F.col("step").alias("since"), F.explode(F.sequence(part("step"), part("until_step"))).alias("bucket"))
+    hit = left.join(_tiled(lives, radius, "x", "y", False), [*keys, "bucket", "tile_x", "tile_y"]).where((F.col("since") <= F.col("at")) & (F.col("at") <= F.col("until_step")) & (F.hypot(F.col("x") - F.col("fx"), F.col("y") - F.col("fy")) <= radius))
     return frontiers.join(hit.select(*keys, "frontier_id").distinct(), [*keys, "frontier_id"], "left_anti")
 
 

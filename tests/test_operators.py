@@ -263,3 +263,14 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sinks.markdown(spark.range(1), ["id"]).endswith("| 0 |\n") and "<td>0</td>" in sinks.gallery(spark.range(1), ["id"])
     merged = files.merged_config({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}})
     assert files.setting(merged, "a.b") == 3 and files.setting(merged, "a.x", 7) == 7 and merged["a"]["c"] == 2
+
+
+def test_records_suppress_over_all_steps_of_their_life(spark):
+    rnd = np.random.default_rng(11)
+    records = [(1, k, int(rnd.integers(0, 200)), float(rnd.integers(0, 30)), float(rnd.integers(0, 30)), int(rnd.integers(-3, 90))) for k in range(60)]
+    fronts = [(1, k, int(rnd.integers(0, 300)), float(rnd.integers(0, 30)), float(rnd.integers(0, 30))) for k in range(400)]
+    r = spark.createDataFrame([(*x[:5], x[2] + x[5]) for x in records], "one int, record_id int, step int, x double, y double, until_step int")
+    f = spark.createDataFrame(fronts, "one int, frontier_id int, step int, x double, y double")
+    got = {x.frontier_id for x in matching.suppressed(f, r, ["one"], 2.0).collect()}
+    want = {i for _, i, t, x, y in fronts if not any(s <= t <= s + life and math.hypot(a - x, b - y) <= 2 for _, _, s, a, b, life in records)}
+    assert got == want and 0 < len(got) < 400
