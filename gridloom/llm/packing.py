@@ -1,17 +1,22 @@
 """Packing by deficit round-robin over source queues.
 
 Every source is a queue of tokens. A round adds a quantum to each queue's
-deficit counter and sends as many whole tokens as the counter allows; what is
-left over, a fraction of a token, is carried to the next round, over sequence
-and partition borders alike. Quanta are the target proportions of a window of
-tokens, so each window holds its targets to within a token a source. A queue
-that runs dry leaves the rounds, the others keep their ratio.
-
-After r rounds queue s has sent min(total[s], floor(r * quantum[s])) tokens.
-With the totals of the queues, and the place of a document in its queue, the
-place of each of its tokens in the packed stream is arithmetic: no loop over
-windows, no task that sees all of a source. The stream is cut every
-`sequence_length` tokens, so only the very last sequence needs padding.
+deficit counter and sends as many whole items as the counter allows; what is
+left over is carried to the next round, over sequence and partition borders
+alike. Quanta are the target proportions of a window of tokens. A queue whose
+quantum fills a sequence sends single tokens, so each window holds its target
+to within a token. A smaller one would send shreds of documents that way, so
+its item is a sequence's length of tokens: it waits until its deficit covers
+one, and any run of windows holds its target to within one. Such queues start
+with deficits spread over an item, so that they don't all send in one round.
+A queue that runs dry leaves the rounds, the others keep their ratio.
+
+After r rounds queue s has sent min(total[s], floor((start[s] + r *
+quantum[s]) / item[s]) * item[s]) tokens. With the totals of the queues, and
+the place of a document in its queue, the place of each of its tokens in the
+packed stream is arithmetic: no loop over windows, no task that sees all of a
+source. The stream is cut every `sequence_length` tokens, so only the very
+last sequence needs padding.
 
 Nulls: a null text is empty, a null source a queue of its own. An empty text
 is its end token alone. Rows with equal ids are packed once each. An empty
@@ -31,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import row_blocks, stash
 
 FIXED_BITS = 16
+#: Steps of this share of an item lie far apart from one another, however many are taken.
+GOLDEN = (5**0.5 - 1) / 2
 PIECE_ROWS = 20_000
 #: Characters of white space in a row that the faster encoder is not given: its pattern remembers each of a run's, a million at most.
 LONG_RUN = 100_000
@@ -133,16 +140,23 @@ def pack(
         left = max(0.0, 1 - sum(wanted.values())) * share / max(share[~named].sum(), 1e-12)
         share = np.where(named, [wanted.get(x, 0) for x in lanes], left)
     quantum = np.maximum(1, np.round(share * window_sequences * sequence_length * (1 << FIXED_BITS))).astype(np.int64)
+    item = np.where(quantum >> FIXED_BITS >= sequence_length, 1, sequence_length)
+    start = np.floor(np.arange(len(lanes)) * GOLDEN % 1 * (item - 1) * (1 << FIXED_BITS)).astype(np.int64)
     before = Window.partitionBy("lane").orderBy("shard", "queue").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_shard.withColumn("lane", lane).select("shard", "queue", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     placed = coded.join(bases, ["shard", "queue"]).select("doc_id", "ids", "n_ids", "lane", (F.col("base") + F.col("at")).alias("place"))
-    place_of, n_list, quantum_list = {x: i for i, x in enumerate(lanes)}, n.tolist(), quantum.tolist()
+    place_of, n_list, quantum_list, item_list, start_list = {x: i for i, x in enumerate(lanes)}, n.tolist(), quantum.tolist(), item.tolist(), start.tolist()
 
     def sent(r: int) -> np.ndarray:
         """Tokens of each queue after r rounds; past int64, by Python's integers."""
         if r < (1 << 62) // max(quantum_list):
-            return np.minimum(n, (r * quantum) >> FIXED_BITS)
-        return np.array([min(a, (r * q) >> FIXED_BITS) for a, q in zip(n_list, quantum_list)], dtype=np.int64)
+            return np.minimum(n, ((start + r * quantum) >> FIXED_BITS) // item * item)
+        return np.array([min(a, ((s + r * q) >> FIXED_BITS) // u * u) for a, q, u, s in zip(n_list, quantum_list, item_list, start_list)], dtype=np.int64)
+
+    def round_of(j: int, k: int) -> int:
+        """The round in which queue k sends its token j: the first whose counter covers the token's item."""
+        due = (j // item_list[k] + 1) * item_list[k] << FIXED_BITS
+        return -(-(due - start_list[k]) // quantum_list[k]) - 1
 
     def cut(batches):
         sent_by = lru_cache(maxsize=64)(sent)
@@ -151,7 +165,7 @@ def pack(
             for doc, stored, count, x, place in zip(*(c.to_pylist() for c in batch.columns)):
                 ids, k, j, last = decode_ids(stored).astype("<u4"), place_of[x], place, place + count
                 while j < last:
-                    r = -(-((j + 1) << FIXED_BITS) // quantum_list[k]) - 1
+                    r = round_of(j, k)
                     now, then = sent_by(r), sent_by(r + 1)
                     at = int(now.sum() + (then[:k] - now[:k]).sum() + j - now[k])
                     length = min(last, int(then[k]), j + sequence_length - at % sequence_length) - j

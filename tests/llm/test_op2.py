@@ -72,3 +72,30 @@ def test_nulls_empty_specials_and_repeated_rows(spark):
     check([(i, t) for i, t, _ in rows], packing.pack(df, PATH).collect())
     check([(i, t) for i, t, _ in rows], packing.pack(df, PATH, max_queues=1).collect())
     assert packing.pack(df.limit(0), PATH).count() == 0
+
+
+def test_small_sources_send_whole_runs_and_keep_their_share(spark):
+    rows = [(i, "word " * 1500, f"s{i % 500}") for i in range(1000)]
+    df = spark.createDataFrame([*rows, (1000, "word " * 150_000, "large")], "doc_id long, text string, source string").repartition(6)
+    pieces = packing.pack(df, PATH, sequence_length=1024, window_sequences=8).collect()
+    check([(r.doc_id, r.text) for r in df.collect()], pieces, 1024)
+    small = [p.length for p in pieces if p.queue != "=large"]
+    assert np.mean(small) > 500
+    # every run of windows from the start holds the sources' shares, to within an item each
+    total, runs = Counter(), defaultdict(Counter)
+    for p in pieces:
+        total[p.queue] += p.length
+        runs[p.sequence_id // 8][p.queue] += p.length
+    tokens, seen, sent = sum(total.values()), 0, Counter()
+    for w in sorted(runs):
+        sent.update(runs[w])
+        seen += sum(runs[w].values())
+        for q, n in total.items():
+            assert abs(sent[q] - seen * n / tokens) <= 1024 + 0.25 * 8192
+        assert abs(sum(runs[w].values()) - 8192) <= 8192
+
+
+def test_thousands_of_sources_are_not_shredded(spark):
+    df = spark.createDataFrame([(i, "word " * 400, f"s{i}") for i in range(2000)], "doc_id long, text string, source string")
+    pieces = packing.pack(df, PATH).collect()
+    assert len(pieces) < 2000 * 1.5 and sum(p.length for p in pieces) == 2000 * pieces[0].doc_tokens
