@@ -9,9 +9,9 @@ through the wavelet ranks, all windows at a time; occurrences are located from
 the sampled suffix places and merged into removal spans.
 
 Benchmark items go to the tasks in parts of about `part_bytes` bytes of text,
-as arrays of some ten times that size, made once; one pass over the shards for
-each part, which hands on the spans that it found, so the benchmark may be of
-any size.
+as arrays of some ten times that size, made once. Each part has a pass of its
+own over the shards, in tasks that hold no other part's arrays; the spans of
+all passes are merged, so the benchmark may be of any size.
 
 Nulls: a null text has no words; an item without words, or with a null text,
 has no window. A null item_id is left out of the items, but its windows count.
@@ -22,13 +22,14 @@ nothing. Only the named columns are read, all others are handed on if asked.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, row_blocks
+from .common import Words, row_blocks, stash
 from .fm_index import FMIndex
 
 #: Bytes of text of a shard, which has an index of its own; a longer document is a shard.
@@ -108,19 +109,18 @@ def _hits(words: Words, phrases: Phrases) -> tuple[np.ndarray, dict[int, set]]:
     return np.cumsum(covered)[:total] > 0, by_text
 
 
-def _pass(docs: DataFrame, rows: list, window: int, text_col: str) -> DataFrame:
-    """docs with n_words, spans and items brought up to date by the items of one part."""
+def _pass(docs: DataFrame, rows: list, window: int, text_col: str, hit_only: bool = False) -> DataFrame:
+    """docs with n_words, spans and items filled in by the items of one part; without texts and rows hit nowhere if hit_only."""
     shipped = docs.sparkSession.sparkContext.broadcast(Phrases(rows, window))
     names = docs.columns
+    shape = docs.drop(text_col).schema if hit_only else docs.schema
+    given = shape.names
 
     def work(batches):
         phrases = shipped.value
         for part, texts in row_blocks(batches, text_col, SHARD_BYTES):
             words = Words(texts)
             hit, items = _hits(words, phrases)
-            for spans, i in ((s, i) for i, s in enumerate(part.column(names.index("spans")).to_pylist()) if s):
-                for s in spans:
-                    hit[words.first[i] + s["first"] : words.first[i] + s["last"]] = True
             borders = np.zeros(len(hit) + 1, bool)
             borders[words.first] = True
             edge = np.zeros(len(hit) + 2, bool)
@@ -129,14 +129,15 @@ def _pass(docs: DataFrame, rows: list, window: int, text_col: str) -> DataFrame:
             closes = np.flatnonzero(hit & (~edge[2:] | borders[1:])) + 1
             own = np.searchsorted(opens, words.first)
             spans, found = [], []
-            for i, old in enumerate(part.column(names.index("items")).to_pylist()):
+            for i in range(len(texts)):
                 w0, b0 = int(words.first[i]), int(words.base[i])
                 spans.append([{"first": a - w0, "last": b - w0, "from_byte": int(words.starts[a]) - b0, "to_byte": int(words.ends[b - 1]) - b0} for a, b in zip(opens[own[i] : own[i + 1]].tolist(), closes[own[i] : own[i + 1]].tolist())])
-                found.append(sorted(items.get(i, set()) | set(old or [])))
+                found.append(sorted(items.get(i, ())))
             columns = dict(zip(names, part.columns)) | {"n_words": pa.array(np.diff(words.first), pa.int64()), "spans": pa.array(spans, part.schema.field("spans").type), "items": pa.array(found, pa.list_(pa.int64()))}
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+            wanted = pa.RecordBatch.from_arrays([columns[n] for n in given], given)
+            yield wanted.take(pa.array(np.flatnonzero([len(x) > 0 for x in spans]))) if hit_only else wanted
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(work, shape)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, part_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,17 +145,42 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, part_
     return _searched(docs, benchmark, window, part_bytes, text_col, (id_col,)).select(F.col(f"kept_{id_col}").alias("doc_id"), "n_words", "spans", "items")
 
 
+def _merged(hits: DataFrame) -> DataFrame:
+    """Per row: its spans of all parts in order, those that overlap or touch as one, and its items."""
+    before = Window.partitionBy("row").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("row").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, 0)
+    opens = F.coalesce(F.col("first") > F.max("last").over(before), F.lit(True)).cast("int")
+    spans = hits.select("row", F.inline("spans")).withColumn("opens", opens).withColumn("island", F.sum("opens").over(so_far))
+    whole = spans.groupBy("row", "island").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("from_byte").alias("from_byte"), F.max("to_byte").alias("to_byte"))
+    lists = whole.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("first", "last", "from_byte", "to_byte"))).alias("spans"))
+    return lists.join(hits.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")), "row")
+
+
 def _searched(docs: DataFrame, benchmark: DataFrame, window: int, part_bytes: int, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """The kept columns, the text, n_words, spans and items of each row.
+
+    A benchmark beyond part_bytes is searched for part by part: the texts are
+    written once with a row number, each part has tasks of its own that give
+    its hits alone, and the hits of a row meet by its number. So a task runs
+    one worker with one part's phrases, however many parts there are.
+    """
     spark = docs.sparkSession
     phrases = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     size = phrases.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
     parts = max(1, math.ceil(size / part_bytes))
+    nothing = (F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<long>").alias("items"))
     # each column under a name of its own, so extra columns can't clash
-    out = docs.select(*[F.col(c).alias(f"kept_{c}") for c in keep], F.col(text_col).alias("whole_text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<long>").alias("items"))
-    for part in range(parts):
-        chosen = phrases if parts == 1 else phrases.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        out = _pass(out, [tuple(r) for r in chosen.collect()], window, "whole_text")
-    return out
+    rows = docs.select(*[F.col(c).alias(f"kept_{c}") for c in keep], F.col(text_col).alias("whole_text"))
+    if parts == 1:
+        return _pass(rows.select("*", *nothing), [tuple(r) for r in phrases.collect()], window, "whole_text")
+    counted = _pass(rows.select("*", *nothing), [], window, "whole_text").drop("spans", "items")
+    written = stash(counted.withColumn("row", F.monotonically_increasing_id()), "texts")
+    texts = written.select("row", "whole_text", *nothing)
+    part_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    found = [_pass(texts, [tuple(r) for r in phrases.where(part_of == k).collect()], window, "whole_text", True) for k in range(parts)]
+    hits = stash(reduce(DataFrame.unionAll, found).drop("n_words"), "hits")
+    kept = [f"kept_{c}" for c in keep]
+    return written.join(_merged(hits), "row", "left").select(*kept, "whole_text", "n_words", *[F.coalesce(c, n).alias(c) for c, n in zip(("spans", "items"), nothing[1:])])
 
 
 def digest(found: DataFrame) -> DataFrame:

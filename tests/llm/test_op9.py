@@ -114,3 +114,21 @@ def test_windows_of_several_items_and_short_ones():
     symbol = {w: int(np.searchsorted(phrases.vocabulary, decontaminate.Words([w.encode()]).hashes()[0])) + 1 for w in "abcdx"}
     of = lambda s: tuple(symbol[w] for w in s.split())
     assert text == {of("a b c"): [7], of("b c d"): [3, 7], of("x b c"): [3], of("a b"): [5, 9]}
+
+
+def test_many_parts_agree_with_one(spark):
+    rnd = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rnd.choices(vocabulary, k=rnd.randrange(120))) for _ in range(300)]
+    items = [(i, " ".join(rnd.choices(vocabulary, k=rnd.randrange(1, 40)))) for i in range(400)]
+    d = spark.createDataFrame([*enumerate(texts), (5, texts[6]), (None, texts[7])], "doc_id long, text string").repartition(4)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    size = sum(len(t) + 32 for _, t in items)
+    many = decontaminate.contamination(d, b, window=3, part_bytes=-(-size // 64))
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.n_words, str(r.spans))
+    one = decontaminate.contamination(d, b, window=3)
+    assert sorted(many.collect(), key=key) == sorted(one.collect(), key=key)
+    cut = lambda n: sorted((r.doc_id or -1, r.text) for r in decontaminate.without_spans(d, b, 3, n).collect())
+    assert cut(-(-size // 7)) == cut(8 << 20)
