@@ -42,6 +42,11 @@ def sampled(docs: DataFrame, rows: int, total: int | None = None) -> DataFrame:
     return drawn.orderBy("__draw").limit(rows).select(*names)
 
 
+def one_text_an_id(rows: DataFrame, id_col: str = "label_id", text_col: str = "text") -> DataFrame:
+    """The id and one text of each id, by the least hash: however often an id stands, one row of it is fetched."""
+    return rows.groupBy(id_col).agg(F.min_by(text_col, F.xxhash64(text_col)).alias(text_col))
+
+
 def row_blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about `limit` bytes of text, and those texts as UTF-8 (null: empty)."""
     for batch in batches:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_blocks, sampled
+from .common import one_text_an_id, row_blocks, sampled
 from .features import STATISTICS, statistics
 from .toxicity import held_out, usable
 
@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", diviso
     once = usable(labels, label_col, divisor, rest, id_col).groupBy("label_id").agg(F.max("label").alias("label"))
     trusted = F.broadcast(once.where("label = 1").orderBy(F.xxhash64("label_id"), "label_id").limit(label_rows).select("label_id"))  # label_rows rows at most
     texts = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).cast("string").alias("text"))
-    positive = _vectors(texts.join(trusted, "label_id", "left_semi"))
+    positive = _vectors(one_text_an_id(texts.join(trusted, "label_id", "left_semi")))
     unlabelled = _vectors(sampled(texts, train_rows))
     edges = bin_edges(np.concatenate([positive, unlabelled]))
     size = sum(len(e) + 1 for e in edges)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import label_model
-from .common import Words, mix, row_blocks, sampled
+from .common import Words, mix, one_text_an_id, row_blocks, sampled
 from .features import STEMS, known, terms, text_of_words, word_terms
 
 #: Insults of plain English, by what they attack; fixed values.
@@ -262,7 +262,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", divisor:
     share = usable(labels, label_col, divisor, rest).agg(F.avg("label")).first()[0]
     prior = float(np.clip(0.05 if share is None else share, 0.005, 0.5))
     _, model = label_model.fit(votes, counts, prior, gold)
-    hits, own_votes = _training_rows(marked.select("text").union(sampled(texts, train_rows).select("text")), lexicon)
+    hits, own_votes = _training_rows(one_text_an_id(texts.join(marks, "label_id")).select("text").union(sampled(texts, train_rows).select("text")), lexicon)
     target = label_model.posterior(own_votes, model) if len(hits) else np.zeros(0)
     return {"lexicon": lexicon, "weights": _fit_linear(hits, lexicon, target), "label_model": model}
 

@@ -42,3 +42,27 @@ def test_non_negative_risk_separates_a_mixture():
     w = quality.fit(quality.binned(positive, edges), quality.binned(unlabelled, edges), 0.7, sum(len(e) + 1 for e in edges))
     z = w[quality.binned(unlabelled, edges)].sum(1) + w[-1]
     assert ((z > 0) == (np.arange(16_000) < 11_200)).mean() > 0.97
+
+
+def test_prior_of_mixtures_is_found():
+    rnd = np.random.default_rng(11)
+    for share in (0.85, 0.5, 0.2):
+        positive = rnd.normal(1.5, 1, (8000, 3))
+        n = int(20_000 * share)
+        unlabelled = rnd.permutation(np.concatenate([rnd.normal(1.5, 1, (n, 3)), rnd.normal(-1.5, 1, (20_000 - n, 3))]))
+        edges = quality.bin_edges(np.concatenate([positive, unlabelled]))
+        size = sum(len(e) + 1 for e in edges)
+        good, mixed = quality.binned(positive, edges), quality.binned(unlabelled, edges)
+        assert abs(quality.estimated_prior(good, mixed, size) - share) < 0.06
+        w = quality.contrast(good, mixed, size)
+        assert w[good].sum(1).mean() > w[mixed].sum(1).mean()
+    assert quality.estimated_prior(good[:1], mixed[:1], size) == 1.0
+
+
+def test_an_id_on_many_rows_is_fetched_once(spark):
+    from gridloom.llm.common import one_text_an_id
+
+    rows = [(1, f"text {i % 7}") for i in range(2000)] + [(2, None), (None, "a"), (None, "b")]
+    df = spark.createDataFrame(rows, "label_id long, text string")
+    got, again = (sorted(map(str, one_text_an_id(x).collect())) for x in (df, df.repartition(5)))
+    assert len(got) == 3 and got == again
