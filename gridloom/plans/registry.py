@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FLAGSHIP = "snapshot_metrics"
@@ -60,16 +60,25 @@ lines AS (SELECT DISTINCT l_suppkey % 5 AS frame, l_orderkey % 97 AS r, l_partke
 """
 
 
+def _round(c: str, places: int) -> Column:
+    """Half away from zero after scaling, as the SQL's engine does it; Spark's own round takes the shortest decimal instead, which may lie just under a half."""
+    x = F.col(c).cast("double")
+    scaled = F.abs(x) * float(10**places)
+    whole = F.floor(scaled)
+    near = (whole + F.when(scaled - whole >= 0.5, 1).otherwise(0)) / float(10**places)
+    return F.when(scaled < float(1 << 52), F.when(x < 0, -near).otherwise(near)).otherwise(x)
+
+
 def _plain(df: DataFrame) -> DataFrame:
     """Integers as long, doubles rounded, so both engines agree on kinds and last digits."""
     kinds = dict(df.dtypes)
-    out = {"int": lambda c: F.col(c).cast("long"), "smallint": lambda c: F.col(c).cast("long"), "tinyint": lambda c: F.col(c).cast("long"), "double": lambda c: F.round(c, 6), "float": lambda c: F.round(F.col(c).cast("double"), 6)}
+    out = {"int": lambda c: F.col(c).cast("long"), "smallint": lambda c: F.col(c).cast("long"), "tinyint": lambda c: F.col(c).cast("long"), "double": lambda c: _round(c, 6), "float": lambda c: _round(c, 6)}
     return df.select(*[out[kinds[c]](c).alias(c) if kinds[c] in out else F.col(c) for c in df.columns])
 
 
 def rounded(df: DataFrame, places: int = 4) -> DataFrame:
     """Doubles to so many places, as the SQL beside it does."""
-    return df.select(*[F.round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+    return df.select(*[_round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
 def query(name: str, sql: str | None = None, recursive: bool = False):
