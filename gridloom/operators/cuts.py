@@ -30,7 +30,7 @@ def _peeled(cells: DataFrame, keys: list[str], side: int) -> DataFrame:
     # how many separate pieces the neighbours form, for cells that touch at corners
     pieces = sum((off(k) - off(k) * off(k + 1) * off(k + 2) for k in (0, 2, 4, 6)), F.lit(0))
     goes = codes.where((off(side) == 1) & (pieces == 1) & (F.bit_count("code") >= 2)).select(*keys, "r", "c")
-    return cells.join(goes, [*keys, "r", "c"], "left_anti")
+    return cells.join(raster.spread(goes), [*keys, "r", "c"], "left_anti")
 
 
 def thinned(cells: DataFrame, keys: list[str], rounds: int = 1000) -> DataFrame:
@@ -60,7 +60,7 @@ def _graph(free: DataFrame, cuts: DataFrame, keys: list[str], width: int) -> tup
     singles = raster.both(free, marked, keys).select(*keys, "r", "c", (F.col("r").cast("long") * width + F.col("c")).alias("node"))
     cells = written(parts.unionByName(singles), "nodes")
     beside = singles.select(*keys, F.col("node").alias("a"), raster.offset_table(SIDES).alias("o"), "r", "c").select(*keys, "a", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"))
-    edges = beside.join(cells.withColumnRenamed("node", "b"), [*keys, "r", "c"]).select(*keys, "a", "b")
+    edges = raster.spread(beside).join(cells.withColumnRenamed("node", "b"), [*keys, "r", "c"]).select(*keys, "a", "b")
     return cells, written(edges.union(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
 
 
@@ -77,25 +77,25 @@ def sides_of_cuts(free: DataFrame, unknown: DataFrame, cuts: DataFrame, keys: li
         own = written(cuts.select(*keys, "cut_id", (F.col("r").cast("long") * width + F.col("c")).alias("node")), "own")
         which = own.select(*keys, "cut_id").distinct()
         own_a, own_b = own.withColumnRenamed("node", "a"), own.withColumnRenamed("node", "b")
-        seen = which.join(edges, keys)
-        left = seen.join(own_a, [*keys, "cut_id", "a"], "left_anti").join(own_b, [*keys, "cut_id", "b"], "left_anti")
+        seen = which.join(raster.spread(edges), keys)
+        left = seen.join(raster.spread(own_a), [*keys, "cut_id", "a"], "left_anti").join(raster.spread(own_b), [*keys, "cut_id", "b"], "left_anti")
         roots = written(raster.star_roots(left.select(*keys, "cut_id", "a", "b"), [*keys, "cut_id"]).distinct(), "roots")
-        rooted = lambda df, name: df.join(roots.withColumnsRenamed({"node": name, "root": "__r"}), [*keys, "cut_id", name], "left").withColumn("side", F.coalesce("__r", name)).drop("__r")
-        contact = seen.join(own_a, [*keys, "cut_id", "a"], "left_semi").join(own_b, [*keys, "cut_id", "b"], "left_anti")
+        rooted = lambda df, name: raster.spread(df).join(roots.withColumnsRenamed({"node": name, "root": "__r"}), [*keys, "cut_id", name], "left").withColumn("side", F.coalesce("__r", name)).drop("__r")
+        contact = seen.join(raster.spread(own_a), [*keys, "cut_id", "a"], "left_semi").join(raster.spread(own_b), [*keys, "cut_id", "b"], "left_anti")
         touched = written(rooted(contact, "b").groupBy(*keys, "cut_id", "side").agg(F.countDistinct("a").alias("contact")), "touched")
         # components before: what all edges join
         whole = raster.star_roots(edges, keys)
-        first = own.join(whole, [*keys, "node"], "left").groupBy(*keys, "cut_id").agg(F.countDistinct(F.coalesce("root", "node")).alias("hit"))
+        first = own.join(raster.spread(whole), [*keys, "node"], "left").groupBy(*keys, "cut_id").agg(F.countDistinct(F.coalesce("root", "node")).alias("hit"))
         shapes = cells.groupBy(*keys, "node").agg(F.count("*").alias("n"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-        area = rooted(which.join(shapes, keys), "node").groupBy(*keys, "cut_id", "side").agg(F.sum("n").alias("area"), F.min("r0").alias("r0"), F.max("r1").alias("r1"), F.min("c0").alias("c0"), F.max("c1").alias("c1"))
+        area = rooted(which.join(raster.spread(shapes), keys), "node").groupBy(*keys, "cut_id", "side").agg(F.sum("n").alias("area"), F.min("r0").alias("r0"), F.max("r1").alias("r1"), F.min("c0").alias("c0"), F.max("c1").alias("c1"))
         # cells around the ground by the set of nodes they lie beside: few sets have more than one
         rim = cells.select(*keys, "node", raster.offset_table(SIDES).alias("o"), "r", "c").select(*keys, "node", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c")).where(raster.within(height, width))
         rim = raster.minus(rim, free, keys).groupBy(*keys, "r", "c").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
-        rim = rim.join(unknown.select(*keys, "r", "c").distinct().withColumn("u", F.lit(1)), [*keys, "r", "c"], "left").groupBy(*keys, "nodes").agg(F.count("*").alias("ring"), F.count("u").alias("dark"))
+        rim = raster.spread(rim).join(unknown.select(*keys, "r", "c").distinct().withColumn("u", F.lit(1)), [*keys, "r", "c"], "left").groupBy(*keys, "nodes").agg(F.count("*").alias("ring"), F.count("u").alias("dark"))
         rim = written(rim.withColumn("rim", F.monotonically_increasing_id()), "rim")
-        around = rooted(which.join(rim, keys).select(*keys, "cut_id", "rim", "ring", "dark", F.explode("nodes").alias("node")), "node")
+        around = rooted(which.join(raster.spread(rim), keys).select(*keys, "cut_id", "rim", "ring", "dark", F.explode("nodes").alias("node")), "node")
         ring = around.groupBy(*keys, "cut_id", "side", "rim").agg(F.max("ring").alias("ring"), F.max("dark").alias("dark")).groupBy(*keys, "cut_id", "side").agg(F.sum("ring").alias("ring"), F.sum("dark").alias("dark"))
-        rows = touched.join(area, [*keys, "cut_id", "side"]).join(ring, [*keys, "cut_id", "side"], "left").na.fill(0, ["ring", "dark"])
+        rows = touched.join(raster.spread(area), [*keys, "cut_id", "side"]).join(raster.spread(ring), [*keys, "cut_id", "side"], "left").na.fill(0, ["ring", "dark"])
         order = F.struct((-F.col("area")).alias("order"), "r0", "c0", "area", "r1", "c1", "contact", (F.col("ring") + F.col("contact")).alias("ring"), F.col("dark").alias("unknown"))
         sides = rows.groupBy(*keys, "cut_id").agg(F.sort_array(F.collect_list(order)).alias("sides"))
         sides = sides.withColumn("sides", F.transform("sides", lambda s: s.dropFields("order")))

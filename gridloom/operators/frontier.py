@@ -19,7 +19,7 @@ def clusters(cells: DataFrame, keys: list[str], width: int, least: int = 1, conn
     """(keys, label, size, r, c, members): the centre is the member nearest the mean, the first at a tie."""
     labelled = raster.components(cells, keys, width, connectivity)
     mean = labelled.groupBy(*keys, "label").agg(F.avg("r").alias("mr"), F.avg("c").alias("mc"), F.count("*").alias("size")).where(F.col("size") >= least)
-    rows = labelled.join(mean, [*keys, "label"])
+    rows = labelled.join(raster.spread(mean), [*keys, "label"])
     d2 = F.round(F.pow(F.col("r") - F.col("mr"), 2) + F.pow(F.col("c") - F.col("mc"), 2), 9)
     best = rows.groupBy(*keys, "label", "size").agg(F.min(F.struct(d2.alias("d2"), "r", "c")).alias("b"), F.sort_array(F.collect_list(F.struct("r", "c"))).alias("members"))
     return best.select(*keys, "label", "size", "b.r", "b.c", "members")
@@ -31,8 +31,8 @@ def with_distance(found: DataFrame, field: DataFrame, keys: list[str], mode: str
         return found.join(field.select(*keys, "r", "c", "distance"), [*keys, "r", "c"])
     members = found.select(*keys, "label", F.explode("members").alias("m")).select(*keys, "label", "m.r", "m.c")
     agg = {"min": F.min("distance"), "mean": F.avg("distance")}[mode]
-    near = members.join(field.select(*keys, "r", "c", "distance"), [*keys, "r", "c"]).groupBy(*keys, "label").agg(agg.alias("distance"))
-    return found.join(near, [*keys, "label"])
+    near = raster.spread(members).join(field.select(*keys, "r", "c", "distance"), [*keys, "r", "c"]).groupBy(*keys, "label").agg(agg.alias("distance"))
+    return found.join(raster.spread(near), [*keys, "label"])
 
 
 def ranked(found: DataFrame, keys: list[str], least_distance: float = 0.0, most: int = 50) -> DataFrame:
@@ -61,7 +61,7 @@ def approach_cells(frontiers: DataFrame, field: DataFrame, keys: list[str], radi
     """The best reachable cell near each frontier's centre: enough clearance, then nearest to the centre, then shortest way."""
     near = frontiers.select(*keys, "label", F.col("r").alias("fr"), F.col("c").alias("fc"), raster.offset_table(raster.disk(radius)).alias("o"))
     near = near.select(*keys, "label", (F.col("fr") + F.col("o.dr")).alias("r"), (F.col("fc") + F.col("o.dc")).alias("c"), (F.col("o.dr") * F.col("o.dr") + F.col("o.dc") * F.col("o.dc")).alias("d2"))
-    hit = near.join(field.where(F.col(clearance) >= least), [*keys, "r", "c"])
+    hit = raster.spread(near).join(field.where(F.col(clearance) >= least), [*keys, "r", "c"])
     return hit.groupBy(*keys, "label").agg(F.min(F.struct("d2", "distance", "r", "c")).alias("b")).select(*keys, "label", "b.r", "b.c", "b.distance", "b.d2")
 
 
@@ -77,7 +77,7 @@ def room_context(members: DataFrame, rooms: DataFrame, keys: list[str], radius:
     """(keys, frontier_id, label, ratio): the room with the largest share of labelled cells in disks around a frontier's members, if large enough."""
     disk = members.select(*keys, "frontier_id", "r", "c", raster.offset_table(raster.disk(radius)).alias("o"))
     disk = disk.select(*keys, "frontier_id", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c")).distinct()
-    votes = disk.join(rooms.where("label > 0"), [*keys, "r", "c"]).groupBy(*keys, "frontier_id", "label").count()
+    votes = raster.spread(disk).join(rooms.where("label > 0"), [*keys, "r", "c"]).groupBy(*keys, "frontier_id", "label").count()
     total = F.sum("count").over(Window.partitionBy(*keys, "frontier_id"))
     order = Window.partitionBy(*keys, "frontier_id").orderBy(F.desc("count"), "label")
     best = votes.withColumn("ratio", F.col("count") / total).withColumn("__n", F.row_number().over(order)).where("__n = 1")

@@ -69,16 +69,16 @@ def facing_gaps(runs: DataFrame, free: DataFrame, unknown: DataFrame, keys: list
     right = runs.select(*keys, "axis", F.explode(F.array(tile("first", reach), tile("first", reach) - 1)).alias("ta"), F.struct("run_id", "line", "first", "confidence").alias("b"))
     right = right.withColumn("tl", F.explode(F.array(*[F.floor(F.col("b.line") / (lateral + 1)) + d for d in (-1, 0, 1)])))
     gap = F.col("b.first") - F.col("a.last") - 1
-    pairs = left.join(right, [*keys, "axis", "ta", "tl"]).where((F.abs(F.col("a.line") - F.col("b.line")) <= lateral) & (gap >= 1) & (gap <= rules.most_cells))
+    pairs = raster.spread(left).join(right, [*keys, "axis", "ta", "tl"]).where((F.abs(F.col("a.line") - F.col("b.line")) <= lateral) & (gap >= 1) & (gap <= rules.most_cells))
     line = F.rint((F.col("a.line") + F.col("b.line")) / 2).cast("int")
     pairs = pairs.select(*keys, "axis", line.alias("line"), (F.col("a.last") + 1).alias("first"), (F.col("b.first") - 1).alias("last"), F.least("a.confidence", "b.confidence").alias("wall_support"), F.struct(F.least("a.run_id", "b.run_id").alias("low"), F.greatest("a.run_id", "b.run_id").alias("high")).alias("runs"))
     spans = pairs.select(*keys, "axis", "line", "first", "last").distinct()
     across = F.col("axis") == "horizontal"
     cells = spans.select("*", F.explode(F.sequence("first", "last")).alias("at")).withColumns({"r": F.when(across, F.col("line")).otherwise(F.col("at")), "c": F.when(across, F.col("at")).otherwise(F.col("line"))}).where(raster.within(height, width))
     mark = lambda df, name: df.select(*keys, "r", "c").distinct().withColumn(name, F.lit(1))
-    cells = cells.join(mark(free, "f"), [*keys, "r", "c"], "left").join(mark(unknown, "u"), [*keys, "r", "c"], "left")
+    cells = raster.spread(cells).join(mark(free, "f"), [*keys, "r", "c"], "left").join(raster.spread(mark(unknown, "u")), [*keys, "r", "c"], "left")
     ratios = cells.groupBy(*keys, "axis", "line", "first", "last").agg((F.count("f") / F.count("*")).alias("free_ratio"), (F.count("u") / F.count("*")).alias("unknown_ratio"))
-    rows = pairs.join(ratios, [*keys, "axis", "line", "first", "last"], "left").na.fill(0.0, ["free_ratio", "unknown_ratio"]).withColumn("length_m", (F.col("last") - F.col("first") + 1) * rules.resolution)
+    rows = pairs.join(raster.spread(ratios), [*keys, "axis", "line", "first", "last"], "left").na.fill(0.0, ["free_ratio", "unknown_ratio"]).withColumn("length_m", (F.col("last") - F.col("first") + 1) * rules.resolution)
     rows = rows.select("*", F.explode(_kinds(rules)).alias("k")).select("*", "k.kind", "k.confidence").drop("k")
     kept = ["length_m", "confidence", "wall_support", "free_ratio", "unknown_ratio", "runs"]
     return rows.groupBy(*keys, "kind", "axis", "line", "first", "last").agg(F.min_by(F.struct(*kept), "runs").alias("x")).select(*keys, "kind", "axis", "line", "first", "last", "x.*")
