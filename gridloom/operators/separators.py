@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import cut
 from . import raster
 
 
@@ -55,30 +56,60 @@ def _kinds(rules: GapRules) -> Column:
     return F.filter(F.array(*[F.when(cond, F.struct(F.lit(name).alias("kind"), clip(score).alias("confidence"))) for cond, name, score in kinds]), lambda x: x.isNotNull())
 
 
+def _marks(runs: DataFrame, free: DataFrame, unknown: DataFrame, keys: list[str], height: int, width: int, most: int, half: int, along: int, band: int) -> DataFrame:
+    """(keys, axis, ta, tl, marks): by tile the free and unknown cells of all lines and places that a gap starting there may have, as words of 64 bits."""
+    on_map = lambda df, name: df.select(*keys, "r", "c", F.lit(name).alias("kind")).where(raster.within(height, width))
+    axes = runs.select(*keys, "axis").distinct()
+    cells = on_map(free, "f").unionByName(on_map(unknown, "u")).groupBy(*keys, "r", "c").agg(F.max(F.col("kind") == "f").alias("f"), F.max(F.col("kind") == "u").alias("u"))
+    across = F.col("axis") == "horizontal"
+    at = raster.spread(cells).join(axes, keys).select(*keys, "axis", "f", "u", F.when(across, F.col("r")).otherwise(F.col("c")).alias("line"), F.when(across, F.col("c")).otherwise(F.col("r")).alias("at"))
+    tiles = lambda low, high, size: F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
+    at = at.withColumn("ta", tiles(F.col("at") - most + 1, F.col("at"), along)).withColumn("tl", tiles(F.col("line") - half, F.col("line") + half, band))
+    place = F.col("at") - F.col("ta") * along
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    words = at.withColumns({"word": F.floor(place / 64), "bit": bit}).groupBy(*keys, "axis", "ta", "tl", "line", "word").agg(*[F.bit_or(F.when(F.col(x), F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(x) for x in "fu"])
+    return words.groupBy(*keys, "axis", "ta", "tl").agg(F.collect_list(F.struct("line", "word", "f", "u")).alias("marks"))
+
+
+def _marked(name: str, along: int) -> Column:
+    """How many cells of a gap (ta, line, first, last) are marked."""
+    def some(m: Column) -> Column:
+        start = F.col("ta") * along + m["word"] * 64
+        low, high = F.greatest(F.col("first") - start, F.lit(0)), F.least(F.col("last") - start, F.lit(63))
+        inside = F.call_function("shiftleft", F.lit(-1).cast("long"), low.cast("int")).bitwiseAND(F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (63 - high).cast("int")))
+        return F.when(low <= high, F.bit_count(m[name].bitwiseAND(inside))).otherwise(0)
+
+    return F.aggregate(F.filter("marks", lambda m: m["line"] == F.col("line")), F.lit(0), lambda n, m: n + some(m))
+
+
 def facing_gaps(runs: DataFrame, free: DataFrame, unknown: DataFrame, keys: list[str], height: int, width: int, rules: GapRules = GapRules()) -> DataFrame:
     """(keys, kind, axis, line, first, last, length_m, confidence, wall_support, free_ratio, unknown_ratio, runs): gaps between runs of one direction on nearly the same line.
 
     runs: (keys, run_id, axis, line, first, last, confidence). A run meets the
-    runs whose start lies in the next tile along it and whose line lies in
-    a neighbouring one, so the join grows with runs that are near, not with all pairs.
+    runs whose start lies near its end on a neighbouring line, by tiles of the map, so the join grows
+    with runs that are near, not with all pairs. A tile's free and unknown cells
+    come to the pairs as words of 64 bits, so no gap is spread into its cells.
     Of equal candidates the one of the first runs stays.
     """
-    reach, lateral = rules.most_cells + 1, max(0, round(rules.most_lateral / rules.resolution))
-    tile = lambda c, size: F.floor(F.col(c) / size)
-    left = runs.select(*keys, "axis", tile("last", reach).alias("ta"), tile("line", lateral + 1).alias("tl"), F.struct("run_id", "line", "last", "confidence").alias("a"))
-    right = runs.select(*keys, "axis", F.explode(F.array(tile("first", reach), tile("first", reach) - 1)).alias("ta"), F.struct("run_id", "line", "first", "confidence").alias("b"))
-    right = right.withColumn("tl", F.explode(F.array(*[F.floor(F.col("b.line") / (lateral + 1)) + d for d in (-1, 0, 1)])))
+    most, lateral = rules.most_cells, max(0, round(rules.most_lateral / rules.resolution))
+    along, band = 4 * (most + 1), 2 * (lateral + 1)
+    tiles = lambda low, high, size: F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
+    runs = cut(runs.select(*keys, "run_id", "axis", "line", "first", "last", "confidence"), "runs")
+    place = [*keys, "axis", "ta", "tl"]
+    left = runs.select(*keys, "axis", F.floor((F.col("last") + 1) / along).alias("ta"), F.floor(F.col("line") / band).alias("tl"), F.struct("run_id", "line", "last", "confidence").alias("a"))
+    right = runs.select(*keys, "axis", tiles(F.col("first") - most, F.col("first") - 1, along).alias("ta"), F.struct("run_id", "line", "first", "confidence").alias("b"))
+    right = right.withColumn("tl", tiles(F.col("b.line") - lateral, F.col("b.line") + lateral, band))
     gap = F.col("b.first") - F.col("a.last") - 1
-    pairs = raster.spread(left).join(right, [*keys, "axis", "ta", "tl"]).where((F.abs(F.col("a.line") - F.col("b.line")) <= lateral) & (gap >= 1) & (gap <= rules.most_cells))
+    pairs = raster.spread(left).join(right, place).where((F.abs(F.col("a.line") - F.col("b.line")) <= lateral) & (gap >= 1) & (gap <= most))
+    pairs = pairs.join(raster.spread(_marks(runs, free, unknown, keys, height, width, most, (lateral + 1) // 2, along, band)), place, "left")
     line = F.rint((F.col("a.line") + F.col("b.line")) / 2).cast("int")
-    pairs = pairs.select(*keys, "axis", line.alias("line"), (F.col("a.last") + 1).alias("first"), (F.col("b.first") - 1).alias("last"), F.least("a.confidence", "b.confidence").alias("wall_support"), F.struct(F.least("a.run_id", "b.run_id").alias("low"), F.greatest("a.run_id", "b.run_id").alias("high")).alias("runs"))
-    spans = pairs.select(*keys, "axis", "line", "first", "last").distinct()
+    pairs = pairs.select(*place, "marks", line.alias("line"), (F.col("a.last") + 1).alias("first"), (F.col("b.first") - 1).alias("last"), F.least("a.confidence", "b.confidence").alias("wall_support"), F.struct(F.least("a.run_id", "b.run_id").alias("low"), F.greatest("a.run_id", "b.run_id").alias("high")).alias("runs"))
     across = F.col("axis") == "horizontal"
-    cells = spans.select("*", F.explode(F.sequence("first", "last")).alias("at")).withColumns({"r": F.when(across, F.col("line")).otherwise(F.col("at")), "c": F.when(across, F.col("at")).otherwise(F.col("line"))}).where(raster.within(height, width))
-    mark = lambda df, name: df.select(*keys, "r", "c").distinct().withColumn(name, F.lit(1))
-    cells = raster.spread(cells).join(mark(free, "f"), [*keys, "r", "c"], "left").join(raster.spread(mark(unknown, "u")), [*keys, "r", "c"], "left")
-    ratios = cells.groupBy(*keys, "axis", "line", "first", "last").agg((F.count("f") / F.count("*")).alias("free_ratio"), (F.count("u") / F.count("*")).alias("unknown_ratio"))
-    rows = pairs.join(raster.spread(ratios), [*keys, "axis", "line", "first", "last"], "left").na.fill(0.0, ["free_ratio", "unknown_ratio"]).withColumn("length_m", (F.col("last") - F.col("first") + 1) * rules.resolution)
+    # the gap's cells on the map
+    size, wide = F.when(across, height).otherwise(width), F.when(across, width).otherwise(height)
+    n = F.when((F.col("line") >= 0) & (F.col("line") < size), F.greatest(F.lit(0), F.least(F.col("last"), wide - 1) - F.greatest(F.col("first"), F.lit(0)) + 1)).otherwise(0)
+    ratio = lambda name: F.when(n > 0, F.coalesce(_marked(name, along), F.lit(0)) / n).otherwise(0.0)
+    rows = pairs.select(*keys, "axis", "line", "first", "last", "wall_support", "runs", ratio("f").alias("free_ratio"), ratio("u").alias("unknown_ratio")).withColumn("length_m", (F.col("last") - F.col("first") + 1) * rules.resolution)
     rows = rows.select("*", F.explode(_kinds(rules)).alias("k")).select("*", "k.kind", "k.confidence").drop("k")
     kept = ["length_m", "confidence", "wall_support", "free_ratio", "unknown_ratio", "runs"]
     return rows.groupBy(*keys, "kind", "axis", "line", "first", "last").agg(F.min_by(F.struct(*kept), "runs").alias("x")).select(*keys, "kind", "axis", "line", "first", "last", "x.*")
