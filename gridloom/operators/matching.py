@@ -40,13 +40,16 @@ def _tiled(df: DataFrame, size: float, x: str, y: str, around: bool) -> DataFram
 def nearest(queries: DataFrame, points: DataFrame, radius: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, point_id, distance): the nearest point strictly within the radius, the smallest id at a tie.
 
-    queries: (keys, query_id, x, y); points: (keys, point_id, x, y).
+    queries: (keys, query_id, x, y); points: (keys, point_id, x, y). Places meet
+    places: of equal points the smallest id stands for all, and queries take what their place found.
     """
-    left = _tiled(queries.select(*keys, "query_id", F.col("x").alias("qx"), F.col("y").alias("qy")), radius, "qx", "qy", True)
-    right = _tiled(points.select(*keys, "point_id", "x", "y"), radius, "x", "y", False)
+    places = queries.select(*keys, F.col("x").alias("qx"), F.col("y").alias("qy")).distinct()
+    first = points.groupBy(*keys, "x", "y").agg(F.min("point_id").alias("point_id"))
     d = F.hypot(F.col("x") - F.col("qx"), F.col("y") - F.col("qy"))
-    near = left.join(right, [*keys, "tile_x", "tile_y"]).withColumn("distance", d).where(F.col("distance") < radius)
-    return near.groupBy(*keys, "query_id").agg(F.min(F.struct("distance", "point_id")).alias("b")).select(*keys, "query_id", "b.point_id", "b.distance")
+    near = _tiled(places, radius, "qx", "qy", True).join(_tiled(first, radius, "x", "y", False), [*keys, "tile_x", "tile_y"]).withColumn("distance", d).where(F.col("distance") < radius)
+    best = near.groupBy(*keys, F.col("qx").alias("x"), F.col("qy").alias("y")).agg(F.min(F.struct("distance", "point_id")).alias("b"))
+    found = queries.select(*keys, "query_id", "x", "y").join(best, [*keys, "x", "y"]).groupBy(*keys, "query_id").agg(F.min("b").alias("b"))
+    return found.select(*keys, "query_id", "b.point_id", "b.distance")
 
 
 def pairs_within(points: DataFrame, radius: float, keys: tuple[str, ...] = ()) -> DataFrame:
