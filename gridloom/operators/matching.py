@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from .raster import star_roots
+from .raster import spread, star_roots
 
 
 def last_snapshot(snapshots: DataFrame, reported: DataFrame, keys: list[str], step: str = "step", final: str = "final_step") -> DataFrame:
@@ -121,17 +121,28 @@ def suppressed(frontiers: DataFrame, records: DataFrame, keys: list[str], radius
     return frontiers.join(hit.select(*keys, "frontier_id").distinct(), [*keys, "frontier_id"], "left_anti")
 
 
-def frontier_scores(frontiers: DataFrame, subgraphs: DataFrame, keys: list[str], top: int = 3, eps: float = 1e-6) -> DataFrame:
+def frontier_scores(frontiers: DataFrame, subgraphs: DataFrame, keys: list[str], top: int = 3, eps: float = 1e-6, block: int = 256) -> DataFrame:
     """(keys, frontier_id, score, contributors): the sum of p / distance over a frame's subgraphs, and its largest terms.
 
     The score is a sum over all of a frame's subgraphs, so every frontier meets
-    every subgraph of its own frame; a frame has as many as its map has objects.
+    every subgraph of its own frame, a block of them at a time: only a block's sum and largest terms are shuffled, no pair.
     """
-    d = F.greatest(F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")), F.lit(eps))
-    rows = frontiers.join(subgraphs.select(*keys, "subgraph_id", F.col("x").alias("sx"), F.col("y").alias("sy"), "p"), keys).withColumn("term", F.col("p") / d)
-    order = Window.partitionBy(*keys, "frontier_id").orderBy(F.desc("term"), "subgraph_id")
-    rows = rows.withColumn("rank", F.row_number().over(order))
-    return rows.groupBy(*keys, "frontier_id").agg(F.sum("term").alias("score"), F.sort_array(F.collect_list(F.when(F.col("rank") <= top, F.struct("rank", "subgraph_id", "term")))).alias("contributors"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("subgraph_id"))
+    blocks = subgraphs.withColumn("__block", F.floor(number / block)).groupBy(*keys, "__block").agg(F.collect_list(F.struct(F.col("subgraph_id"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("p"))).alias("subgraphs"))
+
+    def term(s):
+        t = s["p"] / F.greatest(F.hypot(F.col("x") - s["sx"], F.col("y") - s["sy"]), F.lit(eps))
+        # the largest first, not a number before all, null after all
+        return F.struct(t.isNull().alias("none"), (~F.coalesce(F.isnan(t), F.lit(False))).alias("number"), (-t).alias("order"), s["subgraph_id"].alias("subgraph_id"), t.alias("term"))
+
+    def summed(terms):
+        total = F.aggregate(terms, F.lit(None).cast("double"), lambda n, s: F.when(s["none"], n).otherwise(F.coalesce(n, F.lit(0.0)) + s["term"]))
+        return F.struct(total.alias("score"), F.slice(terms, 1, top).alias("terms"))
+
+    let = lambda v, f: F.element_at(F.transform(F.array(v), f), 1)
+    rows = frontiers.join(spread(blocks), keys).select(*keys, "frontier_id", let(F.sort_array(F.transform("subgraphs", term)), summed).alias("s"))
+    found = rows.groupBy(*keys, "frontier_id").agg(F.sum("s.score").alias("score"), F.slice(F.sort_array(F.flatten(F.collect_list("s.terms"))), 1, top).alias("terms"))
+    return found.select(*keys, "frontier_id", "score", F.transform("terms", lambda s, i: F.struct((i + 1).alias("rank"), s["subgraph_id"].alias("subgraph_id"), s["term"].alias("term"))).alias("contributors"))
 
 
 def door_pairs(points: DataFrame, free: DataFrame, keys: list[str], least: float, most: float, free_ratio: float = 0.45) -> DataFrame:
