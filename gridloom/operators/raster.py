@@ -189,19 +189,22 @@ def bresenham_cells(r0: Column, c0: Column, r1: Column, c1: Column) -> Column:
 def squared_distance(cells: DataFrame, targets: DataFrame, keys: list[str], reach: int) -> DataFrame:
     """(keys, r, c, d2): exact squared distance of each cell to its nearest target within `reach` (null beyond).
 
-    First the nearest target in each column, by a window; then the least of
-    g*g + (c - c')^2 over columns within reach, by exploded offsets.
+    First the nearest target of each column to each row that has cells, by a window; then a
+    row's cells take the least of g*g + (c - c')^2 over its columns. A frame gives
+    at most its rows times its columns, whatever the reach.
     """
     column = targets.select(*keys, F.col("c").alias("tc"), F.col("r").alias("tr"))
     near = cells.select(*keys, "r", "c").distinct()
-    lines = near.select(*keys, "r", "c", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("dc")).select(*keys, "r", "c", (F.col("c") + F.col("dc")).alias("tc"))
-    probe = lines.select(*keys, "tc", "r").distinct().withColumn("tr", F.lit(None).cast("int"))
+    rows = near.groupBy(*keys, "r").agg((F.min("c") - reach).alias("low"), (F.max("c") + reach).alias("high"))
+    columns = column.select(*keys, "tc").distinct()
+    probe = spread(rows).join(columns, keys) if keys else rows.crossJoin(columns)
+    probe = probe.where("tc between low and high").select(*keys, "tc", "r", F.lit(None).cast("int").alias("tr"))
     events = probe.unionByName(column.select(*keys, "tc", F.col("tr").alias("r"), F.col("tr").cast("int").alias("tr")))
     order = Window.partitionBy(*keys, "tc").orderBy("r")
     up = F.last("tr", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
     down = F.first("tr", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
     g = F.least(F.col("r") - up, down - F.col("r"))
-    best = events.withColumn("g", g).groupBy(*keys, "tc", "r").agg(F.min("g").alias("g"))
-    d2 = F.pow(F.col("c") - F.col("tc"), 2) + F.pow(F.col("g"), 2)
-    found = spread(lines).join(best.where(F.col("g").isNotNull() & (F.col("g") <= reach)), [*keys, "tc", "r"]).groupBy(*keys, "r", "c").agg(F.min(d2).cast("long").alias("d2")).where(F.col("d2") <= reach * reach)
-    return near.join(spread(found), [*keys, "r", "c"], "left")
+    best = events.withColumn("g", g).where(F.col("tr").isNull() & (F.col("g") <= reach))
+    lines = best.groupBy(*keys, "r").agg(F.collect_list(F.struct("tc", "g")).alias("line"))
+    d2 = F.array_min(F.transform("line", lambda x: (F.pow(F.col("c") - x["tc"], 2) + F.pow(x["g"], 2)).cast("long")))
+    return near.join(spread(lines), [*keys, "r"], "left").select(*keys, "r", "c", F.when(d2 <= reach * reach, d2).alias("d2"))
