@@ -9,28 +9,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import cut as written
-from ..plans.storage import release, scratch
-from . import raster
+from ..plans.storage import scratch
+from . import kernels, raster
 
 SIDES = [(-1, 0), (1, 0), (0, -1), (0, 1)]
-#: Neighbours around a cell, clockwise from the one above; bit k of a code is set where the k-th is a cell.
-RING = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
 
 
-def _peeled(cells: DataFrame, keys: list[str], side: int) -> DataFrame:
-    """Cells without those that are open on one side, part nothing around them, and are no ends."""
-    bits = F.explode(F.array(*[F.struct(F.lit(-r).alias("dr"), F.lit(-c).alias("dc"), F.lit(1 << k).alias("bit")) for k, (r, c) in enumerate(RING)]))
-    sent = cells.select(*keys, "r", "c", bits.alias("o")).select(*keys, (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"), F.col("o.bit").alias("bit"))
-    codes = sent.groupBy(*keys, "r", "c").agg(F.sum("bit").cast("int").alias("code"))
-    off = lambda k: 1 - F.getbit("code", F.lit(k % 8)).cast("int")
-    # how many separate pieces the neighbours form, for cells that touch at corners
-    pieces = sum((off(k) - off(k) * off(k + 1) * off(k + 2) for k in (0, 2, 4, 6)), F.lit(0))
-    goes = codes.where((off(side) == 1) & (pieces == 1) & (F.bit_count("code") >= 2)).select(*keys, "r", "c")
-    return cells.join(raster.spread(goes), [*keys, "r", "c"], "left_anti")
+def _raster(r: np.ndarray, c: np.ndarray, low: tuple[int, int], shape: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(shape, bool)
+    out[r - low[0], c - low[1]] = True
+    return out
 
 
 def thinned(cells: DataFrame, keys: list[str], rounds: int = 1000) -> DataFrame:
@@ -39,18 +33,15 @@ def thinned(cells: DataFrame, keys: list[str], rounds: int = 1000) -> DataFrame:
     Components (of eight neighbours) and holes are kept, and ends stay where they are. Rounds
     grow with half the width of the widest place.
     """
-    now = written(cells.select(*keys, "r", "c").distinct(), "thin")
-    size = now.count()
-    for _ in range(rounds):
-        before = size
-        for side in (0, 4, 2, 6):
-            step = written(_peeled(now, keys, side), "thin")
-            release(now)
-            now = step
-        size = now.count()
-        if size == before:
-            break
-    return now
+    rows = cells.select(*keys, "r", "c").distinct()
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c = pdf["r"].to_numpy(), pdf["c"].to_numpy()
+        low = (r.min(), c.min())
+        left = kernels.thinned(_raster(r, c, low, (r.max() - low[0] + 1, c.max() - low[1] + 1)), rounds)
+        return pdf[left[r - low[0], c - low[1]]]
+
+    return rows.groupBy(*keys).applyInPandas(work, rows.schema)
 
 
 def _graph(free: DataFrame, cuts: DataFrame, keys: list[str], width: int) -> tuple[DataFrame, DataFrame]:
