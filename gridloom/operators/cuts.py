@@ -1,8 +1,6 @@
 """Cuts of free ground tried one by one, all at once: what each would part if it alone were made; and the skeleton of corridors.
 
-Free ground is reduced to a graph first: its parts between all cuts are nodes,
-and so is each cell of a cut. Each cut then sees the graph without its own
-cells, so a frame's work is its cuts times that graph, never a flood of cells a cut.
+A frame is a bounded raster and goes to one task (`kernels`); frames are what is dealt out.
 """
 
 from __future__ import annotations
@@ -14,12 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import cut as written
-from ..plans.storage import scratch
 from . import kernels, raster
 
-SIDES = [(-1, 0), (1, 0), (0, -1), (0, 1)]
-
 
 def _raster(r: np.ndarray, c: np.ndarray, low: tuple[int, int], shape: tuple[int, int]) -> np.ndarray:
     out = np.zeros(shape, bool)
@@ -44,54 +38,36 @@ def thinned(cells: DataFrame, keys: list[str], rounds: int = 1000) -> DataFrame:
     return rows.groupBy(*keys).applyInPandas(work, rows.schema)
 
 
-def _graph(free: DataFrame, cuts: DataFrame, keys: list[str], width: int) -> tuple[DataFrame, DataFrame]:
-    """(keys, node, r, c) of free cells: cells of cuts are nodes by themselves (their place), other cells are in the node of their part (below zero); and the edges (keys, a, b) between nodes, both ways."""
-    marked = cuts.select(*keys, "r", "c").distinct()
-    parts = raster.components(raster.minus(free, marked, keys), keys, width).select(*keys, "r", "c", (-F.col("label")).cast("long").alias("node"))
-    singles = raster.both(free, marked, keys).select(*keys, "r", "c", (F.col("r").cast("long") * width + F.col("c")).alias("node"))
-    cells = written(parts.unionByName(singles), "nodes")
-    beside = singles.select(*keys, F.col("node").alias("a"), raster.offset_table(SIDES).alias("o"), "r", "c").select(*keys, "a", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"))
-    edges = raster.spread(beside).join(cells.withColumnRenamed("node", "b"), [*keys, "r", "c"]).select(*keys, "a", "b")
-    return cells, written(edges.union(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-
-
 def sides_of_cuts(free: DataFrame, unknown: DataFrame, cuts: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
     """(keys, cut_id, gain, sides): by cut, how many components it alone would add, and the parts it touches by falling area: area, box, contact cells, ring cells and those of them that are unknown.
 
     cuts: (keys, cut_id, r, c); their cells off the free ground do not count. A
     ring is the cells beside a part (of four neighbours) on the map, the cut's own ones too.
     """
-    with scratch() as keep:
-        free = written(free.select(*keys, "r", "c").distinct(), "free")
-        cuts = written(raster.both(cuts.select(*keys, "cut_id", "r", "c").distinct(), free, keys), "cuts")
-        cells, edges = _graph(free, cuts, keys, width)
-        own = written(cuts.select(*keys, "cut_id", (F.col("r").cast("long") * width + F.col("c")).alias("node")), "own")
-        which = own.select(*keys, "cut_id").distinct()
-        own_a, own_b = own.withColumnRenamed("node", "a"), own.withColumnRenamed("node", "b")
-        seen = which.join(raster.spread(edges), keys)
-        left = seen.join(raster.spread(own_a), [*keys, "cut_id", "a"], "left_anti").join(raster.spread(own_b), [*keys, "cut_id", "b"], "left_anti")
-        roots = written(raster.star_roots(left.select(*keys, "cut_id", "a", "b"), [*keys, "cut_id"]).distinct(), "roots")
-        rooted = lambda df, name: raster.spread(df).join(roots.withColumnsRenamed({"node": name, "root": "__r"}), [*keys, "cut_id", name], "left").withColumn("side", F.coalesce("__r", name)).drop("__r")
-        contact = seen.join(raster.spread(own_a), [*keys, "cut_id", "a"], "left_semi").join(raster.spread(own_b), [*keys, "cut_id", "b"], "left_anti")
-        touched = written(rooted(contact, "b").groupBy(*keys, "cut_id", "side").agg(F.countDistinct("a").alias("contact")), "touched")
-        # components before: what all edges join
-        whole = raster.star_roots(edges, keys)
-        first = own.join(raster.spread(whole), [*keys, "node"], "left").groupBy(*keys, "cut_id").agg(F.countDistinct(F.coalesce("root", "node")).alias("hit"))
-        shapes = cells.groupBy(*keys, "node").agg(F.count("*").alias("n"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-        area = rooted(which.join(raster.spread(shapes), keys), "node").groupBy(*keys, "cut_id", "side").agg(F.sum("n").alias("area"), F.min("r0").alias("r0"), F.max("r1").alias("r1"), F.min("c0").alias("c0"), F.max("c1").alias("c1"))
-        # cells around the ground by the set of nodes they lie beside: few sets have more than one
-        rim = cells.select(*keys, "node", raster.offset_table(SIDES).alias("o"), "r", "c").select(*keys, "node", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c")).where(raster.within(height, width))
-        rim = raster.minus(rim, free, keys).groupBy(*keys, "r", "c").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
-        rim = raster.spread(rim).join(unknown.select(*keys, "r", "c").distinct().withColumn("u", F.lit(1)), [*keys, "r", "c"], "left").groupBy(*keys, "nodes").agg(F.count("*").alias("ring"), F.count("u").alias("dark"))
-        rim = written(rim.withColumn("rim", F.monotonically_increasing_id()), "rim")
-        around = rooted(which.join(raster.spread(rim), keys).select(*keys, "cut_id", "rim", "ring", "dark", F.explode("nodes").alias("node")), "node")
-        ring = around.groupBy(*keys, "cut_id", "side", "rim").agg(F.max("ring").alias("ring"), F.max("dark").alias("dark")).groupBy(*keys, "cut_id", "side").agg(F.sum("ring").alias("ring"), F.sum("dark").alias("dark"))
-        rows = touched.join(raster.spread(area), [*keys, "cut_id", "side"]).join(raster.spread(ring), [*keys, "cut_id", "side"], "left").na.fill(0, ["ring", "dark"])
-        order = F.struct((-F.col("area")).alias("order"), "r0", "c0", "area", "r1", "c1", "contact", (F.col("ring") + F.col("contact")).alias("ring"), F.col("dark").alias("unknown"))
-        sides = rows.groupBy(*keys, "cut_id").agg(F.sort_array(F.collect_list(order)).alias("sides"))
-        sides = sides.withColumn("sides", F.transform("sides", lambda s: s.dropFields("order")))
-        out = first.join(sides, [*keys, "cut_id"], "left").withColumn("sides", F.coalesce("sides", F.array()))
-        return keep(written(out.select(*keys, "cut_id", (F.size("sides") - F.col("hit")).alias("gain"), "sides"), "sides"))
+    free = free.select(*keys, "r", "c").distinct()
+    dark = unknown.select(*keys, "r", "c").where(raster.within(height, width))
+    own = raster.both(cuts.select(*keys, "cut_id", "r", "c").distinct(), free, keys)
+    cells = free.withColumn("free", F.lit(True)).unionByName(dark.withColumn("free", F.lit(False)))
+    names = ("r0", "c0", "area", "r1", "c1", "contact", "ring", "unknown")
+
+    def work(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(right):
+            r, c, on = left["r"].to_numpy(), left["c"].to_numpy(), left["free"].to_numpy()
+            low = (min(0, r.min()), min(0, c.min()))
+            shape = (max(height - 1, r.max()) - low[0] + 1, max(width - 1, c.max()) - low[1] + 1)
+            on_map = np.zeros(shape, bool)
+            on_map[-low[0] : height - low[0], -low[1] : width - low[1]] = True
+            own = [(i, x[["r", "c"]].to_numpy() - low) for i, x in right.groupby("cut_id")]
+            got = kernels.sides_of_cuts(_raster(r[on], c[on], low, shape), _raster(r[~on], c[~on], low, shape), on_map, [x for _, x in own])
+            for (i, _), (gain, sides) in zip(own, got):
+                rows.append((*key, i, gain, [dict(zip(names, (s[0] + low[0], s[1] + low[1], s[2], s[3] + low[0], s[4] + low[1], *s[5:]))) for s in sides]))
+        return pd.DataFrame(rows, columns=[*keys, "cut_id", "gain", "sides"])
+
+    kinds, kinds_of_place = dict(free.dtypes) | dict(cuts.dtypes), dict(free.dtypes)
+    at = {n: kinds_of_place[n[0]] if n[0] in "rc" and n[1:] in "01" else "bigint" for n in names}
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"cut_id {kinds['cut_id']}", "gain long", f"sides array<struct<{','.join(f'{n}:{at.get(n)}' for n in names)}>>"])
+    return cells.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInPandas(work, schema)
 
 
 @dataclass(frozen=True)
