@@ -1,8 +1,8 @@
 """Raster operators on sparse cells: tables of (keys, r, c), one row a true cell.
 
-A frame is one value of the key columns. Neighbourhoods are exploded offset
-lists, so dilation and erosion are one aggregate each and never join cells
-with cells; components work on row runs, not on cells.
+A frame is one value of the key columns. Dilation and erosion move words of
+64 cells of a row and never join cells with cells; other neighbourhoods are
+exploded offset lists; components work on row runs, not on cells.
 """
 
 from __future__ import annotations
@@ -47,14 +47,66 @@ def moved(cells: DataFrame, keys: list[str], offsets: Offsets, sign: int = 1) ->
     return rows.select(*keys, (F.col("r") + sign * F.col("o.dr")).alias("r"), (F.col("c") + sign * F.col("o.dc")).alias("c"))
 
 
-def dilate(cells: DataFrame, keys: list[str], offsets: Offsets, height: int, width: int) -> DataFrame:
-    return moved(cells, keys, offsets).where(within(height, width)).distinct()
+def words(cells: DataFrame, keys: list[str], name: str = "bits") -> DataFrame:
+    """(keys, r, w, bits): the cells of a row in words of 64, bit c % 64 of word c div 64."""
+    rows = cells.select(*keys, "r", F.expr("shiftright(cast(c as long), 6)").alias("w"), F.expr("shiftleft(1L, cast(c & 63 as int))").alias("bit"))
+    return rows.groupBy(*keys, "r", "w").agg(F.bit_or("bit").alias(name))
 
 
-def erode(cells: DataFrame, keys: list[str], offsets: Offsets, height: int, width: int) -> DataFrame:
+def _cells(rows: DataFrame, keys: list[str], first: Column, kind: str) -> DataFrame:
+    """The cells of words; first: the column of bit 0."""
+    at = F.explode(F.expr("filter(sequence(0, 63), i -> (shiftright(bits, i) & 1L) = 1L)"))
+    return rows.select(*keys, "r", first.alias("first"), at.alias("at")).select(*keys, "r", (F.col("first") + F.col("at")).cast(kind).alias("c"))
+
+
+def _by_row(offsets: Offsets) -> dict[int, list[int]]:
+    out: dict[int, set[int]] = {}
+    for r, c in offsets:
+        out.setdefault(r, set()).add(c)
+    return {r: sorted(cs) for r, cs in sorted(out.items())}
+
+
+def _signed(bits: int) -> int:
+    """64 bits as a long."""
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def dilate(cells: DataFrame, keys: list[str], offsets: Offsets, height: int | Column, width: int | Column) -> DataFrame:
+    """A cell gives a word (two at a border of words) for each row of the offsets, so groups are words, not cells."""
+    masks = [(r, k * 64, _signed(sum(1 << c - k * 64 for c in cs if c // 64 == k))) for r, cs in _by_row(offsets).items() for k in sorted({c // 64 for c in cs})]
+    rows = cells.select(*keys, "r", F.col("c").cast("long").alias("c"), F.explode(F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(k).alias("dc"), F.lit(m).cast("long").alias("m")) for r, k, m in masks])).alias("o"))
+    rows = rows.select(*keys, (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"), "o.m").select(*keys, "r", F.expr("shiftright(c, 6)").alias("w"), F.expr("cast(c & 63 as int)").alias("b"), "m")
+    halves = F.expr("array(named_struct('w', w, 'bits', shiftleft(m, b)), named_struct('w', w + 1, 'bits', shiftrightunsigned(shiftrightunsigned(m, 63 - b), 1)))")
+    rows = rows.select(*keys, "r", F.explode(halves).alias("x")).select(*keys, "r", "x.w", "x.bits").where("bits <> 0")
+    grown = rows.groupBy(*keys, "r", "w").agg(F.bit_or("bits").alias("bits"))
+    return _cells(grown, keys, F.col("w") * 64, dict(cells.dtypes)["c"]).where(within(height, width))
+
+
+def eroded(cells: DataFrame, keys: list[str], offsets: Offsets) -> DataFrame:
+    """Cells all of whose neighbours are true, on a plane without borders.
+
+    Words overlap by the reach along a row, so each has all it needs; rows meet by a count.
+    """
+    by_row = _by_row(offsets)
+    reach = max(abs(c) for cs in by_row.values() for c in cs)
+    if reach > 24:  # too far for a word
+        votes = moved(cells.select(*keys, "r", "c").distinct(), keys, offsets, -1)
+        return votes.groupBy(*keys, "r", "c").count().where(F.col("count") == len(set(offsets))).drop("count")
+    own = 64 - 2 * reach
+    blocks = F.explode(F.sequence(F.floor((F.col("c") - reach) / own), F.floor((F.col("c") + reach) / own)))
+    rows = cells.where("c is not null").select(*keys, "r", "c", blocks.alias("w")).select(*keys, "r", "w", F.expr(f"shiftleft(1L, cast(c - w * {own} + {reach} as int))").alias("bit"))
+    rows = rows.groupBy(*keys, "r", "w").agg(F.bit_or("bit").alias("bits"))
+    shifted = lambda c: f"shiftrightunsigned(bits, {c})" if c >= 0 else f"shiftleft(bits, {-c})"
+    mask = _signed(((1 << own) - 1) << reach)
+    along = F.explode(F.expr("array(" + ", ".join(f"named_struct('dr', {r}, 'bits', {' & '.join(map(shifted, cs))} & {mask}L)" for r, cs in by_row.items()) + ")"))
+    rows = rows.select(*keys, "r", "w", along.alias("x")).select(*keys, (F.col("r") - F.col("x.dr")).alias("r"), "w", "x.bits").where("bits <> 0")
+    rows = rows.groupBy(*keys, "r", "w").agg(F.bit_and("bits").alias("bits"), F.count("*").alias("n")).where(F.col("n") == len(by_row))
+    return _cells(rows, keys, F.col("w") * own - reach, dict(cells.dtypes)["c"])
+
+
+def erode(cells: DataFrame, keys: list[str], offsets: Offsets, height: int | Column, width: int | Column) -> DataFrame:
     """Cells all of whose neighbours are true; outside counts as false, so borders erode."""
-    votes = moved(cells.select(*keys, "r", "c").distinct(), keys, offsets, -1).where(within(height, width))
-    return votes.groupBy(*keys, "r", "c").count().where(F.col("count") == len(set(offsets))).drop("count")
+    return eroded(cells, keys, offsets).where(within(height, width))
 
 
 def close(cells: DataFrame, keys: list[str], offsets: Offsets, height: int, width: int) -> DataFrame:
