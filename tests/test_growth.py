@@ -382,3 +382,11 @@ def test_a_cut_labels_no_raster(monkeypatch):
         assert kernels.accepted_cuts(free, cuts, 2, 4) == want
         accepted, closed = accepted + sum(want), closed + reasons.count("closed")
     assert accepted > 20 and closed > 20
+
+
+def test_halving_floods_no_frame_again(spark):
+    """F32"""
+    free = raster.whole(spark.range(2).withColumnRenamed("id", "frame"), ["frame"], 12, 30)
+    got = grids.segmented(free, ["frame"], 12, 30, "watershed")
+    assert "FlatMapGroupsInPandas" not in plan_of(got)
+    assert got.count() == 2 * 12 * 30
