@@ -7,6 +7,7 @@ exploded offset lists; components work on row runs, not on cells.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,6 +42,12 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.hint("merge")
 
 
+def tasks_of(rows: DataFrame, share: int, weight: Column | None = None) -> int:
+    """As many tasks as the work of rows, counted here, asks for: one for each `share`. Spark deals by compressed bytes, and few bytes may become many cells."""
+    work = rows.count() if weight is None else rows.agg(F.sum(weight)).first()[0] or 0
+    return max(1, math.ceil(work / share))
+
+
 def moved(cells: DataFrame, keys: list[str], offsets: Offsets, sign: int = 1) -> DataFrame:
     """Each cell at each offset, with repeats."""
     rows = cells.select(*keys, "r", "c", offset_table(offsets).alias("o"))

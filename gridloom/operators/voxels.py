@@ -12,7 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import raster
+
 UNKNOWN, FREE, OCCUPIED, CONFLICT = 0, 1, 2, 3
+#: Cells of rays in one task.
+CELLS_A_TASK = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -67,15 +71,21 @@ def ray_events(rays: DataFrame, keys: list[str], sizes: tuple[int, int, int], dr
 
     rays: (keys, oz, or_, oc, ez, er, ec, is_hit) in voxel coordinates. A hit
     ray marks its endpoint occupied and leaves its last `drop_last` cells out
-    of the free ones; a ray without a hit keeps them. Summed before any shuffle.
+    of the free ones; a ray without a hit keeps them. Rays are dealt to tasks
+    by frame and by the cells that they cross, so cells are never shuffled.
     """
     origin, end = [F.col(x) for x in ("oz", "or_", "oc")], [F.col(x) for x in ("ez", "er", "ec")]
-    cells = F.slice(traversed(origin, end), 1, most_samples)
-    kept = F.when(F.col("is_hit"), F.slice(cells, 1, F.greatest(F.size(cells) - drop_last, F.lit(0)))).otherwise(cells)
-    free = rays.select(*keys, F.explode(kept).alias("v")).select(*keys, "v.z", "v.r", "v.c", F.lit(1).alias("free"), F.lit(0).alias("occupied"))
-    hits = rays.where("is_hit").select(*keys, *[F.floor(c).cast("int").alias(n) for c, n in zip(end, ("z", "r", "c"))], F.lit(0).alias("free"), F.lit(1).alias("occupied"))
+    crossed = F.least(F.lit(float(most_samples)), sum((F.abs(b - a) for a, b in zip(origin, end)), F.lit(1.0)))
+    rows = rays.select(*keys, *origin, *end, "is_hit")
+    if not rays.isStreaming:
+        rows = rows.repartition(raster.tasks_of(rows, CELLS_A_TASK, crossed), *keys)
+    rows = rows.withColumn("cells", F.slice(traversed(origin, end), 1, most_samples))
+    kept = F.when(F.col("is_hit"), F.slice("cells", 1, F.greatest(F.size("cells") - drop_last, F.lit(0)))).otherwise(F.col("cells"))
+    free = F.transform(kept, lambda v: F.struct(*[v[n].alias(n) for n in ("z", "r", "c")], F.lit(0).alias("hit")))
+    hit = F.when(F.col("is_hit"), F.array(F.struct(*[F.floor(x).cast("int").alias(n) for x, n in zip(end, ("z", "r", "c"))], F.lit(1).alias("hit"))))
     inside = (F.col("z").between(0, sizes[0] - 1)) & (F.col("r").between(0, sizes[1] - 1)) & (F.col("c").between(0, sizes[2] - 1))
-    return free.union(hits).where(inside).groupBy(*keys, "z", "r", "c").agg(F.sum("free").alias("free"), F.sum("occupied").alias("occupied"))
+    marks = rows.select(*keys, F.explode(F.flatten(F.array_compact(F.array(free, hit)))).alias("v")).select(*keys, "v.*").where(inside)
+    return marks.groupBy(*keys, "z", "r", "c").agg(F.sum(1 - F.col("hit")).alias("free"), F.sum("hit").alias("occupied"))
 
 
 def fold_step(model: LogOdds):
