@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 INF = float("inf")
 
@@ -14,6 +17,28 @@ def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < INF)
 
 
+def distance(dx: Column, dy: Column) -> Column:
+    """The root of the sum of squares, as SQL writes it; hypot rounds otherwise in the last bit."""
+    x, y = dx.cast("double"), dy.cast("double")
+    return F.sqrt(x * x + y * y)
+
+
+@F.pandas_udf(DoubleType())
+def _c_pow(x: pd.Series, y: pd.Series) -> pd.Series:
+    def one(a: float, b: float) -> float:
+        try:
+            return math.pow(a, b)
+        except (OverflowError, ValueError):
+            return float(np.float_power(a, b))
+
+    return pd.Series([one(a, b) for a, b in zip(x, y)], dtype="float64")
+
+
+def c_pow(x: Column, exponent: float) -> Column:
+    """The C library's pow, which SQL calls: it may miss the last bit of a square that takes over 53 bits, where Spark's does not."""
+    return F.when(F.isnan(x), x).otherwise(_c_pow(x.cast("double"), F.lit(float(exponent))))
+
+
 def spl(success: Column, shortest: Column, path: Column) -> Column:
     """Success weighted by path length; 0 without success or a finite shortest distance."""
     return F.when(success & finite(shortest), shortest / F.greatest(path, shortest, F.lit(1e-6))).otherwise(0.0)
@@ -51,12 +76,12 @@ def inverse_distance(distance: Column, least_m: float, span_m: float) -> Column:
 def clearance_penalty(clearance: Column, desired: float, hard_least: float, weight: float, power: float) -> Column:
     """weight * (deficit / desired) ** power; infinite under the hard minimum."""
     deficit = F.greatest(F.lit(0.0), F.lit(desired) - clearance) / max(desired, 1e-9)
-    return F.when(clearance < hard_least, F.lit(INF)).otherwise(weight * F.pow(deficit, F.lit(power)))
+    return F.when(clearance < hard_least, F.lit(INF)).otherwise(weight * c_pow(deficit, power))
 
 
 def line_angle_deg(ar: Column, ac: Column, br: Column, bc: Column) -> Column:
     """The angle between two undirected lines, 0 to 90 degrees; null for a zero vector."""
-    size = F.hypot(ar, ac) * F.hypot(br, bc)
+    size = distance(ar, ac) * distance(br, bc)
     return F.degrees(F.acos(F.least(F.lit(1.0), F.abs(ar * br + ac * bc) / F.nullif(size, F.lit(0.0)))))
 
 
@@ -86,7 +111,7 @@ def point_in_polygon(px: Column, py: Column, points: Column, x: str = "x", y: st
 
 def point_box_distance(x: Column, y: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     zero = F.lit(0.0)
-    return F.hypot(F.greatest(x0 - x, x - x1, zero), F.greatest(y0 - y, y - y1, zero))
+    return F.sqrt(c_pow(F.greatest(x0 - x, x - x1, zero), 2) + c_pow(F.greatest(y0 - y, y - y1, zero), 2))
 
 
 def box_iou_3d(a: Column, b: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalar
+
 
 def subgraphs(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, center, members, edges): each object with its neighbours, its room and group, and the edges among them.
@@ -29,7 +31,7 @@ def affiliation(objects: DataFrame, groups: DataFrame, keys: list[str]) -> DataF
 
 def credibility(candidates: DataFrame, terms: DataFrame, keys: list[str], eps: float = 1e-6) -> DataFrame:
     """Detector confidence times the sum of p / distance over a frame's subgraphs."""
-    d = F.greatest(F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")), F.lit(eps))
+    d = F.greatest(scalar.distance(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")), F.lit(eps))
     rows = candidates.join(terms.select(*keys, F.col("x").alias("sx"), F.col("y").alias("sy"), "p"), keys)
     return rows.groupBy(*keys, "candidate_id", "confidence").agg(F.sum(F.col("p") / d).alias("evidence")).withColumn("credibility", F.col("confidence") * F.col("evidence"))
 

@@ -218,7 +218,7 @@ def mean_and_deviation(rows: DataFrame, by: list[str], measures: list[str]) -> D
 def path_length(points: DataFrame, keys: list[str], order: str, jump_m: float = 0.5) -> DataFrame:
     """Running length; a step of the jump or more adds nothing, but the place moves on."""
     w = Window.partitionBy(*keys).orderBy(order)
-    d = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
+    d = scalar.distance(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
     rows = points.withColumn("__d", F.when(d < jump_m, d).otherwise(0.0))
     return rows.withColumn("path_m", F.sum("__d").over(w)).drop("__d")
 

@@ -45,7 +45,7 @@ def nearest(queries: DataFrame, points: DataFrame, radius: float, keys: tuple[st
     """
     places = queries.select(*keys, F.col("x").alias("qx"), F.col("y").alias("qy")).distinct()
     first = points.groupBy(*keys, "x", "y").agg(F.min("point_id").alias("point_id"))
-    d = F.hypot(F.col("x") - F.col("qx"), F.col("y") - F.col("qy"))
+    d = scalar.distance(F.col("x") - F.col("qx"), F.col("y") - F.col("qy"))
     near = _tiled(places, radius, "qx", "qy", True).join(_tiled(first, radius, "x", "y", False), [*keys, "tile_x", "tile_y"]).withColumn("distance", d).where(F.col("distance") < radius)
     best = near.groupBy(*keys, F.col("qx").alias("x"), F.col("qy").alias("y")).agg(F.min(F.struct("distance", "point_id")).alias("b"))
     found = queries.select(*keys, "query_id", "x", "y").join(best, [*keys, "x", "y"]).groupBy(*keys, "query_id").agg(F.min("b").alias("b"))
@@ -57,7 +57,7 @@ def pairs_within(points: DataFrame, radius: float, keys: tuple[str, ...] = (), c
     more = lambda end: [F.col(x).alias(f"{x}_{end}") for x in carried]
     left = _tiled(points.select(*keys, F.col("point_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), *more("a")), radius, "ax", "ay", True)
     right = _tiled(points.select(*keys, F.col("point_id").alias("b"), "x", "y", *more("b")), radius, "x", "y", False)
-    d = F.hypot(F.col("x") - F.col("ax"), F.col("y") - F.col("ay"))
+    d = scalar.distance(F.col("x") - F.col("ax"), F.col("y") - F.col("ay"))
     return left.join(right, [*keys, "tile_x", "tile_y"]).where("a < b").withColumn("distance", d).where(F.col("distance") <= radius).select(*keys, "a", "b", "distance", *[f"{x}_{end}" for end in "ab" for x in carried])
 
 
@@ -118,7 +118,7 @@ def suppressed(frontiers: DataFrame, records: DataFrame, keys: list[str], radius
     part = lambda c: F.floor(F.col(c) / bucket)
     left = _tiled(frontiers.select(*keys, "frontier_id", F.col("step").alias("at"), part("step").alias("bucket"), F.col("x").alias("fx"), F.col("y").alias("fy")), radius, "fx", "fy", True)
     lives = records.where("step <= until_step").select(*keys, "x", "y", "until_step", F.col("step").alias("since"), F.explode(F.sequence(part("step"), part("until_step"))).alias("bucket"))
-    hit = left.join(_tiled(lives, radius, "x", "y", False), [*keys, "bucket", "tile_x", "tile_y"]).where((F.col("since") <= F.col("at")) & (F.col("at") <= F.col("until_step")) & (F.hypot(F.col("x") - F.col("fx"), F.col("y") - F.col("fy")) <= radius))
+    hit = left.join(_tiled(lives, radius, "x", "y", False), [*keys, "bucket", "tile_x", "tile_y"]).where((F.col("since") <= F.col("at")) & (F.col("at") <= F.col("until_step")) & (scalar.distance(F.col("x") - F.col("fx"), F.col("y") - F.col("fy")) <= radius))
     return frontiers.join(hit.select(*keys, "frontier_id").distinct(), [*keys, "frontier_id"], "left_anti")
 
 
@@ -132,7 +132,7 @@ def frontier_scores(frontiers: DataFrame, subgraphs: DataFrame, keys: list[str],
     blocks = subgraphs.withColumn("__block", F.floor(number / block)).groupBy(*keys, "__block").agg(F.collect_list(F.struct(F.col("subgraph_id"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("p"))).alias("subgraphs"))
 
     def term(s):
-        t = s["p"] / F.greatest(F.hypot(F.col("x") - s["sx"], F.col("y") - s["sy"]), F.lit(eps))
+        t = s["p"] / F.greatest(scalar.distance(F.col("x") - s["sx"], F.col("y") - s["sy"]), F.lit(eps))
         # the largest first, not a number before all, null after all
         return F.struct(t.isNull().alias("none"), (~F.coalesce(F.isnan(t), F.lit(False))).alias("number"), (-t).alias("order"), s["subgraph_id"].alias("subgraph_id"), t.alias("term"))
 

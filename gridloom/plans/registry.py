@@ -66,7 +66,8 @@ def _round(c: str, places: int) -> Column:
     scaled = F.abs(x) * float(10**places)
     whole = F.floor(scaled)
     near = (whole + F.when(scaled - whole >= 0.5, 1).otherwise(0)) / float(10**places)
-    return F.when(scaled < float(1 << 52), F.when(x < 0, -near).otherwise(near)).otherwise(x)
+    near = F.when(scaled < float(1 << 52), near).when(scaled < float("inf"), scaled / float(10**places))
+    return F.when(near.isNull(), x).when(x < 0, -near).otherwise(near)
 
 
 def _plain(df: DataFrame) -> DataFrame:
