@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from .raster import spread
 
 
 def relabelled(labels: DataFrame, keys: list[str]) -> DataFrame:
     """Labels as 1..n in ascending order; the distinct labels are ranked, not the cells."""
     positive = labels.where("label > 0")
     ranks = positive.select(*keys, "label").distinct().withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("label")))
-    return positive.join(ranks, [*keys, "label"]).select(*keys, "r", "c", F.col("rank").alias("label"))
+    return positive.join(spread(ranks), [*keys, "label"]).select(*keys, "r", "c", F.col("rank").alias("label"))
 
 
 def relabelled_as(labels: DataFrame, keys: list[str], order: list[int]) -> DataFrame:
@@ -178,7 +179,7 @@ def adjacency(labels: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, a, b, border) of touching labels: pairs of 4-neighbours, a < b."""
     here = labels.where("label > 0").select(*keys, "r", "c", F.col("label").alias("x"))
     step = lambda dr, dc: here.select(*keys, (F.col("r") - dr).alias("r"), (F.col("c") - dc).alias("c"), F.col("x").alias("y"))
-    pairs = here.join(step(1, 0).union(step(0, 1)), [*keys, "r", "c"]).where("x <> y")
+    pairs = here.join(spread(step(1, 0).union(step(0, 1))), [*keys, "r", "c"]).where("x <> y")
     return pairs.groupBy(*keys, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("border"))
 
 
@@ -187,7 +188,7 @@ def perimeters(labels: DataFrame, keys: list[str]) -> DataFrame:
     here = labels.where("label > 0").select(*keys, "r", "c", "label")
     sides = here.select(*keys, "label", F.explode(F.array(*[F.struct((F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c")) for dr, dc in ((-1, 0), (1, 0), (0, -1), (0, 1))])).alias("n"))
     other = here.select(*keys, "r", "c", F.col("label").alias("y"))
-    faced = sides.select(*keys, "label", "n.r", "n.c").join(other, [*keys, "r", "c"], "left")
+    faced = sides.select(*keys, "label", "n.r", "n.c").join(spread(other), [*keys, "r", "c"], "left")
     return faced.where("y is null or y <> label").groupBy(*keys, "label").agg(F.count("*").alias("perimeter"))
 
 

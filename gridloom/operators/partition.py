@@ -1,5 +1,6 @@
 """Partitions of free ground as tables: region graphs merged in rounds, parts cut at bottlenecks, cuts from wall to wall across narrow places.
 
+Tables are small on disk and large in memory, so none is broadcast.
 Rounds work on region graphs or on the cells still in play and end when nothing
 changes; each is a written table. Loops run as often as a chain of merges or a
 spur is long, never once a cell or region.
@@ -24,7 +25,7 @@ def pruned(cells: DataFrame, keys: list[str], rounds: int, least_degree: int = 2
     now = cut(cells.select(*keys, "r", "c").distinct(), "peel")
     for _ in range(rounds):
         degree = raster.moved(now, keys, AROUND).groupBy(*keys, "r", "c").count()
-        kept = cut(now.join(degree.where(F.col("count") >= least_degree), [*keys, "r", "c"], "left_semi"), "peel")
+        kept = cut(now.join(raster.spread(degree.where(F.col("count") >= least_degree)), [*keys, "r", "c"], "left_semi"), "peel")
         done = kept.count() == now.count()
         release(now)
         now = kept
@@ -39,8 +40,7 @@ def filled(labels: DataFrame, domain: DataFrame, keys: list[str]) -> DataFrame:
     left = cut(raster.minus(domain.select(*keys, "r", "c").distinct(), done, keys), "left")
     front = done
     while True:
-        spread = _spread(front, keys)
-        fresh = cut(spread.join(left, [*keys, "r", "c"], "left_semi").groupBy(*keys, "r", "c").agg(F.min("label").alias("label")), "front")
+        fresh = cut(_spread(front, keys).join(raster.spread(left), [*keys, "r", "c"], "left_semi").groupBy(*keys, "r", "c").agg(F.min("label").alias("label")), "front")
         if fresh.isEmpty():
             return done
         rest = cut(raster.minus(left, fresh, keys), "left")
@@ -70,24 +70,24 @@ def merged_regions(labels: DataFrame, keys: list[str], force_below: float, merge
         edges = label_ops.adjacency(labels, keys)
         edges = cut(edges.union(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "border")), "edges")
         shared = edges.groupBy(*keys, F.col("a").alias("label")).agg(F.sum("border").alias("shared"))
-        regions = labels.where("label > 0").groupBy(*keys, "label").agg((F.count("*") * cell_area).alias("area")).join(label_ops.perimeters(labels, keys), [*keys, "label"], "left").join(shared, [*keys, "label"], "left")
+        regions = labels.where("label > 0").groupBy(*keys, "label").agg((F.count("*") * cell_area).alias("area")).join(raster.spread(label_ops.perimeters(labels, keys)), [*keys, "label"], "left").join(raster.spread(shared), [*keys, "label"], "left")
         regions = cut(regions.select(*keys, "label", "area", (F.coalesce("perimeter", F.lit(0)) - F.coalesce("shared", F.lit(0))).alias("outer")), "regions")
         names = cut(regions.select(*keys, "label", F.col("label").alias("root")), "names")
         while True:
             best = edges.groupBy(*keys, F.col("a").alias("label")).agg(F.min_by("b", F.struct(-F.col("border"), "b")).alias("to"), F.max("border").alias("most"), F.sum("border").alias("shared"), F.count("*").alias("n"))
             sides = F.greatest(F.lit(1), F.col("shared") + F.col("outer"))
             loose = (F.col("most") / sides > least_shared) | ((F.col("n") == 1) & (F.col("outer") / sides <= most_wall))
-            going = cut(regions.join(best, [*keys, "label"]).where((F.col("area") < force_below) | ((F.col("area") < merge_below) & loose)).select(*keys, "label", "area", "to"), "going")
-            rivals = edges.join(going.select(*keys, F.col("label").alias("b"), F.struct("area", "label").alias("size")), [*keys, "b"]).groupBy(*keys, F.col("a").alias("label")).agg(F.min("size").alias("rival"))
-            first = going.join(rivals, [*keys, "label"], "left").where(F.col("rival").isNull() | (F.struct("area", "label") < F.col("rival")))
+            going = cut(regions.join(raster.spread(best), [*keys, "label"]).where((F.col("area") < force_below) | ((F.col("area") < merge_below) & loose)).select(*keys, "label", "area", "to"), "going")
+            rivals = edges.join(raster.spread(going.select(*keys, F.col("label").alias("b"), F.struct("area", "label").alias("size"))), [*keys, "b"]).groupBy(*keys, F.col("a").alias("label")).agg(F.min("size").alias("rival"))
+            first = going.join(raster.spread(rivals), [*keys, "label"], "left").where(F.col("rival").isNull() | (F.struct("area", "label") < F.col("rival")))
             moves = cut(first.select(*keys, "label", "to"), "moves")
             if moves.isEmpty():
                 break
-            move = lambda df, c: df.join(moves.select(*keys, F.col("label").alias(c), F.col("to").alias("__to")), [*keys, c], "left").withColumn(c, F.coalesce("__to", c)).drop("__to")
+            move = lambda df, c: df.join(raster.spread(moves.select(*keys, F.col("label").alias(c), F.col("to").alias("__to"))), [*keys, c], "left").withColumn(c, F.coalesce("__to", c)).drop("__to")
             edges = cut(move(move(edges, "a"), "b").where("a <> b").groupBy(*keys, "a", "b").agg(F.sum("border").alias("border")), "edges")
             regions = cut(move(regions, "label").groupBy(*keys, "label").agg(F.sum("area").alias("area"), F.sum("outer").alias("outer")), "regions")
             names = cut(move(names, "root"), "names")
-        out = labels.where("label > 0").join(names, [*keys, "label"]).select(*keys, "r", "c", F.col("root").alias("label"))
+        out = labels.where("label > 0").join(raster.spread(names), [*keys, "label"]).select(*keys, "r", "c", F.col("root").alias("label"))
         return keep(cut(label_ops.relabelled(out, keys), "merged"))
 
 
@@ -125,7 +125,7 @@ def ridge(distance: DataFrame, keys: list[str], least: float) -> DataFrame:
     here = distance.where(F.col("d2") > least * least)
     near = here.select(*keys, "r", "c", "d2", raster.offset_table(AROUND).alias("o")).select(*keys, (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"), F.col("d2").alias("near"))
     top = near.groupBy(*keys, "r", "c").agg(F.max("near").alias("near"))
-    return here.join(top, [*keys, "r", "c"], "left").where(F.col("near").isNull() | (F.col("d2") >= F.col("near"))).select(*keys, "r", "c", "d2")
+    return here.join(raster.spread(top), [*keys, "r", "c"], "left").where(F.col("near").isNull() | (F.col("d2") >= F.col("near"))).select(*keys, "r", "c", "d2")
 
 
 def _paired(points: DataFrame, others: DataFrame, keys: list[str], reach: int, names: list[str]) -> DataFrame:
@@ -134,7 +134,7 @@ def _paired(points: DataFrame, others: DataFrame, keys: list[str], reach: int, n
     wide = lambda c: F.explode(F.sequence(tile(c) - 1, tile(c) + 1))
     left = points.withColumn("__tr", wide("r")).withColumn("__tc", wide("c"))
     right = others.select(*keys, tile("r").alias("__tr"), tile("c").alias("__tc"), *[F.col(n).alias(f"{n}_o") for n in names])
-    return left.join(right, [*keys, "__tr", "__tc"]).drop("__tr", "__tc").where((F.abs(F.col("r") - F.col("r_o")) <= reach) & (F.abs(F.col("c") - F.col("c_o")) <= reach))
+    return raster.spread(left).join(right, [*keys, "__tr", "__tc"]).drop("__tr", "__tc").where((F.abs(F.col("r") - F.col("r_o")) <= reach) & (F.abs(F.col("c") - F.col("c_o")) <= reach))
 
 
 def _d2(a: tuple[str, str], b: tuple[str, str]) -> Column:
@@ -145,14 +145,14 @@ def narrow_places(line: DataFrame, keys: list[str], stride: int) -> DataFrame:
     """The cells of a ridge (keys, r, c, d2) that are nearer to walls than all others within the stride; of equal ones the first in raster order."""
     rank = lambda *c: F.struct(*[F.col(x) for x in c])
     lower = _paired(line, line, keys, stride, ["r", "c", "d2"]).where(rank("d2_o", "r_o", "c_o") < rank("d2", "r", "c")).select(*keys, "r", "c").distinct()
-    return line.join(lower, [*keys, "r", "c"], "left_anti")
+    return line.join(raster.spread(lower), [*keys, "r", "c"], "left_anti")
 
 
 def facing_walls(points: DataFrame, walls: DataFrame, keys: list[str], reach: int, least_angle: float) -> DataFrame:
     """(keys, r, c, d2, u, v, angle): each point's nearest wall and the nearest one that stands at least the angle from it, in degrees about the point."""
     near = _paired(points, walls, keys, reach, ["r", "c"]).withColumn("w2", _d2(("r", "c"), ("r_o", "c_o")))
     first = near.groupBy(*keys, "r", "c").agg(F.min(F.struct("w2", "r_o", "c_o")).alias("u"))
-    both = near.join(first, [*keys, "r", "c"])
+    both = near.join(raster.spread(first), [*keys, "r", "c"])
     ur, uc, vr, vc = F.col("u.r_o") - F.col("r"), F.col("u.c_o") - F.col("c"), F.col("r_o") - F.col("r"), F.col("c_o") - F.col("c")
     turn = F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (ur * vr + uc * vc) / F.sqrt(F.col("u.w2") * F.col("w2"))))))
     both = both.withColumn("angle", turn).where(F.col("angle") >= least_angle)
@@ -165,7 +165,7 @@ def wall_to_wall(places: DataFrame, keys: list[str], spread: float, reach: int)
     better = F.struct(-F.col("angle_o"), "length_o", "r_o", "c_o") < F.struct(-F.col("angle"), "length", "r", "c")
     limit = F.greatest(F.lit(1.0), F.col("d2") * spread * spread)
     beaten = _paired(places, places, keys, max(1, math.ceil(reach * spread)), ["r", "c", "angle", "length"]).where(better & (_d2(("r", "c"), ("r_o", "c_o")) < limit)).select(*keys, "r", "c").distinct()
-    kept = places.join(beaten, [*keys, "r", "c"], "left_anti")
+    kept = places.join(raster.spread(beaten), [*keys, "r", "c"], "left_anti")
     cells = F.explode(F.concat(*[raster.line_cells(F.col("r"), F.col("c"), F.col(f"{w}.r"), F.col(f"{w}.c")) for w in "uv"]))
     return kept.select(*keys, cells.alias("x")).select(*keys, "x.r", "x.c").distinct()
 
@@ -182,15 +182,15 @@ def voronoi_rooms(free: DataFrame, keys: list[str], height: int, width: int, res
         distance, walls = wall_distance(free, keys, height, width, reach)
         distance, walls = cut(distance, "distance"), cut(walls, "walls")
         line = cut(ridge(distance, keys, least_distance), "ridge")
-        line = line.join(pruned(line, keys, prunings), [*keys, "r", "c"], "left_semi")
+        line = line.join(raster.spread(pruned(line, keys, prunings)), [*keys, "r", "c"], "left_semi")
         places = cut(facing_walls(narrow_places(line, keys, stride), walls, keys, reach, least_angle), "places")
         cuts = wall_to_wall(places, keys, spread, reach)
         found = raster.components(raster.minus(free, cuts, keys), keys, width)
         area = resolution * resolution
         good = raster.component_sizes(found, keys).where(F.col("area").cast("double") * area >= low).where(F.col("area").cast("double") * area <= high).select(*keys, "label")
-        rooms = filled(found.join(good, [*keys, "label"], "left_semi").select(*keys, "r", "c", "label"), free, keys)
+        rooms = filled(found.join(raster.spread(good), [*keys, "label"], "left_semi").select(*keys, "r", "c", "label"), free, keys)
         # ground that no room of an allowed area reaches is its own
         rest = raster.components(raster.minus(free, rooms, keys), keys, width)
         top = rooms.groupBy(*keys).agg(F.max("label").alias("top"))
-        rest = rest.join(top, keys, "left").select(*keys, "r", "c", (F.col("label") + F.coalesce("top", F.lit(0))).alias("label"))
+        rest = rest.join(raster.spread(top), keys, "left").select(*keys, "r", "c", (F.col("label") + F.coalesce("top", F.lit(0))).alias("label"))
         return keep(merged_regions(rooms.unionByName(rest), keys, force_below, merge_below, area))
