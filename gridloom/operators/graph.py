@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,13 +56,43 @@ def fallback_scores(subgraph: DataFrame, goal: str, words: dict[str, list[str]])
 
 
 def unobstructed_pairs(objects: DataFrame, obstacles: DataFrame, keys: list[str], most: float) -> DataFrame:
-    """Pairs of objects of a room within a distance whose straight line meets no obstacle. objects: (keys, point_id, room_id, x, y), in cells."""
+    """Pairs of objects of a room within a distance whose straight line meets no obstacle. objects: (keys, point_id, room_id, x, y), in cells.
+
+    An object brings the obstacles of the nine blocks about it, a bit a cell; a
+    line lies within them, so neither pairs nor their cells are shuffled.
+    """
     from .matching import pairs_within
-    from .raster import line_cells
-
-    near = pairs_within(objects, most, (*keys, "room_id"))
-    end = lambda n: objects.select(*keys, F.col("point_id").alias(n), F.col("y").cast("int").alias(f"r_{n}"), F.col("x").cast("int").alias(f"c_{n}"))
-    lines = near.join(end("a"), [*keys, "a"]).join(end("b"), [*keys, "b"])
-    cells = lines.select(*keys, "a", "b", F.explode(line_cells(F.col("r_a"), F.col("c_a"), F.col("r_b"), F.col("c_b"))).alias("p")).select(*keys, "a", "b", "p.r", "p.c")
-    blocked = cells.join(obstacles.select(*keys, "r", "c").distinct(), [*keys, "r", "c"], "left_semi").select(*keys, "a", "b").distinct()
-    return near.join(blocked, [*keys, "a", "b"], "left_anti")
+    from .raster import spread
+
+    side = math.ceil(most) + 2
+    words = math.ceil(side * side / 64)
+    blocks = [F.floor(F.col(x) / side).alias(f"block_{x}") for x in "rc"]
+    inside = F.pmod("r", F.lit(side)) * side + F.pmod("c", F.lit(side))
+    own = obstacles.select(*keys, *blocks, inside.alias("i"))
+    own = own.groupBy(*keys, "block_r", "block_c", F.shiftright("i", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i & 63 as int))")).alias("bits"))
+    around = F.explode(F.array(*[F.struct(F.lit(a - 1).alias("dr"), F.lit(b - 1).alias("dc"), F.lit((3 * (2 - a) + 2 - b) * words).alias("at")) for a in range(3) for b in range(3)])).alias("o")
+    near = own.select("*", around).select(*keys, (F.col("block_r") + F.col("o.dr")).alias("block_r"), (F.col("block_c") + F.col("o.dc")).alias("block_c"), (F.col("o.at") + F.col("word")).cast("int").alias("at"), "bits")
+    near = near.groupBy(*keys, "block_r", "block_c").agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("m"))
+    near = near.select(*keys, "block_r", "block_c", F.transform(F.sequence(F.lit(0), F.lit(9 * words - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("walls"))
+    placed = objects.withColumn("r", F.col("y").cast("int")).withColumn("c", F.col("x").cast("int")).select("*", *blocks)
+    placed = placed.join(spread(near), [*keys, "block_r", "block_c"], "left")
+    pairs = pairs_within(placed, most, (*keys, "room_id"), ("r", "c"), ("block_r", "block_c", "walls"))
+
+    pairs = pairs.withColumn("walls", F.coalesce("walls", F.array_repeat(F.lit(0).cast("long"), 9 * words)))
+    names = [*keys, "a", "b", "room_id", "distance"]
+
+    def clear(batches):
+        """The pairs no cell of whose line_cells is an obstacle."""
+        for batch in batches:
+            ra, ca, rb, cb, br, bc = (batch.column(n).to_numpy().astype(np.int64) for n in ("r_a", "c_a", "r_b", "c_b", "block_r", "block_c"))
+            walls = batch.column("walls").flatten().to_numpy().reshape(batch.num_rows, 9 * words)
+            n, rows, hit = np.maximum(np.abs(rb - ra), np.abs(cb - ca)), np.arange(batch.num_rows), np.zeros(batch.num_rows, bool)
+            for step in range(n.max(initial=-1) + 1):
+                i = np.minimum(step, n)
+                r, c = (np.rint(x + (y - x) * i / np.maximum(n, 1)).astype(np.int64) - (z - 1) * side for x, y, z in ((ra, rb, br), (ca, cb, bc)))
+                cell = r % side * side + c % side
+                hit |= walls[rows, (r // side * 3 + c // side) * words + (cell >> 6)] >> (cell & 63) & 1 != 0
+            yield batch.filter(pa.array(~hit)).select(names)
+
+    pairs = pairs.select(*names, "r_a", "c_a", "r_b", "c_b", "block_r", "block_c", "walls")
+    return pairs.mapInArrow(clear, pairs.select(*names).schema)

@@ -52,13 +52,13 @@ def nearest(queries: DataFrame, points: DataFrame, radius: float, keys: tuple[st
     return found.select(*keys, "query_id", "b.point_id", "b.distance")
 
 
-def pairs_within(points: DataFrame, radius: float, keys: tuple[str, ...] = (), carried: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, a, b, distance) of points at most the radius apart, a < b; carried columns of both as name_a and name_b, so pairs need not be joined with their points again."""
+def pairs_within(points: DataFrame, radius: float, keys: tuple[str, ...] = (), carried: tuple[str, ...] = (), of_b: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, a, b, distance) of points at most the radius apart, a < b; carried columns of both as name_a and name_b and those of b alone, so pairs need not be joined with their points again."""
     more = lambda end: [F.col(x).alias(f"{x}_{end}") for x in carried]
     left = _tiled(points.select(*keys, F.col("point_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), *more("a")), radius, "ax", "ay", True)
-    right = _tiled(points.select(*keys, F.col("point_id").alias("b"), "x", "y", *more("b")), radius, "x", "y", False)
+    right = _tiled(points.select(*keys, F.col("point_id").alias("b"), "x", "y", *more("b"), *of_b), radius, "x", "y", False)
     d = scalar.distance(F.col("x") - F.col("ax"), F.col("y") - F.col("ay"))
-    return left.join(right, [*keys, "tile_x", "tile_y"]).where("a < b").withColumn("distance", d).where(F.col("distance") <= radius).select(*keys, "a", "b", "distance", *[f"{x}_{end}" for end in "ab" for x in carried])
+    return spread(left).join(right, [*keys, "tile_x", "tile_y"]).where("a < b").withColumn("distance", d).where(F.col("distance") <= radius).select(*keys, "a", "b", "distance", *[f"{x}_{end}" for end in "ab" for x in carried], *of_b)
 
 
 def epsilon_groups(points: DataFrame, radius: float, keys: list[str]) -> DataFrame:
